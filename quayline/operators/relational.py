@@ -149,3 +149,25 @@ def text_list(values: Column) -> Column:
 def merged_set(values: str) -> Column:
     """The union of array values over a group."""
     return F.array_distinct(F.flatten(F.collect_set(values)))
+
+
+def distinct_lists(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The distinct values of each column as sorted text lists per key.
+
+    Values are made distinct in spread groups first; only a key's distinct values, which its
+    result cell holds anyway, meet in one task.
+    """
+    stacked = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns
+    ]))
+    values = df.select(*keys, stacked.alias("_item")).select(*keys, "_item.*").distinct()
+    lists = [
+        text_list(F.collect_list(F.when(F.col("name") == c, F.col("value")))).alias(c)
+        for c in columns
+    ]
+    return values.groupBy(*keys).agg(*lists)
+
+
+def with_total_and_breakdown(df: DataFrame, key: str, *measures: Column) -> DataFrame:
+    """The total (null key) and the rows per key in one pass."""
+    return df.groupingSets([[], [key]], key).agg(*measures)

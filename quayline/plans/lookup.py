@@ -158,3 +158,31 @@ def order_not_found(requests: DataFrame, found: DataFrame) -> DataFrame:
     return wanted.join(found, "requested", "left_anti").withColumn(
         "reasons", F.lit("\n".join(NOT_FOUND_REASONS))
     )
+
+
+RETAIL_ANSWER = [
+    "customer_po_number", "party_name", "item_number", "item_description", "ordered_qty",
+    "shipped_quantity", "unit_selling_price", "status_code", "ordered_date", "ship_date",
+]
+
+
+def routed(identifiers: DataFrame, column: str = "identifier") -> DataFrame:
+    """Each distinct identifier with the table and column it belongs to."""
+    cleaned = F.upper(M.stripped(F.col(column)))
+    return (
+        identifiers.select(cleaned.alias("identifier")).distinct()
+        .withColumn("route", M.identifier_route(F.col("identifier")))
+    )
+
+
+def retail_lookup(identifiers: DataFrame, lines: DataFrame) -> DataFrame:
+    """Retail lines of customer PO numbers and of plain order numbers, one join per route."""
+    wanted = routed(identifiers)
+
+    def hits(column: str) -> DataFrame:
+        mine = wanted.filter(F.col("route") == f"retail_order_lines.{column}")
+        key = F.col("identifier").try_cast(lines.schema[column].dataType)
+        return mine.withColumn("_key", key).join(lines, F.col("_key") == lines[column])
+
+    answer = ["identifier", "route", *RETAIL_ANSWER]
+    return hits("customer_po_number").select(*answer).unionByName(hits("order_number").select(*answer))

@@ -306,6 +306,18 @@ FEEDS["ticket_posts"] = """
                   ' arrived late') AS body
     FROM {tickets} t"""
 
+FEEDS["order_requests"] = f"""
+    SELECT CONCAT({order_number('o.o_orderkey')},
+                  CASE WHEN o.o_orderkey % 13 = 5 THEN '-wr' ELSE '' END) AS order_number
+    FROM {{orders}} o"""
+
+FEEDS["retail_requests"] = f"""
+    SELECT CONCAT(' po', LPAD({text('c.c_custkey')}, 8, '0'), ' ') AS identifier FROM {{customer}} c
+    UNION ALL
+    SELECT CASE WHEN o.o_orderpriority = '1-URGENT' THEN {order_number('o.o_orderkey')}
+                WHEN o.o_orderpriority = '2-HIGH' THEN '?' ELSE {text('o.o_orderkey')} END
+    FROM {{orders}} o"""
+
 MESSAGE_BODY = f"""CASE e.event_id % 16
            WHEN 0 THEN CONCAT('Where is order ', LOWER({order_number(TICKET_KEY)}), '?')
            WHEN 1 THEN 'hello!'
@@ -334,6 +346,17 @@ FEEDS["channel_messages"] = f"""
            {MESSAGE_BODY} AS body
     FROM {{events}} e"""
 
+FEEDS["transcripts"] = """
+    SELECT m.event_id,
+           CONCAT('## Tool output\nintro line\n### Message (ts: ', m.message_ts, ')\nuser: @', m.author,
+                  CASE WHEN m.subtype IS NULL THEN '' ELSE CONCAT('\nsubtype: ', m.subtype) END,
+                  '\nreply_count: ', CAST(m.reply_count AS VARCHAR(10)),
+                  '\nthread_ts: 1\nreactions: one\n  first line of ', CAST(m.event_id AS VARCHAR(20)),
+                  '  \n\nsecond line\n### Reply (ts: ', m.message_ts, '1)\nuser: @BOT\nok ',
+                  CAST(m.event_id AS VARCHAR(20)),
+                  '\nShowing only recent messages\nnot part\n### Late (ts: 9.9)\nlost') AS dump
+    FROM {channel_messages} m"""
+
 FEEDS["thread_messages"] = f"""
     SELECT c.conv_id AS thread_id, c.turn,
            CASE WHEN c.role = 'assistant' THEN 'BOT' ELSE CONCAT('U', {text('c.conv_id % 20')}) END

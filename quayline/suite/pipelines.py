@@ -33,6 +33,12 @@ DELIVERY_SQL = """
            MAX(days_to_delivery) AS days_to_delivery
     FROM delivery_lines GROUP BY order_number"""
 
+
+def delivery_sql(source: str) -> str:
+    """The roll-up over another source of lines."""
+    return DELIVERY_SQL.replace("FROM delivery_lines", f"FROM {source}")
+
+
 SHIPMENTS_SQL = """
     SELECT order_token, order_number AS internal_order_number,
            MAX(order_type_code) AS order_type, MAX(order_type_name) AS order_type_name,

@@ -57,6 +57,6 @@ def differences(spark_df, con, sql: str) -> str | None:
         return f"columns {sorted(spark_df.columns)} / {sorted(names)}"
     if ours == theirs:
         return None
-    only_ours = [r for r in ours if r not in set(theirs)][:2]
-    only_theirs = [r for r in theirs if r not in set(ours)][:2]
+    only_ours = sorted(set(ours) - set(theirs))[:2]
+    only_theirs = sorted(set(theirs) - set(ours))[:2]
     return f"rows {len(ours)} / {len(theirs)}; spark only {only_ours}; check only {only_theirs}"
