@@ -150,4 +150,5 @@ def business_days(start: Column, end: Column) -> Column:
         week = F.floor(offset / F.lit(7))
         return week * 5 + F.least(F.pmod(offset, F.lit(7)) + 1, F.lit(5))
 
-    return F.greatest(weekdays_through(end) - weekdays_through(start), F.lit(0)).cast("int")
+    days = weekdays_through(end) - weekdays_through(start)
+    return F.when(days < 0, F.lit(0)).otherwise(days).cast("int")
