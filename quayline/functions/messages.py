@@ -93,12 +93,16 @@ def smalltalk_class(text: Column) -> Column:
     )
 
 
-def message_intent(text: Column) -> Column:
-    """order, smalltalk, data_question or ignore; an order number always wins."""
+def message_intent(text: Column, asked: Column | None = None) -> Column:
+    """order, smalltalk, data_question or ignore; an order number always wins.
+
+    `asked` tells whether the message is a question, by default judged from the same text.
+    """
+    asked = is_question(text) if asked is None else asked
     return (
         F.when(order_number(text).isNotNull(), F.lit("order"))
         .when(smalltalk_class(text).isNotNull(), F.lit("smalltalk"))
-        .when(is_question(text), F.lit("data_question"))
+        .when(asked, F.lit("data_question"))
         .otherwise(F.lit("ignore"))
     )
 

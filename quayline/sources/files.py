@@ -61,7 +61,11 @@ def read_result_json(spark: SparkSession, path: str) -> DataFrame:
 
     Rows with differing keys get the union of the keys.
     """
-    document = spark.read.option("multiLine", True).json(path)
+    return rows_of(spark.read.option("multiLine", True).json(path))
+
+
+def rows_of(document: DataFrame) -> DataFrame:
+    """The rows that result documents hold; a document that is a row already stays one."""
     for field in ("data", "rows"):
         if field in document.columns:
             return document.select(F.inline(field))

@@ -183,9 +183,11 @@ def answers(
     messages: DataFrame, orders: DataFrame, shipments: DataFrame, lines: DataFrame
 ) -> DataFrame:
     """One answer row per message: the intent, and for orders the card or that none is known."""
-    read = messages.withColumn("clean_body", M.clean_markup(F.col("body")))
-    read = read.withColumn("intent", M.message_intent(F.col("clean_body"))).withColumn(
-        "requested", M.order_number(F.col("clean_body"))
+    clean, asked = F.col("clean_body"), M.is_question(F.col("body"))
+    read = (
+        messages.withColumn("clean_body", M.clean_markup(F.col("body")))
+        .withColumn("intent", M.message_intent(clean, asked))
+        .withColumn("requested", M.order_number(clean))
     )
     requests = read.filter(F.col("requested").isNotNull()).select(
         F.col("requested").alias("order_number")

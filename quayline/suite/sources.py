@@ -1 +1,265 @@
-"""To come."""
+"""Readers, writers and table maintenance, each as a round trip over the given tables."""
+
+from datetime import datetime
+
+from pyspark.sql import DataFrame, functions as F
+
+from quayline import config
+from quayline.plans import pipelines as P
+from quayline.session import scratch_path
+from quayline.sources import files, tables
+from quayline.sources.derived import BASE_TABLES
+from quayline.suite import pipelines as C
+from quayline.suite.registry import AS_OF, case
+
+RECEIPT_TEXT_SQL = """
+    SELECT CAST(adjustment_date AS VARCHAR) AS adjustment_date, facility_id, CAST(item_code AS VARCHAR) AS item_code,
+           item_description, COALESCE(product_name, '') AS product_name, client_code,
+           CAST(adjustment_id AS VARCHAR) AS adjustment_id, avl_quantity, unavl_quantity, return_quantity,
+           CAST(std_cost AS DOUBLE) AS std_cost, CAST(extended_cost AS DOUBLE) AS extended_cost,
+           file_name, process_flag
+    FROM goods_receipts"""
+
+
+def plain(receipts: DataFrame) -> DataFrame:
+    return C.costs_as_double(receipts.select(*config.RECEIPT_COLUMNS))
+
+
+def receipt_rows(t) -> DataFrame:
+    return t.goods_receipts.select(*config.RECEIPT_COLUMNS)
+
+
+@case("read_receipts_csv", RECEIPT_TEXT_SQL)
+def read_receipts_csv(t):
+    """Upper-case headers, the misspelt facility header, quantities as `12.0` and blanks for zero."""
+    path = scratch_path(t.spark, "receipts-csv")
+    out = receipt_rows(t).withColumns({
+        c: F.when(F.col(c) == 0, F.lit("")).otherwise(F.col(c).cast("double").cast("string"))
+        for c in config.RECEIPT_INTEGERS
+    })
+    headers = {c: c.upper() for c in out.columns} | {"facility_id": "FACILILTY_ID"}
+    files.write_csv(out.withColumnsRenamed(headers), path)
+    return plain(files.read_receipts_csv(t.spark, path))
+
+
+@case("read_result_json", """
+    SELECT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS quantity, l_returnflag FROM lineitem""")
+def read_result_json(t):
+    """One result document per part, each `{"data": [...]}` with rows of its order lines."""
+    path = scratch_path(t.spark, "result-json")
+    row = F.struct(
+        "l_orderkey", "l_partkey", F.col("l_quantity").cast("bigint").alias("quantity"),
+        F.col("l_returnflag"),
+    )
+    t.lineitem.select(F.array(row).alias("data")).write.json(path)
+    # Every line of the files is a document of its own here, so they are read line by line.
+    documents = t.spark.read.schema(
+        "data array<struct<l_orderkey bigint, l_partkey bigint, quantity bigint, l_returnflag string>>"
+    ).json(path)
+    return files.rows_of(documents)
+
+
+@case("export_csv", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+def export_csv(t):
+    path = scratch_path(t.spark, "export")
+    files.write_csv(t.part, path)
+    return t.spark.read.csv(path, header=True, schema=t.part.schema)
+
+
+@case("warehouse_source", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01'")
+def warehouse_source(t):
+    table = files.warehouse_table(t.spark, path=f"{t.folder}/lineitem.parquet")
+    return table.filter(F.col("l_shipdate") >= F.lit(datetime(2000, 1, 1)).cast("timestamp_ntz")).select(
+        "l_orderkey", "l_quantity"
+    )
+
+
+@case("full_refresh", C.DELIVERY_SQL)
+def full_refresh(t):
+    path = scratch_path(t.spark, "delivery-orders")
+    tables.full_refresh(P.delivery_orders(t.delivery_lines), path, ["order_number"])
+    return t.spark.read.parquet(path).drop("synced_at")
+
+
+UPSERT_SQL = """
+    SELECT adjustment_date, facility_id, item_code, adjustment_id,
+           CASE WHEN adjustment_date >= DATE '2001-01-01' THEN avl_quantity + 2
+                WHEN adjustment_date >= DATE '2000-06-01' THEN avl_quantity + 1
+                ELSE avl_quantity END AS avl_quantity
+    FROM goods_receipts"""
+
+
+@case("upsert_receipts", UPSERT_SQL)
+def upsert_receipts(t):
+    """First load up to 2000; then changed rows from June 2000 and new rows, the newest twice.
+
+    Small data is kept in monthly partitions; large tables take `adjustment_date` itself.
+    """
+    target = scratch_path(t.spark, "receipts")
+    rows = t.goods_receipts.select(*config.RECEIPT_COLUMNS, "fetched_at").withColumn(
+        "receipt_month", F.trunc("adjustment_date", "month")
+    )
+    keys = ["receipt_month", *config.RECEIPT_KEY]
+    day = F.col("adjustment_date")
+    seq = lambda df, n: df.withColumn("sequence", F.lit(n))
+    changed = rows.filter(day >= "2000-06-01").withColumn("avl_quantity", F.col("avl_quantity") + 1)
+    again = changed.filter(day >= "2001-01-01").withColumn("avl_quantity", F.col("avl_quantity") + 1)
+    for batch in (seq(rows.filter(day < "2001-01-01"), 1), seq(changed, 1).unionByName(seq(again, 2))):
+        tables.upsert(t.spark, target, batch, keys, "receipt_month")
+    return t.spark.read.parquet(target).select(*config.RECEIPT_KEY, "avl_quantity")
+
+
+@case("constraint_gate", """
+    WITH parents AS (SELECT DISTINCT source_id FROM run_log WHERE status = 'success' AND source_id <> 'source4'),
+    ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source_id, started_at ORDER BY run_id) AS rn FROM run_log)
+    SELECT r.run_id, LIST_AGGREGATE(LIST_FILTER([
+               CASE WHEN r.rows_fetched = 7 THEN 'rows_fetched_not_null' END,
+               CASE WHEN r.status = 'skipped' THEN 'status_check' END,
+               CASE WHEN r.rn > 1 THEN 'unique' END,
+               CASE WHEN r.source_id = 'source4' THEN 'foreign_key' END], lambda x: x IS NOT NULL),
+               'string_agg', ',') AS violations
+    FROM ranked r""")
+def constraint_gate(t):
+    runs = t.run_log.withColumn("rows_fetched", F.nullif("rows_fetched", F.lit(7)))
+    rules = tables.not_null("rows_fetched") | tables.one_of("status", ["success", "error"])
+    parents = runs.filter("source_id <> 'source4'").select("source_id").distinct()
+    gated = tables.constraint_gate(
+        runs, rules, unique=(["source_id", "started_at"], "run_id"),
+        foreign=("source_id", parents, "source_id"),
+    )
+    joined = F.nullif(F.array_join("violations", ","), F.lit(""))
+    return gated.select("run_id", joined.alias("violations"))
+
+
+@case("incremental_sync", """
+    SELECT e.user_id, ARG_MAX(e.event_type, e.event_id) AS event_type, MAX(e.event_id) AS event_id
+    FROM events e GROUP BY e.user_id""")
+def incremental_sync(t):
+    """Two runs over a source that grows between them; the second reads past the stored mark."""
+    target, state = scratch_path(t.spark, "synced"), scratch_path(t.spark, "state")
+    source = t.events.select("user_id", "event_type", "event_id")
+    middle = t.events.agg((F.max("event_id") / 2).cast("bigint").alias("m")).scalar()
+    for arrived in (source.filter(F.col("event_id") <= middle), source):
+        tables.sync_incremental(
+            t.spark, "events", arrived, target, state, "event_id", keys=["user_id"], buckets=8
+        )
+    return t.spark.read.parquet(target).select("user_id", "event_type", "event_id")
+
+
+DESCRIBE_SQL = " UNION ALL ".join(
+    f"""SELECT '{table}' AS table_name, column_name AS field_name,
+        CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+             WHEN 'FLOAT[]' THEN 'array<float>' ELSE LOWER(column_type) END AS data_type
+        FROM (DESCRIBE SELECT * FROM {table})"""
+    for table in BASE_TABLES
+)
+
+
+@case("discover_schema", DESCRIBE_SQL)
+def discover_schema(t):
+    found = files.discover_schema({name: getattr(t, name) for name in BASE_TABLES})
+    return found.select("table_name", "field_name", "data_type")
+
+
+@case("schema_drift", """
+    WITH lines AS (
+        SELECT doc_id, UNNEST(STRING_SPLIT(text, chr(10))) AS line, 0 AS now, 1 AS was FROM documents
+        UNION ALL
+        SELECT doc_id, UNNEST(STRING_SPLIT(REPLACE(text, 'the', 'THE'), chr(10))), 1, 0 FROM documents),
+    counted AS (SELECT doc_id, line, SUM(now) AS now, SUM(was) AS was FROM lines GROUP BY doc_id, line)
+    SELECT doc_id, CAST(SUM(CASE WHEN was = 0 THEN now ELSE 0 END) AS BIGINT) AS added,
+           CAST(SUM(CASE WHEN now = 0 THEN was ELSE 0 END) AS BIGINT) AS removed
+    FROM counted GROUP BY doc_id""")
+def schema_drift(t):
+    versions = t.documents.withColumn("revised", F.replace("text", F.lit("the"), F.lit("THE")))
+    return files.line_drift(versions, "doc_id", "text", "revised")
+
+
+@case("run_log_append", """
+    SELECT run_id, source_id, status, rows_fetched, CAST(90 + ((run_id % 1000 + 5) // 10) / 100.0 AS DOUBLE) AS duration_secs
+    FROM run_log""")
+def run_log_append(t):
+    path = scratch_path(t.spark, "run-log")
+    millis = (F.col("run_id") % 1000) * F.expr("INTERVAL '0.001' SECOND")
+    runs = t.run_log.withColumn("finished_at", F.col("finished_at") + millis)
+    for half in (runs.filter("status = 'success'"), runs.filter("status <> 'success'")):
+        tables.append_runs(t.spark, path, half)
+    log = t.spark.read.parquet(path)
+    return log.select("run_id", "source_id", "status", "rows_fetched", "duration_secs")
+
+
+@case("run_history", """
+    SELECT source_id, run_id, status FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) AS rn
+        FROM run_log) WHERE rn <= 20""")
+def run_history(t):
+    return tables.run_history(t.run_log).select("source_id", "run_id", "status")
+
+
+@case("connection_status", """
+    SELECT n.n_name AS name, r.last_sync, COALESCE(r.last_status, 'never_run') AS last_status
+    FROM (SELECT n_name FROM nation UNION ALL SELECT DISTINCT source_id FROM run_log) n
+    LEFT JOIN (SELECT source_id, MAX(finished_at) AS last_sync,
+                      ARG_MAX(status, run_id) AS last_status FROM run_log GROUP BY source_id) r
+      ON r.source_id = n.n_name""")
+def connection_status(t):
+    connections = t.nation.select(F.col("n_name").alias("name")).unionByName(
+        t.run_log.select(F.col("source_id").alias("name")).distinct()
+    )
+    return tables.connection_status(connections, t.run_log)
+
+
+@case("source_registry", """
+    WITH wins AS (SELECT source_id, MAX(finished_at) AS ran, ARG_MAX(rows_fetched, run_id) AS rows_fetched
+                  FROM run_log WHERE status = 'success' GROUP BY source_id)
+    SELECT s.source_id, CASE WHEN w.ran IS NULL THEN 'paused' ELSE 'active' END AS status,
+           w.ran AS last_run_at, COALESCE(w.rows_fetched, 0) AS last_row_count
+    FROM (SELECT n_name AS source_id FROM nation UNION SELECT source_id FROM run_log) s
+    LEFT JOIN wins w ON w.source_id = s.source_id""")
+def source_registry(t):
+    entry = lambda df, name: df.select(
+        F.col(name).alias("source_id"), F.lit("paused").alias("status"),
+        F.lit(None).cast("timestamp_ntz").alias("last_run_at"), F.lit(0).cast("bigint").alias("last_row_count"),
+    ).distinct()
+    registry = tables.register_sources(entry(t.nation, "n_name"), entry(t.run_log, "source_id"))
+    return tables.registry_after_runs(registry, t.run_log)
+
+
+@case("refresh_summary", f"""
+    SELECT 'products' AS name, 'success' AS status, (SELECT COUNT(*) FROM ({C.PRODUCTS_SQL})) AS rows
+    UNION ALL SELECT 'broken', 'error', 0
+    UNION ALL SELECT 'after_broken', 'skipped', 0
+    UNION ALL SELECT 'receipts', 'success', (SELECT COUNT(*) FROM ({C.RECEIPTS_SQL}))""")
+def refresh_summary(t):
+    folder = scratch_path(t.spark, "refresh")
+    jobs = [
+        tables.Job("products", lambda: P.products_current(t.product_revisions, t.packaging_versions),
+                   f"{folder}/products", ["item_number"]),
+        tables.Job("broken", lambda: t.events.select("no_such_column"), f"{folder}/broken"),
+        tables.Job("after_broken", lambda: t.events, f"{folder}/after", needs=["broken"]),
+        tables.Job("receipts", lambda: P.goods_receipts(t.receipts_source, C.TENANTS, C.FACILITIES),
+                   f"{folder}/receipts", ["adjustment_date", "facility_id", "item_code"]),
+    ]
+    return tables.run_jobs(t.spark, jobs).select("name", "status", "rows")
+
+
+REPORT_SQL = """
+    SELECT adjustment_date, facility_id, item_code, item_description, product_name,
+           avl_quantity, unavl_quantity {net} FROM goods_receipts
+    WHERE adjustment_date BETWEEN DATE '2000-05-31' AND DATE '2000-06-30'"""
+
+
+@case("receipt_report_30d", REPORT_SQL.format(net=""))
+def receipt_report_30d(t):
+    return files.receipt_report(t.goods_receipts, AS_OF)
+
+
+@case("receipt_net_tab", REPORT_SQL.format(net=", avl_quantity + unavl_quantity AS net_quantity"))
+def receipt_net_tab(t):
+    return files.receipt_net_tab(t.goods_receipts, AS_OF)
+
+
+@case("report_stamp", """
+    SELECT strftime(MAX(ts) - INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS last_updated FROM events""")
+def report_stamp(t):
+    return files.report_stamp(t.events, "ts")

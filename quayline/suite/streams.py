@@ -1 +1,158 @@
-"""To come."""
+"""Message streams, run to the end over files that Spark writes from the given tables."""
+
+from pyspark.sql import DataFrame, functions as F
+
+from quayline.session import scratch_path
+from quayline.streaming import messages as B
+from quayline.suite.registry import case
+from quayline.suite.relational import LATER_REPLY_SQL, curated
+from quayline.suite.texts import CLEAN_SQL, question_sql, smalltalk_sql
+from quayline.suite.questions import BEST_SQL
+from quayline.suite.triage import CARD_SQL, SHORT_CARD_SQL
+
+NOW_SQL = "TIMESTAMP '2024-01-30 12:00:00'"
+NOW = F.lit("2024-01-30 12:00:00").cast("timestamp")
+
+
+def arriving(t, messages: DataFrame, files_per_batch: int | None = None) -> DataFrame:
+    """The messages as a stream of files in the shared folder."""
+    path = scratch_path(t.spark, "arriving")
+    messages.write.parquet(path)
+    return B.message_stream(t.spark, path, messages.schema, files_per_batch)
+
+
+def channel_messages(t) -> DataFrame:
+    return t.channel_messages.withColumn("event_time", F.col("ts").cast("timestamp"))
+
+
+def through(t, stream: DataFrame, writer=None, result: str = "") -> DataFrame:
+    """The stream's whole output as a batch: a parquet sink, or what a batch function left."""
+    base = scratch_path(t.spark, "output")
+    B.run_to_end(stream, scratch_path(t.spark, "progress"), writer(base) if writer else base)
+    return t.spark.read.parquet(base + result)
+
+
+@case("stream_messages", "SELECT channel, message_ts, event_id, author, body FROM channel_messages")
+def stream_messages(t):
+    stream = arriving(t, channel_messages(t), files_per_batch=1)
+    return through(t, stream).select("channel", "message_ts", "event_id", "author", "body")
+
+
+@case("stream_late_cutoff", f"""
+    SELECT event_id, message_ts FROM channel_messages WHERE ts >= {NOW_SQL} - INTERVAL 2 HOUR""")
+def stream_late_cutoff(t):
+    stream = B.within_age(arriving(t, channel_messages(t)), NOW)
+    return through(t, stream).select("event_id", "message_ts")
+
+
+@case("stream_dedup", "SELECT channel, message_ts, event_id FROM channel_messages")
+def stream_dedup(t):
+    """Every message arrives twice and leaves once."""
+    messages = channel_messages(t).select("channel", "message_ts", "event_id", "event_time")
+    stream = B.once_each(arriving(t, messages.unionByName(messages)))
+    return through(t, stream).select("channel", "message_ts", "event_id")
+
+
+@case("stream_type_filter", """
+    SELECT event_id, author, subtype FROM channel_messages WHERE subtype IS NULL AND author <> 'U7'""")
+def stream_type_filter(t):
+    stream = B.without_types(arriving(t, channel_messages(t)), bot="U7")
+    return through(t, stream).select("event_id", "author", "subtype")
+
+
+OVERRIDES_SQL = """
+    SELECT event_id, channel, channel = 'C2' AS escalation_cc, channel IN ('C2', 'C4') AS disclaimer
+    FROM channel_messages"""
+
+
+def overrides(t) -> DataFrame:
+    """Channel settings, derived from the channels that occur."""
+    channel = F.col("channel")
+    return (
+        t.channel_messages.select("channel").distinct()
+        .filter(channel.isin("C2", "C4"))
+        .withColumn("escalation_cc", F.when(channel == "C2", True))
+        .withColumn("disclaimer", F.lit(True))
+    )
+
+
+@case("stream_channel_config", OVERRIDES_SQL)
+def stream_channel_config(t):
+    stream = B.with_channel_config(arriving(t, channel_messages(t)), overrides(t))
+    return through(t, stream).select("event_id", "channel", "escalation_cc", "disclaimer")
+
+
+@case("stream_quota", f"""
+    SELECT event_id, channel, CASE WHEN ROW_NUMBER() OVER (PARTITION BY channel
+               ORDER BY CAST(message_ts AS DOUBLE)) <= 3 THEN 'answered' ELSE 'pending' END AS state
+    FROM channel_messages WHERE {question_sql('body')}""")
+def stream_quota(t):
+    stream = B.questions_only(arriving(t, channel_messages(t)))
+    return through(t, stream, B.quota_writer, "/state").select("event_id", "channel", "state")
+
+
+@case("stream_answered_anti", """
+    SELECT thread_id, turn FROM thread_messages m WHERE turn = 0
+      AND thread_id NOT IN (SELECT thread_id FROM thread_messages WHERE author = 'BOT')""")
+def stream_answered_anti(t):
+    parents = t.thread_messages.filter("turn = 0")
+    replies = t.thread_messages
+
+    def writer(base):
+        return lambda batch, batch_id: (
+            B.without_answer(batch, replies, "BOT").write.mode("overwrite").parquet(
+                B.batch_folder(base, batch_id))
+        )
+
+    return through(t, arriving(t, parents), writer).select("thread_id", "turn")
+
+
+@case("stream_unanswered_mentions", LATER_REPLY_SQL)
+def stream_unanswered_mentions(t):
+    stream = arriving(t, t.thread_messages)
+    found = through(t, stream, lambda base: B.mention_writer(base, "BOT"), "/mentions")
+    return found.select("thread_id", "turn", "author")
+
+
+@case("stream_thread_context", f"""
+    WITH open AS ({LATER_REPLY_SQL})
+    SELECT o.thread_id, o.turn, TRIM(REPLACE(m.body, '<@BOT>', ''), ' \n') AS clean_body,
+           CONCAT_WS(chr(10) || chr(10), NULLIF(p.body, ''), TRIM(REPLACE(m.body, '<@BOT>', ''), ' \n')) AS context
+    FROM open o JOIN thread_messages m ON m.thread_id = o.thread_id AND m.turn = o.turn
+    LEFT JOIN thread_messages p ON p.thread_id = o.thread_id AND p.turn = 0""")
+def stream_thread_context(t):
+    stream = arriving(t, t.thread_messages)
+    found = through(t, stream, lambda base: B.mention_writer(base, "BOT"), "/mentions")
+    return found.select("thread_id", "turn", "clean_body", "context")
+
+
+def answer_sql() -> str:
+    known = BEST_SQL.replace("order_requests", "(SELECT {order} AS order_number FROM channel_messages)")
+    order = "NULLIF(UPPER(REGEXP_EXTRACT(body, '(US|CA|GB)-\\d{6,}(-WR)?', 0, 'i')), '')"
+    return known.replace("{order}", order) + f"""
+    SELECT m.event_id, m.intent, m.requested, CASE WHEN m.intent = 'order' THEN COALESCE(b.card, 'not found') END AS answer
+    FROM (SELECT event_id, {order} AS requested,
+                 CASE WHEN {order} IS NOT NULL THEN 'order' WHEN {smalltalk_sql(CLEAN_SQL)} IS NOT NULL
+                      THEN 'smalltalk' ELSE 'data_question' END AS intent
+          FROM channel_messages WHERE {question_sql('body')}) m
+    LEFT JOIN (SELECT requested, CASE WHEN found_in = 'shipment' THEN {SHORT_CARD_SQL} ELSE {CARD_SQL} END AS card
+               FROM best WHERE rn = 1) b ON b.requested = m.requested"""
+
+
+@case("stream_triage", answer_sql())
+def stream_triage(t):
+    orders, shipments = curated(t)
+    sources = lambda spark: (orders, shipments, t.delivery_lines)
+    stream = B.questions_only(arriving(t, channel_messages(t)))
+    found = through(t, stream, lambda base: B.triage_writer(base, sources))
+    return found.select("event_id", "intent", "requested", "answer")
+
+
+@case("stream_refresh_config", OVERRIDES_SQL)
+def stream_refresh_config(t):
+    path = scratch_path(t.spark, "settings")
+    overrides(t).write.parquet(path)
+    reread = lambda spark: spark.read.parquet(path)
+    stream = arriving(t, channel_messages(t))
+    found = through(t, stream, lambda base: B.config_writer(base, reread))
+    return found.select("event_id", "channel", "escalation_cc", "disclaimer")
