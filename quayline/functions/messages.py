@@ -57,21 +57,25 @@ def strip_mentions(text: Column) -> Column:
     return stripped(F.regexp_replace(text, r"<@[A-Z0-9]+>", ""))
 
 
+def opener_pattern() -> str:
+    """Text that begins with an opener; one that ends in a space needs more text after it."""
+    spaced = [w.rstrip() for w in config.QUESTION_OPENERS if w.endswith(" ")]
+    bare = [w for w in config.QUESTION_OPENERS if not w.endswith(" ")]
+    return rf"(?iU)^\s*(?:(?:{'|'.join(spaced)}) (?=\s*\S)|{'|'.join(bare)})"
+
+
 def is_question(text: Column) -> Column:
-    """Whether the message asks for an answer."""
-    low = stripped(F.lower(text))
-    asked = any_of(
-        [F.contains(low, F.lit("?"))]
-        + [low.startswith(opener) for opener in config.QUESTION_OPENERS]
-        + [text.rlike(f"(?iU){config.ORDER_PREFIX_PATTERN}")]
-        + [text.rlike(UNICODE + config.LONG_NUMBER_PATTERN)]
-        + [
-            text.rlike(UNICODE + config.LONG_TOKEN_PATTERN)
-            & any_of([low.contains(word) for word in config.ORDER_WORDS])
-        ]
-        + [low.contains(phrase) for phrase in config.TICKET_PHRASES]
-    )
-    return F.coalesce((low != "") & asked, F.lit(False))
+    """Whether the message asks for an answer. Each word list is one pattern over the text."""
+    asked = any_of([
+        F.contains(text, F.lit("?")),
+        text.rlike(opener_pattern()),
+        text.rlike(f"(?iU){config.ORDER_PREFIX_PATTERN}"),
+        text.rlike(UNICODE + config.LONG_NUMBER_PATTERN),
+        text.rlike(UNICODE + config.LONG_TOKEN_PATTERN)
+        & text.rlike(f"(?i){'|'.join(config.ORDER_WORDS)}"),
+        text.rlike(f"(?i){'|'.join(config.TICKET_PHRASES)}"),
+    ])
+    return F.coalesce(asked, F.lit(False))
 
 
 def has_phrase(low: Column, phrases: list[str]) -> Column:
@@ -164,13 +168,11 @@ TOPIC_ORDER = [
 
 def topic_route(text: Column) -> Column:
     """The table that answers a question, by its topic words; null when none is named."""
-    low = F.lower(text)
-    ladder = F
-    for table in TOPIC_ORDER:
-        ladder = ladder.when(
-            any_of([low.contains(word) for word in TOPIC_WORDS[table]]), F.lit(table)
-        )
-    return ladder
+    named = [
+        F.when(text.rlike(f"(?i){'|'.join(TOPIC_WORDS[table])}"), F.lit(table))
+        for table in TOPIC_ORDER
+    ]
+    return F.coalesce(*named)
 
 
 def transcript_messages(dump: Column) -> Column:
@@ -183,17 +185,24 @@ def transcript_messages(dump: Column) -> Column:
                 "thread_ts:"]
     fenced = "|".join(rf"\Q{prefix}\E" for prefix in prefixes)
     markers = "|".join(rf"\Q{marker}\E" for marker in config.TRANSCRIPT_STOP_MARKERS)
-    blocks = F.split(F.concat(F.lit("\n"), dump), rf"\n{header}")
-    blocks = F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0)))
+    split = F.split(F.concat(F.lit("\n"), dump), rf"\n{header}")
+    blocks = F.filter(split, lambda _, position: position > 0)
     stop_line = rf"\n(?!{fenced})[^\n]*(?:{markers})"
-    stopped = F.array_position(F.transform(blocks, lambda b: b.rlike(stop_line)), F.lit(True))
-    kept = F.when(stopped > 0, F.slice(blocks, F.lit(1), stopped.cast("int"))).otherwise(blocks)
+
+    def kept(blocks: Column) -> Column:
+        stopped = F.array_position(F.transform(blocks, lambda b: b.rlike(stop_line)), F.lit(True))
+        return F.filter(
+            blocks, lambda _, position: (stopped == 0) | (position < stopped)
+        )
 
     def last_value(block: Column, pattern: str) -> Column:
         return F.try_element_at(F.regexp_extract_all(block, F.lit(pattern), F.lit(1)), F.lit(-1))
 
-    def message(block: Column) -> Column:
-        whole = F.regexp_replace(block, rf"(?s){stop_line}.*$", "")
+    def before_stop(block: Column) -> Column:
+        return F.when(block.rlike(stop_line), F.regexp_replace(block, rf"(?s){stop_line}.*$", "")
+                      ).otherwise(block)
+
+    def message(whole: Column) -> Column:
         lines = F.split(whole, "\n")
         lines = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
         spoken = F.filter(
@@ -201,7 +210,7 @@ def transcript_messages(dump: Column) -> Column:
         )
         body = F.array_join(F.transform(spoken, stripped), " ")
         return F.struct(
-            F.regexp_extract(block, r"\(ts: ([\d.]+)\)", 1).alias("ts"),
+            F.regexp_extract(whole, r"\(ts: ([\d.]+)\)", 1).alias("ts"),
             F.coalesce(last_value(whole, r"(?m)^user: @(\w+)"), F.lit("")).alias("author"),
             F.trim(last_value(whole, r"(?m)^subtype:(.*)$")).alias("subtype"),
             F.coalesce(
@@ -210,4 +219,8 @@ def transcript_messages(dump: Column) -> Column:
             body.alias("body"),
         )
 
-    return F.transform(kept, message)
+    # Wrapping the blocks in an array binds them to a name, so that the dump is split only once.
+    once = F.transform(
+        F.array(blocks), lambda found: F.transform(F.transform(kept(found), before_stop), message)
+    )
+    return F.flatten(once)

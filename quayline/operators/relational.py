@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quayline.functions import scalars as S
 
 BROADCAST_ROWS = 200_000
+HEAVY_ROWS = 1_000_000
+HEAVY_KEYS = 10_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -17,6 +19,25 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def split_heavy(
+    df: DataFrame, key: str, rows: int = HEAVY_ROWS, keys: int = HEAVY_KEYS
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of usual keys, and those of keys with more than `rows` rows (None if there are none).
+
+    One scan of the key column finds them, counting before the shuffle. Of more than `keys` heavy
+    keys only the heaviest are split off; the rest stay with the usual ones.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows)
+    found = [r[0] for r in counts.orderBy(F.desc("_rows")).limit(keys).collect()]
+    values = [v for v in found if v is not None]
+    if not found:
+        return df, None
+    heavy = F.coalesce(F.col(key).isin(values), F.lit(False))
+    if None in found:
+        heavy = heavy | F.col(key).isNull()
+    return df.filter(~heavy), df.filter(heavy)
+
+
 def newest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key. Spark keeps one row per key before it shuffles."""
     window = Window.partitionBy(*keys).orderBy(*order)

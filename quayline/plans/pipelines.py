@@ -121,65 +121,94 @@ DELIVERY_ATTRIBUTES = [
 ]
 
 
-@pipeline("delivery_orders")
-def delivery_orders(lines: DataFrame) -> DataFrame:
-    """One row per order from its delivery lines.
+def folded(
+    lines: DataFrame, keys: list[str], sets: dict[str, str], line: dict[str, Column],
+    parcel: dict[str, Column], heavy_rows: int,
+) -> DataFrame:
+    """Fold lines to their keys: sets of values (`sets`), the parcels, and further aggregates.
 
-    Lines fold to parcels (order and tracking number) first and parcels to orders second. The
-    parcel step spreads the lines of a very large order over many tasks, and it leaves every
-    tracking number once per order, so that counting and listing need no row-expanding distinct.
+    An order has few lines, so combining before the shuffle would save nothing: lines go to their
+    order once. Orders with very many lines take two steps instead, to parcels (one per tracking
+    number) and then to the order. That spreads their lines over many tasks and leaves every
+    tracking number once. `line` aggregates lines; `parcel` aggregates the results of `line`.
     """
-    delivered = F.coalesce(F.col("is_delivered"), F.lit(False))
-    parcels = lines.groupBy("order_number", "tracking_number").agg(
-        *[F.max(c).alias(c) for c in DELIVERY_ATTRIBUTES],
-        F.sort_array(F.collect_set("facility")).alias("facilities"),
-        F.sort_array(F.collect_set("carrier_code")).alias("carriers"),
-        F.sort_array(F.collect_set("item_name")).alias("items"),
-        F.min("ordered_date").alias("ordered_date"),
-        F.min("sent_to_warehouse_date").alias("first_sent"),
-        F.min("shipped_date").alias("first_shipped"),
-        F.max("shipped_date").alias("last_shipped"),
-        F.min("delivery_date").alias("first_delivered"),
-        F.max("delivery_date").alias("last_delivered"),
-        F.sum("quantity").alias("quantity"),
-        F.bool_and(delivered).alias("all_delivered"),
-        F.bool_or(delivered).alias("any_delivered"),
+    usual, heavy = R.split_heavy(lines, keys[0], heavy_rows)
+    orders = usual.repartition(*[F.col(k) for k in keys]).groupBy(*keys).agg(
+        *[value.alias(name) for name, value in line.items()],
+        *[F.collect_set(source).alias(name) for name, source in sets.items()],
+        F.collect_set("tracking_number").alias("tracking"),
+    )
+    if heavy is None:
+        return orders
+    parcels = heavy.groupBy(*keys, "tracking_number").agg(
+        *[value.alias(name) for name, value in line.items()],
+        *[F.sort_array(F.collect_set(source)).alias(name) for name, source in sets.items()],
     )
-    orders = parcels.groupBy("order_number").agg(
-        *[F.max(c).alias(c) for c in DELIVERY_ATTRIBUTES],
-        R.merged_set("facilities").alias("facilities"),
-        R.merged_set("carriers").alias("carriers"),
-        R.merged_set("items").alias("items"),
-        F.min("ordered_date").alias("ordered_date"),
-        F.min("first_sent").alias("first_sent"),
-        F.min("first_shipped").alias("first_shipped"),
-        F.max("last_shipped").alias("last_shipped"),
-        F.min("first_delivered").alias("first_delivered"),
-        F.max("last_delivered").alias("last_delivered"),
-        F.sum("quantity").alias("total_items"),
-        F.collect_list("tracking_number").alias("tracking"),
-        F.bool_and("all_delivered").alias("all_delivered"),
-        F.bool_or("any_delivered").alias("any_delivered"),
+    return orders.unionByName(
+        parcels.groupBy(*keys).agg(
+            *[value.alias(name) for name, value in parcel.items()],
+            *[R.merged_set(name).alias(name) for name in sets],
+            F.collect_list("tracking_number").alias("tracking"),
+        )
+    )
+
+
+def counted(values: str) -> Column:
+    return F.size(values).cast("bigint")
+
+
+@pipeline("delivery_orders")
+def delivery_orders(lines: DataFrame, heavy_rows: int = R.HEAVY_ROWS) -> DataFrame:
+    """One row per order from its delivery lines."""
+    delivered = F.coalesce(F.col("is_delivered"), F.lit(False))
+    attributes = {c: F.max(c) for c in DELIVERY_ATTRIBUTES}
+    orders = folded(
+        lines,
+        ["order_number"],
+        {"facilities": "facility", "carriers": "carrier_code", "items": "item_name"},
+        attributes | {
+            "ordered": F.min("ordered_date"),
+            "sent": F.min("sent_to_warehouse_date"),
+            "first_shipped": F.min("shipped_date"),
+            "last_shipped": F.max("shipped_date"),
+            "first_delivered": F.min("delivery_date"),
+            "last_delivered": F.max("delivery_date"),
+            "total_items": F.sum("quantity"),
+            "all_delivered": F.bool_and(delivered),
+            "any_delivered": F.bool_or(delivered),
+        },
+        attributes | {
+            "ordered": F.min("ordered"),
+            "sent": F.min("sent"),
+            "first_shipped": F.min("first_shipped"),
+            "last_shipped": F.max("last_shipped"),
+            "first_delivered": F.min("first_delivered"),
+            "last_delivered": F.max("last_delivered"),
+            "total_items": F.sum("total_items"),
+            "all_delivered": F.bool_and("all_delivered"),
+            "any_delivered": F.bool_or("any_delivered"),
+        },
+        heavy_rows,
     )
     status = order_status(
         F.col("cancelled_flag"), F.col("all_delivered"), F.col("any_delivered"),
-        F.col("last_shipped"), F.col("first_sent"),
+        F.col("last_shipped"), F.col("sent"),
     )
     return orders.select(
         "order_number", "source_order_number", "customer_name", "country", "state", "city",
         R.text_list(F.col("facilities")).alias("facilities"),
         R.text_list(F.col("carriers")).alias("carriers"),
         "shipping_method", "order_type", "is_split_order",
-        F.col("ordered_date").cast("date"),
-        F.col("first_sent").cast("date").alias("sent_to_wh_date"),
+        F.col("ordered").cast("date").alias("ordered_date"),
+        F.col("sent").cast("date").alias("sent_to_wh_date"),
         F.col("first_shipped").cast("date").alias("first_ship_date"),
         F.col("last_shipped").cast("date").alias("last_ship_date"),
         F.col("first_delivered").cast("date").alias("first_delivery_date"),
         F.col("last_delivered").cast("date").alias("last_delivery_date"),
         "estimated_delivery_date",
-        F.size("items").cast("bigint").alias("unique_skus"),
+        counted("items").alias("unique_skus"),
         "total_items",
-        F.size("tracking").cast("bigint").alias("shipment_count"),
+        counted("tracking").alias("shipment_count"),
         R.text_list(F.col("tracking")).alias("tracking_numbers"),
         "delivery_status",
         status.alias("order_status"),
@@ -194,36 +223,34 @@ SHIPMENT_ATTRIBUTES = [
 
 
 @pipeline("shipments")
-def shipments(lines: DataFrame, as_of: date, years: int = 2) -> DataFrame:
-    """One row per order token and internal order number over the last years, by way of parcels."""
+def shipments(
+    lines: DataFrame, as_of: date, years: int = 2, heavy_rows: int = R.HEAVY_ROWS
+) -> DataFrame:
+    """One row per order token and internal order number over the last years."""
     recent = lines.filter(
         F.col("shipping_date") >= S.shift_date(S.as_date(as_of), years=-years)
     )
-    keys = ["order_token", "order_number"]
-    parcels = recent.groupBy(*keys, "tracking_number").agg(
-        *[F.max(c).alias(c) for c in SHIPMENT_ATTRIBUTES],
-        F.sort_array(F.collect_set("facility_id")).alias("facilities"),
-        F.sort_array(F.collect_set("carrier_code")).alias("carriers"),
-        F.sort_array(F.collect_set("item_code")).alias("items"),
-        F.sort_array(F.collect_set("serial_number")).alias("serials"),
-        F.min("shipping_date").alias("first_ship_date"),
-        F.max("shipping_date").alias("last_ship_date"),
-        F.sum("quantity").alias("quantity"),
-        F.sum("number_packages").alias("packages"),
-        F.sum("std_cost").alias("cost"),
-    )
-    orders = parcels.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in SHIPMENT_ATTRIBUTES],
-        R.merged_set("facilities").alias("facilities"),
-        R.merged_set("carriers").alias("carriers"),
-        R.merged_set("items").alias("items"),
-        R.merged_set("serials").alias("serials"),
-        F.min("first_ship_date").alias("first_ship_date"),
-        F.max("last_ship_date").alias("last_ship_date"),
-        F.sum("quantity").alias("total_items"),
-        F.sum("packages").alias("total_packages"),
-        F.sum("cost").alias("cost"),
-        F.collect_list("tracking_number").alias("tracking"),
+    attributes = {c: F.max(c) for c in SHIPMENT_ATTRIBUTES}
+    orders = folded(
+        recent,
+        ["order_token", "order_number"],
+        {"facilities": "facility_id", "carriers": "carrier_code", "items": "item_code",
+         "serials": "serial_number"},
+        attributes | {
+            "first_ship_date": F.min("shipping_date"),
+            "last_ship_date": F.max("shipping_date"),
+            "total_items": F.sum("quantity"),
+            "total_packages": F.sum("number_packages"),
+            "cost": F.sum("std_cost"),
+        },
+        attributes | {
+            "first_ship_date": F.min("first_ship_date"),
+            "last_ship_date": F.max("last_ship_date"),
+            "total_items": F.sum("total_items"),
+            "total_packages": F.sum("total_packages"),
+            "cost": F.sum("cost").cast("decimal(28,2)"),
+        },
+        heavy_rows,
     )
     return orders.select(
         "order_token",
@@ -233,13 +260,13 @@ def shipments(lines: DataFrame, as_of: date, years: int = 2) -> DataFrame:
         R.text_list(F.col("facilities")).alias("facilities"),
         R.text_list(F.col("carriers")).alias("carriers"),
         "ship_method", "first_ship_date", "last_ship_date",
-        F.size("items").cast("bigint").alias("unique_skus"),
+        counted("items").alias("unique_skus"),
         "total_items",
-        F.size("tracking").cast("bigint").alias("shipment_count"),
+        counted("tracking").alias("shipment_count"),
         R.text_list(F.col("tracking")).alias("tracking_numbers"),
         "total_packages",
         F.col("cost").cast("double").alias("total_std_cost"),
-        F.size("serials").cast("bigint").alias("serial_count"),
+        counted("serials").alias("serial_count"),
         "client_code", "product_name", "process_flag", "is_expedited",
     )
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quayline import config
 from quayline.operators import relational as R
@@ -159,37 +159,25 @@ def merged_rows(existing: DataFrame, batch: DataFrame, keys: list[str], sequence
     Adds `_change`: inserted, updated, unchanged (same values came again) or kept.
     """
     values = [c for c in existing.columns if c not in keys and c != "fetched_at"]
+    typed = [F.col(v).cast(existing.schema[v].dataType).alias(v) for v in values]
     last = R.newest_per_key(batch, keys, [F.desc(sequence)])
-    old = existing.select(
-        *keys, F.struct(*values).alias("_old"), F.col("fetched_at").alias("_old_fetched")
-    )
-    new = last.select(*keys, F.struct(*[F.col(v).cast(existing.schema[v].dataType).alias(v) for v in values]).alias("_new"),
-                      F.col("fetched_at").alias("_new_fetched"))
-    # Every key appears at most once per side, so a grouped union is a null-safe full join.
-    both = (
-        old.select(*keys, "_old", "_old_fetched", F.lit(True).alias("_had"), F.lit(None).alias("_got"))
-        .unionByName(
-            new.select(*keys, "_new", "_new_fetched", F.lit(None).alias("_had"), F.lit(True).alias("_got")),
-            allowMissingColumns=True,
-        )
-        .groupBy(*keys)
-        .agg(*[F.any_value(c, True).alias(c)
-               for c in ("_old", "_old_fetched", "_new", "_new_fetched")],
-             F.count("_had").alias("_had"), F.count("_got").alias("_got"))
-    )
+    old = existing.select(*keys, *values, "fetched_at", F.lit(0).alias("_side"))
+    new = last.select(*keys, *typed, "fetched_at", F.lit(1).alias("_side"))
+    # At most two rows share a key here: the batch row comes first, the row it replaces second.
+    window = Window.partitionBy(*keys).orderBy(F.desc("_side"))
     change = (
-        F.when(F.col("_got") == 0, "kept")
-        .when(F.col("_had") == 0, "inserted")
-        .when(F.col("_old").eqNullSafe(F.col("_new")), "unchanged")
+        F.when(F.col("_side") == 0, "kept")
+        .when(F.col("_before").isNull(), "inserted")
+        .when(F.col("_before").eqNullSafe(F.struct(*values)), "unchanged")
         .otherwise("updated")
     )
-    took = F.col("_got") > 0
-    picked = F.when(took, F.col("_new")).otherwise(F.col("_old"))
-    return both.withColumn("_change", change).withColumn("_picked", picked).select(
-        *keys,
-        *[F.col("_picked").getField(v).alias(v) for v in values],
-        F.when(took, F.col("_new_fetched")).otherwise(F.col("_old_fetched")).alias("fetched_at"),
-        "_change",
+    return (
+        old.unionByName(new)
+        .withColumn("_rank", F.row_number().over(window))
+        .withColumn("_before", F.lead(F.struct(*values)).over(window))
+        .filter("_rank = 1")
+        .withColumn("_change", change)
+        .select(*keys, *values, "fetched_at", "_change")
     )
 
 

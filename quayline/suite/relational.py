@@ -186,9 +186,10 @@ ORDER_SHIPMENT_SQL = f"""
 def curated(t):
     """The curated tables as of the last refresh, which the source lines have outrun."""
     today = S.as_date(AS_OF)
-    orders = P.delivery_orders(t.delivery_lines.filter(F.col("line_date") <= today))
-    shipments = P.shipments(t.outbound_lines.filter(F.col("shipping_date") <= today), AS_OF)
-    return orders, shipments
+    orders, shipments = scratch_path(t.spark, "orders"), scratch_path(t.spark, "shipments")
+    P.delivery_orders(t.delivery_lines.filter(F.col("line_date") <= today)).write.parquet(orders)
+    P.shipments(t.outbound_lines.filter(F.col("shipping_date") <= today), AS_OF).write.parquet(shipments)
+    return t.spark.read.parquet(orders), t.spark.read.parquet(shipments)
 
 
 @case("join_order_shipment", ORDER_SHIPMENT_SQL)
