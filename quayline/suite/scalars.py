@@ -24,7 +24,7 @@ def fn_date_add(t):
 
 
 @case("fn_date_diff", """
-    SELECT order_number, item_code, tracking_number, DATE_DIFF('day', ordered_date, delivery_date) AS days
+    SELECT order_number, item_code, tracking_number, CAST(DATE_DIFF('day', ordered_date, delivery_date) AS INTEGER) AS days
     FROM delivery_lines""")
 def fn_date_diff(t):
     return t.delivery_lines.select(
@@ -171,8 +171,8 @@ def fn_age_months(t):
 
 @case("fn_business_days", """
     SELECT order_number, item_code, tracking_number,
-           LEN(LIST_FILTER(GENERATE_SERIES(ordered_date + 1, delivery_date, INTERVAL 1 DAY),
-                           lambda d: ISODOW(d) < 6)) AS days
+           CAST(LEN(LIST_FILTER(GENERATE_SERIES(ordered_date + 1, delivery_date, INTERVAL 1 DAY),
+                                lambda d: ISODOW(d) < 6)) AS INTEGER) AS days
     FROM delivery_lines""")
 def fn_business_days(t):
     return t.delivery_lines.select(

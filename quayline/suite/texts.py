@@ -21,7 +21,7 @@ def starts_any(column: str, words: list[str]) -> str:
 
 
 @case("parse_transcript", """
-    SELECT event_id, 0 AS position, message_ts AS ts, author, subtype, reply_count,
+    SELECT event_id, 0 AS position, message_ts AS ts, author, subtype, CAST(reply_count AS INTEGER) AS reply_count,
            'first line of ' || event_id || ' second line' AS body FROM channel_messages
     UNION ALL
     SELECT event_id, 1, message_ts || '1', 'BOT', NULL, 0, 'ok ' || event_id FROM channel_messages""")
