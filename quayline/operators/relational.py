@@ -164,7 +164,7 @@ def clustered_for_write(df: DataFrame, *order: Column | str) -> DataFrame:
 
 def text_list(values: Column) -> Column:
     """A set of texts as `a, b, c`; null when it is empty."""
-    return F.nullif(F.array_join(F.array_sort(values), ", "), F.lit(""))
+    return F.nullif(F.array_join(F.sort_array(values), ", "), F.lit(""))
 
 
 def merged_set(values: str) -> Column:

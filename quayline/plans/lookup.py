@@ -58,9 +58,8 @@ def lookup_fallback(
         .withColumn("source", F.lit("curated"))
     )
     open_candidates = candidates.join(hits, "requested", "left_anti")
-    their_lines = lines.join(open_candidates, "order_number", "left_semi")
     recovered = (
-        open_candidates.join(delivery_orders(their_lines), "order_number")
+        open_candidates.join(delivery_orders(lines, only=open_candidates), "order_number")
         .withColumn("found_in", F.lit("delivery"))
         .withColumn("source", F.lit("lines"))
     )

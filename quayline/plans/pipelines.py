@@ -123,7 +123,7 @@ DELIVERY_ATTRIBUTES = [
 
 def folded(
     lines: DataFrame, keys: list[str], sets: dict[str, str], line: dict[str, Column],
-    parcel: dict[str, Column], heavy_rows: int,
+    parcel: dict[str, Column], heavy_rows: int, only: DataFrame | None = None,
 ) -> DataFrame:
     """Fold lines to their keys: sets of values (`sets`), the parcels, and further aggregates.
 
@@ -131,8 +131,12 @@ def folded(
     order once. Orders with very many lines take two steps instead, to parcels (one per tracking
     number) and then to the order. That spreads their lines over many tasks and leaves every
     tracking number once. `line` aggregates lines; `parcel` aggregates the results of `line`.
+    `only` holds the keys to keep; heavy keys are found without it, by a plain scan.
     """
     usual, heavy = R.split_heavy(lines, keys[0], heavy_rows)
+    if only is not None:
+        usual = usual.join(only, keys[0], "left_semi")
+        heavy = None if heavy is None else heavy.join(only, keys[0], "left_semi")
     orders = usual.repartition(*[F.col(k) for k in keys]).groupBy(*keys).agg(
         *[value.alias(name) for name, value in line.items()],
         *[F.collect_set(source).alias(name) for name, source in sets.items()],
@@ -158,8 +162,10 @@ def counted(values: str) -> Column:
 
 
 @pipeline("delivery_orders")
-def delivery_orders(lines: DataFrame, heavy_rows: int = R.HEAVY_ROWS) -> DataFrame:
-    """One row per order from its delivery lines."""
+def delivery_orders(
+    lines: DataFrame, heavy_rows: int = R.HEAVY_ROWS, only: DataFrame | None = None
+) -> DataFrame:
+    """One row per order from its delivery lines; of the orders in `only` if it is given."""
     delivered = F.coalesce(F.col("is_delivered"), F.lit(False))
     attributes = {c: F.max(c) for c in DELIVERY_ATTRIBUTES}
     orders = folded(
@@ -189,6 +195,7 @@ def delivery_orders(lines: DataFrame, heavy_rows: int = R.HEAVY_ROWS) -> DataFra
             "any_delivered": F.bool_or("any_delivered"),
         },
         heavy_rows,
+        only,
     )
     status = order_status(
         F.col("cancelled_flag"), F.col("all_delivered"), F.col("any_delivered"),

@@ -27,6 +27,14 @@ def test_heavy_orders(feeds):
     same(P.delivery_orders(lines, heavy_rows=3), P.delivery_orders(lines))
 
 
+def test_heavy_orders_of_some_requests(feeds):
+    lines = hot(feeds.delivery_lines, "order_number")
+    some = lines.filter("facility = 'F1'").select("order_number")
+    wanted = P.delivery_orders(lines).join(some, "order_number", "left_semi")
+    for heavy_rows in (3, 1_000_000):
+        same(P.delivery_orders(lines, heavy_rows, some), wanted)
+
+
 def test_heavy_shipments(feeds):
     lines = hot(feeds.outbound_lines, "order_token")
     as_of = date(2000, 6, 30)
