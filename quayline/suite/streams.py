@@ -11,7 +11,7 @@ from quayline.suite.questions import BEST_SQL
 from quayline.suite.triage import CARD_SQL, SHORT_CARD_SQL
 
 NOW_SQL = "TIMESTAMP '2024-01-30 12:00:00'"
-NOW = F.lit("2024-01-30 12:00:00").cast("timestamp")
+NOW = "2024-01-30 12:00:00"
 
 
 def arriving(t, messages: DataFrame, files_per_batch: int | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def stream_messages(t):
 @case("stream_late_cutoff", f"""
     SELECT event_id, message_ts FROM channel_messages WHERE ts >= {NOW_SQL} - INTERVAL 2 HOUR""")
 def stream_late_cutoff(t):
-    stream = B.within_age(arriving(t, channel_messages(t)), NOW)
+    stream = B.within_age(arriving(t, channel_messages(t)), F.lit(NOW).cast("timestamp"))
     return through(t, stream).select("event_id", "message_ts")
 
 
