@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayline.llm import simhash, substring
+from quayline.llm import langid, mixing, packing, simhash, substring
 from quayline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,22 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.components(read_table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("simhash")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identified(read_table(spark, folder, "documents"))
+
+
+@query
+def op7_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mixed(read_table(spark, folder, "documents"))
+    return found.select("doc_id", "source", "copy", F.length("text").alias("n_chars"), "shuffle_key")
+
+
+CHECKS["op7_poisson_mix"] = mixing.check_sql()
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(read_table(spark, folder, "documents")).withColumn("length", F.col("length").cast("long"))
