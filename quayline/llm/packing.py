@@ -41,11 +41,11 @@ def pieces(
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, blanks=False).ids
+        encode = encoder(tokenizer, blanks=False).many
         for batch in slices(batches, "text"):
             owner, piece, parts = [], [], []
-            for i, raw in enumerate(texts(batch["text"])):
-                ids = encode(raw.decode()) + end
+            for i, ids in enumerate(encode(texts(batch["text"]))):
+                ids += end
                 for k in range(0, len(ids), width):
                     owner.append(i)
                     piece.append(k // width)

@@ -1,50 +1,122 @@
-"""Token ids of whole texts by a public tokenizer, with a memo of word pieces."""
+"""Token ids of whole texts by a public tokenizer, with a memo of words."""
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 from functools import cache
 
 import numpy as np
 
-#: Unicode's white space: no piece of either tokenizer's text pattern goes on beyond it, but for a
-#: single blank before a word.
-SPACE = r"\t-\r \x85\xa0  -     　"
-#: How a text is cut into chunks that the tokenizer treats apart from what surrounds them. Blanks are
-#: text to the byte tokenizer: one goes with the word behind it, the others of a run are a chunk.
-BLANKS_KEPT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-BLANKS_DROPPED = re.compile(r"[^\t-\r ]+")
-MEMO, CHUNK = 400_000, 64
+#: Unicode's white space: no word of either tokenizer's text pattern goes on beyond it, but for a
+#: single blank before a word of the byte tokenizer.
+SPACE = r"\t-\r \x85\xa0  -     　"
+#: The byte tokenizer's words, with any white space between them.
+WORDS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Texts in which blanks and line ends stand alone, and no other white space occurs, need no pattern.
+UNEVEN = re.compile(
+    rb"[ \n]{2}|[\t\x0b-\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80"
+)
+#: A word as letters and marks: tokens never reach from the one part into the other.
+PARTS = re.compile(r"(\n?)( ?[^\W\d_]+)([.,;:!?*%#$&|()\"/<>=+\-]*)")
+MEMO, LONG, JOINED = 600_000, 64, 200
 
 
-class Encoder(dict):
-    """Little-endian 32-bit ids of chunks. `ids` cuts a text into chunks and joins theirs."""
+class Encoder:
+    """Little-endian 32-bit ids of texts: each text is cut into words whose ids don't depend on their neighbours.
 
-    def __init__(self, path: str, blanks: bool, memo: int = MEMO):
+    Words seen before come from a memo. Others are cut into letters and marks; letters are encoded
+    many at a time and told apart by the tokens that start or end a word.
+    """
+
+    def __init__(self, path: str, blanks: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.chunks = (BLANKS_KEPT if blanks else BLANKS_DROPPED).findall
-        self.memo = memo
-
-    def __missing__(self, chunk: str) -> bytes:
-        found = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= CHUNK:
-            if len(self) >= self.memo:  # keeps the memory bounded; frequent chunks are back soon
-                self.clear()
-            self[chunk] = found
+        self.blanks = blanks
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(names.values()) + 1, bool)
+        self.edge[[i for name, i in names.items() if (name[0] == "Ġ" if blanks else name.endswith("</w>"))]] = True
+
+    def many(self, raws: Iterable[bytes]) -> list[bytes]:
+        """The ids of each text's UTF-8 bytes."""
+        cut = [self.cut(raw) for raw in raws]
+        wanted = set().union(*cut)
+        fresh = wanted.difference(self.words)
+        if fresh:
+            found = self.resolved(fresh)
+            if len(self.words) + len(found) > MEMO:  # bounded: a full memo keeps what is in use just now
+                self.words = {key: self.words[key] for key in wanted.difference(fresh)}
+            self.words.update(found)
+        get = self.words.__getitem__
+        out = [b"".join(map(get, keys)) for keys in cut]
+        for key in [key for key in fresh if len(key) > LONG]:
+            del self.words[key]
+        return out
+
+    def cut(self, raw: bytes) -> list[bytes]:
+        if not self.blanks:
+            return raw.lower().split()  # A-Z only, as the tokenizer does to all letters anyway
+        if not raw:
+            return []
+        if UNEVEN.search(raw):
+            return [b"\r" + word.encode() for word in WORDS.findall(raw.decode())]
+        # A word stands for itself with a blank before it, unless a line or the text starts with it.
+        keys = raw.replace(b"\n", b" \n").split(b" ")
+        keys[0] = b"\r" + keys[0]
+        return keys
+
+    def text(self, key: bytes) -> str:
+        if not self.blanks or key[:1] == b"\n":
+            return key.decode()
+        return key[1:].decode() if key[:1] == b"\r" else " " + key.decode()
+
+    def resolved(self, keys: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not in the memo."""
+        split = {}
+        for key in keys:
+            word = self.text(key)
+            match = PARTS.fullmatch(word)
+            split[key] = [part for part in match.groups() if part] if match else [word]
+        wanted = {part for parts in split.values() for part in parts}
+        found = {part: self.parts[part] for part in wanted.intersection(self.parts)}
+        fresh = wanted.difference(found)
+        found |= (new := self.encoded(fresh))
+        if len(self.parts) + len(new) > MEMO:
+            self.parts = {}
+        self.parts.update((k, v) for k, v in new.items() if len(k) <= LONG)
+        return {key: b"".join([found[part] for part in parts]) for key, parts in split.items()}
+
+    def encoded(self, parts: set[str]) -> dict[str, bytes]:
+        # Plain letters of a kind that neither composition nor lower case changes in number.
+        joined = [p for p in parts if p.strip(" ").isalpha() and max(p) < "Ā" and (p[0] == " ") == self.blanks]
+        found = {}
+        for at in range(0, len(joined), JOINED):
+            some = joined[at:at + JOINED]
+            ids = np.array(self.ids(("" if self.blanks else " ").join(some)), "<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) == len(some):
+                ends = [*edges[1:].tolist(), len(ids)] if self.blanks else (edges + 1).tolist()
+                raw, start = ids.tobytes(), 0
+                for part, end in zip(some, ends):
+                    found[part] = raw[4 * start:4 * end]
+                    start = end
+        for part in parts.difference(found):
+            found[part] = np.array(self.ids(part), "<u4").tobytes()
         return found
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.chunks(text)))
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 @cache
 def encoder(path: str, blanks: bool) -> Encoder:
-    """One for each Python worker, kept from task to task."""
+    """One for each Python worker, kept from task to task. `blanks`: white space is text to the tokenizer."""
     return Encoder(path, blanks)
 
 
