@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayline.llm import langid, mixing, packing, simhash, substring
+from quayline.llm import extraction, idfile, imatch, langid, mixing, ngram, packing, simhash, substring, topk
 from quayline.llm.common import read_table
+from quayline.llm.tokens import vocabulary
+from quayline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -47,3 +49,51 @@ CHECKS["op7_poisson_mix"] = mixing.check_sql()
 @query
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(read_table(spark, folder, "documents")).withColumn("length", F.col("length").cast("long"))
+
+
+@query
+def op6_id_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "ids")
+    idfile.write_ids(read_table(spark, folder, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    found = idfile.read_ids(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op8_ngram_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram.scored(read_table(spark, folder, "documents"))
+
+
+@query
+def op9_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    found = imatch.compared(read_table(spark, folder, "documents"))
+    digits = lambda c: F.lower(F.hex(c))
+    return found.select(
+        "doc_id", "n_chars", digits("edited_sha256").alias("edited_sha256"), digits("fingerprint").alias("fingerprint"),
+        digits("edited").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+@query
+def op10_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.searched(read_table(spark, folder, "embeddings"))
+
+
+CHECKS["op10_topk_search"] = """
+WITH rows AS (
+  SELECT vec_id, [floor(x::DOUBLE * 256)::BIGINT for x in embedding] AS parts FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.parts::DOUBLE[], c.parts::DOUBLE[])::BIGINT AS score
+  FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extracted(read_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")

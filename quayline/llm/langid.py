@@ -148,8 +148,8 @@ def parsed(models: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return letters, total
 
 
-def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", parts: int = 4, held: int = 2) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, phrase_length) of every row of `docs`.
+def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", parts: int = 4, held: int = 2) -> DataFrame:
+    """All columns of `docs`, held_out, lang_pred, score and phrase_length (columns of these names are replaced).
 
     Learns from rows with a text and a lang whose crc32 of the doc_id as text is not `held` modulo
     `parts`. A text is lower-cased, its letters kept and each run of other characters taken as one
@@ -162,36 +162,46 @@ def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     nothing to learn from. A null doc_id is never learned from and not held out. Repeated rows stay;
     an empty table gives an empty one. Texts are parsed whole; lang isn't read in a prediction.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    held_out = F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False))
-    labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-    models = docs.sparkSession.sparkContext.broadcast(fitted(sample(labelled)))
+    added = ("held_out", "lang_pred", "score", "phrase_length")
+    names = [c for c in docs.columns if c not in added]
+    held_out = F.coalesce(fold(F.col(doc_id), parts) == held, F.lit(False))
+    learned = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")
+    ).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
+    models = docs.sparkSession.sparkContext.broadcast(fitted(sample(learned)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = models.value
-        for batch in slices(batches, "text"):
-            letters, count = parsed(known, batch["text"])
-            if known.languages:
-                cost = count * known.bits
-                best = cost.argmin(1)
-                rest = cost.copy()
-                rest[np.arange(len(best)), best] = np.inf
-                second = rest.min(1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    score = np.where(np.isinf(second), 1.0, 1 - cost.min(1) / second)
-                    length = letters / np.maximum(count[np.arange(len(best)), best], 1)
-                name = np.array(known.languages, object)[best]
-            else:
-                name = np.full(len(letters), UNKNOWN, object)
-                score = length = np.zeros(len(letters))
-            none = (letters == 0) | (not known.languages)
-            name[none] = UNKNOWN
+        for batch in slices(batches, text):
+            name, score, length = predicted(known, batch[text])
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["held_out"], pa.array(name, pa.string()),
-                 pa.array(np.where(none, 0.0, score)), pa.array(np.where(none, 0.0, length))],
-                ["doc_id", "held_out", "lang_pred", "score", "phrase_length"],
+                [*batch.columns, pa.array(name, pa.string()), pa.array(score), pa.array(length)],
+                [*batch.schema.names, *added[1:]],
             )
 
-    return rows.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(
-        run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, phrase_length double"
-    )
+    rows = docs.select(*names, held_out.alias("held_out"))
+    kind = rows.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "phrase_length": F.lit(0.0)}).schema
+    return rows.mapInArrow(run, kind)
+
+
+def predicted(known: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and phrase length of each text."""
+    letters, count = parsed(known, column)
+    if not known.languages:
+        return np.full(len(letters), UNKNOWN, object), np.zeros(len(letters)), np.zeros(len(letters))
+    cost = count * known.bits
+    rows, best = np.arange(len(letters)), cost.argmin(1)
+    rest = cost.copy()
+    rest[rows, best] = np.inf
+    second = rest.min(1)
+    none = letters == 0
+    score = np.where(none | np.isinf(second), 1.0, 1 - cost[rows, best] / np.where(none, 1.0, second))
+    name = np.array(known.languages, object)[best]
+    name[none] = UNKNOWN
+    return name, np.where(none, 0.0, score), np.where(none, 0.0, letters / np.maximum(count[rows, best], 1))
+
+
+def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, phrase_length) of `labelled`."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    return labelled(rows).select("doc_id", "held_out", "lang_pred", "score", "phrase_length")
