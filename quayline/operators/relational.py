@@ -5,38 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quayline.functions import scalars as S
-
-BROADCAST_ROWS = 200_000
-HEAVY_ROWS = 1_000_000
-HEAVY_KEYS = 10_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side holds at most `rows` rows.
-
-    A larger side is returned as it is: Spark then shuffles, and splits skewed keys at run time.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def split_heavy(
-    df: DataFrame, key: str, rows: int = HEAVY_ROWS, keys: int = HEAVY_KEYS
-) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of usual keys, and those of keys with more than `rows` rows (None if there are none).
-
-    One scan of the key column finds them, counting before the shuffle. Of more than `keys` heavy
-    keys only the heaviest are split off; the rest stay with the usual ones.
-    """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows)
-    found = [r[0] for r in counts.orderBy(F.desc("_rows")).limit(keys).collect()]
-    values = [v for v in found if v is not None]
-    if not found:
-        return df, None
-    heavy = F.coalesce(F.col(key).isin(values), F.lit(False))
-    if None in found:
-        heavy = heavy | F.col(key).isNull()
-    return df.filter(~heavy), df.filter(heavy)
-
+from quayline.session import scratch_path
 
 def newest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key. Spark keeps one row per key before it shuffles."""
@@ -56,7 +25,7 @@ def at_latest_per_group(df: DataFrame, group: str, stamp: str) -> DataFrame:
     group's rows in one task, which a window over the group would.
     """
     newest = df.groupBy(group).agg(F.max(stamp).alias(stamp))
-    return df.join(broadcast_if_small(newest), [group, stamp], "left_semi")
+    return df.join(newest, [group, stamp], "left_semi")
 
 
 def at_latest_per_group_by_window(df: DataFrame, group: str, stamp: str) -> DataFrame:
@@ -66,14 +35,15 @@ def at_latest_per_group_by_window(df: DataFrame, group: str, stamp: str) -> Data
 
 
 def with_previous(
-    df: DataFrame, key: str, ts: str, tie: str, carried: list[str], slot: str = "1 hour"
+    df: DataFrame, key: str, ts: str, tie: str, carried: list[str], slot_seconds: int = 3600
 ) -> DataFrame:
     """Add `previous`, a struct of the carried columns of the key's row just before this one.
 
     Like lag over the key, but a key with very many rows is split into time slots: lag runs inside
-    a slot, and the first row of a slot takes the last row of the key's slot before it.
+    a slot, and the first row of a slot takes the last row of the key's slot before it. Rows without
+    a time come first, as a slot of their own; so do rows of a null key, as a key.
     """
-    slots = df.withColumn("_slot", F.window(ts, slot).getField("start"))
+    slots = df.withColumn("_slot", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(slot_seconds * 1_000_000)))
     record = F.struct(ts, tie, *[c for c in carried if c not in (ts, tie)])
     last = (
         slots.groupBy(key, "_slot")
@@ -85,7 +55,7 @@ def with_previous(
     )
     inside = F.lag(record).over(Window.partitionBy(key, "_slot").orderBy(ts, tie))
     joined = slots.withColumn("_inside", inside).join(
-        last, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slot") == F.col("_key_slot")), "left"
+        last, F.col(key).eqNullSafe(F.col("_key")) & F.col("_slot").eqNullSafe(F.col("_key_slot")), "left"
     )
     return joined.withColumn("previous", F.coalesce("_inside", "_before")).drop(
         "_slot", "_key", "_key_slot", "_before", "_inside"
@@ -162,6 +132,28 @@ def clustered_for_write(df: DataFrame, *order: Column | str) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def with_place(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """All rows with their place (from 1) in the given order; rows that compare equal follow in any order.
+
+    Rows are dealt into ranges of the order, numbered inside each range and written once to the shared
+    folder. The rows before a range come from one count for each range, so no task sees all rows.
+    """
+    columns = df.columns
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The number is the range's in its upper bits and the row's place in the range in the lower 33.
+    numbered = dealt.withColumn("_number", F.monotonically_increasing_id()).withColumn(
+        "_range", F.shiftright("_number", 33)
+    )
+    path = scratch_path(df.sparkSession, "places")
+    numbered.write.parquet(path)
+    numbered = df.sparkSession.read.schema(numbered.schema).parquet(path)
+    sizes = numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_number").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return numbered.join(starts, "_range").select(*columns, place.alias(name))
+
+
 def text_list(values: Column) -> Column:
     """A set of texts as `a, b, c`; null when it is empty."""
     return F.nullif(F.array_join(F.sort_array(values), ", "), F.lit(""))
@@ -175,18 +167,12 @@ def merged_set(values: str) -> Column:
 def distinct_lists(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """The distinct values of each column as sorted text lists per key.
 
-    Values are made distinct in spread groups first; only a key's distinct values, which its
-    result cell holds anyway, meet in one task.
+    Sets combine before the shuffle, so a key sends each of its values once from a task, and no row
+    is repeated for a column.
     """
-    stacked = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns
-    ]))
-    values = df.select(*keys, stacked.alias("_item")).select(*keys, "_item.*").distinct()
-    lists = [
-        text_list(F.collect_list(F.when(F.col("name") == c, F.col("value")))).alias(c)
-        for c in columns
-    ]
-    return values.groupBy(*keys).agg(*lists)
+    return df.groupBy(*keys).agg(*[
+        text_list(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns
+    ])
 
 
 def with_total_and_breakdown(df: DataFrame, key: str, *measures: Column) -> DataFrame:

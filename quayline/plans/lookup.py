@@ -24,8 +24,16 @@ def shipments_by_token(shipments: DataFrame) -> DataFrame:
     )
 
 
-def order_shipment(orders: DataFrame, shipments: DataFrame) -> DataFrame:
-    """Delivery orders and shipments side by side; either may be missing."""
+def order_shipment(orders: DataFrame, shipments: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Delivery orders and shipments side by side; either may be missing.
+
+    `only` holds the order numbers to look at: both sides are cut down to them before anything is
+    grouped or joined.
+    """
+    if only is not None:
+        keys = only.select("order_number").distinct()
+        orders = orders.join(keys, "order_number", "left_semi")
+        shipments = shipments.join(keys.withColumnRenamed("order_number", "order_token"), "order_token", "left_semi")
     tokens = shipments_by_token(shipments)
     joined = orders.join(tokens, orders.order_number == tokens.order_token, "full")
     side = (
@@ -51,13 +59,22 @@ def candidate_numbers(requests: DataFrame, column: str = "order_number") -> Data
 def lookup_fallback(
     requests: DataFrame, orders: DataFrame, shipments: DataFrame, lines: DataFrame
 ) -> DataFrame:
-    """Curated hits first; source lines, rolled up whole, only for requests both tables miss."""
+    """Curated hits first; source lines, rolled up whole, only for requests both tables miss.
+
+    Every table is cut down to the numbers asked for before it is grouped or joined. Which requests
+    are known takes the keys of the curated tables alone.
+    """
     candidates = candidate_numbers(requests)
     hits = (
-        candidates.join(order_shipment(orders, shipments), "order_number")
+        candidates.join(order_shipment(orders, shipments, candidates), "order_number")
         .withColumn("source", F.lit("curated"))
     )
-    open_candidates = candidates.join(hits, "requested", "left_anti")
+    keys = candidates.select("order_number").distinct()
+    known_numbers = orders.select("order_number").join(keys, "order_number", "left_semi").unionByName(
+        shipments.select(F.col("order_token").alias("order_number")).join(keys, "order_number", "left_semi")
+    )
+    known = candidates.join(known_numbers, "order_number", "left_semi").select("requested")
+    open_candidates = candidates.join(known, "requested", "left_anti")
     recovered = (
         open_candidates.join(delivery_orders(lines, only=open_candidates), "order_number")
         .withColumn("found_in", F.lit("delivery"))

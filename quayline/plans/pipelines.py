@@ -123,37 +123,25 @@ DELIVERY_ATTRIBUTES = [
 
 def folded(
     lines: DataFrame, keys: list[str], sets: dict[str, str], line: dict[str, Column],
-    parcel: dict[str, Column], heavy_rows: int, only: DataFrame | None = None,
+    parcel: dict[str, Column], only: DataFrame | None = None,
 ) -> DataFrame:
     """Fold lines to their keys: sets of values (`sets`), the parcels, and further aggregates.
 
-    An order has few lines, so combining before the shuffle would save nothing: lines go to their
-    order once. Orders with very many lines take two steps instead, to parcels (one per tracking
-    number) and then to the order. That spreads their lines over many tasks and leaves every
-    tracking number once. `line` aggregates lines; `parcel` aggregates the results of `line`.
-    `only` holds the keys to keep; heavy keys are found without it, by a plain scan.
+    All keys take the same two steps, to parcels (one per tracking number) and then to the order,
+    both combined before their shuffle: an order with very many lines spreads over many tasks, and
+    each tracking number is left once. `line` aggregates lines; `parcel` aggregates the results of
+    `line`. `only` holds the keys to keep; lines of others go before anything is grouped.
     """
-    usual, heavy = R.split_heavy(lines, keys[0], heavy_rows)
     if only is not None:
-        usual = usual.join(only, keys[0], "left_semi")
-        heavy = None if heavy is None else heavy.join(only, keys[0], "left_semi")
-    orders = usual.repartition(*[F.col(k) for k in keys]).groupBy(*keys).agg(
+        lines = lines.join(only, keys[0], "left_semi")
+    parcels = lines.groupBy(*keys, "tracking_number").agg(
         *[value.alias(name) for name, value in line.items()],
         *[F.collect_set(source).alias(name) for name, source in sets.items()],
-        F.collect_set("tracking_number").alias("tracking"),
     )
-    if heavy is None:
-        return orders
-    parcels = heavy.groupBy(*keys, "tracking_number").agg(
-        *[value.alias(name) for name, value in line.items()],
-        *[F.sort_array(F.collect_set(source)).alias(name) for name, source in sets.items()],
-    )
-    return orders.unionByName(
-        parcels.groupBy(*keys).agg(
-            *[value.alias(name) for name, value in parcel.items()],
-            *[R.merged_set(name).alias(name) for name in sets],
-            F.collect_list("tracking_number").alias("tracking"),
-        )
+    return parcels.groupBy(*keys).agg(
+        *[value.alias(name) for name, value in parcel.items()],
+        *[R.merged_set(name).alias(name) for name in sets],
+        F.collect_list("tracking_number").alias("tracking"),
     )
 
 
@@ -162,9 +150,7 @@ def counted(values: str) -> Column:
 
 
 @pipeline("delivery_orders")
-def delivery_orders(
-    lines: DataFrame, heavy_rows: int = R.HEAVY_ROWS, only: DataFrame | None = None
-) -> DataFrame:
+def delivery_orders(lines: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """One row per order from its delivery lines; of the orders in `only` if it is given."""
     delivered = F.coalesce(F.col("is_delivered"), F.lit(False))
     attributes = {c: F.max(c) for c in DELIVERY_ATTRIBUTES}
@@ -194,7 +180,6 @@ def delivery_orders(
             "all_delivered": F.bool_and("all_delivered"),
             "any_delivered": F.bool_or("any_delivered"),
         },
-        heavy_rows,
         only,
     )
     status = order_status(
@@ -230,9 +215,7 @@ SHIPMENT_ATTRIBUTES = [
 
 
 @pipeline("shipments")
-def shipments(
-    lines: DataFrame, as_of: date, years: int = 2, heavy_rows: int = R.HEAVY_ROWS
-) -> DataFrame:
+def shipments(lines: DataFrame, as_of: date, years: int = 2) -> DataFrame:
     """One row per order token and internal order number over the last years."""
     recent = lines.filter(
         F.col("shipping_date") >= S.shift_date(S.as_date(as_of), years=-years)
@@ -257,7 +240,6 @@ def shipments(
             "total_packages": F.sum("total_packages"),
             "cost": F.sum("cost").cast("decimal(28,2)"),
         },
-        heavy_rows,
     )
     return orders.select(
         "order_token",

@@ -12,9 +12,6 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # The string and set roll-ups have one group per order, far above the default of 128 keys
-    # at which Spark leaves the hash map and sorts.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

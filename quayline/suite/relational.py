@@ -137,7 +137,7 @@ def join_left_scd2(t):
     SELECT g.adjustment_id, g.item_code, d.product_family, d.lifecycle_phase
     FROM goods_receipts g LEFT JOIN item_dimension d ON d.item_number = g.item_code""")
 def join_left_dimension(t):
-    receipts, items = t.goods_receipts, R.broadcast_if_small(t.item_dimension)
+    receipts, items = t.goods_receipts, t.item_dimension
     return receipts.join(items, receipts.item_code == items.item_number, "left").select(
         "adjustment_id", "item_code", "product_family", "lifecycle_phase"
     )
@@ -154,47 +154,58 @@ def join_inner_exceptions(t):
     return Q.exceptions_by_item(t.retail_order_lines, t.retail_order_exceptions)
 
 
-CURATED_LINES = "(SELECT * FROM delivery_lines WHERE line_date <= DATE '2000-06-30')"
-CURATED_SHIPMENTS_SQL = C.SHIPMENTS_SQL.replace(
-    "GROUP BY", "AND shipping_date <= DATE '2000-06-30' GROUP BY"
-)
-TOKENS_SQL = f"""
+def tokens_sql(shipments: str) -> str:
+    """Shipments folded to order tokens, with the lists over the lines of the shipments kept."""
+    return f"""
     SELECT s.order_token, MAX(s.order_type) AS shipment_order_type,
            MIN(s.first_ship_date) AS shipment_first_ship_date,
            CAST(SUM(s.total_items) AS BIGINT) AS shipment_items,
            CAST(SUM(CAST(s.total_std_cost AS DECIMAL(18,2))) AS DOUBLE) AS shipment_cost,
            MAX(x.facilities) AS shipment_facilities, MAX(x.carriers) AS shipment_carriers,
            MAX(x.tracking) AS shipment_tracking
-    FROM ({CURATED_SHIPMENTS_SQL}) s
-    JOIN (SELECT order_token,
-                 STRING_AGG(DISTINCT facility_id, ', ' ORDER BY facility_id) AS facilities,
-                 STRING_AGG(DISTINCT carrier_code, ', ' ORDER BY carrier_code) AS carriers,
-                 STRING_AGG(DISTINCT tracking_number, ', ' ORDER BY tracking_number) AS tracking
-          FROM outbound_lines
-          WHERE shipping_date >= DATE '2000-06-30' - INTERVAL 2 YEAR AND shipping_date <= DATE '2000-06-30'
-          GROUP BY order_token) x ON x.order_token = s.order_token
+    FROM ({shipments}) s
+    JOIN (SELECT l.order_token,
+                 STRING_AGG(DISTINCT l.facility_id, ', ' ORDER BY l.facility_id) AS facilities,
+                 STRING_AGG(DISTINCT l.carrier_code, ', ' ORDER BY l.carrier_code) AS carriers,
+                 STRING_AGG(DISTINCT l.tracking_number, ', ' ORDER BY l.tracking_number) AS tracking
+          FROM outbound_lines l JOIN ({shipments}) k
+            ON k.order_token = l.order_token AND k.internal_order_number = l.order_number
+          WHERE l.shipping_date >= DATE '2000-06-30' - INTERVAL 2 YEAR
+          GROUP BY l.order_token) x ON x.order_token = s.order_token
     GROUP BY s.order_token"""
-ORDER_SHIPMENT_SQL = f"""
+
+
+def order_shipment_sql(orders: str, shipments: str) -> str:
+    return f"""
     SELECT o.* EXCLUDE (order_number), t.* EXCLUDE (order_token),
            COALESCE(o.order_number, t.order_token) AS order_number,
            CASE WHEN t.order_token IS NULL THEN 'delivery' WHEN o.order_number IS NULL THEN 'shipment'
                 ELSE 'both' END AS found_in
-    FROM ({C.delivery_sql(CURATED_LINES)}) o
-    FULL JOIN ({TOKENS_SQL}) t ON t.order_token = o.order_number"""
+    FROM ({orders}) o
+    FULL JOIN ({tokens_sql(shipments)}) t ON t.order_token = o.order_number"""
+
+
+CURATED_ORDERS_SQL = f"""
+    SELECT * FROM ({C.DELIVERY_SQL}) WHERE ordered_date <= DATE '2000-06-30' AND order_number NOT LIKE 'GB-%'"""
+CURATED_SHIPMENTS_SQL = f"SELECT * FROM ({C.SHIPMENTS_SQL}) WHERE first_ship_date <= DATE '2000-06-30'"
+CURATED_SQL = order_shipment_sql(CURATED_ORDERS_SQL, CURATED_SHIPMENTS_SQL)
 
 
 def curated(t):
-    """The curated tables as of the last refresh, which the source lines have outrun."""
+    """The curated tables as of the last refresh: later orders are missing as a whole.
+
+    Orders of one country reach us as shipments only.
+    """
     today = S.as_date(AS_OF)
-    orders, shipments = scratch_path(t.spark, "orders"), scratch_path(t.spark, "shipments")
-    P.delivery_orders(t.delivery_lines.filter(F.col("line_date") <= today)).write.parquet(orders)
-    P.shipments(t.outbound_lines.filter(F.col("shipping_date") <= today), AS_OF).write.parquet(shipments)
-    return t.spark.read.parquet(orders), t.spark.read.parquet(shipments)
+    orders = P.delivery_orders(t.delivery_lines).filter(
+        (F.col("ordered_date") <= today) & ~F.col("order_number").startswith("GB-")
+    )
+    return orders, P.shipments(t.outbound_lines, AS_OF).filter(F.col("first_ship_date") <= today)
 
 
-@case("join_order_shipment", ORDER_SHIPMENT_SQL)
+@case("join_order_shipment", order_shipment_sql(C.DELIVERY_SQL, C.SHIPMENTS_SQL))
 def join_order_shipment(t):
-    joined = L.order_shipment(*curated(t))
+    joined = L.order_shipment(P.delivery_orders(t.delivery_lines), P.shipments(t.outbound_lines, AS_OF))
     return joined.withColumn("shipment_cost", S.rounded(F.col("shipment_cost"), 2))
 
 
@@ -205,7 +216,7 @@ LOOKUP_SQL = f"""
         UNION ALL
         SELECT requested, LEFT(requested, LENGTH(requested) - 3), 1 FROM requests
         WHERE requested LIKE '%-WR'),
-    known AS ({ORDER_SHIPMENT_SQL}),
+    known AS ({CURATED_SQL}),
     hits AS (SELECT c.requested, c.preference, 'curated' AS source, k.*
              FROM candidates c JOIN known k ON k.order_number = c.order_number),
     recovered AS (
@@ -472,16 +483,14 @@ def window_last_n(t):
 
 
 @case("order_nulls_last", """
-    SELECT order_number, tracking_number, shipped_date FROM delivery_lines
-    ORDER BY shipped_date DESC NULLS LAST, order_number, tracking_number, item_code LIMIT 500""")
+    SELECT order_number, tracking_number, item_code, shipped_date, ROW_NUMBER() OVER (
+        ORDER BY shipped_date DESC NULLS LAST, order_number, tracking_number, item_code, quantity) AS place
+    FROM delivery_lines""")
 def order_nulls_last(t):
-    return (
-        t.delivery_lines.orderBy(
-            F.desc_nulls_last("shipped_date"), "order_number", "tracking_number", "item_code"
-        )
-        .limit(500)
-        .select("order_number", "tracking_number", "shipped_date")
-    )
+    """All rows, with their place in the order."""
+    rows = t.delivery_lines.select("order_number", "tracking_number", "item_code", "shipped_date", "quantity")
+    order = [F.desc_nulls_last("shipped_date"), F.asc("order_number"), F.asc("tracking_number"), F.asc("item_code"), F.asc("quantity")]
+    return R.with_place(rows, "place", *order).drop("quantity")
 
 
 @case("topk", """

@@ -1,4 +1,4 @@
-"""The forms that split heavy keys give the same rows as the plain forms."""
+"""Forms that spread a key with very many rows give the same rows as the plain forms."""
 
 from datetime import date, datetime, timedelta
 
@@ -22,30 +22,41 @@ def hot(lines, key):
                             .otherwise(F.col(key)))
 
 
-def test_heavy_orders(feeds):
+def test_a_heavy_order_is_folded_like_any_other(feeds):
     lines = hot(feeds.delivery_lines, "order_number")
-    same(P.delivery_orders(lines, heavy_rows=3), P.delivery_orders(lines))
+    found = P.delivery_orders(lines).filter("order_number = 'US-000000001'").first()
+    plain = lines.filter("order_number = 'US-000000001'").agg(
+        F.sum("quantity"), F.countDistinct("tracking_number"), F.countDistinct("item_name"), F.min("ordered_date").cast("date"),
+    ).first()
+    assert (found.total_items, found.shipment_count, found.unique_skus, found.ordered_date) == tuple(plain)
 
 
-def test_heavy_orders_of_some_requests(feeds):
+def test_orders_of_some_requests(feeds):
     lines = hot(feeds.delivery_lines, "order_number")
     some = lines.filter("facility = 'F1'").select("order_number")
     wanted = P.delivery_orders(lines).join(some, "order_number", "left_semi")
-    for heavy_rows in (3, 1_000_000):
-        same(P.delivery_orders(lines, heavy_rows, some), wanted)
+    same(P.delivery_orders(lines, some), wanted)
 
 
-def test_heavy_shipments(feeds):
-    lines = hot(feeds.outbound_lines, "order_token")
-    as_of = date(2000, 6, 30)
-    same(P.shipments(lines, as_of, heavy_rows=3), P.shipments(lines, as_of))
+def test_no_job_runs_before_the_caller_asks(spark, feeds):
+    """Building a query of the roll-ups starts no job."""
+    tracker = spark.sparkContext.statusTracker()
+    lines, outbound, stock = feeds.delivery_lines, feeds.outbound_lines, feeds.onhand_eod  # reads schemas
+    spark.sparkContext.setJobGroup("plans", "plans only")
+    P.delivery_orders(lines)
+    P.shipments(outbound, date(2000, 6, 30))
+    R.at_latest_per_group(stock, "facility", "snapshot_date")
+    assert tracker.getJobIdsForGroup("plans") == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_null_is_a_heavy_key_too(spark):
-    rows = spark.createDataFrame([(None,)] * 5 + [("a",)], "k string")
-    usual, heavy = R.split_heavy(rows, "k", 3)
-    assert usual.count() == 1 and heavy.count() == 5
-    assert R.split_heavy(rows, "k", 10)[1] is None
+def test_previous_row_keeps_rows_without_a_time(spark):
+    start = datetime(2024, 1, 1)
+    rows = [("a", None, 1, "x"), ("a", start, 2, "y"), ("a", None, 3, "z"), (None, start, 4, "w"), (None, None, 5, "v")]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, id int, issue string")
+    found = R.with_previous(df, "k", "ts", "id", ["issue"]).select("id", "previous.id")
+    plain = df.select("id", F.lag("id").over(Window.partitionBy("k").orderBy("ts", "id")))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, plain.collect())))
 
 
 def test_previous_row_over_slots(spark):
@@ -74,11 +85,6 @@ def test_mention_forms(feeds):
          B.unanswered_mentions_by_anti_join(feeds.thread_messages, "BOT"))
 
 
-def test_large_side_is_not_broadcast(spark):
-    assert "ResolvedHint" not in R.broadcast_if_small(spark.range(10), 5)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in R.broadcast_if_small(spark.range(3), 5)._jdf.queryExecution().analyzed().toString()
-
-
 def test_alias_table(spark):
     rows = R.alias_table(spark, {"x": ["a", "b"], "y": ["b"]}).collect()
     assert sorted(map(tuple, rows)) == [("x", "a"), ("x", "b"), ("y", "b")]
