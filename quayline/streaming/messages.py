@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from quayline import config
@@ -41,18 +41,43 @@ def within_age(messages: DataFrame, now: Column | None = None) -> DataFrame:
     return messages.filter(F.col("event_time") >= now - limit)
 
 
-def once_each(messages: DataFrame) -> DataFrame:
-    """Each message once; the watermark bounds the state, which survives restarts."""
-    return messages.withWatermark("event_time", config.MESSAGE_MAX_AGE).dropDuplicatesWithinWatermark(
-        ["channel", "message_ts"]
-    )
+MESSAGE_KEY = ["channel", "message_ts"]
+
+
+def once_writer(base: str) -> Callable[[DataFrame, int], None]:
+    """Per micro-batch: the messages that no earlier batch had, each once, whatever their order in time.
+
+    Keys that have been seen are kept by day of the event. A batch reads those of its own days, so the
+    work does not grow with the log; days past every age limit can be dropped as folders. Nothing is
+    dropped for being late: that is `within_age`.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        day = F.coalesce(F.to_date("event_time"), F.lit("0001-01-01").cast("date")).cast("string")
+        fresh = batch.dropDuplicates(MESSAGE_KEY).withColumn("event_day", day)
+        seen = read_if_exists(spark, f"{base}/seen")
+        if seen is not None:
+            days = [r[0] for r in fresh.select("event_day").distinct().collect()]
+            earlier = seen.filter((F.col("batch_id") < batch_id) & F.col("event_day").cast("string").isin(days))
+            # Null-safe, so that a message without a channel is known again too.
+            same = [fresh[k].eqNullSafe(earlier[k]) for k in MESSAGE_KEY]
+            fresh = fresh.join(earlier, same, "left_anti")
+        target = batch_folder(f"{base}/messages", batch_id)
+        fresh.write.mode("overwrite").parquet(target)
+        kept = spark.read.schema(fresh.schema).parquet(target)
+        kept.select(*MESSAGE_KEY, "event_day").write.mode("overwrite").partitionBy("event_day").parquet(
+            batch_folder(f"{base}/seen", batch_id)
+        )
+
+    return write
 
 
 def without_types(
     messages: DataFrame, skipped: list[str] = config.SKIPPED_SUBTYPES, bot: str | None = None
 ) -> DataFrame:
     kept = messages.filter(F.col("subtype").isNull() | ~F.col("subtype").isin(skipped))
-    return kept if bot is None else kept.filter(F.col("author") != bot)
+    return kept if bot is None else kept.filter(~F.col("author").eqNullSafe(bot))
 
 
 def with_channel_config(messages: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -71,16 +96,23 @@ def split_by_quota(messages: DataFrame, quota: int = config.CHANNEL_QUOTA) -> Da
     """Mark the oldest messages of each channel `answered`, the rest `pending`.
 
     Only the few oldest per channel are ranked: Spark keeps `quota` rows per channel before the
-    shuffle, so a channel with very many messages is never gathered in one task.
+    shuffle, so a channel with very many messages is never gathered in one task. Messages of one
+    channel and time are told apart by their content; equal ones are as many as they are.
     """
+    content = F.xxhash64(*messages.columns)
+    nth = F.row_number().over(Window.partitionBy("channel", "message_ts", "_content").orderBy("channel"))
+    numbered = messages.withColumn("_content", content).withColumn("_nth", nth)
+    key = ["channel", "message_ts", "_content", "_nth"]
     oldest = R.last_n(
-        messages.select("channel", "message_ts"), ["channel"],
-        [F.col("message_ts").cast("double"), F.col("message_ts")], quota,
-    ).withColumn("_due", F.lit(True))
+        numbered.select(*key), ["channel"],
+        [F.col("message_ts").cast("double"), F.col("message_ts"), F.col("_content"), F.col("_nth")], quota,
+    ).select(*[F.col(k).alias(f"_due{k}") for k in key])
+    same = [F.col(k).eqNullSafe(F.col(f"_due{k}")) for k in key]
+    due = F.col("_due_nth").isNotNull()
     return (
-        messages.join(oldest, ["channel", "message_ts"], "left")
-        .withColumn("state", F.when(F.col("_due"), "answered").otherwise("pending"))
-        .drop("_due")
+        numbered.join(oldest, same, "left")
+        .withColumn("state", F.when(due, "answered").otherwise("pending"))
+        .select(*messages.columns, "state")
     )
 
 
@@ -88,8 +120,14 @@ def batch_folder(base: str, batch_id: int) -> str:
     return f"{base}/batch_id={batch_id}"
 
 
-def quota_writer(base: str, quota: int = config.CHANNEL_QUOTA) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch: join the messages left over, answer up to the quota, keep the rest."""
+def quota_writer(
+    base: str, quota: int = config.CHANNEL_QUOTA, now: Column | None = None
+) -> Callable[[DataFrame, int], None]:
+    """Per micro-batch: join the messages left over, answer up to the quota, keep the rest.
+
+    A folder for each batch holds what it answered and what then waits. Only the batch before is read;
+    with `now`, waiting messages older than the age limit are given up.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -97,7 +135,8 @@ def quota_writer(base: str, quota: int = config.CHANNEL_QUOTA) -> Callable[[Data
         if batch_id > 0:
             left = read_if_exists(spark, batch_folder(f"{base}/state", batch_id - 1))
             if left is not None:
-                waiting = batch.unionByName(left.filter("state = 'pending'").drop("state"))
+                left = left.filter("state = 'pending'").drop("state")
+                waiting = batch.unionByName(left if now is None else within_age(left, now))
         split_by_quota(waiting, quota).write.mode("overwrite").parquet(
             batch_folder(f"{base}/state", batch_id)
         )
@@ -105,6 +144,13 @@ def quota_writer(base: str, quota: int = config.CHANNEL_QUOTA) -> Callable[[Data
     return write
 
 
+def quota_state(spark: SparkSession, base: str) -> DataFrame:
+    """Each message once: answered by any batch, or still waiting after the last one."""
+    state = spark.read.parquet(f"{base}/state")
+    last = state.select(F.max("batch_id")).scalar()
+    return state.filter((F.col("state") == "answered") | (F.col("batch_id") == last)).drop("batch_id")
+
+
 def answered_threads(replies: DataFrame, bot: str) -> DataFrame:
     return replies.filter(F.col("author") == bot).select("thread_id").distinct()
 
@@ -175,6 +221,26 @@ def mention_writer(base: str, bot: str) -> Callable[[DataFrame, int], None]:
         with_thread_context(open_mentions, threads, bot).write.mode("overwrite").parquet(
             batch_folder(f"{base}/mentions", batch_id)
         )
+        touched.write.mode("overwrite").parquet(batch_folder(f"{base}/touched", batch_id))
+
+    return write
+
+
+def open_mentions(spark: SparkSession, base: str) -> DataFrame:
+    """The mentions that are open after the last batch: of each thread, those of the last batch that touched it."""
+    last = spark.read.parquet(f"{base}/touched").groupBy("thread_id").agg(F.max("batch_id").alias("batch_id"))
+    return spark.read.parquet(f"{base}/mentions").join(last, ["thread_id", "batch_id"]).drop("batch_id")
+
+
+def unanswered_writer(
+    base: str, replies: Callable[[SparkSession], DataFrame], bot: str
+) -> Callable[[DataFrame, int], None]:
+    """Per micro-batch: the messages whose thread holds no reply of the bot at that moment."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        without_answer(batch, replies(batch.sparkSession), bot).write.mode("overwrite").parquet(
+            batch_folder(base, batch_id)
+        )
 
     return write
 

@@ -14,11 +14,17 @@ NOW_SQL = "TIMESTAMP '2024-01-30 12:00:00'"
 NOW = "2024-01-30 12:00:00"
 
 
-def arriving(t, messages: DataFrame, files_per_batch: int | None = None) -> DataFrame:
-    """The messages as a stream of files in the shared folder."""
+FILES = 4
+
+
+def arriving(t, messages: DataFrame, spread: str = "event_id") -> DataFrame:
+    """The messages as a stream of files in the shared folder, a file in each micro-batch.
+
+    Rows are dealt to the files by a hash of `spread`: times and channels are mixed in every batch.
+    """
     path = scratch_path(t.spark, "arriving")
-    messages.write.parquet(path)
-    return B.message_stream(t.spark, path, messages.schema, files_per_batch)
+    messages.repartition(FILES, spread).write.parquet(path)
+    return B.message_stream(t.spark, path, messages.schema, files_per_batch=1)
 
 
 def channel_messages(t) -> DataFrame:
@@ -34,7 +40,7 @@ def through(t, stream: DataFrame, writer=None, result: str = "") -> DataFrame:
 
 @case("stream_messages", "SELECT channel, message_ts, event_id, author, body FROM channel_messages")
 def stream_messages(t):
-    stream = arriving(t, channel_messages(t), files_per_batch=1)
+    stream = arriving(t, channel_messages(t))
     return through(t, stream).select("channel", "message_ts", "event_id", "author", "body")
 
 
@@ -47,10 +53,11 @@ def stream_late_cutoff(t):
 
 @case("stream_dedup", "SELECT channel, message_ts, event_id FROM channel_messages")
 def stream_dedup(t):
-    """Every message arrives twice and leaves once."""
-    messages = channel_messages(t).select("channel", "message_ts", "event_id", "event_time")
-    stream = B.once_each(arriving(t, messages.unionByName(messages)))
-    return through(t, stream).select("channel", "message_ts", "event_id")
+    """Every message arrives twice, in files of mixed times, and leaves once."""
+    messages = channel_messages(t).select("channel", "message_ts", "event_id", "event_time").withColumn("copy", F.lit(1))
+    again = messages.withColumn("copy", F.lit(2))
+    stream = arriving(t, messages.unionByName(again).withColumn("deal", F.xxhash64("event_id", "copy")), "deal")
+    return through(t, stream, B.once_writer, "/messages").select("channel", "message_ts", "event_id")
 
 
 @case("stream_type_filter", """
@@ -84,11 +91,17 @@ def stream_channel_config(t):
 
 @case("stream_quota", f"""
     SELECT event_id, channel, CASE WHEN ROW_NUMBER() OVER (PARTITION BY channel
-               ORDER BY CAST(message_ts AS DOUBLE)) <= 3 THEN 'answered' ELSE 'pending' END AS state
+               ORDER BY CAST(message_ts AS DOUBLE)) <= 3 * {FILES} THEN 'answered' ELSE 'pending' END AS state
     FROM channel_messages WHERE {question_sql('body')}""")
 def stream_quota(t):
-    stream = B.questions_only(arriving(t, channel_messages(t)))
-    return through(t, stream, B.quota_writer, "/state").select("event_id", "channel", "state")
+    """All arrive in the first batch; it and the later ones answer three of each channel."""
+    base, path, progress = (scratch_path(t.spark, n) for n in ("quota", "arriving", "progress"))
+    messages = channel_messages(t)
+    write = B.quota_writer(base)
+    for n in range(FILES):  # each with a file of its own, so in this order
+        (messages if n == 0 else messages.limit(0)).coalesce(1).write.mode("append").parquet(path)
+        B.run_to_end(B.questions_only(B.message_stream(t.spark, path, messages.schema, 1)), progress, write)
+    return B.quota_state(t.spark, base).select("event_id", "channel", "state")
 
 
 @case("stream_answered_anti", """
@@ -96,22 +109,21 @@ def stream_quota(t):
       AND thread_id NOT IN (SELECT thread_id FROM thread_messages WHERE author = 'BOT')""")
 def stream_answered_anti(t):
     parents = t.thread_messages.filter("turn = 0")
-    replies = t.thread_messages
+    writer = lambda base: B.unanswered_writer(base, lambda spark: t.thread_messages, "BOT")
+    return through(t, arriving(t, parents, "thread_id"), writer).select("thread_id", "turn")
 
-    def writer(base):
-        return lambda batch, batch_id: (
-            B.without_answer(batch, replies, "BOT").write.mode("overwrite").parquet(
-                B.batch_folder(base, batch_id))
-        )
 
-    return through(t, arriving(t, parents), writer).select("thread_id", "turn")
+def open_mentions(t) -> DataFrame:
+    """Turns of a thread arrive in different batches, replies before the mentions they answer too."""
+    base = scratch_path(t.spark, "mentions")
+    messages = t.thread_messages.withColumn("deal", F.xxhash64("thread_id", "turn"))
+    B.run_to_end(arriving(t, messages, "deal"), scratch_path(t.spark, "progress"), B.mention_writer(base, "BOT"))
+    return B.open_mentions(t.spark, base)
 
 
 @case("stream_unanswered_mentions", LATER_REPLY_SQL)
 def stream_unanswered_mentions(t):
-    stream = arriving(t, t.thread_messages)
-    found = through(t, stream, lambda base: B.mention_writer(base, "BOT"), "/mentions")
-    return found.select("thread_id", "turn", "author")
+    return open_mentions(t).select("thread_id", "turn", "author")
 
 
 @case("stream_thread_context", f"""
@@ -121,9 +133,7 @@ def stream_unanswered_mentions(t):
     FROM open o JOIN thread_messages m ON m.thread_id = o.thread_id AND m.turn = o.turn
     LEFT JOIN thread_messages p ON p.thread_id = o.thread_id AND p.turn = 0""")
 def stream_thread_context(t):
-    stream = arriving(t, t.thread_messages)
-    found = through(t, stream, lambda base: B.mention_writer(base, "BOT"), "/mentions")
-    return found.select("thread_id", "turn", "clean_body", "context")
+    return open_mentions(t).select("thread_id", "turn", "clean_body", "context")
 
 
 def answer_sql() -> str:

@@ -20,11 +20,24 @@ def stream(spark, path):
 
 def test_each_message_once_across_restarts(spark):
     path, out, progress = (scratch_path(spark, n) for n in ("in", "out", "progress"))
-    post(spark, path, [1, 2, 2, 3])
-    B.run_to_end(B.once_each(stream(spark, path)), progress, out)
-    post(spark, path, [2, 3, 4])
-    B.run_to_end(B.once_each(stream(spark, path)), progress, out)
-    assert sorted(r.message_ts for r in spark.read.parquet(out).collect()) == ["1", "2", "3", "4"]
+    # Times go back by days between batches: nothing is lost for being late.
+    for numbers in ([9000, 2, 2, 3], [2, 3, 4, 1], [9000, 20000, 5], [1, 5, 20000]):
+        post(spark, path, numbers)
+        B.run_to_end(stream(spark, path), progress, B.once_writer(out))
+    found = sorted(int(r.message_ts) for r in spark.read.parquet(f"{out}/messages").collect())
+    assert found == [1, 2, 3, 4, 5, 9000, 20000]
+
+
+def test_equal_messages_keep_their_number(spark):
+    rows = [("C1", "1", "a"), ("C1", "1", "a"), ("C1", "1", "b"), ("C1", "2", "c"), (None, "3", "d")]
+    df = spark.createDataFrame(rows, "channel string, message_ts string, body string")
+    states = [(r.message_ts, r.state) for r in B.split_by_quota(df, 3).collect()]
+    assert sorted(states) == [("1", "answered")] * 3 + [("2", "pending"), ("3", "answered")]
+
+
+def test_messages_without_an_author_stay(spark):
+    df = spark.createDataFrame([(None, None), ("BOT", None), ("U", "channel_join")], "author string, subtype string")
+    assert [r.author for r in B.without_types(df, bot="BOT").collect()] == [None]
 
 
 def test_quota_keeps_the_rest_for_the_next_batch(spark):
@@ -77,3 +90,4 @@ def test_mentions_over_several_batches(spark):
     assert [(r.thread_id, r.clean_body, r.order_number, r.context) for r in first] == [
         (1, "please", "US-123456", "where is US-123456\n\nplease"), (2, "hi", None, "hi")]
     assert spark.read.parquet(B.batch_folder(f"{base}/mentions", 1)).count() == 0
+    assert [r.thread_id for r in B.open_mentions(spark, base).collect()] == [2]
