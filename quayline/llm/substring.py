@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +16,16 @@ WINDOW = 50
 #: Words of an anchor. Every window holds WINDOW - ANCHOR + 1 of them and is filed under the least.
 ANCHOR = 20
 #: Distinct passages below one anchor; beyond it the anchor's windows are filed one by one.
-PASSAGES = 64
+PASSAGES = 16
 #: Words in one automaton; a shard's task builds one after the other.
 SHARD_WORDS = 100_000
 
 
 def deduplicated(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR,
-    passages: int = PASSAGES,
+    passages: int = PASSAGES, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(doc_id, kept, n_words, n_removed): the words that stay, joined by one space.
+    """(doc_id, kept, n_words, n_removed) and the columns `carry` of `docs`; `kept` are the words that stay, joined by one space.
 
     A window is `window` consecutive words (`[^\\x20\\x09-\\x0D]+`) of one document. Every word
     covered by a window whose word sequence also starts in a document with a smaller doc_id is
@@ -40,9 +40,11 @@ def deduplicated(
     automata of each shard whose states know the smallest doc_id, and stream the shard's passages
     over them; bring the windows' smallest doc_ids back to all documents with that passage.
     """
-    row = F.xxhash64("doc_id", "text")
-    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    whole = whole.withColumn("row", row)
+    others = F.struct(*carry) if carry else F.lit(None).cast("int")
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), others.alias("others")
+    ).withColumn("row", F.xxhash64("doc_id", "text"))
+    whole = rows.select("doc_id", "text", "row")
     filed = stored(filing(whole.where("doc_id IS NOT NULL"), window, anchor, single=False), "passages")
     shared = repeated(filed)
     shared = stored(shared, "shared")
@@ -52,23 +54,24 @@ def deduplicated(
     alone = shared.join(crowded, "anchor", "left_semi")
     if alone.take(1):
         # Windows of an anchor with very many surroundings: each is its own anchor, so equal ones still meet.
-        wanted = alone.select("row", "start", "windows")
+        wanted = alone.select("row", "starts", "windows")
         singles = repeated(filing(cut(whole, wanted), window, window, single=True))
         shared = stored(shared.join(crowded, "anchor", "left_anti").unionByName(singles), "shared")
     first = (
         shared.groupBy("anchor", "passage")
-        .agg(F.min(F.struct("doc_id", "row", "start", "windows")).alias("at"))
+        .agg(F.min(F.struct("doc_id", "row", "starts", "windows")).alias("at"))
         .select("anchor", "passage", "at.*")
     )
     spans = matched(cut(whole, first), window)
     of_row = (
         shared.join(spans, ["anchor", "passage"])
         .select("row", F.explode(F.expr(
-            "transform(filter(spans, s -> s.least < doc_id), s -> struct(start + s.at AS at, s.n AS n))"
+            "flatten(transform(starts, start -> transform(filter(spans, s -> s.least < doc_id), s -> struct(start + s.at AS at, s.n AS n))))"
         )).alias("span"))
         .groupBy("row").agg(F.collect_set("span").alias("spans"))
     )
-    return removed(whole.join(of_row, "row", "left"), window)
+    kept = removed(rows.join(of_row, "row", "left"), window)
+    return kept.select("doc_id", "kept", "n_words", "n_removed", *([F.col("others")[c].alias(c) for c in carry]))
 
 
 def repeated(filed: DataFrame) -> DataFrame:
@@ -77,16 +80,18 @@ def repeated(filed: DataFrame) -> DataFrame:
         filed.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         .where("least < most").select("anchor")
     )
-    return filed.join(several, "anchor", "left_semi")
+    # Written first: a plain shuffle on both sides lets adaptive execution split an anchor with very many rows.
+    return filed.join(stored(several, "several").hint("merge"), "anchor", "left_semi")
 
 
 def filing(docs: DataFrame, window: int, anchor: int, single: bool) -> DataFrame:
-    """(anchor, passage, doc_id, row, start, windows): runs of windows with the same least anchor.
+    """(anchor, passage, doc_id, row, starts, windows): runs of windows with the same least anchor.
 
-    `start` is the word at which the first of the run's `windows` begins, `passage` a hash of all
-    their words. With `single`, rows of `docs` are pieces that begin at word `start` of a document.
+    `starts` are the words at which the first of the run's `windows` begins: a passage that a document
+    repeats is one row. `passage` is a hash of all its words. With `single`, rows of `docs` are pieces
+    that begin at the words `starts` of a document.
     """
-    fields = "anchor long, passage long, doc_id long, row long, start int, windows int"
+    fields = "anchor long, passage long, doc_id long, row long, starts array<int>, windows int"
     reach = window - anchor + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,15 +114,26 @@ def filing(docs: DataFrame, window: int, anchor: int, single: bool) -> DataFrame
             head = np.flatnonzero((np.arange(len(at)) - begun) % reach == 0)
             n = np.diff(np.append(head, len(at)))
             a, b = at[head], at[head] + n - 1
-            passage = mixed(whole[a] ^ mixed(whole[b] + n.astype(np.uint64)))
-            pick = where[head]
-            column = lambda name: batch[name].to_numpy(zero_copy_only=False)[pick]
-            start = a - before[pick] + (column("start") if single else 0)
+            passage, value, pick = mixed(whole[a] ^ mixed(whole[b] + n.astype(np.uint64))), value[head], where[head]
+            start = a - before[pick]
+            if single:
+                size = batch["starts"].value_lengths().to_numpy()
+                first, own = np.cumsum(size) - size, batch["starts"].flatten().to_numpy()
+                times = size[pick]
+                again = np.repeat(np.arange(len(pick)), times)
+                nth = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+                start = start[again] + own[first[pick[again]] + nth]
+                value, passage, n, pick = value[again], passage[again], n[again], pick[again]
+            row = batch["row"].to_numpy(zero_copy_only=False)[pick]
+            order = np.lexsort((start, passage, value, row))
+            value, passage, n, pick, row, start = (x[order] for x in (value, passage, n, pick, row, start))
+            fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (value[1:] != value[:-1]) | (passage[1:] != passage[:-1])])
+            head = np.flatnonzero(fresh)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(start)).astype(np.int32)), pa.array(start.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([
-                pa.array(value[head].view(np.int64)), pa.array(passage.view(np.int64)),
-                pa.array(column("doc_id")), pa.array(column("row")),
-                pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
-            ], ["anchor", "passage", "doc_id", "row", "start", "windows"])
+                pa.array(value[head].view(np.int64)), pa.array(passage[head].view(np.int64)),
+                batch["doc_id"].take(pa.array(pick[head])), pa.array(row[head]), lists, pa.array(n[head].astype(np.int32)),
+            ], ["anchor", "passage", "doc_id", "row", "starts", "windows"])
 
     return docs.mapInArrow(run, fields)
 
@@ -132,11 +148,9 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def cut(whole: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`wanted` (row, start, windows and others) with `doc_id` and `text`, the words of each run of windows."""
-    others = [c for c in wanted.columns if c not in ("doc_id", "row", "start", "windows")]
-    wanted = wanted.distinct().groupBy("row").agg(
-        F.collect_list(F.struct("start", "windows", *others)).alias("parts")
-    )
+    """`wanted` (row, starts, windows and others) with `doc_id` and `text`, the words of each run of windows."""
+    others = [c for c in wanted.columns if c not in ("doc_id", "row", "starts", "windows")]
+    wanted = wanted.groupBy("row").agg(F.collect_set(F.struct("starts", "windows", *others)).alias("parts"))
     kinds = "".join(f", {c} long" for c in others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,22 +158,23 @@ def cut(whole: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
             data, bounds = text_buffer(batch["text"])
             raw = data.tobytes()
             starts, ends, before = word_bounds(data, bounds)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(batch["parts"].offsets.to_numpy()))
+            owner = np.repeat(np.arange(batch.num_rows), batch["parts"].value_lengths().to_numpy())
             parts = batch["parts"].flatten()
-            start = parts.field("start").to_numpy()
-            a = before[owner] + start
+            lists = parts.field("starts")
+            first = lists.flatten().to_numpy()[lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()]
+            a = before[owner] + first
             b = a + parts.field("windows").to_numpy() + window - 2
             pieces = [raw[x:y] for x, y in zip(starts[a].tolist(), ends[b].tolist())]
             for at in range(0, len(pieces), 20_000):
                 to = slice(at, at + 20_000)
                 pick = pa.array(owner[to])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(pick), batch["row"].take(pick), pa.array(start[to]),
+                    [batch["doc_id"].take(pick), batch["row"].take(pick), lists[to],
                      pa.array(pieces[to], pa.binary()).cast(pa.string()), *(parts.field(c)[to] for c in others)],
-                    ["doc_id", "row", "start", "text", *others],
+                    ["doc_id", "row", "starts", "text", *others],
                 )
 
-    return whole.join(wanted, "row").mapInArrow(run, f"doc_id long, row long, start int, text string{kinds}")
+    return whole.join(wanted, "row").mapInArrow(run, f"doc_id long, row long, starts array<int>, text string{kinds}")
 
 
 class SuffixAutomaton:
@@ -227,7 +242,7 @@ class SuffixAutomaton:
             if item in step[state]:
                 state = step[state][item]
                 matched += 1
-            while length[link[state]] >= width:
+            while state and length[link[state]] >= width:
                 state = link[state]
                 matched = length[state]
             if place >= width:
@@ -302,11 +317,12 @@ def removed(docs: DataFrame, window: int) -> DataFrame:
                 kept.append(b" ".join(own))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(words, pa.int64()),
-                 pa.array(gone, pa.int64())], ["doc_id", "kept", "n_words", "n_removed"],
+                 pa.array(gone, pa.int64()), batch["others"]], ["doc_id", "kept", "n_words", "n_removed", "others"],
             )
 
-    return docs.select("doc_id", "text", "spans").mapInArrow(
-        run, "doc_id long, kept string, n_words long, n_removed long"
+    kind = docs.schema["others"].dataType.simpleString()
+    return docs.select("doc_id", "text", "spans", "others").mapInArrow(
+        run, f"doc_id long, kept string, n_words long, n_removed long, others {kind}"
     )
 
 
