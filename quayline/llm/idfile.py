@@ -41,7 +41,7 @@ def encoded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table[:, :BLOCK] = flat.reshape(blocks, BLOCK)
     wide = table >> np.uint64(60) != 0
     # The exponent of a rounded value is its bit length, or one more, which still fits.
-    bits = np.frexp(table.astype(np.float64))[1].astype(np.uint8)
+    bits = np.frexp(table.astype(np.float32))[1].astype(np.uint8)
     selector = np.where(wide[:, :BLOCK], 0, 15).astype(np.uint8)
     most, width = bits, 1
     for choice in range(14, 1, -1):

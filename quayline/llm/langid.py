@@ -30,7 +30,7 @@ class Models:
     languages: list[str]
     symbols: np.ndarray  # by code point: 0 for what is no letter, 1 for a letter without a symbol
     steps: np.ndarray
-    roots: np.ndarray
+    starts: np.ndarray  # by language: the state between phrases
     bits: np.ndarray  # of a phrase, by language
 
 
@@ -92,17 +92,18 @@ def fitted(texts: dict[str, list[str]], most: int = MODEL_SYMBOLS) -> Models:
             row = row[:min(each, share - size)]
             automaton.add(row.tolist(), 0)
             size += len(row)
-        steps = np.full((len(automaton.next), width), base * 2 + 1, np.int64)
-        first = automaton.next[0]
-        for symbol, state in first.items():
+        # Behind the automaton's states stands one for "between phrases": at the start of a piece, and
+        # after a letter that the language doesn't have, which is a phrase of its own.
+        between = base + len(automaton.next) * width
+        steps = np.full((len(automaton.next) + 1, width), between * 2 + 1, np.int64)
+        for symbol, state in automaton.next[0].items():
             steps[:, symbol] = (base + state * width) * 2 + 1
         for state, arrows in enumerate(automaton.next):
             for symbol, to in arrows.items():
                 steps[state, symbol] = (base + to * width) * 2
-        # A letter that no model knows is a phrase of its own, wherever it stands.
-        steps[:, 1] = base * 2 + 1
+        steps[:, 1] = between * 2 + 1
         parts.append(steps.ravel())
-        roots.append(base)
+        roots.append(between)
         bits.append(np.log2(size + 2))
         base += steps.size
     steps = np.concatenate(parts) if parts else np.zeros(0, np.int64)
@@ -114,8 +115,8 @@ def phrases(models: Models, seq: np.ndarray, starts: np.ndarray, sizes: np.ndarr
     order = np.argsort(-sizes, kind="stable")
     starts, lengths = starts[order], sizes[order]
     n, m = len(starts), len(models.languages)
-    state = np.repeat((models.roots * 2).astype(np.int64), n).reshape(m, n)
-    count = np.ones((m, n), np.int32)
+    state = np.repeat((models.starts * 2).astype(np.int64), n).reshape(m, n)
+    count = np.zeros((m, n), np.int32)
     live = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if n else 0) + 1), "right")
     for t, k in enumerate(live.tolist()):
         now = models.steps[(state[:, :k] >> 1) + seq[starts[:k] + t]]

@@ -130,8 +130,8 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY) -> Configurations:
     dual prices are multiplicative weights: they start at a length's share of a sequence and fall as
     the length gets covered. A knapsack dynamic program over the capacity prices all configurations;
     the best one with each length in it takes a step if it is nearly as good as the best of all. The
-    fractional solution is rounded down, then up where demand allows, and what is left is filled in by
-    best fit, longest first. The work depends on the capacity and not on the number of pieces.
+    fractional solution is rounded, up only for full sequences that demand allows, and what is left is
+    filled in by best fit, longest first. The work depends on the capacity and not on the number of pieces.
     """
     found: dict[Config, float] = {}
     left = {length: float(n) for length, n in counts.items() if n}
@@ -195,8 +195,9 @@ def rounded(found: dict[Config, float], counts: dict[int, int], full: float, cap
 
     for config, x in found.items():
         take(config, int(x))
-    for config in sorted(found, key=lambda c: (sum(x * n for x, n in c), found[c] % 1, c), reverse=True):
-        take(config, 1)
+    for config in sorted(found, key=lambda c: (found[c] % 1, c), reverse=True):
+        if found[config] % 1 >= 0.5 and sum(x * n for x, n in config) == capacity:
+            take(config, 1)
     for config, n in best_fit(left, capacity):
         out[config] = out.get(config, 0) + n
     return sorted(out.items())

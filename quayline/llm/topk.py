@@ -31,6 +31,7 @@ def searched(
     without a vec_id or vector and those with a null or non-finite component take no part. Of rows that
     share a vec_id the one with the smallest vector counts. A shorter vector counts as filled up with
     zeros. Other columns are ignored; an empty table gives an empty one, fewer than `k` candidates all.
+    Scores are exact as long as they fit 63 bits.
 
     Blocks of queries meet blocks of candidates in tiles of bounded size, each a group of its own;
     a tile returns `k` rows a query, of which the best remain.
