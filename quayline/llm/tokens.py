@@ -15,12 +15,14 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: The byte tokenizer's words, with any white space between them.
 WORDS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Texts in which blanks and line ends stand alone, and no other white space occurs, need no pattern.
-UNEVEN = re.compile(
-    rb"[ \n]{2}|[\t\x0b-\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80"
-)
-#: A word as letters and marks: tokens never reach from the one part into the other.
+UNEVEN = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\x0b", b"\x0c", b"\r", b"\0")
+UNEVEN_BEYOND = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+UNEVEN_MARKS = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
+#: Letters of Latin-1, with marks after them. Neither composition nor lower case changes their number.
+LATIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?*%#$&|()\"/<>=+\-]*)")
+#: Any word as letters and marks: tokens never reach from the one part into the other.
 PARTS = re.compile(r"(\n?)( ?[^\W\d_]+)([.,;:!?*%#$&|()\"/<>=+\-]*)")
-MEMO, LONG, JOINED = 600_000, 64, 200
+MEMO, LONG, JOINED = 400_000, 64, 400
 
 
 class Encoder:
@@ -37,8 +39,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.blanks = blanks
+        #: Words since the memo was last full, and those before.
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.line = self.ids("\n") if blanks else []
         names = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(names.values()) + 1, bool)
         self.edge[[i for name, i in names.items() if (name[0] == "Ġ" if blanks else name.endswith("</w>"))]] = True
@@ -46,13 +51,13 @@ class Encoder:
     def many(self, raws: Iterable[bytes]) -> list[bytes]:
         """The ids of each text's UTF-8 bytes."""
         cut = [self.cut(raw) for raw in raws]
-        wanted = set().union(*cut)
-        fresh = wanted.difference(self.words)
+        if len(self.words) > MEMO:
+            self.words, self.earlier = {}, self.words
+        fresh = set().union(*cut).difference(self.words)
         if fresh:
-            found = self.resolved(fresh)
-            if len(self.words) + len(found) > MEMO:  # bounded: a full memo keeps what is in use just now
-                self.words = {key: self.words[key] for key in wanted.difference(fresh)}
-            self.words.update(found)
+            again = {key: self.earlier[key] for key in fresh if key in self.earlier}
+            self.words.update(again)
+            self.resolve(fresh.difference(again) if again else fresh)
         get = self.words.__getitem__
         out = [b"".join(map(get, keys)) for keys in cut]
         for key in [key for key in fresh if len(key) > LONG]:
@@ -64,7 +69,7 @@ class Encoder:
             return raw.lower().split()  # A-Z only, as the tokenizer does to all letters anyway
         if not raw:
             return []
-        if UNEVEN.search(raw):
+        if uneven(raw):
             return [b"\r" + word.encode() for word in WORDS.findall(raw.decode())]
         # A word stands for itself with a blank before it, unless a line or the text starts with it.
         keys = raw.replace(b"\n", b" \n").split(b" ")
@@ -76,44 +81,73 @@ class Encoder:
             return key.decode()
         return key[1:].decode() if key[:1] == b"\r" else " " + key.decode()
 
-    def resolved(self, keys: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words that are not in the memo."""
-        split = {}
-        for key in keys:
-            word = self.text(key)
-            match = PARTS.fullmatch(word)
-            split[key] = [part for part in match.groups() if part] if match else [word]
-        wanted = {part for parts in split.values() for part in parts}
-        found = {part: self.parts[part] for part in wanted.intersection(self.parts)}
-        fresh = wanted.difference(found)
-        found |= (new := self.encoded(fresh))
-        if len(self.parts) + len(new) > MEMO:
+    def resolve(self, keys: set[bytes]) -> None:
+        """Add the ids of words that are not in the memo."""
+        if len(self.parts) > MEMO:
             self.parts = {}
-        self.parts.update((k, v) for k, v in new.items() if len(k) <= LONG)
-        return {key: b"".join([found[part] for part in parts]) for key, parts in split.items()}
-
-    def encoded(self, parts: set[str]) -> dict[str, bytes]:
-        # Plain letters of a kind that neither composition nor lower case changes in number.
-        joined = [p for p in parts if p.strip(" ").isalpha() and max(p) < "Ā" and (p[0] == " ") == self.blanks]
-        found = {}
-        for at in range(0, len(joined), JOINED):
-            some = joined[at:at + JOINED]
-            ids = np.array(self.ids(("" if self.blanks else " ").join(some)), "<u4")
-            edges = np.flatnonzero(self.edge[ids])
-            if len(edges) == len(some):
-                ends = [*edges[1:].tolist(), len(ids)] if self.blanks else (edges + 1).tolist()
-                raw, start = ids.tobytes(), 0
-                for part, end in zip(some, ends):
-                    found[part] = raw[4 * start:4 * end]
-                    start = end
-        for part in parts.difference(found):
-            found[part] = np.array(self.ids(part), "<u4").tobytes()
-        return found
+        known, latin = self.parts, LATIN.fullmatch
+        # Most words are Latin letters, perhaps with marks.
+        cut = {key: match.groups() for key in keys if (match := latin(key))}
+        fresh = {word for word, _ in cut.values()}.difference(known)
+        self.joined([word.decode() for word in fresh], known, " " if self.blanks else "")
+        marks = {mark: known.get(b" " + mark) or self.alone(mark.decode()) for mark in {mark for _, mark in cut.values()} if mark}
+        known.update((b" " + mark, ids) for mark, ids in marks.items())
+        marks[b""] = b""
+        self.words.update({key: known[word] + marks[mark] for key, (word, mark) in cut.items()})
+        others = {key: self.split(self.text(key)) for key in keys if key not in cut}
+        wanted = {part for parts in others.values() for part in parts}
+        found: dict[bytes, bytes] = {}
+        starts = [part for part in wanted if part.isalpha() and latin(part.encode())]
+        self.joined(starts, found, "")
+        ids = {part: found.get(part.encode()) or self.alone(part) for part in wanted}
+        self.words.update({key: b"".join([ids[part] for part in parts]) for key, parts in others.items()})
+
+    def split(self, word: str) -> list[str]:
+        match = PARTS.fullmatch(word)
+        return [part for part in match.groups() if part] if match else [word]
+
+    def alone(self, part: str) -> bytes:
+        return np.array(self.ids(part), "<u4").tobytes()
+
+    def joined(self, words: list[str], found: dict[bytes, bytes], lead: str) -> None:
+        """Add the ids of words of Latin letters to `found`, each as if `lead` stood before it."""
+        for at in range(0, len(words), JOINED):
+            some = words[at:at + JOINED]
+            self.told_apart(some, lead, found)
+            for word in some:
+                if word.encode() not in found:
+                    found[word.encode()] = self.alone(lead + word)
+
+    def told_apart(self, some: list[str], lead: str, found: dict[bytes, bytes]) -> None:
+        """Encode words together: between them stands a token of their own, or a mark on their first or last."""
+        between = lead or ("\n" if self.blanks else " ")
+        ids = np.array(self.ids(lead + between.join(some)), "<u4")
+        if between == "\n":
+            edges = np.flatnonzero(ids == self.line[0])
+            starts, ends = [0, *(edges + 1).tolist()], [*edges.tolist(), len(ids)]
+        elif lead:
+            starts = np.flatnonzero(self.edge[ids]).tolist()
+            ends = [*starts[1:], len(ids)]
+        else:
+            ends = (np.flatnonzero(self.edge[ids]) + 1).tolist()
+            starts = [0, *ends[:-1]]
+        if len(starts) == len(some):  # else each is encoded alone
+            raw = ids.tobytes()
+            found.update({word.encode(): raw[4 * a:4 * b] for word, a, b in zip(some, starts, ends)})
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
+def uneven(raw: bytes) -> bool:
+    """Whether white space other than single blanks and line ends may occur."""
+    if any(blank in raw for blank in UNEVEN):
+        return True
+    if raw.isascii():
+        return False
+    return any(blank in raw for blank in UNEVEN_BEYOND) or b"\xe2\x80" in raw and bool(UNEVEN_MARKS.search(raw))
+
+
 @cache
 def encoder(path: str, blanks: bool) -> Encoder:
     """One for each Python worker, kept from task to task. `blanks`: white space is text to the tokenizer."""
