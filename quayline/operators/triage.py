@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quayline import config
 from quayline.functions import messages as M, scalars as S
@@ -67,7 +67,7 @@ def assessment(as_of: date) -> Column:
             ),
         )
         .when(
-            F.col("first_ship_date").isNotNull(),
+            F.col("first_ship_date").isNotNull() & (status != "CANCELLED"),
             F.concat(F.lit("Order shipped "), ago("first_ship_date"),
                      F.lit(" days ago, still in transit.")),
         )
@@ -80,7 +80,7 @@ def assessment(as_of: date) -> Column:
                      F.lit(" ("), ago("sent_to_wh_date"), F.lit(" days ago). Not yet shipped.")),
         )
         .when(
-            F.col("first_ship_date").isNotNull(),
+            F.col("first_ship_date").isNotNull() & (status != "CANCELLED"),
             F.concat(F.lit("Order actually shipped on "), day_text("first_ship_date"),
                      F.lit(". Tracking: "), F.coalesce("tracking_numbers", F.lit("n/a")),
                      F.lit(".")),
@@ -253,10 +253,7 @@ def duplicate_tickets(tickets: DataFrame) -> DataFrame:
 
 
 def mix(df: DataFrame, *keys: str) -> DataFrame:
-    """Count and share of all rows for each key; the total is a scalar subquery."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("tickets"))
-        .withColumn("share_pct", S.share_percent(F.col("tickets"), total))
-    )
+    """Count and share of all rows for each key; the total adds up the counts, one row a key."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("tickets"))
+    total = F.sum("tickets").over(Window.partitionBy(F.lit(1)))
+    return counted.withColumn("share_pct", S.share_percent(F.col("tickets"), total))

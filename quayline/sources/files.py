@@ -50,25 +50,53 @@ def receipts_from_text(raw: DataFrame, sequence: Column | None = None) -> DataFr
     return raw.select(*columns, *extra)
 
 
-def read_receipts_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Receipts from CSV files with a header; a byte-order mark and header aliases are accepted."""
-    raw = spark.read.option("header", True).option("multiLine", False).csv(path)
-    return receipts_from_text(raw, file_order())
+#: Standard quoting: a quote within quotes is doubled, and blanks belong to the text.
+CSV_QUOTES = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+CSV_WIDTH = 64
 
 
-def read_result_json(spark: SparkSession, path: str) -> DataFrame:
+def read_receipts_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """Receipts from CSV files with a header; a byte-order mark and header aliases are accepted.
+
+    Fields are taken by their names in the header of their own file, so files of one folder may order
+    their columns differently. Fields may hold line breaks; without `line_breaks` they may not, and
+    Spark splits large files over tasks.
+    """
+    wide = ", ".join(f"_c{n} string" for n in range(CSV_WIDTH))
+    raw = spark.read.schema(wide).options(**CSV_QUOTES, multiLine=line_breaks).csv(path)
+    rows = raw.select(
+        F.array(*raw.columns).alias("_cells"), file_order().alias("sequence"), F.col("_metadata.file_path").alias("_file")
+    )
+    first = rows.groupBy("_file").agg(
+        F.min_by(F.transform("_cells", lambda c: F.replace(c, F.lit("\ufeff"), F.lit(""))), "sequence").alias("_header"),
+        F.min("sequence").alias("_top"),
+    )
+    named = rows.join(first, "_file").filter(F.col("sequence") > F.col("_top"))
+    columns = []
+    for name in config.RECEIPT_COLUMNS:
+        places = [
+            F.nullif(F.array_position("_header", header), F.lit(0))
+            for header in (name.upper(), name, *config.RECEIPT_HEADER_ALIASES.get(name, []))
+        ]
+        columns.append(F.get("_cells", F.coalesce(*places).cast("int") - 1).alias(name.upper()))
+    return receipts_from_text(named.select(*columns, "sequence"), F.col("sequence"))
+
+
+def read_result_json(spark: SparkSession, path: str, schema: str | None = None, by_line: bool = False) -> DataFrame:
     """Rows of a result document: `{"data": [...]}`, `{"rows": [...]}` or a bare list.
 
-    Rows with differing keys get the union of the keys.
+    Rows with differing keys get the union of the keys. A whole-file document is read by one task;
+    with `by_line` every line is a document of its own, and large files are split.
     """
-    return rows_of(spark.read.option("multiLine", True).json(path))
+    reader = spark.read.option("multiLine", not by_line)
+    return rows_of((reader.schema(schema) if schema else reader).json(path))
 
 
 def rows_of(document: DataFrame) -> DataFrame:
     """The rows that result documents hold; a document that is a row already stays one."""
-    for field in ("data", "rows"):
-        if field in document.columns:
-            return document.select(F.inline(field))
+    for name in ("data", "rows"):
+        if name in document.columns and document.schema[name].dataType.simpleString().startswith("array<struct"):
+            return document.select(F.inline(name))
     return document
 
 
@@ -83,7 +111,8 @@ def run_sql(spark: SparkSession, text: str, params: dict, **frames: DataFrame) -
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV files with a header and standard quoting; blanks around a text stay."""
+    df.write.mode("overwrite").options(**CSV_QUOTES, header=True).csv(path)
 
 
 def warehouse_table(

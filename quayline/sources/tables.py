@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -26,19 +27,58 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
 
 # --- full refresh ------------------------------------------------------------------------------
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it takes it; on the driver only."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    fs, place = file_system(spark, path)
+    fs.delete(place, True)
+
+
+def swap_folder(spark: SparkSession, staged: str, target: str) -> None:
+    """Put a finished folder in a target's place by renames, which move no data."""
+    fs, new = file_system(spark, staged)
+    old = file_system(spark, f"{target}__old_{uuid.uuid4().hex}")[1]
+    place = file_system(spark, target)[1]
+    had = fs.exists(place)
+    if had:
+        fs.rename(place, old)
+    fs.rename(new, place)
+    if had:
+        fs.delete(old, True)
+
+
 def full_refresh(
     df: DataFrame, target: str, order: list[Column | str] | None = None, as_table: bool = False
 ) -> int:
-    """Replace a table by the DataFrame plus a sync stamp; the row count is read back from it."""
+    """Replace a table by the DataFrame plus a sync stamp; the row count is read back from it.
+
+    The rows are written beside the target first, and take its place only when they are complete: a
+    refresh that fails leaves the table as it was.
+    """
+    spark = df.sparkSession
     stamped = df.withColumn("synced_at", F.current_timestamp())
     if order:
         stamped = R.clustered_for_write(stamped, *order)
-    writer = stamped.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if as_table:
-        writer.format("parquet").saveAsTable(target)
-        return df.sparkSession.table(target).count()
-    writer.parquet(target)
-    return df.sparkSession.read.parquet(target).count()
+        staged = f"{target}__new_{uuid.uuid4().hex}"
+        try:
+            stamped.write.format("parquet").saveAsTable(staged)
+            spark.sql(f"DROP TABLE IF EXISTS {target}")
+            spark.sql(f"ALTER TABLE {staged} RENAME TO {target}")
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {staged}")
+        return spark.table(target).count()
+    staged = f"{target}__new_{uuid.uuid4().hex}"
+    try:
+        stamped.write.parquet(staged)
+        swap_folder(spark, staged, target)
+    finally:
+        drop_folder(spark, staged)
+    return spark.read.parquet(target).count()
 
 
 @dataclass
@@ -208,28 +248,37 @@ def upsert(
         .parquet(target)
     )
     changes = {r["_change"]: r["count"] for r in staged.groupBy("_change").count().collect()}
+    drop_folder(spark, staging)
     return UpsertResult(*[changes.get(c, 0) for c in ("inserted", "updated", "unchanged")])
 
 
 def load_receipts(spark: SparkSession, target: str, batch: DataFrame, fetched_at: Column) -> UpsertResult:
-    """Gate a receipt file's rows and upsert the good ones; bad rows go beside the table."""
+    """Gate a receipt file's rows and upsert the good ones; bad rows go beside the table.
+
+    The bad rows of a load have a folder named by their content, so the same load replaces its own.
+    """
     gated = receipt_gate(batch)
     bad = quarantined(gated)
-    bad.write.mode("append").parquet(f"{target}_quarantine")
+    content = [c for c in bad.columns if c != "sequence"]
+    rejected, digest = bad.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*content).cast("decimal(20,0)"))).first()
+    if rejected:
+        bad.write.mode("overwrite").parquet(f"{target}_quarantine/load={rejected}-{abs(int(digest))}")
     good = (
         accepted(gated).drop("bad_number")
         .withColumn("adjustment_date", F.col("adjustment_date").cast("date"))
         .withColumn("fetched_at", fetched_at)
     )
     result = upsert(spark, target, good, config.RECEIPT_KEY, "adjustment_date")
-    result.rejected = bad.count()
+    result.rejected = rejected
     return result
 
 
 # --- incremental load --------------------------------------------------------------------------
 
-def new_rows(source: DataFrame, cursor: str, high_water_mark) -> DataFrame:
-    """Rows past the mark; all rows when there is none. The filter reaches the scan."""
+def new_rows(source: DataFrame, cursor: str, high_water_mark, upto=None) -> DataFrame:
+    """Rows past the mark and up to `upto`; all rows when there is no mark. The filter reaches the scan."""
+    if upto is not None:
+        source = source.filter(F.col(cursor) <= F.lit(upto))
     if high_water_mark is None:
         return source
     return source.filter(F.col(cursor) > F.lit(high_water_mark))
@@ -262,7 +311,11 @@ def sync_incremental(
     if states is not None:
         row = newest_state(states.filter(F.col("connection") == connection)).first()
         mark = None if row is None else row["high_water_mark"]
-    rows = new_rows(source, cursor, mark)
+    # The new mark first: rows that arrive during the load are past it, and the next load takes them.
+    upto = source.agg(F.max(cursor)).first()[0]
+    if upto is None or mark is not None and upto <= mark:
+        return UpsertResult(0, 0, 0)
+    rows = new_rows(source, cursor, mark, upto)
     batch = (
         rows.withColumn("key_bucket", key_bucket(keys, buckets))
         .withColumn("sequence", F.col(cursor))
@@ -270,9 +323,9 @@ def sync_incremental(
     )
     result = upsert(spark, target, batch, ["key_bucket", *keys], "key_bucket")
     (
-        rows.agg(F.max(cursor).alias("high_water_mark"))
-        .filter(F.col("high_water_mark").isNotNull())
-        .select(F.lit(connection).alias("connection"), "high_water_mark",
+        source.select(cursor).limit(0).agg(F.max(cursor).alias("high_water_mark"))
+        .select(F.lit(connection).alias("connection"),
+                F.lit(upto).cast(source.schema[cursor].dataType).alias("high_water_mark"),
                 F.current_timestamp().alias("updated_at"))
         .write.mode("append").parquet(state_path)
     )

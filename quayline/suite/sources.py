@@ -52,18 +52,20 @@ def read_result_json(t):
         F.col("l_returnflag"),
     )
     t.lineitem.select(F.array(row).alias("data")).write.json(path)
-    # Every line of the files is a document of its own here, so they are read line by line.
-    documents = t.spark.read.schema(
-        "data array<struct<l_orderkey bigint, l_partkey bigint, quantity bigint, l_returnflag string>>"
-    ).json(path)
-    return files.rows_of(documents)
+    schema = "data array<struct<l_orderkey bigint, l_partkey bigint, quantity bigint, l_returnflag string>>"
+    return files.read_result_json(t.spark, path, schema, by_line=True)
 
 
-@case("export_csv", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+@case("export_csv", """
+    SELECT p_partkey, ' ' || p_name || ', ' || chr(34) || p_brand || chr(34) || chr(10) || 'x ' AS p_name, p_brand, p_type,
+           p_size, p_retailprice FROM part""")
 def export_csv(t):
+    """Texts with commas, quotes, line breaks and blanks around them come back as they were."""
     path = scratch_path(t.spark, "export")
-    files.write_csv(t.part, path)
-    return t.spark.read.csv(path, header=True, schema=t.part.schema)
+    text = F.concat(F.lit(" "), "p_name", F.lit(', "'), "p_brand", F.lit('"\nx '))
+    rows = t.part.withColumn("p_name", text)
+    files.write_csv(rows, path)
+    return t.spark.read.options(**files.CSV_QUOTES).csv(path, header=True, schema=rows.schema, multiLine=True)
 
 
 @case("warehouse_source", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01'")

@@ -99,14 +99,14 @@ ASSESSMENT_SQL = f"""
                      || {day_sql('last_delivery_date')} || ', '
                      || DATE_DIFF('day', ordered_date, last_delivery_date) || ' days after order. Transit was '
                      || {text_sql('transit_days')} || ' days.'
-                WHEN first_ship_date IS NOT NULL THEN 'Order shipped ' || {AGO.format('first_ship_date')}
+                WHEN first_ship_date IS NOT NULL AND order_status <> 'CANCELLED' THEN 'Order shipped ' || {AGO.format('first_ship_date')}
                      || ' days ago, still in transit.'
                 ELSE {UNSHIPPED} END
          ELSE
            CASE WHEN order_status = 'AT_WAREHOUSE' THEN 'Order sent to warehouse on '
                      || {day_sql('sent_to_wh_date')} || ' (' || {AGO.format('sent_to_wh_date')}
                      || ' days ago). Not yet shipped.'
-                WHEN first_ship_date IS NOT NULL THEN 'Order actually shipped on '
+                WHEN first_ship_date IS NOT NULL AND order_status <> 'CANCELLED' THEN 'Order actually shipped on '
                      || {day_sql('first_ship_date')} || '. Tracking: ' || {text_sql('tracking_numbers')} || '.'
                 WHEN order_status = 'ORDERED' THEN 'Order placed on ' || {day_sql('ordered_date')}
                      || ' but not yet sent to warehouse.'

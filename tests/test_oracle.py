@@ -5,9 +5,10 @@ from compare import connect, differences
 from conftest import SMALL
 
 import __spark_entry__ as contract
+from quayline.suite import registry
 
-QUERIES = contract.queries()
-CHECKS = contract.oracle_sql()
+QUERIES = registry.queries()
+CHECKS = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -1,3 +1,4 @@
+import csv
 import json
 from datetime import date, datetime
 
@@ -29,6 +30,26 @@ def test_header_presence_decides_the_alias(spark, tmp_path):
     assert files.read_receipts_csv(spark, path).first().facility_id == ""
 
 
+def test_csv_with_standard_quotes_and_headers_in_any_order(spark, tmp_path):
+    header = ["ITEM_CODE", "ITEM_DESCRIPTION", "AVL_QUANTITY"]
+    odd = '24" screen, "new"\nboxed '
+    for name, order in {"a": header, "b": header[::-1]}.items():
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as file:
+            writer = csv.DictWriter(file, order)
+            writer.writeheader()
+            writer.writerow({"ITEM_CODE": name, "ITEM_DESCRIPTION": odd, "AVL_QUANTITY": "7"})
+    found = files.read_receipts_csv(spark, str(tmp_path)).orderBy("item_code").collect()
+    assert [(r.item_code, r.item_description, r.avl_quantity, r.bad_number) for r in found] == [("a", odd, 7, []), ("b", odd, 7, [])]
+
+
+def test_exported_csv_is_read_by_others(spark, tmp_path):
+    rows = [(1, ' "quoted", with\nbreak '), (2, "plain"), (3, 'back\\slash "')]
+    files.write_csv(spark.createDataFrame(rows, "id int, text string").coalesce(1), str(tmp_path / "out"))
+    part = next((tmp_path / "out").glob("part-*.csv"))
+    with part.open(newline="", encoding="utf-8") as file:
+        assert [(int(r["id"]), r["text"]) for r in csv.DictReader(file)] == rows
+
+
 def test_json_forms(spark, tmp_path):
     ragged = [{"item_code": "A", "avl_quantity": 1}, {"item_code": "B", "extra": "x"}]
     for name, document in {"data": {"data": ragged}, "rows": {"rows": ragged, "columns": ["item_code"]}, "list": ragged}.items():
@@ -74,8 +95,9 @@ def test_upsert_is_idempotent_and_counts_truthfully(spark):
     changed = load(spark, target, [receipt("2024-01-02", "B", 9, None), receipt("2024-01-03", "E", 1)])
     assert (changed.inserted, changed.updated, changed.unchanged) == (1, 1, 0)
     assert content() == [(date(2024, 1, 1), "A", 2), (date(2024, 1, 2), "B", 9), (date(2024, 1, 3), "E", 1)]
-    quarantine = spark.read.parquet(f"{target}_quarantine").filter("item_code = 'D'").first()
-    assert quarantine.violations == ["adjustment_date_check"]
+    quarantine = spark.read.parquet(f"{target}_quarantine")
+    assert quarantine.filter("item_code = 'D'").first().violations == ["adjustment_date_check"]
+    assert quarantine.count() == 2  # the same file loaded twice
 
 
 def test_incremental_reads_past_the_mark_only(spark):
@@ -115,6 +137,18 @@ def test_jobs_isolate_failures_and_skip_dependents(spark):
     assert rows == {"a": ("error", 0), "b": ("skipped", 0), "c": ("success", 3), "d": ("error", 0)}
 
 
+def test_a_failed_refresh_leaves_the_table(spark):
+    target = scratch_path(spark, "kept")
+    assert tables.full_refresh(spark.range(3).toDF("id"), target) == 3
+    broken = spark.range(3).select(F.raise_error(F.lit("half way")).alias("id"))
+    try:
+        tables.full_refresh(broken, target)
+    except Exception as error:
+        assert "half way" in str(error)
+    assert spark.read.parquet(target).count() == 3
+    assert tables.full_refresh(spark.range(5).toDF("id"), target) == 5
+
+
 def test_schema_drift(spark):
     old = files.discover_schema({"t": spark.createDataFrame([], "a int, b string")})
     new = files.discover_schema({"t": spark.createDataFrame([], "a bigint, c string")})
