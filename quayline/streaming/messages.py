@@ -121,12 +121,12 @@ def batch_folder(base: str, batch_id: int) -> str:
 
 
 def quota_writer(
-    base: str, quota: int = config.CHANNEL_QUOTA, now: Column | None = None
+    base: str, quota: int = config.CHANNEL_QUOTA, still_open: Callable[[DataFrame], DataFrame] | None = None
 ) -> Callable[[DataFrame, int], None]:
     """Per micro-batch: join the messages left over, answer up to the quota, keep the rest.
 
     A folder for each batch holds what it answered and what then waits. Only the batch before is read;
-    with `now`, waiting messages older than the age limit are given up.
+    of its waiting messages `still_open` keeps those that may still be answered.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -136,7 +136,7 @@ def quota_writer(
             left = read_if_exists(spark, batch_folder(f"{base}/state", batch_id - 1))
             if left is not None:
                 left = left.filter("state = 'pending'").drop("state")
-                waiting = batch.unionByName(left if now is None else within_age(left, now))
+                waiting = batch.unionByName(still_open(left) if still_open else left)
         split_by_quota(waiting, quota).write.mode("overwrite").parquet(
             batch_folder(f"{base}/state", batch_id)
         )
@@ -285,6 +285,34 @@ def triage_writer(
     return write
 
 
+def listener_writer(
+    base: str, tables: Callable[[SparkSession], tuple[DataFrame, DataFrame, DataFrame]],
+    replies: Callable[[SparkSession], DataFrame], bot: str, now: Column | None = None,
+    quota: int = config.CHANNEL_QUOTA,
+) -> Callable[[DataFrame, int], None]:
+    """Per micro-batch, the whole way of a message from its arrival to its answer.
+
+    Young enough, of a kind that is answered, not seen before, a question, in a thread without an
+    answer, within the channel's quota: such messages get an answer from the tables as they are at
+    that moment. What the quota leaves over waits for the next batch and is then looked at again.
+    Messages need a `thread_id`. Answers are in `base`/answers, a folder for each batch.
+    """
+    once = once_writer(f"{base}/once")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        unanswered = lambda messages: without_answer(messages, replies(spark), bot)
+        once(questions_only(without_types(within_age(batch, now), bot=bot)), batch_id)
+        fresh = spark.read.parquet(batch_folder(f"{base}/once/messages", batch_id)).drop("event_day")
+        limited = quota_writer(f"{base}/quota", quota, lambda left: unanswered(within_age(left, now)))
+        limited(unanswered(fresh), batch_id)
+        state = spark.read.parquet(batch_folder(f"{base}/quota/state", batch_id))
+        due = state.filter("state = 'answered'").drop("state")
+        answers(due, *tables(spark)).write.mode("overwrite").parquet(batch_folder(f"{base}/answers", batch_id))
+
+    return write
+
+
 def config_writer(
     base: str, overrides: Callable[[SparkSession], DataFrame]
 ) -> Callable[[DataFrame, int], None]:

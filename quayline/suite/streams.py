@@ -158,6 +158,27 @@ def stream_triage(t):
     return found.select("event_id", "intent", "requested", "answer")
 
 
+@case("stream_listener", f"""
+    SELECT a.event_id, a.intent, a.requested, a.answer FROM ({answer_sql()}) a JOIN (
+        SELECT event_id, ROW_NUMBER() OVER (PARTITION BY channel ORDER BY CAST(message_ts AS DOUBLE)) AS place
+        FROM channel_messages
+        WHERE ts >= {NOW_SQL} - INTERVAL 2 HOUR AND (subtype IS NULL OR subtype NOT IN ('channel_join', 'bot_message'))
+          AND author <> 'U7' AND reply_count <> 2 AND {question_sql('body')}) e
+      ON e.event_id = a.event_id AND e.place <= 3 * {FILES}""")
+def stream_listener(t):
+    """All arrive in the first batch and again in the next; every batch answers three of each channel."""
+    base, path, progress = (scratch_path(t.spark, n) for n in ("listener", "arriving", "progress"))
+    messages = channel_messages(t).withColumn("thread_id", F.concat_ws(":", "channel", "message_ts"))
+    # Two replies in a thread mean that the bot has been there.
+    replies = messages.filter("reply_count = 2").select("thread_id", F.lit("U7").alias("author"))
+    write = B.listener_writer(
+        base, lambda spark: (*curated(t), t.delivery_lines), lambda spark: replies, "U7", F.lit(NOW).cast("timestamp"))
+    for n in range(FILES):
+        (messages if n < 2 else messages.limit(0)).coalesce(1).write.mode("append").parquet(path)
+        B.run_to_end(B.message_stream(t.spark, path, messages.schema, 1), progress, write)
+    return t.spark.read.parquet(f"{base}/answers").select("event_id", "intent", "requested", "answer")
+
+
 @case("stream_refresh_config", OVERRIDES_SQL)
 def stream_refresh_config(t):
     path = scratch_path(t.spark, "settings")
