@@ -22,8 +22,6 @@ PO_COLUMNS = [
 ]
 
 # --- fixed values: statuses --------------------------------------------------------------------
-SOURCE_TYPES = ["snowflake", "looker", "gmail", "gdrive"]
-SOURCE_STATUSES = ["active", "paused", "error"]
 RUN_STATUSES = ["running", "success", "error", "skipped"]
 ACTIVE_PHASES = ["Released", "In Production"]
 CLOSED_ORDER_STATUSES = ["DELIVERED", "CANCELLED"]
@@ -77,8 +75,6 @@ TRANSCRIPT_STOP_MARKERS = ["Showing only recent", "messages_requested"]
 # --- fixed values: listener limits -------------------------------------------------------------
 MESSAGE_MAX_AGE = "2 hours"
 CHANNEL_QUOTA = 3
-MENTION_QUOTA = 2
-BATCH_QUOTA = 5
 CHANNEL_DEFAULTS = {"escalation_cc": False, "disclaimer": False}
 ANSWER_ROW_CAP = 50
 HISTORY_ROWS = 20

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quayline import config
 from quayline.functions import scalars as S
 from quayline.operators import relational as R
+from quayline.sources.tables import Job
 
 # name -> (function, names of the tables it needs first)
 PIPELINES: dict[str, tuple[Callable, list[str]]] = {}
@@ -26,6 +27,30 @@ def pipeline(name: str, needs: tuple[str, ...] = ()):
     return register
 
 
+#: How the rows of a refreshed table are laid out.
+LAYOUTS = {
+    "products": ["item_number"], "po_lines": ["po_number", "po_line_number"], "inventory_eod": ["snapshot_date", "facility"],
+    "goods_receipts": ["adjustment_date", "facility_id", "item_code"], "delivery_orders": ["order_number"],
+    "shipments": ["order_token"],
+}
+
+
+def refresh_jobs(folder: str, sources: dict[str, Callable[[], tuple]]) -> list[Job]:
+    """A job for each curated table below `folder`, after the jobs it needs; `sources` gives each one's arguments."""
+    done: dict[str, Job] = {}
+
+    def add(name: str) -> None:
+        if name not in done:
+            build, needs = PIPELINES[name]
+            for need in needs:
+                add(need)
+            done[name] = Job(name, lambda: build(*sources[name]()), f"{folder}/{name}", LAYOUTS[name], needs)
+
+    for name in PIPELINES:
+        add(name)
+    return list(done.values())
+
+
 PACKAGING_RENAMES = {"serialized_item": "pkg_serialized_item", "coo": "pkg_coo"}
 
 

@@ -229,18 +229,28 @@ def source_registry(t):
 
 @case("refresh_summary", f"""
     SELECT 'products' AS name, 'success' AS status, (SELECT COUNT(*) FROM ({C.PRODUCTS_SQL})) AS rows
+    UNION ALL SELECT 'po_lines', 'success', (SELECT COUNT(*) FROM po_details)
+    UNION ALL SELECT 'inventory_eod', 'success', (SELECT COUNT(*) FROM onhand_eod WHERE snapshot_date >= DATE '2000-06-30' - 90)
+    UNION ALL SELECT 'goods_receipts', 'success', (SELECT COUNT(*) FROM ({C.RECEIPTS_SQL}))
+    UNION ALL SELECT 'delivery_orders', 'success', (SELECT COUNT(*) FROM ({C.DELIVERY_SQL}))
+    UNION ALL SELECT 'shipments', 'success', (SELECT COUNT(*) FROM ({C.SHIPMENTS_SQL}))
     UNION ALL SELECT 'broken', 'error', 0
-    UNION ALL SELECT 'after_broken', 'skipped', 0
-    UNION ALL SELECT 'receipts', 'success', (SELECT COUNT(*) FROM ({C.RECEIPTS_SQL}))""")
+    UNION ALL SELECT 'after_broken', 'skipped', 0""")
 def refresh_summary(t):
+    """The six curated tables with what each needs first, one job that fails and one that needs it."""
     folder = scratch_path(t.spark, "refresh")
-    jobs = [
-        tables.Job("products", lambda: P.products_current(t.product_revisions, t.packaging_versions),
-                   f"{folder}/products", ["item_number"]),
+    refreshed = lambda name: t.spark.read.parquet(f"{folder}/{name}").drop("synced_at")
+    sources = {
+        "products": lambda: (t.product_revisions, t.packaging_versions),
+        "po_lines": lambda: (t.po_details,),
+        "inventory_eod": lambda: (t.onhand_eod, refreshed("products"), AS_OF),
+        "goods_receipts": lambda: (t.receipts_source, C.TENANTS, C.FACILITIES),
+        "delivery_orders": lambda: (t.delivery_lines,),
+        "shipments": lambda: (t.outbound_lines, AS_OF),
+    }
+    jobs = P.refresh_jobs(folder, sources) + [
         tables.Job("broken", lambda: t.events.select("no_such_column"), f"{folder}/broken"),
         tables.Job("after_broken", lambda: t.events, f"{folder}/after", needs=["broken"]),
-        tables.Job("receipts", lambda: P.goods_receipts(t.receipts_source, C.TENANTS, C.FACILITIES),
-                   f"{folder}/receipts", ["adjustment_date", "facility_id", "item_code"]),
     ]
     return tables.run_jobs(t.spark, jobs).select("name", "status", "rows")
 
