@@ -10,17 +10,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayline.llm.common import slices, texts
+from quayline.llm.common import in_batches, slices, texts
 from quayline.llm.tokens import encoder
 
 #: By selector: values in a word, and bits of each. Selector 0 is the escape: the word holds the
 #: place of one value of over 60 bits among the segment's escapes. Selector 1 isn't used.
 COUNTS = np.array([1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+#: Bit lengths of small values.
+SMALL = np.concatenate([[0], np.repeat(np.arange(1, 17), 1 << np.arange(16))]).astype(np.uint8)
 #: Values in a block; each block starts with a new word.
 BLOCK = 1024
 #: A row of the file, its segment, takes documents up to about this much text.
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 4 << 20
+#: Words of the encoder's memo; nothing else of weight runs beside it here.
+MEMO = 450_000
 FIELDS = (
     "part int, start long, doc_ids array<long>, counts array<int>, "
     "words binary, block_words array<int>, escapes binary"
@@ -34,46 +38,56 @@ def encoded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     are; then all blocks advance together, a word at a time.
     """
     n = len(values)
-    blocks = -(-n // BLOCK)
-    table = np.zeros((blocks, BLOCK + int(COUNTS.max())), np.uint64)
+    blocks, width = -(-n // BLOCK), BLOCK + int(COUNTS.max())
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[:n] = values
-    table[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    wide = table >> np.uint64(60) != 0
-    # The exponent of a rounded value is its bit length, or one more, which still fits.
-    bits = np.frexp(table.astype(np.float32))[1].astype(np.uint8)
-    selector = np.where(wide[:, :BLOCK], 0, 15).astype(np.uint8)
-    most, width = bits, 1
+    bits = np.zeros((blocks, width), np.uint8)
+    if n and int(values.max()) < len(SMALL):
+        bits[:, :BLOCK] = SMALL[flat].reshape(blocks, BLOCK)
+        selector = np.full((blocks, BLOCK), 15, np.uint8)
+    else:
+        # The exponent of a rounded value is its bit length, or one more, which still fits.
+        bits[:, :BLOCK] = np.frexp(flat.astype(np.float32))[1].astype(np.uint8).reshape(blocks, BLOCK)
+        selector = np.where(flat >> np.uint64(60) != 0, 0, 15).astype(np.uint8).reshape(blocks, BLOCK)
+    most, run = bits, 1
     for choice in range(14, 1, -1):
-        while width < COUNTS[choice]:
-            most = np.maximum(most[:, :-1], bits[:, width:])
-            width += 1
+        while run < COUNTS[choice]:
+            most = np.maximum(most[:, :-1], bits[:, run:])
+            run += 1
         fit = most[:, :BLOCK] <= BITS[choice]
         if not fit.any():  # then longer runs of smaller values don't fit either
             break
-        selector[fit] = choice
-    size = np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
-    block, at = np.arange(blocks), np.zeros(blocks, np.int64)
-    taken = []
+        np.copyto(selector, np.uint8(choice), where=fit)
+    selector = selector.ravel()
+    end = np.minimum((np.arange(blocks) + 1) * BLOCK, n)
+    block, at = np.arange(blocks), np.arange(blocks) * BLOCK
+    count, taken = np.zeros(blocks, np.int64), []
     while len(block):
         taken.append((block, at))
-        at = at + COUNTS[selector[block, at]]
-        live = at < size[block]
+        count[block] += 1
+        at = at + COUNTS[selector[at]]
+        live = at < end[block]
         block, at = block[live], at[live]
-    block, at = (np.concatenate([t[i] for t in taken]) if taken else np.zeros(0, np.int64) for i in (0, 1))
-    order = np.lexsort((at, block))
-    block, at = block[order], at[order]
-    chosen = selector[block, at]
+    # A block's words stand together, in the order in which they were taken.
+    first = np.cumsum(count) - count
+    place = np.zeros(int(count.sum()), np.int64)
+    for step, (block, at) in enumerate(taken):
+        place[first[block] + step] = at
+    chosen = selector[place]
     words = chosen.astype(np.uint64) << np.uint64(60)
+    escaped = chosen == 0
+    padded = np.concatenate([flat, np.zeros(int(COUNTS.max()), np.uint64)])
+    last = np.repeat(end, count)
     for choice in np.unique(chosen).tolist():
         mine = np.flatnonzero(chosen == choice)
         if choice:
+            start, upto = place[mine], last[mine]
             for j in range(COUNTS[choice]):
-                words[mine] |= table[block[mine], at[mine] + j] << np.uint64(j * BITS[choice])
+                value = padded[start + j] << np.uint64(j * BITS[choice])
+                words[mine] |= value if j == 0 else np.where(start + j < upto, value, np.uint64(0))
         else:
             words[mine] |= np.arange(len(mine), dtype=np.uint64)
-    escaped = chosen == 0
-    return words, np.searchsorted(block, np.arange(blocks)).astype(np.int32), table[block[escaped], at[escaped]]
+    return words, first.astype(np.int32), flat[place[escaped]]
 
 
 def decoded(words: np.ndarray, block_words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
@@ -112,7 +126,7 @@ def write_ids(
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, start = encoder(tokenizer, blanks=True).many, TaskContext.get().partitionId(), 0
+        encode, part, start = encoder(tokenizer, blanks=True, memo=MEMO).many, TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, "text", SEGMENT_BYTES):
             parts = [ids + end for ids in encode(texts(batch["text"]))]
@@ -128,7 +142,7 @@ def write_ids(
             ]))
             start += len(ids)
 
-    ordered.mapInArrow(run, FIELDS).write.parquet(path)
+    in_batches(ordered).mapInArrow(run, FIELDS).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
