@@ -17,6 +17,8 @@ from quayline.llm.common import read_table, stored
 
 #: Letters of a phrase below which no learned language explains a text: its letters come one by one.
 LEAST_PHRASE = 1.5
+#: The encoder's memo: small, since the Python workers of the other stages stay beside it.
+ENCODER_WORDS = 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -48,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The pieces of all documents with their place in sequences of 4096 tokens."""
-    return packing.packed(docs)
+    return packing.packed(docs, memo=ENCODER_WORDS)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

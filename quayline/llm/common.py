@@ -31,6 +31,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch of texts. Executor and Python worker hold a few batches each.
+BATCH_ROWS, BATCH_BYTES = 4000, "12m"
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """The DataFrame, in a session whose Arrow batches are bounded for long texts."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def fold(key: Column, parts: int) -> Column:
     """crc32 of the key as text, modulo `parts`; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(parts)

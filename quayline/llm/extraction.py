@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayline.llm.common import slices
+from quayline.llm.common import in_batches, slices
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
@@ -304,4 +304,4 @@ def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
             )
 
     kind = rows.drop("html").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
-    return rows.mapInArrow(run, kind)
+    return in_batches(rows).mapInArrow(run, kind)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayline.llm.common import M1, mixed, slices, stored, text_buffer, word_bounds, word_hashes
+from quayline.llm.common import M1, in_batches, mixed, slices, stored, text_buffer, word_bounds, word_hashes
 
 #: Shares of documents that a term of the lexicon may occur in: its band of inverse document frequency.
 RAREST, COMMONEST = 0.002, 0.1
@@ -67,7 +67,7 @@ def document_frequencies(rows: DataFrame, known: np.ndarray | None, least: float
             ["term", "n"],
         )
 
-    return rows.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return in_batches(rows).select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def among(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:

@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import fold, slices, text_buffer
+from quayline.llm.common import fold, in_batches, slices, text_buffer
 from quayline.llm.substring import SuffixAutomaton
 
 UNKNOWN = "und"
 #: The models are fitted on a sample of labelled rows: at most so many rows of a language, so many
 #: code points of a row, and so many symbols in all languages' models together.
-SAMPLE_ROWS, SAMPLE_CHARS, MODEL_SYMBOLS = 400, 4000, 128_000
+SAMPLE_ROWS, SAMPLE_CHARS, MODEL_SYMBOLS = 400, 4000, 64_000
 #: Letters with a symbol of their own; rarer ones share one that no model knows.
 LETTERS = 200
 #: A text is parsed in pieces of so many symbols; no phrase crosses from one piece to the next.
@@ -182,7 +182,7 @@ def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     rows = docs.select(*names, held_out.alias("held_out"))
     kind = rows.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "phrase_length": F.lit(0.0)}).schema
-    return rows.mapInArrow(run, kind)
+    return in_batches(rows).mapInArrow(run, kind)
 
 
 def predicted(known: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayline.llm.common import M1, M2, fold, mixed, slices, stored, text_buffer, word_bounds, word_hashes
+from quayline.llm.common import M1, M2, fold, in_batches, mixed, slices, stored, text_buffer, word_bounds, word_hashes
 
 #: Text of a chunk: documents whose n-grams are asked for together, once for each distinct one.
 CHUNK_BYTES = 12 << 20
@@ -303,7 +303,7 @@ def scored(
     )
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.select("doc_id", "text", F.coalesce(number % parts == held_out, F.lit(False)).alias("held_out"), split.alias("part"))
-    held = stored(chunks(rows), "chunks")
+    held = stored(chunks(in_batches(rows)), "chunks")
     total, base_texts, texts = held.where("asks = 0").select(
         F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"),
         F.size(F.filter("part", lambda p: p == 1)).alias("base"), F.size(F.filter("part", lambda p: p > 0)).alias("all"),

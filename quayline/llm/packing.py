@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import slices, stored, texts
+from quayline.llm.common import in_batches, slices, stored, texts
 from quayline.llm.tokens import encoder, vocabulary
 
 CAPACITY = 4096
+#: Words of the encoder's memo, about 200 bytes each in every Python worker.
+MEMO = 300_000
 END_ID = 1
 #: Rounds of the multiplicative weights: in each, every length is priced once.
 ROUNDS = 16
@@ -30,7 +32,7 @@ Configurations = list[tuple[Config, int]]  # and how many such sequences
 
 def pieces(
     docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-    end_id: int = END_ID, with_ids: bool = False,
+    end_id: int = END_ID, with_ids: bool = False, memo: int = MEMO,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), with the `ids` themselves as little-endian bytes on demand.
 
@@ -41,7 +43,7 @@ def pieces(
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, blanks=False).many
+        encode = encoder(tokenizer, blanks=False, memo=memo).many
         for batch in slices(batches, "text"):
             owner, piece, parts = [], [], []
             for i, ids in enumerate(encode(texts(batch["text"]))):
@@ -60,12 +62,12 @@ def pieces(
                 columns, names = [*columns, pa.array(parts, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, kind + ", ids binary" * with_ids)
+    return in_batches(rows).mapInArrow(run, kind + ", ids binary" * with_ids)
 
 
 def packed(
     docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text",
-    capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False,
+    capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, memo: int = MEMO,
 ) -> DataFrame:
     """The rows of `pieces` with `sequence_id` and `offset`: sequences of at most `capacity` ids, gapless from 0.
 
@@ -78,7 +80,7 @@ def packed(
     (length, bucket), so that a length with very many pieces is numbered by many tasks.
     """
     session = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer or vocabulary("word_bpe_49k.json"), doc_id, text, capacity, end_id, with_ids), "pieces")
+    cut = stored(pieces(docs, tokenizer or vocabulary("word_bpe_49k.json"), doc_id, text, capacity, end_id, with_ids, memo), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = session.sparkContext.broadcast(slot_table(solve(counts, capacity)))
     buckets = int(session.conf.get("spark.sql.shuffle.partitions"))

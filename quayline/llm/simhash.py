@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayline.llm.common import stored, texts
+from quayline.llm.common import in_batches, stored, texts
 from quayline.llm.components import connected_components
 
 #: Widths of the blocks that two fingerprints are compared by, at each depth of refinement. Two
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
                 [*(batch[c] for c in names), pa.array(found.view(np.int64))], [*names, "simhash"]
             )
 
-    return kept.mapInArrow(run, schema)
+    return in_batches(kept).mapInArrow(run, schema)
 
 
 def simhash(raw: bytes, shingle: int = 3) -> int:

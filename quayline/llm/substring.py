@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayline.llm.common import gram_hashes, mixed, slices, stored, text_buffer, word_bounds, word_hashes
+from quayline.llm.common import gram_hashes, in_batches, mixed, slices, stored, text_buffer, word_bounds, word_hashes
 
 #: A word goes if it lies in a run of this many words that starts in a document with a smaller id.
 WINDOW = 50
@@ -41,7 +41,7 @@ def deduplicated(
     over them; bring the windows' smallest doc_ids back to all documents with that passage.
     """
     others = F.struct(*carry) if carry else F.lit(None).cast("int")
-    rows = docs.select(
+    rows = in_batches(docs).select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), others.alias("others")
     ).withColumn("row", F.xxhash64("doc_id", "text"))
     whole = rows.select("doc_id", "text", "row")
@@ -55,7 +55,9 @@ def deduplicated(
     if alone.take(1):
         # Windows of an anchor with very many surroundings: each is its own anchor, so equal ones still meet.
         wanted = alone.select("row", "starts", "windows")
-        singles = repeated(filing(cut(whole, wanted), window, window, single=True))
+        # Written in between: two Python steps in one task would keep twice as many Python workers.
+        pieces = stored(cut(whole, wanted), "pieces")
+        singles = repeated(filing(pieces, window, window, single=True))
         shared = stored(shared.join(crowded, "anchor", "left_anti").unionByName(singles), "shared")
     first = (
         shared.groupBy("anchor", "passage")
@@ -65,10 +67,11 @@ def deduplicated(
     spans = matched(cut(whole, first), window)
     of_row = (
         shared.join(spans, ["anchor", "passage"])
-        .select("row", F.explode(F.expr(
-            "flatten(transform(starts, start -> transform(filter(spans, s -> s.least < doc_id), s -> struct(start + s.at AS at, s.n AS n))))"
-        )).alias("span"))
-        .groupBy("row").agg(F.collect_set("span").alias("spans"))
+        .select("row", "starts", F.expr(
+            "transform(filter(spans, s -> s.least < doc_id), s -> struct(s.at AS at, s.n AS n))"
+        ).alias("spans"))
+        .where(F.size("spans") > 0)
+        .groupBy("row").agg(F.collect_list(F.struct("starts", "spans")).alias("parts"))
     )
     kept = removed(rows.join(of_row, "row", "left"), window)
     return kept.select("doc_id", "kept", "n_words", "n_removed", *([F.col("others")[c].alias(c) for c in carry]))
@@ -293,16 +296,25 @@ def matched(passages: DataFrame, window: int = WINDOW, shard_words: int = SHARD_
 
 
 def removed(docs: DataFrame, window: int) -> DataFrame:
-    """Take the words covered by each row's `spans` of windows out of `text`."""
+    """Take the words covered by each row's `parts` out of `text`: runs of windows from every start of a passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, bounds = text_buffer(batch["text"])
             raw = data.tobytes()
-            parts = batch["spans"].fill_null([])
-            upto = parts.offsets.to_numpy()
-            upto = upto - upto[0]
-            at, n = (parts.flatten().field(c).to_numpy() for c in ("at", "n"))
+            sizes = batch["parts"].value_lengths().fill_null(0).to_numpy()
+            parts = batch["parts"].flatten()
+            starts, spans = parts.field("starts"), parts.field("spans")
+            many, each = starts.value_lengths().to_numpy().astype(np.int64), spans.value_lengths().to_numpy().astype(np.int64)
+            # Each start of a part with each of its spans.
+            part = np.repeat(np.arange(len(many)), many * each)
+            nth = np.arange(len(part)) - np.repeat(np.cumsum(many * each) - many * each, many * each)
+            start = starts.flatten().to_numpy()[(np.cumsum(many) - many)[part] + nth // each[part]]
+            span = (np.cumsum(each) - each)[part] + nth % each[part]
+            at, n = (spans.flatten().field(c).to_numpy()[span] for c in ("at", "n"))
+            at = at + start
+            pairs = np.concatenate([[0], np.cumsum(many * each)])
+            upto = pairs[np.concatenate([[0], np.cumsum(sizes)])]
             kept, words, gone = [], [], []
             for i in range(batch.num_rows):
                 own = raw[bounds[i]:bounds[i + 1]].split()
@@ -321,7 +333,7 @@ def removed(docs: DataFrame, window: int) -> DataFrame:
             )
 
     kind = docs.schema["others"].dataType.simpleString()
-    return docs.select("doc_id", "text", "spans", "others").mapInArrow(
+    return docs.select("doc_id", "text", "parts", "others").mapInArrow(
         run, f"doc_id long, kept string, n_words long, n_removed long, others {kind}"
     )
 

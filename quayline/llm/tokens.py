@@ -22,7 +22,9 @@ UNEVEN_MARKS = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 LATIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?*%#$&|()\"/<>=+\-]*)")
 #: Any word as letters and marks: tokens never reach from the one part into the other.
 PARTS = re.compile(r"(\n?)( ?[^\W\d_]+)([.,;:!?*%#$&|()\"/<>=+\-]*)")
-MEMO, LONG, JOINED = 400_000, 64, 400
+LONG, JOINED = 64, 400
+#: Words of one of the memo's generations: about 200 bytes each, in every Python worker.
+MEMO = 150_000
 
 
 class Encoder:
@@ -32,13 +34,13 @@ class Encoder:
     many at a time and told apart by the tokens that start or end a word.
     """
 
-    def __init__(self, path: str, blanks: bool):
+    def __init__(self, path: str, blanks: bool, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.blanks = blanks
+        self.blanks, self.memo = blanks, memo
         #: Words since the memo was last full, and those before.
         self.words: dict[bytes, bytes] = {}
         self.earlier: dict[bytes, bytes] = {}
@@ -51,7 +53,7 @@ class Encoder:
     def many(self, raws: Iterable[bytes]) -> list[bytes]:
         """The ids of each text's UTF-8 bytes."""
         cut = [self.cut(raw) for raw in raws]
-        if len(self.words) > MEMO:
+        if len(self.words) > self.memo:
             self.words, self.earlier = {}, self.words
         fresh = set().union(*cut).difference(self.words)
         if fresh:
@@ -83,11 +85,11 @@ class Encoder:
 
     def resolve(self, keys: set[bytes]) -> None:
         """Add the ids of words that are not in the memo."""
-        if len(self.parts) > MEMO:
+        if len(self.parts) > self.memo:
             self.parts = {}
         known, latin = self.parts, LATIN.fullmatch
         # Most words are Latin letters, perhaps with marks.
-        cut = {key: match.groups() for key in keys if (match := latin(key))}
+        cut = {key: (key, b"") if key.isalpha() else match.groups() for key in keys if key.isalpha() or (match := latin(key))}
         fresh = {word for word, _ in cut.values()}.difference(known)
         self.joined([word.decode() for word in fresh], known, " " if self.blanks else "")
         marks = {mark: known.get(b" " + mark) or self.alone(mark.decode()) for mark in {mark for _, mark in cut.values()} if mark}
@@ -149,9 +151,9 @@ def uneven(raw: bytes) -> bool:
 
 
 @cache
-def encoder(path: str, blanks: bool) -> Encoder:
+def encoder(path: str, blanks: bool, memo: int = MEMO) -> Encoder:
     """One for each Python worker, kept from task to task. `blanks`: white space is text to the tokenizer."""
-    return Encoder(path, blanks)
+    return Encoder(path, blanks, memo)
 
 
 def vocabulary(name: str) -> str:

@@ -75,9 +75,8 @@ ODD = ["a  b", "\n\n x", "  lead", "tr  ", "a   b", " ́x", "It's  don't\t\tx",
 
 
 @pytest.mark.parametrize("name, blanks", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
-def test_memo_gives_the_tokenizers_ids(spark, name, blanks, monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO", 500)  # the memo starts anew many times
-    encoder = tokens.Encoder(tokens.vocabulary(name), blanks)
+def test_memo_gives_the_tokenizers_ids(spark, name, blanks):
+    encoder = tokens.Encoder(tokens.vocabulary(name), blanks, memo=500)  # starts anew many times
     texts = ODD + [r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
     for at in range(0, len(texts), 7):
         some = texts[at:at + 7]
