@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from quayline.llm import langid, mixing, packing, simhash, substring
 from quayline.llm.common import read_table, stored
 
-#: Letters of a phrase below which no learned language explains a text: its letters come one by one.
+#: Letters of a text for each one that its language doesn't have: with fewer, it is in no learned language.
 LEAST_PHRASE = 1.5
 #: The encoder's memo: small, since the Python workers of the other stages stay beside it.
 ENCODER_WORDS = 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents in a language of the labelled rows; without a letter, or in letters of another script, they go."""
-    known = langid.labelled(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("phrase_length") >= LEAST_PHRASE))
+    """Documents in a language of the labelled rows; without a letter, or with over two thirds of letters it doesn't have, they go."""
+    known = langid.labelled(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("unknown_letters") * LEAST_PHRASE <= 1))
     return known.select(*docs.columns)
 
 

@@ -32,6 +32,7 @@ class Models:
     steps: np.ndarray
     starts: np.ndarray  # by language: the state between phrases
     bits: np.ndarray  # of a phrase, by language
+    knows: np.ndarray  # by language and symbol: whether the language's sample has the letter
 
 
 def code_points(text: str) -> np.ndarray:
@@ -83,7 +84,8 @@ def fitted(texts: dict[str, list[str]], most: int = MODEL_SYMBOLS) -> Models:
     letters = sorted(sorted(counts), key=counts.get, reverse=True)[:LETTERS]
     table, width = symbol_table(letters), len(letters) + 2
     parts, roots, bits, base = [], [], [], 0
-    for language in languages:
+    knows = np.zeros((len(languages), width), bool)
+    for place, language in enumerate(languages):
         automaton, size = SuffixAutomaton(), 0
         # Alternately from all rows: a language's model isn't filled by one long text.
         rows = [sequence(table[code_points(t)]) for t in texts[language]]
@@ -96,6 +98,7 @@ def fitted(texts: dict[str, list[str]], most: int = MODEL_SYMBOLS) -> Models:
         # after a letter that the language doesn't have, which is a phrase of its own.
         between = base + len(automaton.next) * width
         steps = np.full((len(automaton.next) + 1, width), between * 2 + 1, np.int64)
+        knows[place, list(automaton.next[0])] = True
         for symbol, state in automaton.next[0].items():
             steps[:, symbol] = (base + state * width) * 2 + 1
         for state, arrows in enumerate(automaton.next):
@@ -107,7 +110,7 @@ def fitted(texts: dict[str, list[str]], most: int = MODEL_SYMBOLS) -> Models:
         bits.append(np.log2(size + 2))
         base += steps.size
     steps = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return Models(languages, table, steps.astype(np.int32), np.array(roots, np.int64), np.array(bits))
+    return Models(languages, table, steps.astype(np.int32), np.array(roots, np.int64), np.array(bits), knows)
 
 
 def phrases(models: Models, seq: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -127,12 +130,20 @@ def phrases(models: Models, seq: np.ndarray, starts: np.ndarray, sizes: np.ndarr
     return out
 
 
-def parsed(models: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each text: its letters, and its phrases in each language."""
+def read(models: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts end to end, and where each text begins and the last ends."""
     data, bounds = text_buffer(column)
     points = code_points(data.tobytes().decode())
-    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
-    symbols = models.symbols[points]
+    return models.symbols[points], np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
+
+
+def parsed(models: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each text: its letters, and its phrases in each language."""
+    return counted(models, *read(models, column))
+
+
+def counted(models: Models, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters and phrases of the texts of `read`."""
     letter = symbols > 0
     letters = np.diff(np.concatenate([[0], np.cumsum(letter)])[at])
     before = np.concatenate([[False], letter])[:-1]
@@ -150,20 +161,21 @@ def parsed(models: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", parts: int = 4, held: int = 2) -> DataFrame:
-    """All columns of `docs`, held_out, lang_pred, score and phrase_length (columns of these names are replaced).
+    """All columns of `docs`, held_out, lang_pred, score, phrase_length and unknown_letters (columns of these names are replaced).
 
     Learns from rows with a text and a lang whose crc32 of the doc_id as text is not `held` modulo
     `parts`. A text is lower-cased, its letters kept and each run of other characters taken as one
     blank; it is cut greedily into the longest phrases that occur in a language's sample. A phrase
     costs the logarithm of the sample's length; the language with the least cost wins, of equal ones
     the first by name. `score` is the lead over the second best, as a share of the latter's cost (one
-    if only one language is known). `phrase_length` is the letters of a phrase in the winner's parse.
+    if only one language is known). `phrase_length` is the letters of a phrase in the winner's parse, `unknown_letters` the share of
+    a text's letters that the winner's sample doesn't have.
 
     A null or empty text or one without a letter is `und` with score 0, as is every text if there is
     nothing to learn from. A null doc_id is never learned from and not held out. Repeated rows stay;
     an empty table gives an empty one. Texts are parsed whole; lang isn't read in a prediction.
     """
-    added = ("held_out", "lang_pred", "score", "phrase_length")
+    added = ("held_out", "lang_pred", "score", "phrase_length", "unknown_letters")
     names = [c for c in docs.columns if c not in added]
     held_out = F.coalesce(fold(F.col(doc_id), parts) == held, F.lit(False))
     learned = docs.select(
@@ -174,22 +186,29 @@ def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = models.value
         for batch in slices(batches, text):
-            name, score, length = predicted(known, batch[text])
+            name, score, length, unknown = judged(known, batch[text])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(name, pa.string()), pa.array(score), pa.array(length)],
+                [*batch.columns, pa.array(name, pa.string()), pa.array(score), pa.array(length), pa.array(unknown)],
                 [*batch.schema.names, *added[1:]],
             )
 
     rows = docs.select(*names, held_out.alias("held_out"))
-    kind = rows.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "phrase_length": F.lit(0.0)}).schema
+    kind = rows.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "phrase_length": F.lit(0.0), "unknown_letters": F.lit(0.0)}).schema
     return in_batches(rows).mapInArrow(run, kind)
 
 
 def predicted(known: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Language, score and phrase length of each text."""
-    letters, count = parsed(known, column)
+    return judged(known, column)[:3]
+
+
+def judged(known: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, phrase length and share of unknown letters of each text."""
+    symbols, at = read(known, column)
+    letters, count = counted(known, symbols, at)
     if not known.languages:
-        return np.full(len(letters), UNKNOWN, object), np.zeros(len(letters)), np.zeros(len(letters))
+        zero = np.zeros(len(letters))
+        return np.full(len(letters), UNKNOWN, object), zero, zero, zero
     cost = count * known.bits
     rows, best = np.arange(len(letters)), cost.argmin(1)
     rest = cost.copy()
@@ -199,7 +218,9 @@ def predicted(known: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray,
     score = np.where(none | np.isinf(second), 1.0, 1 - cost[rows, best] / np.where(none, 1.0, second))
     name = np.array(known.languages, object)[best]
     name[none] = UNKNOWN
-    return name, np.where(none, 0.0, score), np.where(none, 0.0, letters / np.maximum(count[rows, best], 1))
+    strange = (symbols > 0) & ~known.knows[np.repeat(best, np.diff(at)), symbols]
+    unknown = np.diff(np.concatenate([[0], np.cumsum(strange)])[at]) / np.maximum(letters, 1)
+    return name, np.where(none, 0.0, score), np.where(none, 0.0, letters / np.maximum(count[rows, best], 1)), unknown
 
 
 def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

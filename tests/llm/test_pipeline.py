@@ -91,3 +91,14 @@ def test_edge_rows(spark):
 
 def test_empty(spark):
     assert all(told(f) == [] for f in stages(spark, spark.createDataFrame([], DOCS)))
+
+
+def test_one_letter(spark):
+    """Texts of a single known letter stay; without a letter or in unknown letters they go."""
+    docs = [tuple(r) for r in read_table(spark, SMALL, "documents").where("lang = 'en'").limit(60).collect()]
+    extra = [(6001, "A.", "en", "s", 2), (6002, "a", None, "s", 1), (6003, "1 e 2", "en", "s", 5), (6004, "I a. 7", "en", "s", 6),
+             (6005, "ж", "en", "s", 1), (6006, "7.", "en", "s", 2), (6007, "жжж the", "en", "s", 7), (6008, "жжжжжжж the", "en", "s", 11)]
+    # The letters outside the script are in no row that is learned from.
+    extra = [(r[0], r[1], None if "ж" in r[1] else r[2], *r[3:]) for r in extra]
+    kept = corpus_pipeline.language(spark, spark.createDataFrame(docs + extra, DOCS), SMALL)
+    assert {r.doc_id for r in kept.collect() if r.doc_id > 6000} == {6001, 6002, 6003, 6004, 6007}
