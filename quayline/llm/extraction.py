@@ -35,7 +35,8 @@ DROPPED = RAW | frozenset(
     "head nav footer aside form menu dialog button select option object svg canvas template audio video map search".split()
 )
 #: Words in a class, id or role that tell what an element is for. The first lists are decisive, the
-#: second not if the element also calls itself content.
+#: second not if the element also calls itself content. Inside an article, and for elements that hold
+#: text, a word of a longer name tells nothing: `related` does, `related-work` doesn't.
 CERTAIN = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comentarios kommentare "
     "commentaires consent cookie cookies disqus feedback footer gdpr masthead menu modal nav navbar navigation newsletter "
@@ -44,20 +45,28 @@ CERTAIN = frozenset(
     "dialog alert search login".split()
 )
 DOUBTFUL = frozenset("header foot extra widget meta tags tools side rail topbar bottom form rss links list".split())
+#: Words of any name that make a menu of what is mostly links.
+MENU = CERTAIN | DOUBTFUL - frozenset("list links tools meta side extra".split())
 CONTENT = frozenset("article body content entry main page post story text hentry column".split())
 TAG_SCORE = {"article": 25, "main": 15, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3,
              "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5}
 PARAGRAPH = frozenset("p pre td blockquote li dd".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold the text of an article.
+HOLDS_TEXT = PARAGRAPH | HEADING | frozenset("ul ol dl dt table thead tbody tfoot tr th caption figure figcaption details summary".split())
+#: The share of link text from which a list or group that has the sign of a menu is left out.
+MOSTLY_LINKS = 0.6
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "dropped", "score", "length", "linked")
+    __slots__ = ("tag", "names", "whole", "parent", "children", "never", "dropped", "score", "length", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, names: frozenset = frozenset(), hidden: bool = False):
-        self.tag, self.parent, self.names = tag, parent, names
+    def __init__(
+        self, tag: str, parent: Node | None, names: frozenset = frozenset(), whole: frozenset = frozenset(), hidden: bool = False
+    ):
+        self.tag, self.parent, self.names, self.whole = tag, parent, names, whole
         self.children: list[Node | str] = []
-        self.dropped = hidden or tag in DROPPED
+        self.never = self.dropped = hidden or tag in DROPPED
         self.score, self.length, self.linked = 0.0, 0, 0
 
 
@@ -87,7 +96,7 @@ def parsed(html: str) -> Node:
             at = at.parent or at
         if tag in CLOSES:
             at = up(at, *CLOSES[tag])
-        node = Node(tag, at, *described(found[3]))
+        node = Node(tag, at, *described(found[3], tag))
         at.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, place)
@@ -99,20 +108,25 @@ def parsed(html: str) -> Node:
     return root
 
 
-def described(attributes: str) -> tuple[frozenset, bool]:
-    """The words in what an element is called, and whether it is hidden."""
+def described(attributes: str, tag: str) -> tuple[frozenset, frozenset, bool]:
+    """The words in what an element is called, those of its names that are listed whole, and whether it is hidden."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return frozenset(), False
-    words, hidden = set(), False
+        return frozenset(), frozenset(), False
+    words, whole, hidden = set(), set(), False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id", "role", "itemprop"):
-            words.update(w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", value))
+            for called in value.split():
+                own = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", called)}
+                words |= own
+                # `cookie-notice` is as decisive as its parts; a heading's id repeats its text.
+                if own and (own <= CERTAIN or own <= DOUBTFUL) and not (name == "id" and tag in HEADING):
+                    whole |= own
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-    return frozenset(words), hidden
+    return frozenset(words), frozenset(whole), hidden
 
 
 def up(at: Node, tags: set[str], stop: frozenset | set[str]) -> Node:
@@ -149,27 +163,56 @@ def main_text(html: str) -> str:
     """The article of a page: blocks in page order, joined by an empty line."""
     root = parsed(html)
     order = list(walked(root))
-    marked(order)
+    holds = marked(order)
     kept = [n for n in order if not n.dropped]
-    measured(kept)
-    return "\n\n".join(blocks(container(root, kept)))
+    weighed(kept)
+    scored(kept)
+    chosen = container(root, kept)
+    for top in chosen:
+        if top.tag not in ("html", "body"):
+            restored(top, holds)
+    return "\n\n".join(blocks(chosen))
 
 
-def marked(order: list[Node]) -> None:
-    """Mark what can't be of the article, and all below it."""
+def marked(order: list[Node]) -> set[Node]:
+    """Mark what can't be of the article, and all below it; gives the elements that hold the article."""
     holds: set[Node] = set()
     for node in reversed(order):  # children first
         heart = node.tag in ("main", "h1") or node.tag == "article" and not node.names & CERTAIN
         if not node.dropped and (heart or node in holds) and node.parent:
             holds.add(node.parent)
+    articles: set[Node] = set()  # and what is in them
     for node in order:
+        if node.tag == "article" or node.parent in articles:
+            articles.add(node)
         if node.parent and node.parent.dropped:
             node.dropped = True
         elif node.tag not in ("html", "body", "main") and node not in holds and not node.dropped:
-            doubtful = node.names & DOUBTFUL and not node.names & CONTENT
-            node.dropped = bool(node.names & CERTAIN or doubtful and node.tag not in PARAGRAPH)
+            node.dropped = unfit(node, node.parent in articles)
             if node.tag == "header" and not inside(node, ("article", "main")):
                 node.dropped = True
+    return holds
+
+
+def unfit(node: Node, within: bool) -> bool:
+    """Whether an element's names say that it isn't text of the article; `within` is inside it."""
+    names = node.whole if within or node.tag in HOLDS_TEXT else node.names
+    doubtful = names & DOUBTFUL and not node.names & CONTENT and node.tag not in HOLDS_TEXT
+    return bool(names & CERTAIN or doubtful and not (within and node.tag == "section"))
+
+
+def restored(top: Node, holds: set[Node]) -> None:
+    """Inside the chosen container, what went for a word of a longer name is back."""
+    inner = list(walked(top))
+    for node in inner[1:]:
+        node.dropped = node.never or node.parent.dropped or node not in holds and node.tag != "main" and unfit(node, True)
+        if node.tag == "header" and not inside(node, ("article", "main")):
+            node.dropped = True
+    for node in inner:
+        node.length = node.linked = 0
+    above, top.parent = top.parent, None
+    weighed([n for n in inner if not n.dropped])
+    top.parent = above
 
 
 def inside(node: Node, tags: tuple[str, ...]) -> Node | None:
@@ -182,8 +225,8 @@ def inside(node: Node, tags: tuple[str, ...]) -> Node | None:
     return found
 
 
-def measured(kept: list[Node]) -> None:
-    """Text lengths, in links and in all, and the points of paragraphs for their ancestors."""
+def weighed(kept: list[Node]) -> None:
+    """Text lengths, in links and in all."""
     for node in reversed(kept):
         own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
         node.length += own
@@ -192,6 +235,10 @@ def measured(kept: list[Node]) -> None:
         if node.parent:
             node.parent.length += node.length
             node.parent.linked += node.linked
+
+
+def scored(kept: list[Node]) -> None:
+    """The points of paragraphs for their ancestors."""
     for node in kept:
         node.score += TAG_SCORE.get(node.tag, 0) + 25 * bool(node.names & CONTENT)
     for node in kept:
@@ -245,8 +292,34 @@ def container(root: Node, kept: list[Node]) -> list[Node]:
     ]
 
 
+def headed(nodes: list[Node]) -> set[Node]:
+    """The elements below the nodes that hold a heading or stand right behind one."""
+    found: set[Node | None] = set()
+    inner = [n for top in nodes for n in walked(top) if not n.dropped]
+    for node in reversed(inner):
+        if node.tag in HEADING or node in found:
+            found.add(node.parent)
+    for node in inner:
+        below = [c for c in node.children if not isinstance(c, str) and not c.dropped]
+        found.update(c for before, c in zip(below, below[1:]) if before.tag in HEADING)
+    return found
+
+
+def menus(nodes: list[Node]) -> set[Node]:
+    """Lists and groups that are mostly links and look like a menu: by a word in their names or, unless
+    the article is marked as one, by holding links alone and standing under no heading."""
+    marked_up = any(inside(n, ("article", "main")) or n.names & CONTENT for n in nodes if n.tag != "body")
+    titled = headed(nodes)
+    return {
+        n for top in nodes for n in walked(top)
+        if n.tag in ("ul", "ol", "div", "table", "section", "dl") and density(n) > MOSTLY_LINKS
+        and (n.names & MENU and n is not top or not marked_up and n.linked == n.length and n not in titled)
+    }
+
+
 def blocks(nodes: list[Node]) -> list[str]:
-    """The texts of blocks below the nodes; lists and groups that are mostly links are left out."""
+    """The texts of blocks below the nodes; lists and groups that are menus are left out."""
+    left_out = menus(nodes)
     out: list[str] = []
     line: list[str] = []
 
@@ -263,7 +336,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             flush()
         elif isinstance(item, str):
             line.append(item)
-        elif item.dropped or item.tag in ("ul", "ol", "div", "table", "section", "dl") and density(item) > 0.6:
+        elif item.dropped or item in left_out:
             continue
         else:
             if item.tag == "br":
@@ -288,7 +361,9 @@ def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
 
     The page is parsed into a tree. What is never article goes: scripts, menus, headers, footers,
     sidebars, forms, hidden elements, and what calls itself advert, notice, comment and so on, unless
-    it holds the page's article. Each paragraph then earns points by its length and commas, less its
+    it holds the page's article. Inside the article, and for lists, tables and paragraphs, only whole
+    names count (`share`, `cookie-notice`), no words of longer ones, and a list of links is left out
+    only if it looks like a menu. Each paragraph then earns points by its length and commas, less its
     share of links, for the elements around it, fewer with distance; the container with the most
     points, less its own share of links, is kept with the siblings that belong to it.
     """

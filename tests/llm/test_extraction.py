@@ -57,3 +57,31 @@ def test_rows(spark):
     assert got.columns == ["page_id", "url", "more", "text", "n_chars"]
     assert told(got, "page_id", "n_chars") == [(None, len(LONG)), (1, 0), (1, 0), (2, 0), (3, 179_999)]
     assert told(extracted(df.limit(0))) == []
+
+
+LINKS = "<li><a href=x>The first source of it</a><li><a href=y>The second source</a>"
+KEPT = {
+    f"<article><p>{LONG}</p><ul class='wp-block-list'><li>one<li>two</ul></article>": f"{LONG}\n\none\n\ntwo",
+    f"<article><p>{LONG}</p><section id=tools><h2>T</h2><p>Saw.</p></section></article>": f"{LONG}\n\nT\n\nSaw.",
+    f"<article><p>{LONG}</p><section id='related-work'><h2 id=related>R</h2><p>Old.</p></section></article>": f"{LONG}\n\nR\n\nOld.",
+    f"<article><p class='skip-dropcap'>{LONG}</p><div class='extra-notes'>More.</div></article>": f"{LONG}\n\nMore.",
+    f"<article><p>{LONG}</p><h2>Sources</h2><ol>{LINKS}</ol></article>": f"{LONG}\n\nSources\n\nThe first source of it\n\nThe second source",
+    f"<body><div class=post><p>{LONG}</p><div class='side-note'>Aside.</div><ul class='wp-block-list'>{LINKS}, 2019</ul></div><div class='side-bar'>no</div></body>":
+        f"{LONG}\n\nAside.\n\nThe first source of it\n\nThe second source, 2019",
+    f"<body><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><table class='list meta'><tr><td>1<td>2</table><h2>Sources</h2><ul>{LINKS}</ul></body>":
+        f"{LONG}\n\n{LONG}\n\n{LONG}\n\n1\n\n2\n\nSources\n\nThe first source of it\n\nThe second source",
+}
+CLUTTER = {
+    f"<article><p>{LONG}</p><ul class='related-links'>{LINKS}</ul><div class='social-share'>Post</div><div class=tags>x</div></article>": LONG,
+    f"<body><div><p>{LONG}</p><p>{LONG}</p></div><div class='cookie-text'>{LONG} {LONG}</div><ul>{LINKS}</ul></body>": f"{LONG}\n\n{LONG}",
+}
+
+
+@pytest.mark.parametrize("page", KEPT)
+def test_words_of_names_in_the_article(page):
+    assert main_text(page) == KEPT[page]
+
+
+@pytest.mark.parametrize("page", CLUTTER)
+def test_clutter(page):
+    assert main_text(page) == CLUTTER[page]
