@@ -17,8 +17,9 @@ UNKNOWN = "und"
 #: The models are fitted on a sample of labelled rows: at most so many rows of a language, so many
 #: code points of a row, and so many symbols in all languages' models together.
 SAMPLE_ROWS, SAMPLE_CHARS, MODEL_SYMBOLS = 400, 4000, 64_000
-#: Letters with a symbol of their own; rarer ones share one that no model knows.
-LETTERS = 200
+#: Symbols with a column in the table of steps: the commonest letters. Steps by rarer letters, of which
+#: Chinese has thousands, are in a sorted list.
+COLUMNS = 64
 #: A text is parsed in pieces of so many symbols; no phrase crosses from one piece to the next.
 PIECE = 1000
 
@@ -28,11 +29,15 @@ class Models:
     """One table of all languages' automata: `steps[state + symbol]` is twice the next state, plus one where a phrase ends."""
 
     languages: list[str]
-    symbols: np.ndarray  # by code point: 0 for what is no letter, 1 for a letter without a symbol
+    symbols: np.ndarray  # by code point: 0 for what is no letter, 1 for a letter that the sample doesn't have
     steps: np.ndarray
     starts: np.ndarray  # by language: the state between phrases
     bits: np.ndarray  # of a phrase, by language
     knows: np.ndarray  # by language and symbol: whether the language's sample has the letter
+    width: int  # symbols from here on are in the following three, not in `steps`
+    rare: np.ndarray  # state times the number of symbols, plus symbol, in order
+    rare_steps: np.ndarray  # for each of them, as in `steps`
+    first: np.ndarray  # by language and symbol: the step where `rare` has none, which starts a phrase
 
 
 def code_points(text: str) -> np.ndarray:
@@ -41,7 +46,7 @@ def code_points(text: str) -> np.ndarray:
 
 def symbol_table(letters: list[str]) -> np.ndarray:
     """The symbol of every code point; upper case counts as lower case."""
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(0x110000, np.min_scalar_type(len(letters) + 2))
     own = {letter: 2 + i for i, letter in enumerate(letters)}
     for point in range(0x110000):
         letter = chr(point)
@@ -81,10 +86,12 @@ def fitted(texts: dict[str, list[str]], most: int = MODEL_SYMBOLS) -> Models:
             for letter in text.lower():
                 if letter.isalpha():
                     counts[letter] = counts.get(letter, 0) + 1
-    letters = sorted(sorted(counts), key=counts.get, reverse=True)[:LETTERS]
-    table, width = symbol_table(letters), len(letters) + 2
+    letters = sorted(sorted(counts), key=counts.get, reverse=True)
+    table, total = symbol_table(letters), len(letters) + 2
+    width = min(total, COLUMNS)
     parts, roots, bits, base = [], [], [], 0
-    knows = np.zeros((len(languages), width), bool)
+    knows = np.zeros((len(languages), total), bool)
+    first, rare = np.zeros((len(languages), total), np.int64), {}
     for place, language in enumerate(languages):
         automaton, size = SuffixAutomaton(), 0
         # Alternately from all rows: a language's model isn't filled by one long text.
@@ -99,18 +106,40 @@ def fitted(texts: dict[str, list[str]], most: int = MODEL_SYMBOLS) -> Models:
         between = base + len(automaton.next) * width
         steps = np.full((len(automaton.next) + 1, width), between * 2 + 1, np.int64)
         knows[place, list(automaton.next[0])] = True
+        first[place] = between * 2 + 1
         for symbol, state in automaton.next[0].items():
-            steps[:, symbol] = (base + state * width) * 2 + 1
+            first[place, symbol] = (base + state * width) * 2 + 1
+        steps[:] = first[place, :width]
         for state, arrows in enumerate(automaton.next):
             for symbol, to in arrows.items():
-                steps[state, symbol] = (base + to * width) * 2
-        steps[:, 1] = between * 2 + 1
+                if symbol < width:
+                    steps[state, symbol] = (base + to * width) * 2
+                else:
+                    rare[(base + state * width) * total + symbol] = (base + to * width) * 2
         parts.append(steps.ravel())
         roots.append(between)
         bits.append(np.log2(size + 2))
         base += steps.size
     steps = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return Models(languages, table, steps.astype(np.int32), np.array(roots, np.int64), np.array(bits), knows)
+    keys = np.array(sorted(rare), np.int64)
+    return Models(
+        languages, table, steps.astype(np.int32), np.array(roots, np.int64), np.array(bits), knows,
+        width, keys, np.array([rare[k] for k in keys.tolist()], np.int64), first,
+    )
+
+
+def stepped(models: Models, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The steps of the states (language by text) on the texts' next symbols."""
+    far = np.flatnonzero(symbol >= models.width) if models.first.shape[1] > models.width else ()
+    if not len(far):
+        return models.steps[state + symbol]
+    now = models.steps[state + np.where(symbol < models.width, symbol, 1)].astype(np.int64)
+    rarely = symbol[far].astype(np.int64)
+    key = state[:, far] * models.first.shape[1] + rarely
+    at = np.minimum(np.searchsorted(models.rare, key), max(len(models.rare) - 1, 0))
+    hit = models.rare[at] == key if len(models.rare) else np.zeros(key.shape, bool)
+    now[:, far] = np.where(hit, models.rare_steps[at] if len(models.rare) else 0, models.first[:, rarely])
+    return now
 
 
 def phrases(models: Models, seq: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -122,7 +151,7 @@ def phrases(models: Models, seq: np.ndarray, starts: np.ndarray, sizes: np.ndarr
     count = np.zeros((m, n), np.int32)
     live = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if n else 0) + 1), "right")
     for t, k in enumerate(live.tolist()):
-        now = models.steps[(state[:, :k] >> 1) + seq[starts[:k] + t]]
+        now = stepped(models, state[:, :k] >> 1, seq[starts[:k] + t])
         count[:, :k] += now & 1
         state[:, :k] = now
     out = np.empty((n, m), np.int32)

@@ -63,3 +63,32 @@ def test_held_out_accuracy(spark):
     known = langid.identified(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
     right, n = known.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert n > 20 and right / n >= 0.97
+
+
+def test_languages_with_thousands_of_letters():
+    """Every letter of the sample has a symbol: phrases by plain search, and two such languages told apart."""
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(7)
+    words = [["".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(2)) for _ in range(1500)] for _ in range(2)]
+    own = {k: [" ".join(draw.choices(w, k=1200)) + "abc" for _ in range(2)] for k, w in zip(("ja", "zh"), words)}
+    models = langid.fitted(own)
+    assert models.first.shape[1] > 2000
+    probes = [" ".join(draw.choices(w, k=100)) for w in words for _ in range(5)] + [own["zh"][0][:200] + "жabж丁"]
+    names, _, length, unknown = langid.judged(models, pa.array(probes))
+    assert names.tolist() == ["ja"] * 5 + ["zh"] * 6
+    assert all(n >= 1.2 for n in length[:10]) and all(u < 0.3 for u in unknown[:10])
+    letters, count = langid.parsed(models, pa.array(probes))
+    for probe, got in zip(probes, count.tolist()):
+        seq = " ".join("".join(c if c.isalpha() else " " for c in probe).split())
+        assert len(seq) < langid.PIECE
+        for language, phrases in zip(models.languages, got):
+            sample, want, i = own[language], 0, 0
+            while i < len(seq):
+                k = 1
+                while i + k < len(seq) and any(seq[i:i + k + 1] in s for s in sample):
+                    k += 1
+                want, i = want + 1, i + k
+            assert phrases == want, language
