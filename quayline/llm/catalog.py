@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayline.llm import extraction, idfile, imatch, langid, mixing, ngram, packing, simhash, substring, topk
+from quayline.llm import extraction, idfile, imatch, langid, lengths, mixing, ngram, packing, simhash, substring, topk
 from quayline.llm.common import read_table
 from quayline.llm.tokens import vocabulary
 from quayline.session import scratch_path
@@ -97,3 +97,8 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5
 @query
 def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.extracted(read_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return lengths.counted(read_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
