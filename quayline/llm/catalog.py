@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayline.llm import extraction, idfile, imatch, langid, lengths, mixing, ngram, packing, simhash, substring, topk
+from quayline.llm import extraction, idfile, imatch, langid, lengths, mixing, ngram, packing, phrases, simhash, substring, topk
 from quayline.llm.common import read_table
 from quayline.llm.tokens import vocabulary
 from quayline.session import scratch_path
@@ -102,3 +102,11 @@ def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.counted(read_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mined(read_table(spark, folder, "documents"))
+
+
+CHECKS["op13_phrase_mining"] = phrases.check_sql()
