@@ -46,7 +46,7 @@ def parts(raw: bytes, most: int = SHARD_BYTES) -> Iterator[tuple[int, bytes]]:
     """
     at = 0
     while len(raw) - at > most:
-        found = BREAK.search(raw, at + most // 2, at + most)
+        found = BREAK.search(raw, at + (most + 1) // 2, at + most + 1)
         if found:
             yield 1, raw[at:found.start()]
         else:
