@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayline.llm import extraction, idfile, imatch, langid, lengths, mixing, ngram, packing, phrases, simhash, substring, topk
+from quayline.llm import extraction, idfile, imatch, langid, lengths, mixing, ngram, packing, phrases, repair, simhash, substring, topk
 from quayline.llm.common import read_table
 from quayline.llm.tokens import vocabulary
 from quayline.session import scratch_path
@@ -110,3 +110,8 @@ def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CHECKS["op13_phrase_mining"] = phrases.check_sql()
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.after_damage(read_table(spark, folder, "conversations"))
