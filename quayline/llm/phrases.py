@@ -2,9 +2,9 @@
 
 A shard is a few megabytes of one language's text. Its bidirectional FM-index is over word ids; extending
 intervals to the right counts phrases, extending them to the left and right tells by which words they go on.
-Counts are summed over shards. A phrase can't occur oftener than its words and pairs, so a shard first asks
-which of its words reach the threshold in the whole corpus, then which pairs, and lists longer phrases of
-those only; no phrase that reaches it is lost.
+Counts are summed over shards. A phrase can't occur oftener than its parts, so a shard goes on length by length:
+it asks which of its phrases reach the threshold in the whole corpus, and extends only those, to either end, in
+its index; no phrase that reaches it is lost. Words are asked for as rows, phrases as sorted keys by bucket.
 
 A null text counts as empty, a null language as `und`. Repeated rows count each time. An empty table, or one
 without a phrase that is frequent enough, gives no rows. Other columns are not read.
@@ -21,14 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import in_batches, stored, text_buffer
-from quayline.llm.ngram import LOWER, squeezed, unsqueezed
+from quayline.llm.common import in_batches, mixed, stored, text_buffer
+from quayline.llm.ngram import LOWER, deltas, squeezed, undeltas, unsqueezed
+from quayline.operators.relational import with_place
 
 #: Words of the longest phrase, the least count of a phrase, and how many of each language are reported.
 DEPTH, LEAST, MOST = 5, 100, 2000
 NO_LANGUAGE = "und"
 #: Text of a shard, and of all shards that a task fills at a time.
 SHARD_BYTES, TASK_BYTES = 6 << 20, 18 << 20
+#: Words of the corpus for each bucket in which phrases of one length are counted.
+BUCKET_WORDS = 2_000_000
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 BREAK, GAP = re.compile(rb"[.,;:!?\n\x0b\x0c\r]"), re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
 KIND = np.zeros(256, np.uint8)
@@ -135,13 +138,20 @@ class Half:
             step = min(width, depth - width)
             later = np.concatenate([rank[step:], np.zeros(step, np.int64)])
             rank, width = np.unique(rank * (int(rank.max()) + 1) + later, return_inverse=True)[1], width + step
-        before = np.concatenate([text[-1:], text[:-1]])
-        self.bwt = before[np.argsort(rank, kind="stable")].astype(np.int64)
-        #: Above all rows and all word ids.
+        #: The places in that order.
+        self.places = np.argsort(rank, kind="stable")
+        self.bwt = text[self.places - 1].astype(np.int64)
+        #: Above all rows and all words.
         self.base = max(len(text), int(text.max())) + 1
-        rows = np.argsort(self.bwt, kind="stable")
-        #: For each symbol, the ascending rows it stands before.
-        self.occurrences = self.bwt[rows] * self.base + rows
+        #: For each word, the ascending rows it stands before.
+        self.occurrences = np.sort(self.bwt * self.base + np.arange(len(text)))
+
+    def intervals(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, low, size) of the phrases whose id stands at each of their places; 0 is none."""
+        ids = grams[self.places]
+        low = np.flatnonzero((ids > 0) & (np.concatenate([[0], ids[:-1]]) != ids))
+        order = low[np.argsort(ids[low])]
+        return ids[order], order, np.bincount(np.searchsorted(ids[order], ids[ids > 0]), minlength=len(order))
 
     def extended(self, low: np.ndarray, other: np.ndarray, size: np.ndarray):
         """All extensions of the intervals by one word: (interval, word, low, low in the other half, size)."""
@@ -158,31 +168,34 @@ class Half:
 
 
 class Index:
-    """A bidirectional FM-index over word ids; 0 stands between pieces and never belongs to a phrase."""
+    """A bidirectional FM-index over word ids, for phrases of up to `depth` words; 0 parts pieces, no phrase holds it."""
 
     def __init__(self, text: np.ndarray, depth: int):
-        text = np.concatenate([text, [0]])
-        self.before, self.after = Half(text, depth), Half(text[::-1], depth)
-        self.counts = np.bincount(text)
+        self.text, self.depth = np.concatenate([text, [0]]), depth
+        self.before, self.after = Half(self.text, depth), Half(self.text[::-1], depth)
 
-    def phrases(self, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(phrases, words that follow, counts) and (phrases, words that stand before, counts), for each length.
+    def longer(self, grams: np.ndarray):
+        """(ids, words that follow, counts, low): the phrases of `depth` words both of whose shorter parts are known.
 
-        Phrases are rows of word ids of one length, each as often as it has an extension. The first pair is
-        that of single words; phrases of up to `depth` words come out as extensions.
+        `grams` holds, at each place, the id of the known phrase of depth - 1 words that starts there, or 0.
+        Known phrases are extended to both ends: what comes out at both has a known start and a known rest.
         """
-        word = np.flatnonzero(self.counts)
-        word = word[word > 0]
-        first = np.cumsum(self.counts) - self.counts
-        low, other, size, grams = first[word], first[word], self.counts[word], word[:, None]
-        for _ in range(1, depth):
-            if not len(grams):
-                return
-            of, word, _, _, count = self.before.extended(low, other, size)
-            left = grams[of], word, count
-            of, word, other, low, size = self.after.extended(other, low, size)
-            yield (grams[of], word, size), left
-            grams = np.hstack([grams[of], word[:, None]])
+        grams = np.concatenate([grams, [0]])
+        ids, low, size = self.before.intervals(grams)
+        # The same phrases read backwards start where they end.
+        place = np.flatnonzero(grams)
+        backwards = np.zeros_like(grams)
+        backwards[len(grams) - place - (self.depth - 1)] = grams[place]
+        _, other, _ = self.after.intervals(backwards)
+        _, _, left, _, _ = self.before.extended(low, other, size)
+        of, word, _, right, count = self.after.extended(other, low, size)
+        both = np.isin(right, left)
+        return ids[of[both]], word[both], count[both], right[both]
+
+    def places(self, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(interval, place) of all occurrences."""
+        of = np.repeat(np.arange(len(size)), size)
+        return of, self.before.places[np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + low[of]]
 
 
 def asked(held: DataFrame) -> DataFrame:
@@ -192,89 +205,155 @@ def asked(held: DataFrame) -> DataFrame:
     )
 
 
-def told(asks: DataFrame, frequent: DataFrame, key: list[str], value: str) -> DataFrame:
-    """(shard, places, values): what each shard learns about what it asked for; at most as much as it asked."""
-    return asks.select("shard", "place", *key).join(frequent.select(*key, value), key).groupBy("shard").agg(
-        F.collect_list(F.struct("place", value)).alias("answers")
-    ).select("shard", F.col("answers.place").alias("places"), F.col(f"answers.{value}").alias("values"))
-
-
-def kept_pairs(held: DataFrame, answers: DataFrame) -> DataFrame:
-    """Shards with only the corpus's frequent words, by their corpus ids, and their distinct pairs of words."""
+def told(asks: DataFrame, known: DataFrame) -> DataFrame:
+    """(shard, places, values): the ids of each shard's frequent words; at most as many as it asked for."""
+    return asks.select("shard", "place", "lang", "word").join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(
+        F.collect_list(F.struct("place", "id")).alias("answers")
+    ).select("shard", F.col("answers.place").alias("places"), F.col("answers.id").alias("values"))
+
+
+def first_grams(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of words, text, ids of the phrases of one word) of a shard that knows its frequent words."""
+    tokens = unsqueezed(batch["tokens"][i].as_py(), "<u4", batch["n"][i].as_py())
+    place, ids = (batch[c][i].values.to_numpy() for c in ("places", "values"))
+    own = np.zeros(int(tokens.max()) + 1, np.int64)
+    own[place + 1] = np.arange(1, len(place) + 1)
+    text = own[tokens]
+    text = text[(text > 0) | (np.concatenate([[1], text[:-1]]) > 0)]
+    return ids, text, np.concatenate([[0], ids])[text]
+
+
+def next_grams(batch: pa.RecordBatch, i: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of words, text, ids of phrases of `depth` words) of a shard, from the answers to what it asked."""
+    ids, n = batch["ids"][i].values.to_numpy(), batch["n"][i].as_py()
+    text, at = (unsqueezed(batch[c][i].as_py(), "<u4", n).astype(np.int64) for c in ("tokens", "at"))
+    values = [unsqueezed(x["values"], "<u4", x["n"]) for x in batch["answers"][i].as_py()]
+    grams = np.concatenate([[0], *values]).astype(np.int64)[at]
+    return ids, *cut(text, grams, depth)
+
+
+def cut(text: np.ndarray, grams: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and phrases with a break between words that no phrase has side by side, without the words left alone."""
+    place = np.flatnonzero(grams)
+    edges = np.zeros(len(text) + depth, np.int64)
+    np.add.at(edges, place, 1)
+    np.add.at(edges, place + depth - 1, -1)
+    linked = np.cumsum(edges)[:len(text)] > 0  # to the next word
+    text = np.where(linked | np.concatenate([[False], linked[:-1]]), text, 0)
+    breaks = np.flatnonzero(~linked) + 1
+    text, grams = np.insert(text, breaks, 0), np.insert(grams, breaks, 0)
+    kept = (text > 0) | (np.concatenate([[0], text[:-1]]) > 0)
+    return text[kept], grams[kept]
+
+
+def level(held: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """Shards with the phrases of `depth` words they ask for; a shard's text comes with bucket -1.
+
+    `at` holds for each place which of the asked phrases, from 1, starts there. A phrase's key is the id of its
+    words but the last, then the last word's id; keys come by bucket, ascending.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                tokens = unsqueezed(batch["tokens"][i].as_py(), "<u4", batch["n"][i].as_py())
-                place, ids = (batch[c][i].values.to_numpy() for c in ("places", "values"))
-                own = np.zeros(int(tokens.max()) + 1, np.uint32)
-                own[place + 1] = np.arange(1, len(place) + 1)
-                text = joined_breaks(own[tokens])
-                for (gram, word, count), _ in Index(text, 2).phrases(2):
-                    yield pa.RecordBatch.from_arrays([
-                        batch["shard"][i:i + 1], batch["sign"][i:i + 1],
-                        *(one_list(x) for x in (ids, ids[gram[:, 0] - 1], ids[word - 1], count)),
-                        pa.array([len(text)], pa.int32()), pa.array([squeezed(text)], pa.binary()),
-                    ], ["shard", "sign", "ids", "first", "second", "counts", "n", "tokens"])
-
-    columns = "shard long, sign int, ids array<long>, first array<long>, second array<long>, counts array<long>, n int, tokens binary"
-    return held.select("shard", "sign", "n", "tokens").join(answers, "shard").mapInArrow(run, columns)
-
-
-def one_list(values: np.ndarray) -> pa.Array:
-    """An array of one row that holds the values."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.int64()))
-
-
-def joined_breaks(text: np.ndarray) -> np.ndarray:
-    """Several breaks in a row count as one."""
-    return text[(text > 0) | (np.concatenate([[1], text[:-1]]) > 0)]
-
-
-def long_phrases(held: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
-    """(gram, side, n): phrases of three words and more all of whose pairs are frequent.
-
-    `gram` is a phrase with its extension, `side` the end at which the extension stands.
+                ids, text, grams = first_grams(batch, i) if depth == 2 else next_grams(batch, i, depth - 1)
+                if grams.any():
+                    yield from shard(batch["shard"][i].as_py(), batch["sign"][i].as_py(), ids, text, grams)
+
+    def shard(number: int, sign: int, ids: np.ndarray, text: np.ndarray, grams: np.ndarray) -> Iterator[pa.RecordBatch]:
+        index = Index(text, depth)
+        start, word, count, low = index.longer(grams)
+        keys = (start.astype(np.uint64) << np.uint64(32)) | ids[word - 1].astype(np.uint64)
+        bucket = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((keys, bucket))
+        of, place = index.places(low[order], count[order])
+        at = np.zeros(len(text) + 1, np.uint32)
+        at[place] = of + 1
+        keys, count = keys[order], count[order].astype(np.uint32)
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        some = [(b, slice(x, y)) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if x < y]
+        rows = [{"shard": number, "sign": sign, "bucket": -1, "n": len(text), "ids": ids, "tokens": squeezed(text.astype(np.uint32)), "at": squeezed(at[:-1])}]
+        rows += [{"shard": number, "sign": sign, "bucket": b, "n": p.stop - p.start, "keys": deltas(keys[p]), "counts": squeezed(count[p])} for b, p in some]
+        if some:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    columns = "shard long, sign int, bucket int, n int, ids array<long>, tokens binary, at binary, keys binary, counts binary"
+    schema = pa.schema([
+        ("shard", pa.int64()), ("sign", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int64())),
+        *((c, pa.binary()) for c in ("tokens", "at", "keys", "counts")),
+    ])
+    return held.mapInArrow(run, columns)
+
+
+def answered(asks: DataFrame, buckets: int, least: int) -> DataFrame:
+    """(shard, bucket, n, values) with each shard's answers: a frequent phrase's id, or 0.
+
+    A bucket's frequent phrases come with shard -1: their starts, last words, counts and ids. Buckets are hashed
+    keys, each once for a shard, so they are alike in size. Ids are nearly dense: rank in the bucket by buckets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        bucket = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids, first, second, place = (batch[c][i].values.to_numpy() for c in ("ids", "first", "second", "places"))
-                text = unsqueezed(batch["tokens"][i].as_py(), "<u4", batch["n"][i].as_py()).astype(np.int64)
-                order = np.argsort(ids)
-                first, second = (order[np.searchsorted(ids, x[place], sorter=order)] + 1 for x in (first, second))
-                pairs = np.sort(first * (len(ids) + 1) + second)
-                text = cut(text, pairs, len(ids) + 1)
-                for right, left in Index(text, depth).phrases(depth):
-                    if right[0].shape[1] == 1:
-                        continue  # pairs are known
-                    for side, (gram, word, count) in (("right", right), ("left", left)):
-                        whole = ids[np.hstack([gram, word[:, None]] if side == "right" else [word[:, None], gram]) - 1]
-                        flat = pa.array(whole.reshape(-1), pa.int64())
-                        offsets = pa.array(np.arange(len(whole) + 1, dtype=np.int32) * whole.shape[1])
-                        yield pa.RecordBatch.from_arrays([
-                            pa.ListArray.from_arrays(offsets, flat), pa.array([side] * len(whole), pa.string()),
-                            pa.array(count * batch["sign"][i].as_py(), pa.int64()),
-                        ], ["gram", "side", "n"])
-
-    return held.select("shard", "sign", "ids", "first", "second", "n", "tokens").join(answers.drop("values"), "shard").mapInArrow(
-        run, "gram array<long>, side string, n long"
-    )
-
-
-def cut(text: np.ndarray, pairs: np.ndarray, base: int) -> np.ndarray:
-    """The text with a break between words whose pair isn't among `pairs`, without the words left alone."""
-    keys = text[:-1] * base + text[1:]
-    known = np.zeros(len(keys), bool)
-    if len(pairs):
-        known = pairs[np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)] == keys
-    known = np.concatenate([[False], known, [False]])
-    text = np.where(known[:-1] | known[1:], text, 0)
-    return joined_breaks(np.insert(text, np.flatnonzero(~known[1:-1]) + 1, 0))
+            for row in batch.to_pylist():
+                if held and row["bucket"] != bucket:
+                    yield summed(bucket, held)
+                    held = []
+                bucket = row["bucket"]
+                keys = undeltas(row["keys"], row["n"])
+                held.append((row["shard"], keys, unsqueezed(row["counts"], "<u4", row["n"]).astype(np.int64) * row["sign"]))
+        if held:
+            yield summed(bucket, held)
+
+    def summed(bucket: int, held: list[tuple]) -> pa.RecordBatch:
+        keys, at = np.unique(np.concatenate([k for _, k, _ in held]), return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, at, np.concatenate([c for _, _, c in held]))
+        often = np.flatnonzero(total >= least)
+        ids = 1 + bucket + np.arange(len(often)) * buckets
+        if len(often) and ids[-1] >= 1 << 32:
+            raise ValueError("more frequent phrases of one length than 32-bit ids")
+        values = np.zeros(len(keys), np.uint32)
+        values[often] = ids
+        rows = [{
+            "shard": -1, "bucket": bucket, "n": len(often), "start": (keys[often] >> np.uint64(32)).astype(np.int64),
+            "last": (keys[often] & np.uint64(0xFFFFFFFF)).astype(np.int64), "f": total[often], "id": ids,
+        }]
+        ends = np.cumsum([len(k) for _, k, _ in held]).tolist()
+        for (shard, own, _), end in zip(held, ends):
+            rows.append({"shard": shard, "bucket": bucket, "n": len(own), "values": squeezed(values[at[end - len(own):end]])})
+        return pa.RecordBatch.from_pylist(rows, schema)
+
+    lists = ("start", "last", "f", "id")
+    schema = pa.schema([
+        ("shard", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("values", pa.binary()), *((c, pa.list_(pa.int64())) for c in lists),
+    ])
+    dealt = asks.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "shard long, bucket int, n int, values binary, " + ", ".join(f"{c} array<long>" for c in lists))
+
+
+def frequent(held: DataFrame, known: DataFrame, asks: DataFrame, depth: int, least: int, buckets: int) -> DataFrame:
+    """(gram, f): all phrases of 2 to `depth` words, as ids of words, that are frequent in the corpus."""
+    state = held.select("shard", "sign", "n", "tokens").join(told(asks, known), "shard")
+    grams = shorter = None
+    for k in range(2, depth + 1):
+        step = stored(level(state, k, buckets), f"phrases-{k}")
+        answers = stored(answered(step.where("bucket >= 0").select("bucket", "shard", "sign", "n", "keys", "counts"), buckets, least), f"phrase-answers-{k}")
+        found = answers.where("shard = -1").select(F.inline(F.arrays_zip("start", "last", "f", "id")))
+        if shorter is None:
+            found = found.select("id", F.array("start", "last").alias("gram"), "f")
+        else:
+            starts = shorter.select(F.col("id").alias("start"), F.col("gram").alias("words"))
+            found = found.join(starts, "start").select("id", F.concat("words", F.array("last")).alias("gram"), "f")
+        shorter = stored(found, f"phrase-counts-{k}")
+        grams = shorter.select("gram", "f") if grams is None else grams.unionByName(shorter.select("gram", "f"))
+        own = answers.where("shard >= 0").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "values"))).alias("answers"))
+        state = step.where("bucket = -1").select("shard", "sign", "n", "ids", "tokens", "at").join(own, "shard")
+    return grams
 
 
-def mined(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, most: int = MOST, size: int = SHARD_BYTES) -> DataFrame:
+def mined(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, most: int = MOST, size: int = SHARD_BYTES, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first phrases of 2 to `depth` words.
 
     `a` is a phrase's count, `l` and `r` those of the two parts at its weakest cut, `n` the words of its
@@ -284,23 +363,13 @@ def mined(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, most: int = M
     asks = asked(held)
     words = asks.groupBy("lang", "word").agg(F.sum("n").alias("f"))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    # Ids need only be distinct: the stored table fixes them.
-    known = stored(words.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "phrase-words")
-    pairs = stored(kept_pairs(held, told(asks, known, ["lang", "word"], "id")), "phrase-pairs")
-    asks = pairs.select("shard", "sign", F.posexplode(F.arrays_zip("first", "second", "counts")).alias("place", "own")).select(
-        "shard", "place", "own.first", "own.second", (F.col("own.counts") * F.col("sign")).alias("n"),
-    )
-    often = stored(
-        asks.groupBy("first", "second").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrase-pair-counts"
-    )
-    longer = long_phrases(pairs, told(asks, often, ["first", "second"], "f"), depth)
-    longer = stored(longer.groupBy("gram", "side").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrase-counts")
-    grams = often.select(F.array("first", "second").alias("gram"), "f").unionByName(longer.where("side = 'right'").select("gram", "f"))
+    known = stored(with_place(words.where(F.col("f") >= least), "id", F.col("lang"), F.col("word")), "phrase-words")
+    buckets = 1 + (held.agg(F.sum("n")).first()[0] or 0) // bucket_words
+    grams = frequent(held, known, asks, depth, least, buckets)
     everything = grams.unionByName(known.select(F.array("id").alias("gram"), "f"))
     # A phrase whose extension by a word, at either end, is as frequent goes.
-    inner = longer.select(
-        F.when(F.col("side") == "right", F.expr("slice(gram, 1, size(gram) - 1)")).otherwise(F.expr("slice(gram, 2, size(gram) - 1)")).alias("gram"),
-        F.col("f").alias("longer"),
+    inner = grams.where("size(gram) > 2").select(
+        F.explode(F.expr("array(slice(gram, 1, size(gram) - 1), slice(gram, 2, size(gram) - 1))")).alias("gram"), F.col("f").alias("longer")
     ).groupBy("gram").agg(F.max("longer").alias("longer"))
     open_ended = grams.join(inner, "gram", "left").where("longer IS NULL OR longer < f").select("gram", F.col("f").alias("a"))
     cuts = open_ended.select("gram", "a", F.explode(F.expr("sequence(1, size(gram) - 1)")).alias("k"))

@@ -65,7 +65,7 @@ ROWS = [
 def test_phrases_are_those_of_plain_counters(spark, size):
     rows = ROWS + [("en", "long run without any mark at all " * 30)]
     docs = spark.createDataFrame([(i, lang, text, "x") for i, (lang, text) in enumerate(rows)], "doc_id long, lang string, text string, phrase string")
-    found = told(phrases.mined(docs.repartition(3), least=3, most=25, size=size))
+    found = told(phrases.mined(docs.repartition(3), least=3, most=25, size=size, bucket_words=200))
     assert found == mined(rows, 5, 3, 25)
     assert {r[0] for r in found} == {"en", "fr", "und"}
 
@@ -90,12 +90,23 @@ def test_index_counts_phrases_and_their_extensions(seed):
     text = [dice.choice([0, 1, 1, 2, 3, 4, 5][: dice.randint(3, 7)]) for _ in range(dice.choice([1, 2, 30, 400]))]
     pieces = [list(map(int, p.split())) for p in " ".join(map(str, text)).split("0")]
     grams = Counter(tuple(p[i:i + k]) for p in pieces for k in range(1, 6) for i in range(len(p) - k + 1))
-    right, left = Counter(), Counter()
-    for after, before in phrases.Index(np.array(text), 5).phrases(5):
-        right.update({(*map(int, g), int(w)): int(n) for g, w, n in zip(*after)})
-        left.update({(int(w), *map(int, g)): int(n) for g, w, n in zip(*before)})
-    expected = {g: n for g, n in grams.items() if len(g) > 1}
-    assert right == left == expected
+    text = np.array(text)
+    known = {g: i for i, g in enumerate(sorted({g for g in grams if len(g) == 1}), 1)}
+    for depth in range(2, 6):
+        # Every third phrase is forgotten on the way: only what has both its parts comes out.
+        start = [known.get(tuple(map(int, text[i:i + depth - 1])), 0) for i in range(len(text))]
+        start = [i if at + depth - 1 <= len(text) else 0 for at, i in enumerate(start)]
+        names = {i: g for g, i in known.items()}
+        index = phrases.Index(text, depth)
+        found, lows = {}, []
+        if any(start):
+            ids, word, count, lows = index.longer(np.array(start))
+            found = {(*names[int(i)], int(w)): int(n) for i, w, n in zip(ids, word, count)}
+            of, place = index.places(lows, count)
+            for i, at in zip(of.tolist(), place.tolist()):
+                assert tuple(map(int, text[at:at + depth])) == (*names[int(ids[i])], int(word[i]))
+        assert found == {g: n for g, n in grams.items() if len(g) == depth and g[:-1] in known and g[1:] in known}
+        known = {g: i for i, g in enumerate(sorted(found), 1) if i % 3}
 
 
 @pytest.mark.parametrize("text", [b"a b c d e f g h i j", b"a.b c d. e f g h i j k l", b"x" * 50 + b" y z", b"", b"  a  ", b"a b c d e f g h i j k l m n o p q r s t"])
