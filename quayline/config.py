@@ -75,6 +75,7 @@ TRANSCRIPT_STOP_MARKERS = ["Showing only recent", "messages_requested"]
 # --- fixed values: listener limits -------------------------------------------------------------
 MESSAGE_MAX_AGE = "2 hours"
 CHANNEL_QUOTA = 3
+MENTION_QUOTA = 2
 CHANNEL_DEFAULTS = {"escalation_cc": False, "disclaimer": False}
 ANSWER_ROW_CAP = 50
 HISTORY_ROWS = 20

@@ -365,6 +365,20 @@ FEEDS["thread_messages"] = f"""
                 THEN CONCAT('<@BOT> ', c.text) ELSE c.text END AS body
     FROM {{conversations}} c"""
 
+FEEDS["mention_threads"] = f"""
+    SELECT CONCAT('C', {text('m.thread_id % 6')}) AS channel, m.thread_id, m.turn, m.author,
+           CASE WHEN m.turn = 0 AND m.thread_id % 3 = 0
+                THEN CONCAT('Where is ', {order_number('m.thread_id')}, '? ', m.body)
+                WHEN m.turn = 0 AND m.thread_id % 3 = 1 THEN CONCAT('About the inventory: ', m.body)
+                WHEN m.turn % 3 = 2 AND m.thread_id % 7 = 0
+                THEN CONCAT('<@BOT> and ', {order_number('m.thread_id + 1')}, ' then?')
+                WHEN m.turn % 3 = 2 AND m.thread_id % 7 = 1 THEN '<@BOT> thanks'
+                WHEN m.turn % 3 = 2 AND m.thread_id % 7 = 2 THEN '<@BOT> any receipt yet?'
+                ELSE m.body END AS body,
+           TIMESTAMP '2024-01-30 08:30:00' + INTERVAL '1' SECOND * (m.thread_id * 61 % 10000 + m.turn * 240)
+               + INTERVAL '0.001' SECOND * (m.thread_id % 1000) AS event_time
+    FROM {{thread_messages}} m"""
+
 FEEDS["run_log"] = f"""
     SELECT e.event_id AS run_id,
            CONCAT('source', {text('e.user_id % 5')}) AS source_id,

@@ -16,7 +16,7 @@ from quayline import config
 from quayline.functions import messages as M
 from quayline.operators import relational as R
 from quayline.plans.lookup import lookup_fallback, order_card
-from quayline.sources.tables import read_if_exists
+from quayline.streaming.state import batch_folder, newest_before
 
 
 def message_stream(
@@ -44,33 +44,20 @@ def within_age(messages: DataFrame, now: Column | None = None) -> DataFrame:
 MESSAGE_KEY = ["channel", "message_ts"]
 
 
-def once_writer(base: str) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch: the messages that no earlier batch had, each once, whatever their order in time.
+def once(messages: DataFrame, keep: str = config.MESSAGE_MAX_AGE, arrived: Column | None = None) -> DataFrame:
+    """The messages of a stream, each once, whatever their order in time.
 
-    Keys that have been seen are kept by day of the event. A batch reads those of its own days, so the
-    work does not grow with the log; days past every age limit can be dropped as folders. Nothing is
-    dropped for being late: that is `within_age`.
+    Keys are kept in the state store from their arrival on, by default the time of the micro-batch, so
+    that no message is late, and expire after `keep`. Messages are asked for their age first, which is
+    why a key that has expired can't come again.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        day = F.coalesce(F.to_date("event_time"), F.lit("0001-01-01").cast("date")).cast("string")
-        fresh = batch.dropDuplicates(MESSAGE_KEY).withColumn("event_day", day)
-        seen = read_if_exists(spark, f"{base}/seen")
-        if seen is not None:
-            days = [r[0] for r in fresh.select("event_day").distinct().collect()]
-            earlier = seen.filter((F.col("batch_id") < batch_id) & F.col("event_day").cast("string").isin(days))
-            # Null-safe, so that a message without a channel is known again too.
-            same = [fresh[k].eqNullSafe(earlier[k]) for k in MESSAGE_KEY]
-            fresh = fresh.join(earlier, same, "left_anti")
-        target = batch_folder(f"{base}/messages", batch_id)
-        fresh.write.mode("overwrite").parquet(target)
-        kept = spark.read.schema(fresh.schema).parquet(target)
-        kept.select(*MESSAGE_KEY, "event_day").write.mode("overwrite").partitionBy("event_day").parquet(
-            batch_folder(f"{base}/seen", batch_id)
-        )
-
-    return write
+    arrived = F.current_timestamp() if arrived is None else arrived
+    return (
+        messages.withColumn("arrived_at", arrived)
+        .withWatermark("arrived_at", keep)
+        .dropDuplicatesWithinWatermark(MESSAGE_KEY)
+        .drop("arrived_at")
+    )
 
 
 def without_types(
@@ -116,27 +103,22 @@ def split_by_quota(messages: DataFrame, quota: int = config.CHANNEL_QUOTA) -> Da
     )
 
 
-def batch_folder(base: str, batch_id: int) -> str:
-    return f"{base}/batch_id={batch_id}"
-
-
 def quota_writer(
     base: str, quota: int = config.CHANNEL_QUOTA, still_open: Callable[[DataFrame], DataFrame] | None = None
 ) -> Callable[[DataFrame, int], None]:
     """Per micro-batch: join the messages left over, answer up to the quota, keep the rest.
 
-    A folder for each batch holds what it answered and what then waits. Only the batch before is read;
-    of its waiting messages `still_open` keeps those that may still be answered.
+    A folder for each batch holds what it answered and what then waits. Only the newest batch before is
+    read; of its waiting messages `still_open` keeps those that may still be answered.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         waiting = batch
-        if batch_id > 0:
-            left = read_if_exists(spark, batch_folder(f"{base}/state", batch_id - 1))
-            if left is not None:
-                left = left.filter("state = 'pending'").drop("state")
-                waiting = batch.unionByName(still_open(left) if still_open else left)
+        left = newest_before(spark, f"{base}/state", batch_id)
+        if left is not None:
+            left = left.filter("state = 'pending'").drop("state")
+            waiting = batch.unionByName(still_open(left) if still_open else left)
         split_by_quota(waiting, quota).write.mode("overwrite").parquet(
             batch_folder(f"{base}/state", batch_id)
         )
@@ -188,48 +170,27 @@ def unanswered_mentions_by_anti_join(thread: DataFrame, bot: str) -> DataFrame:
     return mentions.join(replies, later, "left_anti")
 
 
-def with_thread_context(mentions: DataFrame, thread: DataFrame, bot: str) -> DataFrame:
-    """Add the cleaned text, the parent's text and both joined, with the order either names."""
-    parents = thread.filter(F.col("turn") == 0).select("thread_id", F.col("body").alias("parent_body"))
-    cleaned = M.stripped(F.replace("body", F.lit(f"<@{bot}>"), F.lit("")))
-    return (
-        mentions.join(parents, "thread_id", "left")
-        .withColumn("clean_body", cleaned)
-        .withColumn(
-            "context",
-            F.concat_ws("\n\n", F.nullif("parent_body", F.lit("")), F.col("clean_body")),
-        )
-        .withColumn(
-            "order_number",
-            F.coalesce(
-                M.order_number(F.col("clean_body")), M.order_number(F.col("parent_body"))
-            ),
-        )
-    )
-
-
-def mention_writer(base: str, bot: str) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch of thread messages: log them, then list the open mentions of their threads."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(batch_folder(f"{base}/log", batch_id))
-        log = spark.read.parquet(f"{base}/log").filter(F.col("batch_id") <= batch_id).drop("batch_id")
-        touched = batch.select("thread_id").distinct()
-        threads = log.join(touched, "thread_id", "left_semi")
-        open_mentions = unanswered_mentions(threads, bot)
-        with_thread_context(open_mentions, threads, bot).write.mode("overwrite").parquet(
-            batch_folder(f"{base}/mentions", batch_id)
-        )
-        touched.write.mode("overwrite").parquet(batch_folder(f"{base}/touched", batch_id))
-
-    return write
-
+def unanswered_within(
+    messages: DataFrame, replies: DataFrame, bot: str, wait: str, lateness: str = config.MESSAGE_MAX_AGE
+) -> DataFrame:
+    """Messages of a stream that no reply of the bot follows in their thread within `wait`.
 
-def open_mentions(spark: SparkSession, base: str) -> DataFrame:
-    """The mentions that are open after the last batch: of each thread, those of the last batch that touched it."""
-    last = spark.read.parquet(f"{base}/touched").groupBy("thread_id").agg(F.max("batch_id").alias("batch_id"))
-    return spark.read.parquet(f"{base}/mentions").join(last, ["thread_id", "batch_id"]).drop("batch_id")
+    Both sides are streams. A message comes out once the watermark of both has passed its bound, and is
+    then dropped from the state, as replies are that no later message can match. Turns that are more
+    than `lateness` behind the newest ones don't take part.
+    """
+    own = messages.withWatermark("event_time", lateness)
+    answers = (
+        replies.filter(F.col("author") == bot)
+        .select(F.col("thread_id").alias("_thread"), F.col("event_time").alias("_replied_at"))
+        .withWatermark("_replied_at", lateness)
+    )
+    in_time = (
+        (F.col("thread_id") == F.col("_thread"))
+        & (F.col("_replied_at") >= F.col("event_time"))
+        & (F.col("_replied_at") <= F.col("event_time") + F.expr(f"INTERVAL {wait}"))
+    )
+    return own.join(answers, in_time, "left").filter(F.col("_replied_at").isNull()).drop("_thread", "_replied_at")
 
 
 def unanswered_writer(
@@ -255,6 +216,11 @@ def answers(
         .withColumn("intent", M.message_intent(clean, asked))
         .withColumn("requested", M.order_number(clean))
     )
+    return with_cards(read, orders, shipments, lines)
+
+
+def with_cards(read: DataFrame, orders: DataFrame, shipments: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add the answer to messages that name an order in `requested`: its card, or that none is known."""
     requests = read.filter(F.col("requested").isNotNull()).select(
         F.col("requested").alias("order_number")
     )
@@ -285,6 +251,11 @@ def triage_writer(
     return write
 
 
+def to_answer(messages: DataFrame, bot: str, now: Column | None = None) -> DataFrame:
+    """The messages of a stream that may be answered, each once. They need a `thread_id`."""
+    return once(questions_only(without_types(within_age(messages, now), bot=bot)))
+
+
 def listener_writer(
     base: str, tables: Callable[[SparkSession], tuple[DataFrame, DataFrame, DataFrame]],
     replies: Callable[[SparkSession], DataFrame], bot: str, now: Column | None = None,
@@ -295,17 +266,14 @@ def listener_writer(
     Young enough, of a kind that is answered, not seen before, a question, in a thread without an
     answer, within the channel's quota: such messages get an answer from the tables as they are at
     that moment. What the quota leaves over waits for the next batch and is then looked at again.
-    Messages need a `thread_id`. Answers are in `base`/answers, a folder for each batch.
+    The stream is that of `to_answer`. Answers are in `base`/answers, a folder for each batch.
     """
-    once = once_writer(f"{base}/once")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         unanswered = lambda messages: without_answer(messages, replies(spark), bot)
-        once(questions_only(without_types(within_age(batch, now), bot=bot)), batch_id)
-        fresh = spark.read.parquet(batch_folder(f"{base}/once/messages", batch_id)).drop("event_day")
         limited = quota_writer(f"{base}/quota", quota, lambda left: unanswered(within_age(left, now)))
-        limited(unanswered(fresh), batch_id)
+        limited(unanswered(batch), batch_id)
         state = spark.read.parquet(batch_folder(f"{base}/quota/state", batch_id))
         due = state.filter("state = 'answered'").drop("state")
         answers(due, *tables(spark)).write.mode("overwrite").parquet(batch_folder(f"{base}/answers", batch_id))
@@ -326,16 +294,30 @@ def config_writer(
     return write
 
 
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def run_to_end(
     stream: DataFrame, checkpoint: str, sink: str | Callable[[DataFrame, int], None],
-    seconds: int = 3600,
-) -> None:
-    """Process everything that has arrived, into a parquet folder or a batch function."""
+    seconds: int = 3600, idle: bool = True,
+) -> list[dict]:
+    """Process everything that has arrived, into a parquet folder or a batch function; each batch's progress.
+
+    Without `idle`, no batch runs for a watermark alone: to a batch function that has a quota for each
+    batch, such batches would be polls of their own.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(IDLE)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if callable(sink):
-        query = writer.foreachBatch(sink).start()
-    else:
-        query = writer.format("parquet").outputMode("append").start(sink)
+    try:
+        conf.set(IDLE, str(idle).lower())
+        if callable(sink):
+            query = writer.foreachBatch(sink).start()
+        else:
+            query = writer.format("parquet").outputMode("append").start(sink)
+    finally:
+        conf.set(IDLE, before)
     if not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(f"stream did not finish in {seconds} s")
+    return query.recentProgress
