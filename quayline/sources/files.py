@@ -52,17 +52,25 @@ def receipts_from_text(raw: DataFrame, sequence: Column | None = None) -> DataFr
 
 #: Standard quoting: a quote within quotes is doubled, and blanks belong to the text.
 CSV_QUOTES = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-CSV_WIDTH = 64
 
 
-def read_receipts_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+def header_width(spark: SparkSession, path: str) -> int:
+    """At least as many columns as the widest header below a path has: one more than the commas of its line."""
+    lines = spark.read.text(path).select(
+        file_order().alias("place"), F.col("_metadata.file_path").alias("file"), F.regexp_count("value", F.lit(",")).alias("commas")
+    )
+    first = lines.groupBy("file").agg(F.min_by("commas", "place").alias("commas"))
+    return 1 + (first.agg(F.max("commas")).first()[0] or 0)
+
+
+def read_receipts_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """Receipts from CSV files with a header; a byte-order mark and header aliases are accepted.
 
     Fields are taken by their names in the header of their own file, so files of one folder may order
-    their columns differently. Fields may hold line breaks; without `line_breaks` they may not, and
-    Spark splits large files over tasks.
+    their columns differently, and have any number of others. Spark splits large files over tasks; with
+    `line_breaks`, fields may hold line breaks and each file is one task. A header has no line breaks.
     """
-    wide = ", ".join(f"_c{n} string" for n in range(CSV_WIDTH))
+    wide = ", ".join(f"_c{n} string" for n in range(header_width(spark, path)))
     raw = spark.read.schema(wide).options(**CSV_QUOTES, multiLine=line_breaks).csv(path)
     rows = raw.select(
         F.array(*raw.columns).alias("_cells"), file_order().alias("sequence"), F.col("_metadata.file_path").alias("_file")

@@ -38,40 +38,106 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def move_folder(fs, source, target) -> None:
+    """Rename, or raise: Hadoop's rename says false where it is refused."""
+    if not fs.rename(source, target):
+        raise OSError(f"could not rename {source} to {target}")
+
+
 def swap_folder(spark: SparkSession, staged: str, target: str) -> None:
-    """Put a finished folder in a target's place by renames, which move no data."""
+    """Put a finished folder in a target's place by renames, which move no data.
+
+    The old folder is deleted last. Where the new one can't take its place, the old one goes back.
+    """
     fs, new = file_system(spark, staged)
     old = file_system(spark, f"{target}__old_{uuid.uuid4().hex}")[1]
     place = file_system(spark, target)[1]
     had = fs.exists(place)
     if had:
-        fs.rename(place, old)
-    fs.rename(new, place)
+        move_folder(fs, place, old)
+    try:
+        move_folder(fs, new, place)
+    except BaseException:
+        if had:
+            move_folder(fs, old, place)
+        raise
     if had:
         fs.delete(old, True)
 
 
+def table_location(spark: SparkSession, table: str) -> str:
+    rows = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").collect()
+    return rows[-1]["data_type"]
+
+
+def same_columns(spark: SparkSession, table: str, df: DataFrame) -> bool:
+    kinds = lambda schema: [(f.name.lower(), f.dataType) for f in schema.fields]
+    return kinds(spark.table(table).schema) == kinds(df.schema)
+
+
+def refresh_table(stamped: DataFrame, table: str, folder: str) -> int:
+    """Write a new version of a catalog table below `folder` and point the catalog to it.
+
+    Every version has a folder of its own, and the table's location is the pointer: readers see the old
+    version or the new one, whole, and never a gap. A write or a switch that fails leaves the old version.
+    Versions stay until `drop_old_versions`, so a query that has planned its files can end. The switch is
+    one catalog call; only new columns need two, a rename of the old definition and a new one, and the
+    old one is put back if the second fails.
+    """
+    spark = stamped.sparkSession
+    version = f"{folder.rstrip('/')}/v-{time.time_ns()}-{uuid.uuid4().hex}"
+    stamped.write.parquet(version)
+    rows = spark.read.schema(stamped.schema).parquet(version).count()
+    place = version.replace("'", "\\'")
+    if not spark.catalog.tableExists(table):
+        spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{place}'")
+    elif same_columns(spark, table, stamped):
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{place}'")
+    else:
+        before = f"{table}__before_{uuid.uuid4().hex}"
+        spark.sql(f"ALTER TABLE {table} RENAME TO {before}")
+        try:
+            spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{place}'")
+        except BaseException:
+            spark.sql(f"ALTER TABLE {before} RENAME TO {table}")
+            raise
+        spark.sql(f"DROP TABLE {before}")  # the definition only: its files are those of a version
+    spark.catalog.refreshTable(table)
+    return rows
+
+
+def table_versions(spark: SparkSession, folder: str) -> list[str]:
+    """The version folders of a table, oldest first."""
+    fs, place = file_system(spark, folder)
+    names = [entry.getPath().getName() for entry in fs.listStatus(place)] if fs.exists(place) else []
+    return sorted((n for n in names if n.startswith("v-")), key=lambda n: int(n.split("-")[1]))
+
+
+def drop_old_versions(spark: SparkSession, table: str, folder: str, keep: int = 1) -> list[str]:
+    """Remove a table's versions but the current one and the `keep` - 1 newest others; the names of what went."""
+    current = table_location(spark, table).rstrip("/").rsplit("/", 1)[1]
+    others = [name for name in table_versions(spark, folder) if name != current]
+    gone = others[:max(len(others) - keep + 1, 0)]
+    for name in gone:
+        drop_folder(spark, f"{folder.rstrip('/')}/{name}")
+    return gone
+
+
 def full_refresh(
-    df: DataFrame, target: str, order: list[Column | str] | None = None, as_table: bool = False
+    df: DataFrame, target: str, order: list[Column | str] | None = None, versions: str | None = None
 ) -> int:
     """Replace a table by the DataFrame plus a sync stamp; the row count is read back from it.
 
-    The rows are written beside the target first, and take its place only when they are complete: a
-    refresh that fails leaves the table as it was.
+    The target is a folder, or, with the folder of its `versions`, a catalog table. The rows are written
+    beside the target first, and take its place only when they are complete: a refresh that fails leaves
+    the table as it was.
     """
     spark = df.sparkSession
     stamped = df.withColumn("synced_at", F.current_timestamp())
     if order:
         stamped = R.clustered_for_write(stamped, *order)
-    if as_table:
-        staged = f"{target}__new_{uuid.uuid4().hex}"
-        try:
-            stamped.write.format("parquet").saveAsTable(staged)
-            spark.sql(f"DROP TABLE IF EXISTS {target}")
-            spark.sql(f"ALTER TABLE {staged} RENAME TO {target}")
-        finally:
-            spark.sql(f"DROP TABLE IF EXISTS {staged}")
-        return spark.table(target).count()
+    if versions is not None:
+        return refresh_table(stamped, target, versions)
     staged = f"{target}__new_{uuid.uuid4().hex}"
     try:
         stamped.write.parquet(staged)
@@ -288,22 +354,87 @@ def newest_state(states: DataFrame) -> DataFrame:
     return R.newest_per_key(states, ["connection"], [F.desc("updated_at")])
 
 
-KEY_BUCKETS = 64
+#: Rows for which a synced table gets a bucket.
+BUCKET_ROWS = 1_000_000
+LAYOUT = "step long, buckets int, rows long, split_from int"
+
+
+def key_bucket(keys: list[str], buckets: int) -> Column:
+    """The bucket of a key by linear hashing, whatever else of its row changes.
+
+    Going from n to n + 1 buckets moves keys of one bucket only, that of `split_source(n)`, and those
+    that move go to bucket n.
+    """
+    half = 1 << (buckets.bit_length() - 1)
+    hashed = F.xxhash64(*keys)
+    wide = hashed.bitwiseAND(F.lit(2 * half - 1))
+    return F.when(wide < buckets, wide).otherwise(hashed.bitwiseAND(F.lit(half - 1))).cast("int")
+
+
+def split_source(bucket: int, below: int) -> int:
+    """The one of the first `below` buckets that held a later bucket's keys."""
+    while bucket >= below:
+        bucket -= 1 << (bucket.bit_length() - 1)
+    return bucket
+
+
+def layout_path(target: str) -> str:
+    return f"{target.rstrip('/')}__layout"
+
+
+def newest_layout(spark: SparkSession, target: str) -> dict | None:
+    """The last step of a synced table's layout: its buckets, its rows, and, during a split, the buckets before."""
+    steps = read_if_exists(spark, layout_path(target))
+    row = None if steps is None else steps.orderBy(F.desc("step")).first()
+    return None if row is None else row.asDict()
+
+
+def note_layout(spark: SparkSession, target: str, step: int, buckets: int, rows: int, split_from: int | None) -> None:
+    spark.createDataFrame([(step, buckets, rows, split_from)], LAYOUT).coalesce(1).write.mode("append").parquet(layout_path(target))
+
+
+def split_buckets(spark: SparkSession, target: str, keys: list[str], before: int, after: int) -> None:
+    """Go from `before` to `after` buckets: only the buckets that give keys away are read and rewritten.
+
+    It can run again after a failure half way: rows that have moved and are still in their old bucket too
+    then count once. Readers of the files may see such rows twice while it runs.
+    """
+    sources = sorted({split_source(b, before) for b in range(before, after)})
+    own = F.col("key_bucket")
+    rows = spark.read.parquet(target).filter((own >= before) | own.isin(sources)).dropDuplicates(keys)
+    staging = scratch_path(spark, "split")
+    rows.withColumn("key_bucket", key_bucket(keys, after)).write.parquet(staging)
+    staged = spark.read.parquet(staging)
+    (
+        staged.hint("rebalance", "key_bucket")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket").parquet(target)
+    )
+    filled = {r[0] for r in staged.select("key_bucket").distinct().collect()}
+    for bucket in set(sources) - filled:  # an overwrite leaves partitions alone that it has no rows for
+        drop_folder(spark, f"{target}/key_bucket={bucket}")
+    drop_folder(spark, staging)
 
 
-def key_bucket(keys: list[str], buckets: int = KEY_BUCKETS) -> Column:
-    """A partition number that stays the same for a key, whatever else of its row changes."""
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+def grown(spark: SparkSession, target: str, keys: list[str], layout: dict, bucket_rows: int) -> None:
+    """Add buckets until no bucket has more than `bucket_rows` rows on average; noted before and after."""
+    before, rows = layout["buckets"], layout["rows"]
+    after = max(before, -(-rows // bucket_rows))
+    if after > before:
+        note_layout(spark, target, layout["step"] + 1, after, rows, before)
+        split_buckets(spark, target, keys, before, after)
+        note_layout(spark, target, layout["step"] + 2, after, rows, None)
 
 
 def sync_incremental(
     spark: SparkSession, connection: str, source: DataFrame, target: str, state_path: str,
-    cursor: str, keys: list[str] | None = None, buckets: int = KEY_BUCKETS,
+    cursor: str, keys: list[str] | None = None, bucket_rows: int = BUCKET_ROWS, buckets: int | None = None,
 ) -> UpsertResult:
     """Merge the rows past the stored mark into the target by key and store the new mark.
 
-    The target is partitioned by key bucket. The mark is saved after the merge; a repeated run
-    merges the same rows to the same result.
+    The target is partitioned by key bucket, and its buckets grow one at a time with its rows: a batch
+    rewrites at most as many buckets as it has keys, each of about `bucket_rows` rows, and a split one
+    bucket more. A new table starts with `buckets`, by default as many as its first rows ask for. The
+    mark is saved last; a repeated run merges the same rows to the same result.
     """
     keys = keys or ["id"]
     states = read_if_exists(spark, state_path)
@@ -316,12 +447,22 @@ def sync_incremental(
     if upto is None or mark is not None and upto <= mark:
         return UpsertResult(0, 0, 0)
     rows = new_rows(source, cursor, mark, upto)
+    layout = newest_layout(spark, target)
+    if layout is None:
+        first = buckets or max(1, -(-rows.count() // bucket_rows))
+        layout = {"step": 0, "buckets": first, "rows": 0, "split_from": None}
+        note_layout(spark, target, **layout)
+    if layout["split_from"] is not None:  # a split that didn't end
+        split_buckets(spark, target, keys, layout["split_from"], layout["buckets"])
     batch = (
-        rows.withColumn("key_bucket", key_bucket(keys, buckets))
+        rows.withColumn("key_bucket", key_bucket(keys, layout["buckets"]))
         .withColumn("sequence", F.col(cursor))
         .withColumn("fetched_at", F.current_timestamp())
     )
     result = upsert(spark, target, batch, ["key_bucket", *keys], "key_bucket")
+    layout |= {"step": layout["step"] + 1, "rows": layout["rows"] + result.inserted, "split_from": None}
+    note_layout(spark, target, **layout)
+    grown(spark, target, keys, layout, bucket_rows)
     (
         source.select(cursor).limit(0).agg(F.max(cursor).alias("high_water_mark"))
         .select(F.lit(connection).alias("connection"),

@@ -83,6 +83,20 @@ def full_refresh(t):
     return t.spark.read.parquet(path).drop("synced_at")
 
 
+@case("full_refresh_table", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def full_refresh_table(t):
+    """Two refreshes of a catalog table: the first version has half of the rows, the second all; the first is then removed."""
+    folder = scratch_path(t.spark, "versions")
+    table = "refreshed_" + folder.rsplit("-", 1)[1]
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    for part in (rows.filter("o_orderkey % 2 = 0"), rows):
+        tables.full_refresh(part, table, ["o_orderkey"], versions=folder)
+    tables.drop_old_versions(t.spark, table, folder)
+    current = tables.table_location(t.spark, table)
+    t.spark.sql(f"DROP TABLE {table}")  # the definition; the version's files stay
+    return t.spark.read.parquet(current).drop("synced_at")
+
+
 UPSERT_SQL = """
     SELECT adjustment_date, facility_id, item_code, adjustment_id,
            CASE WHEN adjustment_date >= DATE '2001-01-01' THEN avl_quantity + 2
@@ -137,13 +151,14 @@ def constraint_gate(t):
     SELECT e.user_id, ARG_MAX(e.event_type, e.event_id) AS event_type, MAX(e.event_id) AS event_id
     FROM events e GROUP BY e.user_id""")
 def incremental_sync(t):
-    """Two runs over a source that grows between them; the second reads past the stored mark."""
+    """Three runs over a source that grows between them; each reads past the stored mark, and buckets split."""
     target, state = scratch_path(t.spark, "synced"), scratch_path(t.spark, "state")
     source = t.events.select("user_id", "event_type", "event_id")
-    middle = t.events.agg((F.max("event_id") / 2).cast("bigint").alias("m")).scalar()
-    for arrived in (source.filter(F.col("event_id") <= middle), source):
+    last, users = t.events.agg(F.max("event_id"), F.approx_count_distinct("user_id")).first()
+    for share in (8, 2, 1):
         tables.sync_incremental(
-            t.spark, "events", arrived, target, state, "event_id", keys=["user_id"], buckets=8
+            t.spark, "events", source.filter(F.col("event_id") <= last // share), target, state, "event_id",
+            keys=["user_id"], bucket_rows=users // 12 + 1, buckets=1,
         )
     return t.spark.read.parquet(target).select("user_id", "event_type", "event_id")
 

@@ -1,7 +1,10 @@
 import csv
 import json
 from datetime import date, datetime
+from pathlib import Path
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from quayline import config
@@ -38,10 +41,18 @@ def test_csv_with_standard_quotes_and_headers_in_any_order(spark, tmp_path):
             writer = csv.DictWriter(file, order)
             writer.writeheader()
             writer.writerow({"ITEM_CODE": name, "ITEM_DESCRIPTION": odd, "AVL_QUANTITY": "7"})
-    found = files.read_receipts_csv(spark, str(tmp_path)).orderBy("item_code").collect()
+    found = files.read_receipts_csv(spark, str(tmp_path), line_breaks=True).orderBy("item_code").collect()
     assert [(r.item_code, r.item_description, r.avl_quantity, r.bad_number) for r in found] == [("a", odd, 7, []), ("b", odd, 7, [])]
 
 
+def test_csv_with_any_number_of_other_columns(spark, tmp_path):
+    others = [f"X{n}" for n in range(300)]
+    write_text(tmp_path / "wide.csv", ",".join([*others, "ITEM_CODE", "AVL_QUANTITY"]) + "\n" + ",".join(["0"] * 300 + ["W", "4"]) + "\n")
+    write_text(tmp_path / "slim.csv", "AVL_QUANTITY,ITEM_CODE\n5,S\n")
+    found = files.read_receipts_csv(spark, str(tmp_path)).orderBy("item_code").collect()
+    assert [(r.item_code, r.avl_quantity, r.bad_number) for r in found] == [("S", 5, []), ("W", 4, [])]
+
+
 def test_exported_csv_is_read_by_others(spark, tmp_path):
     rows = [(1, ' "quoted", with\nbreak '), (2, "plain"), (3, 'back\\slash "')]
     files.write_csv(spark.createDataFrame(rows, "id int, text string").coalesce(1), str(tmp_path / "out"))
@@ -103,14 +114,14 @@ def test_upsert_is_idempotent_and_counts_truthfully(spark):
 def test_incremental_reads_past_the_mark_only(spark):
     target, state = scratch_path(spark, "t"), scratch_path(spark, "s")
     make = lambda rows: spark.createDataFrame(rows, "id int, status string, version int")
-    sync = lambda df: tables.sync_incremental(spark, "c", df, target, state, "version", buckets=4)
+    sync = lambda df: tables.sync_incremental(spark, "c", df, target, state, "version")
     assert sync(make([(1, "new", 1), (2, "new", 2)])).inserted == 2
     # A row behind the mark is not read again; one past it replaces its key.
     result = sync(make([(9, "behind", 1), (1, "done", 3)]))
     assert (result.inserted, result.updated) == (0, 1)
     assert sync(make([(1, "done", 3)])).inserted == 0
     assert sorted(map(tuple, spark.read.parquet(target).select("id", "status").collect())) == [(1, "done"), (2, "new")]
-    other = tables.sync_incremental(spark, "other", make([(5, "x", 1)]), target, state, "version", buckets=4)
+    other = tables.sync_incremental(spark, "other", make([(5, "x", 1)]), target, state, "version")
     assert other.inserted == 1
 
 
@@ -156,12 +167,109 @@ def test_schema_drift(spark):
     assert rows == {"a": "retyped", "b": "removed", "c": "added"}
 
 
-def test_full_refresh_as_table(spark, tmp_path):
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS refreshed LOCATION '{tmp_path}'")
-    for rows in (5, 2):
-        assert tables.full_refresh(spark.range(rows).toDF("id"), "refreshed.items", ["id"], as_table=True) == rows
-    assert "synced_at" in spark.table("refreshed.items").columns
-    spark.sql("DROP DATABASE refreshed CASCADE")
+def test_a_refused_rename_loses_nothing(spark, monkeypatch):
+    target = scratch_path(spark, "kept")
+    tables.full_refresh(spark.range(3).toDF("id"), target)
+    real = tables.move_folder
+
+    def refused(fs, source, place):
+        if "__new_" in source.toString():
+            raise OSError("refused")
+        real(fs, source, place)
+
+    monkeypatch.setattr(tables, "move_folder", refused)
+    with pytest.raises(OSError):
+        tables.full_refresh(spark.range(9).toDF("id"), target)
+    assert spark.read.parquet(target).count() == 3
+    monkeypatch.undo()
+    with pytest.raises(OSError):  # a rename that says false
+        tables.move_folder(SimpleNamespace(rename=lambda source, place: False), "a", "b")
+    assert tables.full_refresh(spark.range(9).toDF("id"), target) == 9
+
+
+def test_versions_of_a_catalog_table(spark, tmp_path, monkeypatch):
+    folder, table = str(tmp_path / "items"), "versioned_items"
+    refresh = lambda df: tables.full_refresh(df, table, ["id"], versions=folder)
+    assert refresh(spark.range(5).toDF("id")) == 5
+    planned = spark.table(table).select("id")
+    assert refresh(spark.range(2).toDF("id")) == 2
+    assert spark.table(table).count() == 2 and planned.count() in (2, 5)
+    # A write that fails leaves the version that was there; so does a switch that fails.
+    with pytest.raises(Exception, match="half way"):
+        refresh(spark.range(3).select(F.raise_error(F.lit("half way")).cast("long").alias("id")))
+    assert spark.table(table).count() == 2
+    monkeypatch.setattr(tables, "same_columns", lambda *x: (_ for _ in ()).throw(OSError("no catalog")))
+    with pytest.raises(OSError):
+        refresh(spark.range(7).toDF("id"))
+    monkeypatch.undo()
+    assert spark.table(table).count() == 2
+    # Other columns take the old definition's place.
+    assert refresh(spark.range(4).selectExpr("id", "'x' AS name")) == 4
+    assert spark.table(table).columns == ["id", "name", "synced_at"] and spark.table(table).count() == 4
+    assert len(tables.table_versions(spark, folder)) >= 4
+    gone = tables.drop_old_versions(spark, table, folder, keep=2)
+    assert len(tables.table_versions(spark, folder)) == 2 and len(gone) >= 2
+    assert spark.table(table).count() == 4
+    spark.sql(f"DROP TABLE {table}")
+
+
+def bucket_files(target):
+    return {p.parent.name: {f.name for f in p.parent.glob("*.parquet")} for p in Path(target.removeprefix("file:")).glob("key_bucket=*/*.parquet")}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000])
+def test_one_more_bucket_moves_keys_of_one_bucket(spark, n):
+    keys = spark.range(20_000).select("id", tables.key_bucket(["id"], n).alias("a"), tables.key_bucket(["id"], n + 1).alias("b"))
+    moves = {tuple(r) for r in keys.filter("a <> b").select("a", "b").distinct().collect()}
+    assert moves == {(tables.split_source(n, n), n)}
+    sizes = [r["count"] for r in keys.groupBy("b").count().collect()]
+    assert len(sizes) == n + 1
+
+
+def test_results_do_not_depend_on_the_buckets(spark):
+    rows = [(i, "a", i) for i in range(300)]
+    later = [(i, "b", 1000 + i) for i in range(250, 330)]
+    make = lambda rows: spark.createDataFrame(rows, "id int, status string, version int")
+    found = set()
+    for buckets, bucket_rows in ((1, 10**6), (64, 10**6), (1000, 10**6), (1, 40), (3, 17)):
+        target, state = scratch_path(spark, "t"), scratch_path(spark, "s")
+        for part in (rows, later):
+            tables.sync_incremental(spark, "c", make(part), target, state, "version", bucket_rows=bucket_rows, buckets=buckets)
+        found.add(tuple(sorted(map(tuple, spark.read.parquet(target).select("id", "status", "version").collect()))))
+        assert tables.newest_layout(spark, target)["rows"] == 330
+    assert len(found) == 1 and len(next(iter(found))) == 330
+
+
+def test_a_small_batch_touches_the_buckets_of_its_keys(spark):
+    target, state = scratch_path(spark, "t"), scratch_path(spark, "s")
+    make = lambda rows: spark.createDataFrame(rows, "id int, version int")
+    sync = lambda rows: tables.sync_incremental(spark, "c", make(rows), target, state, "version", bucket_rows=100)
+    sync([(i, i) for i in range(1000)])
+    before = bucket_files(target)
+    assert len(before) == 10 and tables.newest_layout(spark, target)["buckets"] == 10
+    sync([(7, 5000), (8, 5001)])
+    after = bucket_files(target)
+    assert 1 <= sum(before[b] != after[b] for b in before) <= 2 and before.keys() == after.keys()
+    sync([(2000 + i, 6000 + i) for i in range(3)])  # one bucket more
+    grown = bucket_files(target)
+    assert tables.newest_layout(spark, target)["buckets"] == 11 and grown.keys() - after.keys() == {"key_bucket=10"}
+    assert sum(after[b] != grown[b] for b in after) <= 4
+    assert spark.read.parquet(target).count() == 1003
+
+
+def test_a_split_that_failed_is_ended_by_the_next_load(spark, monkeypatch):
+    target, state = scratch_path(spark, "t"), scratch_path(spark, "s")
+    make = lambda rows: spark.createDataFrame(rows, "id int, version int")
+    sync = lambda rows: tables.sync_incremental(spark, "c", make(rows), target, state, "version", bucket_rows=50, buckets=1)
+    real = tables.drop_folder
+    monkeypatch.setattr(tables, "drop_folder", lambda spark, path: (_ for _ in ()).throw(OSError("lost")) if "split-" in path else real(spark, path))
+    with pytest.raises(OSError):
+        sync([(i, i) for i in range(200)])
+    monkeypatch.undo()
+    assert tables.newest_layout(spark, target)["split_from"] == 1
+    sync([(i, 1000 + i) for i in range(100, 210)])
+    found = sorted(map(tuple, spark.read.parquet(target).select("id", "version").collect()))
+    assert found == [(i, i if i < 100 else 1000 + i) for i in range(210)]
 
 
 def test_report_catalog(spark):
