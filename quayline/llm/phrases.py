@@ -4,7 +4,7 @@ A shard is a few megabytes of one language's text. Its bidirectional FM-index is
 intervals to the right counts phrases, extending them to the left and right tells by which words they go on.
 Counts are summed over shards. A phrase can't occur oftener than its parts, so a shard goes on length by length:
 it asks which of its phrases reach the threshold in the whole corpus, and extends only those, to either end, in
-its index; no phrase that reaches it is lost. Words are asked for as rows, phrases as sorted keys by bucket.
+its index; no phrase that reaches it is lost. Shards ask and are answered by buckets of hashed words or keys.
 
 A null text counts as empty, a null language as `und`. Repeated rows count each time. An empty table, or one
 without a phrase that is frequent enough, gives no rows. Other columns are not read.
@@ -17,28 +17,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import in_batches, mixed, stored, text_buffer
+from quayline.llm.common import in_batches, mixed, stored, text_buffer, word_hashes
 from quayline.llm.ngram import LOWER, deltas, squeezed, undeltas, unsqueezed
-from quayline.operators.relational import with_place
 
 #: Words of the longest phrase, the least count of a phrase, and how many of each language are reported.
 DEPTH, LEAST, MOST = 5, 100, 2000
 NO_LANGUAGE = "und"
 #: Text of a shard, and of all shards that a task fills at a time.
 SHARD_BYTES, TASK_BYTES = 6 << 20, 18 << 20
-#: Words of the corpus for each bucket in which phrases of one length are counted.
-BUCKET_WORDS = 2_000_000
+#: Text of the corpus for each bucket in which words, and phrases of one length, are counted.
+BUCKET_BYTES = 12 << 20
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 BREAK, GAP = re.compile(rb"[.,;:!?\n\x0b\x0c\r]"), re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
 KIND = np.zeros(256, np.uint8)
 KIND[list(BLANKS)], KIND[list(BREAKS)] = 1, 2
 #: Exact up to 10**17 words: products pass 64 bits, a score never does, for `l` and `r` are at least `a`.
 SCORE = "(1000BD * cast(a AS decimal(17, 0)) * cast(n AS decimal(17, 0))) div (cast(l AS decimal(18, 0)) * cast(r AS decimal(18, 0)))"
-SHARDS = "shard long, sign int, lang string, words array<string>, counts array<int>, n int, tokens binary"
+SHARDS = "shard long, sign int, lang string, bucket int, n int, keys binary, counts binary, places binary, tokens binary"
 
 
 def parts(raw: bytes, most: int = SHARD_BYTES) -> Iterator[tuple[int, bytes]]:
@@ -85,8 +85,32 @@ def coded(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return own.dictionary.take(pa.array(order)).to_pylist(), counts[order], np.insert(place[codes], broken + 1, 0)
 
 
-def shards(docs: DataFrame, size: int = SHARD_BYTES) -> DataFrame:
-    """Rows of many texts of one language: distinct words with counts, and the text as places in that list."""
+def word_buckets(words: list[bytes], buckets: int) -> np.ndarray:
+    ends = np.cumsum([len(w) for w in words])
+    starts = np.concatenate([[0], ends[:-1]])
+    return (word_hashes(np.frombuffer(b"".join(words), np.uint8), starts, ends) % np.uint64(buckets)).astype(np.int64)
+
+
+def by_bucket(bucket: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """The stretches of ascending buckets that hold something."""
+    bounds = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+    return [(b, slice(x, y)) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if x < y]
+
+
+def packed(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
+
+def unpacked(raw: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(raw).split(b"\n")
+
+
+def shards(docs: DataFrame, buckets: int, size: int = SHARD_BYTES) -> DataFrame:
+    """Rows of many texts of one language: the text, as places in a list of its words, comes with bucket -1.
+
+    The words a shard asks for come by the bucket of their hash, with their counts; `places` of the text's row
+    tells for each of them, in that order, its place in the list.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -97,14 +121,20 @@ def shards(docs: DataFrame, size: int = SHARD_BYTES) -> DataFrame:
             nonlocal number
             words, counts, tokens = coded(held.pop(key))
             del sizes[key]
-            if words:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([number], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([key[0]]),
-                    pa.array([[w.decode() for w in words]], pa.list_(pa.string())),
-                    pa.array([counts.tolist()], pa.list_(pa.int32())), pa.array([len(tokens)], pa.int32()),
-                    pa.array([squeezed(tokens)], pa.binary()),
-                ], ["shard", "sign", "lang", "words", "counts", "n", "tokens"])
-                number += 1
+            if not words:
+                return
+            bucket = word_buckets(words, buckets)
+            order = np.argsort(bucket, kind="stable")
+            own = {"shard": number, "lang": key[0], "sign": key[1]}
+            rows = [own | {"bucket": -1, "n": len(tokens), "tokens": squeezed(tokens), "places": squeezed(order.astype(np.uint32))}]
+            for b, part in by_bucket(bucket[order], buckets):
+                some = order[part]
+                rows.append(own | {
+                    "bucket": b, "n": len(some), "keys": packed([words[i] for i in some.tolist()]),
+                    "counts": squeezed(counts[some].astype(np.uint32)),
+                })
+            yield pa.RecordBatch.from_pylist(rows, schema)
+            number += 1
 
         for batch in batches:
             data, bounds = text_buffer(batch["text"])
@@ -121,6 +151,10 @@ def shards(docs: DataFrame, size: int = SHARD_BYTES) -> DataFrame:
         for key in list(held):
             yield from filled(key)
 
+    schema = pa.schema([
+        ("shard", pa.int64()), ("sign", pa.int32()), ("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int32()),
+        *((c, pa.binary()) for c in ("keys", "counts", "places", "tokens")),
+    ])
     read = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text").where("text IS NOT NULL")
     return in_batches(read).mapInArrow(run, SHARDS)
 
@@ -198,40 +232,56 @@ class Index:
         return of, self.before.places[np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + low[of]]
 
 
-def asked(held: DataFrame) -> DataFrame:
-    """(shard, place, lang, word, n): each shard's distinct words."""
-    return held.select("shard", "lang", "sign", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "own")).select(
-        "shard", "place", "lang", F.col("own.words").alias("word"), (F.col("own.counts") * F.col("sign")).cast("long").alias("n"),
-    )
-
-
-def told(asks: DataFrame, known: DataFrame) -> DataFrame:
-    """(shard, places, values): the ids of each shard's frequent words; at most as many as it asked for."""
-    return asks.select("shard", "place", "lang", "word").join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(
-        F.collect_list(F.struct("place", "id")).alias("answers")
-    ).select("shard", F.col("answers.place").alias("places"), F.col("answers.id").alias("values"))
-
-
 def first_grams(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of words, text, ids of the phrases of one word) of a shard that knows its frequent words."""
+    """(ids of words, text, ids of the phrases of one word) of a shard, from the answers to the words it asked."""
     tokens = unsqueezed(batch["tokens"][i].as_py(), "<u4", batch["n"][i].as_py())
-    place, ids = (batch[c][i].values.to_numpy() for c in ("places", "values"))
-    own = np.zeros(int(tokens.max()) + 1, np.int64)
-    own[place + 1] = np.arange(1, len(place) + 1)
+    values = answers_of(batch, i)
+    ids = np.zeros(len(values), np.int64)
+    ids[unsqueezed(batch["places"][i].as_py(), "<u4", len(values))] = values
+    own = np.zeros(len(ids) + 1, np.int64)
+    own[1:] = np.where(ids > 0, np.cumsum(ids > 0), 0)
     text = own[tokens]
     text = text[(text > 0) | (np.concatenate([[1], text[:-1]]) > 0)]
+    ids = ids[ids > 0]
     return ids, text, np.concatenate([[0], ids])[text]
 
 
 def next_grams(batch: pa.RecordBatch, i: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids of words, text, ids of phrases of `depth` words) of a shard, from the answers to what it asked."""
-    ids, n = batch["ids"][i].values.to_numpy(), batch["n"][i].as_py()
-    text, at = (unsqueezed(batch[c][i].as_py(), "<u4", n).astype(np.int64) for c in ("tokens", "at"))
-    values = [unsqueezed(x["values"], "<u4", x["n"]) for x in batch["answers"][i].as_py()]
-    grams = np.concatenate([[0], *values]).astype(np.int64)[at]
+    n, n_ids = batch["n"][i].as_py(), batch["n_ids"][i].as_py()
+    ids = unsqueezed(batch["ids"][i].as_py(), "<u4", n_ids).astype(np.int64)
+    text = unsqueezed(batch["tokens"][i].as_py(), "<u4", n).astype(np.int64)
+    at = pair_places(ids, text, batch["buckets"][i].as_py()) if depth == 2 else unsqueezed(batch["at"][i].as_py(), "<u4", n)
+    grams = np.concatenate([[0], answers_of(batch, i)]).astype(np.int64)[at]
     return ids, *cut(text, grams, depth)
 
 
+def answers_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    return np.concatenate([unsqueezed(x["values"], "<u4", x["n"]) for x in batch["answers"][i].as_py()])
+
+
+def pair_places(ids: np.ndarray, text: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of a shard's asked pairs, from 1, starts at each place: all pairs of known words, so nothing need be kept."""
+    place = np.flatnonzero((text[:-1] > 0) & (text[1:] > 0))
+    keys = gram_keys(ids[text[place] - 1], ids[text[place + 1] - 1])
+    found, own = np.unique(keys, return_inverse=True)
+    order = np.lexsort((found, key_buckets(found, buckets)))
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(1, len(found) + 1)
+    at = np.zeros(len(text), np.int64)
+    at[place] = rank[own]
+    return at
+
+
+def gram_keys(start: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A phrase by the id of its words but the last, and the last word's id."""
+    return (start.astype(np.uint64) << np.uint64(32)) | last.astype(np.uint64)
+
+
+def key_buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(keys) % np.uint64(buckets)).astype(np.int64)
+
+
 def cut(text: np.ndarray, grams: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Text and phrases with a break between words that no phrase has side by side, without the words left alone."""
     place = np.flatnonzero(grams)
@@ -249,8 +299,7 @@ def cut(text: np.ndarray, grams: np.ndarray, depth: int) -> tuple[np.ndarray, np
 def level(held: DataFrame, depth: int, buckets: int) -> DataFrame:
     """Shards with the phrases of `depth` words they ask for; a shard's text comes with bucket -1.
 
-    `at` holds for each place which of the asked phrases, from 1, starts there. A phrase's key is the id of its
-    words but the last, then the last word's id; keys come by bucket, ascending.
+    `at` holds for each place which of the asked phrases, from 1, starts there; keys come by bucket, ascending.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,79 +312,135 @@ def level(held: DataFrame, depth: int, buckets: int) -> DataFrame:
     def shard(number: int, sign: int, ids: np.ndarray, text: np.ndarray, grams: np.ndarray) -> Iterator[pa.RecordBatch]:
         index = Index(text, depth)
         start, word, count, low = index.longer(grams)
-        keys = (start.astype(np.uint64) << np.uint64(32)) | ids[word - 1].astype(np.uint64)
-        bucket = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
+        keys = gram_keys(start, ids[word - 1])
+        bucket = key_buckets(keys, buckets)
         order = np.lexsort((keys, bucket))
-        of, place = index.places(low[order], count[order])
-        at = np.zeros(len(text) + 1, np.uint32)
-        at[place] = of + 1
+        if not len(order):
+            return
+        own = {"shard": number, "sign": sign}
+        rows = [own | {
+            "bucket": -1, "n": len(text), "n_ids": len(ids), "buckets": buckets, "ids": squeezed(ids.astype(np.uint32)),
+            "tokens": squeezed(text.astype(np.uint32)), "at": None,
+        }]
+        if depth > 2:
+            of, place = index.places(low[order], count[order])
+            at = np.zeros(len(text) + 1, np.uint32)
+            at[place] = of + 1
+            rows[0]["at"] = squeezed(at[:-1])
         keys, count = keys[order], count[order].astype(np.uint32)
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-        some = [(b, slice(x, y)) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if x < y]
-        rows = [{"shard": number, "sign": sign, "bucket": -1, "n": len(text), "ids": ids, "tokens": squeezed(text.astype(np.uint32)), "at": squeezed(at[:-1])}]
-        rows += [{"shard": number, "sign": sign, "bucket": b, "n": p.stop - p.start, "keys": deltas(keys[p]), "counts": squeezed(count[p])} for b, p in some]
-        if some:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+        for b, part in by_bucket(bucket[order], buckets):
+            rows.append(own | {"bucket": b, "n": part.stop - part.start, "keys": deltas(keys[part]), "counts": squeezed(count[part])})
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
-    columns = "shard long, sign int, bucket int, n int, ids array<long>, tokens binary, at binary, keys binary, counts binary"
+    columns = "shard long, sign int, bucket int, n int, n_ids int, buckets int, ids binary, tokens binary, at binary, keys binary, counts binary"
     schema = pa.schema([
-        ("shard", pa.int64()), ("sign", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int64())),
-        *((c, pa.binary()) for c in ("tokens", "at", "keys", "counts")),
+        ("shard", pa.int64()), *((c, pa.int32()) for c in ("sign", "bucket", "n", "n_ids", "buckets")),
+        *((c, pa.binary()) for c in ("ids", "tokens", "at", "keys", "counts")),
     ])
     return held.mapInArrow(run, columns)
 
 
-def answered(asks: DataFrame, buckets: int, least: int) -> DataFrame:
-    """(shard, bucket, n, values) with each shard's answers: a frequent phrase's id, or 0.
-
-    A bucket's frequent phrases come with shard -1: their starts, last words, counts and ids. Buckets are hashed
-    keys, each once for a shard, so they are alike in size. Ids are nearly dense: rank in the bucket by buckets.
-    """
+def in_buckets(asks: DataFrame, summed, columns: str, schema: pa.Schema) -> DataFrame:
+    """`summed` over all asks of each bucket; buckets are hashed, each once for a shard, so they are alike in size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        bucket = None
+        held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                if held and row["bucket"] != bucket:
-                    yield summed(bucket, held)
+                if held and row["bucket"] != held[0]["bucket"]:
+                    yield pa.RecordBatch.from_pylist(summed(held), schema)
                     held = []
-                bucket = row["bucket"]
-                keys = undeltas(row["keys"], row["n"])
-                held.append((row["shard"], keys, unsqueezed(row["counts"], "<u4", row["n"]).astype(np.int64) * row["sign"]))
+                held.append(row)
         if held:
-            yield summed(bucket, held)
+            yield pa.RecordBatch.from_pylist(summed(held), schema)
+
+    return asks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, columns)
+
+
+def frequent_ids(total: np.ndarray, least: int, bucket: int, buckets: int, taken: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Which totals are frequent, and an id for each of all, 0 for the others: nearly dense, rank in the bucket by buckets."""
+    often = np.flatnonzero(total >= least)
+    values = np.zeros(len(total), np.int64)
+    values[often] = 1 + bucket + (taken + np.arange(len(often))) * buckets
+    if len(often) and values[often[-1]] >= 1 << 32:
+        raise ValueError("more frequent phrases of one length than 32-bit ids")
+    return often, values
+
+
+def answered_words(asks: DataFrame, buckets: int, least: int) -> DataFrame:
+    """(shard, bucket, n, values) with each shard's answers: a frequent word's id, or 0.
+
+    A bucket's frequent words come with shard -1, a row for each language, beside the count of all its words.
+    """
 
-    def summed(bucket: int, held: list[tuple]) -> pa.RecordBatch:
-        keys, at = np.unique(np.concatenate([k for _, k, _ in held]), return_inverse=True)
+    def summed(held: list[dict]) -> list[dict]:
+        bucket, taken, rows = held[0]["bucket"], 0, []
+        for lang in sorted({row["lang"] for row in held}):
+            own = [row for row in held if row["lang"] == lang]
+            words = pa.array([w for row in own for w in unpacked(row["keys"])], pa.large_binary()).dictionary_encode()
+            counts = np.concatenate([unsqueezed(r["counts"], "<u4", r["n"]).astype(np.int64) * r["sign"] for r in own])
+            total = np.zeros(len(words.dictionary), np.int64)
+            at = words.indices.to_numpy()
+            np.add.at(total, at, counts)
+            often, values = frequent_ids(total, least, bucket, buckets, taken)
+            taken += len(often)
+            spelt = [w.decode() for w in words.dictionary.take(pa.array(often)).to_pylist()]
+            rows.append({
+                "shard": -1, "bucket": bucket, "n": len(often), "lang": lang, "total": int(total.sum()), "word": spelt,
+                "f": total[often], "id": values[often],
+            })
+            ends = np.cumsum([r["n"] for r in own]).tolist()
+            rows += [
+                {"shard": r["shard"], "bucket": bucket, "n": r["n"], "values": squeezed(values[at[e - r["n"]:e]].astype(np.uint32))}
+                for r, e in zip(own, ends)
+            ]
+        return rows
+
+    schema = pa.schema([
+        ("shard", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("values", pa.binary()), ("lang", pa.string()),
+        ("total", pa.int64()), ("word", pa.list_(pa.string())), ("f", pa.list_(pa.int64())), ("id", pa.list_(pa.int64())),
+    ])
+    columns = "shard long, bucket int, n int, values binary, lang string, total long, word array<string>, f array<long>, id array<long>"
+    return in_buckets(asks, summed, columns, schema)
+
+
+def answered(asks: DataFrame, buckets: int, least: int) -> DataFrame:
+    """(shard, bucket, n, values) with each shard's answers: a frequent phrase's id, or 0.
+
+    A bucket's frequent phrases come with shard -1: their starts, last words, counts and ids.
+    """
+
+    def summed(held: list[dict]) -> list[dict]:
+        bucket = held[0]["bucket"]
+        keys, at = np.unique(np.concatenate([undeltas(r["keys"], r["n"]) for r in held]), return_inverse=True)
         total = np.zeros(len(keys), np.int64)
-        np.add.at(total, at, np.concatenate([c for _, _, c in held]))
-        often = np.flatnonzero(total >= least)
-        ids = 1 + bucket + np.arange(len(often)) * buckets
-        if len(often) and ids[-1] >= 1 << 32:
-            raise ValueError("more frequent phrases of one length than 32-bit ids")
-        values = np.zeros(len(keys), np.uint32)
-        values[often] = ids
+        np.add.at(total, at, np.concatenate([unsqueezed(r["counts"], "<u4", r["n"]).astype(np.int64) * r["sign"] for r in held]))
+        often, values = frequent_ids(total, least, bucket, buckets)
         rows = [{
             "shard": -1, "bucket": bucket, "n": len(often), "start": (keys[often] >> np.uint64(32)).astype(np.int64),
-            "last": (keys[often] & np.uint64(0xFFFFFFFF)).astype(np.int64), "f": total[often], "id": ids,
+            "last": (keys[often] & np.uint64(0xFFFFFFFF)).astype(np.int64), "f": total[often], "id": values[often],
         }]
-        ends = np.cumsum([len(k) for _, k, _ in held]).tolist()
-        for (shard, own, _), end in zip(held, ends):
-            rows.append({"shard": shard, "bucket": bucket, "n": len(own), "values": squeezed(values[at[end - len(own):end]])})
-        return pa.RecordBatch.from_pylist(rows, schema)
+        ends = np.cumsum([r["n"] for r in held]).tolist()
+        return rows + [
+            {"shard": r["shard"], "bucket": bucket, "n": r["n"], "values": squeezed(values[at[e - r["n"]:e]].astype(np.uint32))}
+            for r, e in zip(held, ends)
+        ]
 
     lists = ("start", "last", "f", "id")
     schema = pa.schema([
         ("shard", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("values", pa.binary()), *((c, pa.list_(pa.int64())) for c in lists),
     ])
-    dealt = asks.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "shard long, bucket int, n int, values binary, " + ", ".join(f"{c} array<long>" for c in lists))
+    return in_buckets(asks, summed, "shard long, bucket int, n int, values binary, " + ", ".join(f"{c} array<long>" for c in lists), schema)
+
+
+def with_answers(texts: DataFrame, answers: DataFrame) -> DataFrame:
+    own = answers.where("shard >= 0").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "values"))).alias("answers"))
+    return texts.where("bucket = -1").join(own, "shard")
 
 
-def frequent(held: DataFrame, known: DataFrame, asks: DataFrame, depth: int, least: int, buckets: int) -> DataFrame:
+def frequent(held: DataFrame, words: DataFrame, depth: int, least: int, buckets: int) -> DataFrame:
     """(gram, f): all phrases of 2 to `depth` words, as ids of words, that are frequent in the corpus."""
-    state = held.select("shard", "sign", "n", "tokens").join(told(asks, known), "shard")
+    state = with_answers(held.select("shard", "sign", "bucket", "n", "places", "tokens"), words)
     grams = shorter = None
     for k in range(2, depth + 1):
         step = stored(level(state, k, buckets), f"phrases-{k}")
@@ -348,24 +453,25 @@ def frequent(held: DataFrame, known: DataFrame, asks: DataFrame, depth: int, lea
             found = found.join(starts, "start").select("id", F.concat("words", F.array("last")).alias("gram"), "f")
         shorter = stored(found, f"phrase-counts-{k}")
         grams = shorter.select("gram", "f") if grams is None else grams.unionByName(shorter.select("gram", "f"))
-        own = answers.where("shard >= 0").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "values"))).alias("answers"))
-        state = step.where("bucket = -1").select("shard", "sign", "n", "ids", "tokens", "at").join(own, "shard")
+        state = with_answers(step.drop("keys", "counts"), answers)
     return grams
 
 
-def mined(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, most: int = MOST, size: int = SHARD_BYTES, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+def mined(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, most: int = MOST, size: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first phrases of 2 to `depth` words.
 
     `a` is a phrase's count, `l` and `r` those of the two parts at its weakest cut, `n` the words of its
     language; score is floor(1000 * a * n / (l * r)). A phrase goes if one that is a word longer is as frequent.
     """
-    held = stored(shards(docs, size), "phrase-shards")
-    asks = asked(held)
-    words = asks.groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    known = stored(with_place(words.where(F.col("f") >= least), "id", F.col("lang"), F.col("word")), "phrase-words")
-    buckets = 1 + (held.agg(F.sum("n")).first()[0] or 0) // bucket_words
-    grams = frequent(held, known, asks, depth, least, buckets)
+    docs = docs.select("lang", "text")
+    buckets = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes
+    held = stored(shards(docs, buckets, size), "phrase-shards")
+    asks = held.where("bucket >= 0").select("bucket", "shard", "sign", "lang", "n", "keys", "counts")
+    words = stored(answered_words(asks, buckets, least), "phrase-words")
+    own = words.where("shard = -1")
+    totals = own.groupBy("lang").agg(F.sum("total").alias("n"))
+    known = own.select("lang", F.inline(F.arrays_zip("word", "f", "id")))
+    grams = frequent(held, words, depth, least, buckets)
     everything = grams.unionByName(known.select(F.array("id").alias("gram"), "f"))
     # A phrase whose extension by a word, at either end, is as frequent goes.
     inner = grams.where("size(gram) > 2").select(

@@ -65,7 +65,7 @@ ROWS = [
 def test_phrases_are_those_of_plain_counters(spark, size):
     rows = ROWS + [("en", "long run without any mark at all " * 30)]
     docs = spark.createDataFrame([(i, lang, text, "x") for i, (lang, text) in enumerate(rows)], "doc_id long, lang string, text string, phrase string")
-    found = told(phrases.mined(docs.repartition(3), least=3, most=25, size=size, bucket_words=200))
+    found = told(phrases.mined(docs.repartition(3), least=3, most=25, size=size, bucket_bytes=700))
     assert found == mined(rows, 5, 3, 25)
     assert {r[0] for r in found} == {"en", "fr", "und"}
 
