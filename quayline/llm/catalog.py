@@ -115,3 +115,6 @@ CHECKS["op13_phrase_mining"] = phrases.check_sql()
 @query
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.after_damage(read_table(spark, folder, "conversations"))
+
+
+CHECKS["op12_conversation_repair"] = repair.check_sql()

@@ -296,7 +296,7 @@ def cut(text: np.ndarray, grams: np.ndarray, depth: int) -> tuple[np.ndarray, np
     return text[kept], grams[kept]
 
 
-def level(held: DataFrame, depth: int, buckets: int) -> DataFrame:
+def level(held: DataFrame, depth: int, buckets: int, last: bool) -> DataFrame:
     """Shards with the phrases of `depth` words they ask for; a shard's text comes with bucket -1.
 
     `at` holds for each place which of the asked phrases, from 1, starts there; keys come by bucket, ascending.
@@ -322,7 +322,9 @@ def level(held: DataFrame, depth: int, buckets: int) -> DataFrame:
             "bucket": -1, "n": len(text), "n_ids": len(ids), "buckets": buckets, "ids": squeezed(ids.astype(np.uint32)),
             "tokens": squeezed(text.astype(np.uint32)), "at": None,
         }]
-        if depth > 2:
+        if last:
+            rows = []  # nothing goes on from here
+        elif depth > 2:
             of, place = index.places(low[order], count[order])
             at = np.zeros(len(text) + 1, np.uint32)
             at[place] = of + 1
@@ -404,7 +406,7 @@ def answered_words(asks: DataFrame, buckets: int, least: int) -> DataFrame:
     return in_buckets(asks, summed, columns, schema)
 
 
-def answered(asks: DataFrame, buckets: int, least: int) -> DataFrame:
+def answered(asks: DataFrame, buckets: int, least: int, last: bool) -> DataFrame:
     """(shard, bucket, n, values) with each shard's answers: a frequent phrase's id, or 0.
 
     A bucket's frequent phrases come with shard -1: their starts, last words, counts and ids.
@@ -420,6 +422,8 @@ def answered(asks: DataFrame, buckets: int, least: int) -> DataFrame:
             "shard": -1, "bucket": bucket, "n": len(often), "start": (keys[often] >> np.uint64(32)).astype(np.int64),
             "last": (keys[often] & np.uint64(0xFFFFFFFF)).astype(np.int64), "f": total[often], "id": values[often],
         }]
+        if last:
+            return rows  # no shard asks further
         ends = np.cumsum([r["n"] for r in held]).tolist()
         return rows + [
             {"shard": r["shard"], "bucket": bucket, "n": r["n"], "values": squeezed(values[at[e - r["n"]:e]].astype(np.uint32))}
@@ -443,8 +447,8 @@ def frequent(held: DataFrame, words: DataFrame, depth: int, least: int, buckets:
     state = with_answers(held.select("shard", "sign", "bucket", "n", "places", "tokens"), words)
     grams = shorter = None
     for k in range(2, depth + 1):
-        step = stored(level(state, k, buckets), f"phrases-{k}")
-        answers = stored(answered(step.where("bucket >= 0").select("bucket", "shard", "sign", "n", "keys", "counts"), buckets, least), f"phrase-answers-{k}")
+        step = stored(level(state, k, buckets, k == depth), f"phrases-{k}")
+        answers = stored(answered(step.where("bucket >= 0").select("bucket", "shard", "sign", "n", "keys", "counts"), buckets, least, k == depth), f"phrase-answers-{k}")
         found = answers.where("shard = -1").select(F.inline(F.arrays_zip("start", "last", "f", "id")))
         if shorter is None:
             found = found.select("id", F.array("start", "last").alias("gram"), "f")

@@ -338,3 +338,78 @@ def after_damage(rows: DataFrame, most: int = SEGMENT) -> DataFrame:
     report = every.join(found, every.conv_id.eqNullSafe(found.of), "left").drop("of")
     nothing = {"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()}
     return report.na.fill(dict.fromkeys(NAMES, 0) | nothing)
+
+
+def check_sql() -> str:
+    """The same reports by SQL: the least of (cost, edits) for each state, folded over a conversation's rows."""
+
+    def add(entry: str, cost: str, edit: str) -> str:
+        return f"CASE WHEN {entry} = '~' THEN '~' ELSE lpad((left({entry}, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({entry}, 10) || '{edit}' END"
+
+    state = [f"acc[{n}]" for n in range(1, 5)]
+    due = [[0, 1, 3], [2]]  # the states after which a user's, an assistant's row is due
+    insert = [state[0], state[1]] + [
+        f"least({', '.join([state[to], *(add(state[n], str(INSERT), 'I') for n in own)])})" for to, own in zip((USER, ASSISTANT), due)
+    ]
+    stays = f"(CASE WHEN x[2] = 't' THEN {TRUNCATED} ELSE 0 END)"
+    gone = [add(s, str(DELETE), "D") for s in state]
+    kept = lambda n, initial: f"CASE WHEN x[1] = '{initial}' THEN {add(state[n], stays, 'K')} ELSE '~' END"
+    other = lambda n: add(state[n], f"{REROLE} + {stays}", "R")
+    row = [gone[0], f"least({gone[1]}, {kept(0, 's')})"] + [
+        f"least({', '.join([gone[to], *(kept(n, initial) for n in own), *(other(n) for n in own)])})"
+        for to, initial, own in zip((USER, ASSISTANT), "ua", due)
+    ]
+    return rf"""
+WITH steps AS (
+  SELECT [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)
+          for i in range(256)] AS t
+), sums AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(c)::BIGINT for c in
+      string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')]),
+      lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295::BIGINT) % 20 AS fate
+  FROM conversations, steps
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM sums WHERE fate <> 0
+), placed AS (
+  SELECT *, left(role, 1) AS initial, regexp_replace(text, '[ 	-]+$', '') AS bare,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place FROM damaged
+), rows AS (
+  SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY place) AS before,
+    CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'd'
+      WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault FROM placed
+), told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+    list([initial, fault] ORDER BY place) AS own
+  FROM rows GROUP BY conv_id
+), walked AS (
+  SELECT *, list_reduce(list_prepend(['000000000', '~', '~', '~'],
+    list_concat(flatten([[['', ''], ['', ''], r] for r in own]), [['', ''], ['', '']])),
+    lambda acc, x: CASE WHEN x[2] = '' THEN [{', '.join(insert)}]
+      WHEN x[2] IN ('b', 'd') THEN [{', '.join(gone)}] ELSE [{', '.join(row)}] END) AS found
+  FROM told
+), best AS (
+  SELECT *, left(least(found[1], found[4]), 9)::BIGINT AS cost, substr(least(found[1], found[4]), 10) AS audit FROM walked
+), edits AS (
+  SELECT conv_id, i, substr(audit, i, 1) AS edit FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS i FROM best)
+), lines AS (
+  SELECT *, sum((edit <> 'I')::INT) OVER w AS place, sum((edit <> 'D')::INT) OVER w AS line FROM edits
+  WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+), spoken AS (
+  SELECT l.*, r.role, r.text, max((l.line = 1 AND l.edit = 'K' AND r.initial = 's')::INT) OVER (PARTITION BY l.conv_id) AS system
+  FROM lines l LEFT JOIN rows r ON l.conv_id IS NOT DISTINCT FROM r.conv_id AND l.place = r.place AND l.edit <> 'I'
+  WHERE l.edit <> 'D'
+), hashed AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (line - system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || coalesce(text, ''), chr(10) ORDER BY i)) AS digest FROM spoken GROUP BY conv_id
+)
+SELECT c.conv_id, {', '.join(f'coalesce(b.{n}, 0)::BIGINT AS {n}' for n in NAMES[:6])},
+  coalesce(b.audit, '') AS audit, coalesce(h.digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+LEFT JOIN hashed h ON c.conv_id IS NOT DISTINCT FROM h.conv_id
+"""

@@ -89,6 +89,13 @@ def test_edge_rows(spark):
     assert all("more" in f.columns for f in found[:-1])
 
 
+def test_rows_of_one_doc_id_with_other_texts_stay(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "uno dos tres cuatro cinco seis siete"
+    rows = [(1, a, "en", "s", 1), (1, b, "es", "s", 1), (1, a, "en", "s", 1), (2, a, "en", "s", 1), (3, b, "es", "s", 1)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), SMALL)
+    assert told(kept, "doc_id", "text") == [(1, a), (1, b)]
+
+
 def test_empty(spark):
     assert all(told(f) == [] for f in stages(spark, spark.createDataFrame([], DOCS)))
 
