@@ -1,7 +1,7 @@
 """The documents from raw rows to packed training sequences, in stages that read what the one before wrote.
 
 Rows without a doc_id pass every stage that goes by ids unchanged. Null and empty texts count as text
-without a letter and end at the first stage. Repeated rows count as copies: one of them stays. Columns
+without a letter and end at the first stage. Repeated rows count as copies: one of them stays; rows of one doc_id with different texts all stay. Columns
 beside those of `documents` are kept until the last stage; an empty table gives an empty result.
 """
 
@@ -28,10 +28,13 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
+    """One document of each group of near copies: the one with the smallest doc_id.
+
+    Rows that share a doc_id and differ in text are documents of their own: those of a kept doc_id stay.
+    """
     named = docs.where("doc_id IS NOT NULL")
     chosen = simhash.components(named).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = named.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = named.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
