@@ -79,6 +79,7 @@ MENTION_QUOTA = 2
 CHANNEL_DEFAULTS = {"escalation_cc": False, "disclaimer": False}
 ANSWER_ROW_CAP = 50
 HISTORY_ROWS = 20
+RUN_ABANDONED_AFTER = "1 day"
 
 # --- fixed values: ticket fields and issue policies --------------------------------------------
 TICKET_FIELDS = {

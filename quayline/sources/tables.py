@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from quayline import config
 from quayline.operators import relational as R
@@ -257,6 +257,7 @@ class UpsertResult:
     updated: int
     unchanged: int
     rejected: int = 0
+    fetched: int = 0
 
 
 def merged_rows(existing: DataFrame, batch: DataFrame, keys: list[str], sequence: str) -> DataFrame:
@@ -303,8 +304,11 @@ def upsert(
     touched = batch.select(partition).distinct()
     merged = merged_rows(base.join(touched, partition, "left_semi"), batch, keys, sequence)
     staging = scratch_path(spark, "upsert")
-    merged.write.mode("overwrite").parquet(staging)
-    staged = spark.read.parquet(staging)
+    changes = ("inserted", "updated", "unchanged")
+    counted = Observation()
+    counts = [F.count_if(F.col("_change") == change).alias(change) for change in changes]
+    merged.observe(counted, *counts).write.mode("overwrite").parquet(staging)
+    staged = spark.read.schema(merged.schema).parquet(staging)
     (
         staged.drop("_change")
         .hint("rebalance", partition)
@@ -313,29 +317,43 @@ def upsert(
         .partitionBy(partition)
         .parquet(target)
     )
-    changes = {r["_change"]: r["count"] for r in staged.groupBy("_change").count().collect()}
     drop_folder(spark, staging)
-    return UpsertResult(*[changes.get(c, 0) for c in ("inserted", "updated", "unchanged")])
+    return UpsertResult(*[counted.get[change] for change in changes])
 
 
-def load_receipts(spark: SparkSession, target: str, batch: DataFrame, fetched_at: Column) -> UpsertResult:
+def load_receipts(
+    spark: SparkSession, target: str, batch: DataFrame, fetched_at: Column, partition: str = "adjustment_date"
+) -> UpsertResult:
     """Gate a receipt file's rows and upsert the good ones; bad rows go beside the table.
 
-    The bad rows of a load have a folder named by their content, so the same load replaces its own.
+    The gate runs once: its rows go to the shared folder, good and bad apart, and are counted in that same
+    pass. The bad rows of a load have a folder named by their content, so the same load replaces its own.
+    `partition` is the date or another column of the batch that follows from the key.
     """
     gated = receipt_gate(batch)
-    bad = quarantined(gated)
-    content = [c for c in bad.columns if c != "sequence"]
-    rejected, digest = bad.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*content).cast("decimal(20,0)"))).first()
-    if rejected:
-        bad.write.mode("overwrite").parquet(f"{target}_quarantine/load={rejected}-{abs(int(digest))}")
+    content = [c for c in gated.columns if c != "sequence"]
+    is_bad = F.size("violations") > 0
+    counted = Observation()
+    gated = gated.observe(
+        counted, F.count(F.lit(1)).alias("fetched"), F.count_if(is_bad).alias("rejected"),
+        F.sum(F.when(is_bad, F.xxhash64(*content).cast("decimal(20,0)"))).alias("digest"),
+    )
+    staging = scratch_path(spark, "gated")
+    gated.withColumn("accepted", ~is_bad).write.partitionBy("accepted").parquet(staging)
+    told = counted.get
+    staged = spark.read.schema(gated.schema.add("accepted", "boolean")).parquet(staging)
+    if told["rejected"]:
+        bad = staged.filter(~F.col("accepted")).drop("accepted")
+        bad.write.mode("overwrite").parquet(f"{target}_quarantine/load={told['rejected']}-{abs(int(told['digest']))}")
     good = (
-        accepted(gated).drop("bad_number")
+        staged.filter("accepted").drop("accepted", "violations", "bad_number")
         .withColumn("adjustment_date", F.col("adjustment_date").cast("date"))
         .withColumn("fetched_at", fetched_at)
     )
-    result = upsert(spark, target, good, config.RECEIPT_KEY, "adjustment_date")
-    result.rejected = rejected
+    keys = config.RECEIPT_KEY if partition in config.RECEIPT_KEY else [partition, *config.RECEIPT_KEY]
+    result = upsert(spark, target, good, keys, partition)
+    drop_folder(spark, staging)
+    result.rejected, result.fetched = told["rejected"], told["fetched"]
     return result
 
 

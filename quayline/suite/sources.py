@@ -1,13 +1,13 @@
 """Readers, writers and table maintenance, each as a round trip over the given tables."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
 from quayline import config
 from quayline.plans import pipelines as P
 from quayline.session import scratch_path
-from quayline.sources import files, tables
+from quayline.sources import files, ingest, tables
 from quayline.sources.derived import BASE_TABLES
 from quayline.suite import pipelines as C
 from quayline.suite.registry import AS_OF, case
@@ -125,6 +125,63 @@ def upsert_receipts(t):
     return t.spark.read.parquet(target).select(*config.RECEIPT_KEY, "avl_quantity")
 
 
+INGEST_SQL = """
+    WITH rows AS (SELECT adjustment_date AS day, avl_quantity = 7 AS bad FROM goods_receipts),
+    runs AS (
+        SELECT 'r1' AS run_id, 'receipts' AS source_id, 'success' AS status, COUNT(*) AS rows_fetched,
+               COUNT(*) FILTER (NOT bad) AS rows_inserted, 0 AS rows_updated, 0 AS rows_unchanged,
+               COUNT(*) FILTER (bad) AS rows_rejected, NULL AS error
+        FROM rows WHERE day < DATE '2000-01-01'
+        UNION ALL
+        SELECT 'r2', 'receipts', 'success', COUNT(*), COUNT(*) FILTER (NOT bad AND day >= DATE '2000-01-01'),
+               COUNT(*) FILTER (NOT bad AND day >= DATE '1999-07-01' AND day < DATE '2000-01-01'),
+               COUNT(*) FILTER (NOT bad AND day < DATE '1999-07-01'), COUNT(*) FILTER (bad), NULL
+        FROM rows WHERE day >= DATE '1999-01-01'
+        UNION ALL SELECT 'r3', 'broken', 'error', NULL, NULL, NULL, NULL, NULL, 'no such feed'
+        UNION ALL SELECT 'r4', 'slow', 'abandoned', NULL, NULL, NULL, NULL, NULL, NULL
+        UNION ALL SELECT 'r5', 'slow', 'running', NULL, NULL, NULL, NULL, NULL, NULL)
+    SELECT r.*, CASE r.source_id WHEN 'receipts' THEN (SELECT rows_fetched FROM runs WHERE run_id = 'r2') END AS last_row_count,
+           CASE r.source_id WHEN 'receipts' THEN 'active' ELSE 'declared' END AS source_status,
+           (SELECT COUNT(*) FROM rows WHERE NOT bad) AS table_rows, (SELECT SUM(rows_rejected) FROM runs) AS quarantined
+    FROM runs r"""
+
+
+@case("ingest_job", INGEST_SQL)
+def ingest_job(t):
+    """Two loads that overlap, one that fails, one whose driver died two days ago, and one that has just begun."""
+    target, journal = scratch_path(t.spark, "receipts"), scratch_path(t.spark, "journal")
+    day = F.col("adjustment_date")
+    rows = t.goods_receipts.select(*config.RECEIPT_COLUMNS).withColumns({
+        "receipt_month": F.trunc(day, "month"), "sequence": F.lit(1), "bad_number": F.array().cast("array<string>"),
+        "item_code": F.when(F.col("avl_quantity") != 7, F.col("item_code")),
+    })
+    quantity = F.when(day >= "1999-07-01", F.col("avl_quantity") + 1).otherwise(F.col("avl_quantity"))
+
+    def no_feed() -> DataFrame:
+        raise OSError("no such feed")
+
+    load = lambda run, source, read: ingest.run_ingest(
+        t.spark, journal, source, read, target, run_id=run, partition="receipt_month")
+    load("r1", "receipts", lambda: rows.filter(day < "2000-01-01"))
+    load("r2", "receipts", lambda: rows.filter(day >= "1999-01-01").withColumn("avl_quantity", quantity))
+    load("r3", "broken", no_feed)
+    ingest.note(t.spark, journal, "r4", "slow", "start", at=datetime.now() - timedelta(days=2))
+    ingest.note(t.spark, journal, "r5", "slow", "start")
+    runs = ingest.runs_of(ingest.journal_events(t.spark, journal))
+    declared = runs.select("source_id").distinct().withColumns({
+        "last_run_at": F.lit(None).cast("timestamp"), "last_row_count": F.lit(None).cast("bigint"), "status": F.lit("declared"),
+    })
+    registry = tables.registry_after_runs(declared, runs).select(
+        "source_id", "last_row_count", F.col("status").alias("source_status")
+    )
+    table, quarantine = (
+        t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).scalar() for path in (target, f"{target}_quarantine"))
+    return runs.join(registry, "source_id").select(
+        "run_id", "source_id", "status", *ingest.COUNTS, "error", "last_row_count", "source_status",
+        table.alias("table_rows"), quarantine.alias("quarantined"),
+    )
+
+
 @case("constraint_gate", """
     WITH parents AS (SELECT DISTINCT source_id FROM run_log WHERE status = 'success' AND source_id <> 'source4'),
     ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source_id, started_at ORDER BY run_id) AS rn FROM run_log)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quayline import config
 from quayline.session import scratch_path
-from quayline.sources import files, tables
+from quayline.sources import files, ingest, tables
 
 
 def write_text(path, text):
@@ -111,6 +111,32 @@ def test_upsert_is_idempotent_and_counts_truthfully(spark):
     assert quarantine.count() == 2  # the same file loaded twice
 
 
+def test_ingest_notes_start_and_end(spark):
+    target, journal = scratch_path(spark, "t"), scratch_path(spark, "j")
+    rows = [receipt("2024-01-01", "A", 1), receipt("soon", "B", 1)]
+    seen = []
+
+    def read():
+        seen.extend((r.run_id, r.status) for r in ingest.runs_of(ingest.journal_events(spark, journal)).collect())
+        return batch(spark, rows)
+
+    def half_way():
+        return batch(spark, rows).withColumn("avl_quantity", F.raise_error(F.lit("half way")).cast("bigint"))
+
+    assert ingest.run_ingest(spark, journal, "s", read, target, run_id="1").inserted == 1
+    assert seen == [("1", "running")]
+    assert ingest.run_ingest(spark, journal, "s", half_way, target, run_id="2") is None
+    assert ingest.run_ingest(spark, journal, "s", lambda: batch(spark, rows), target, run_id="3").unchanged == 1
+    ingest.note(spark, journal, "4", "s", "start", at=datetime(2020, 1, 1))
+    runs = {r.run_id: r for r in ingest.runs_of(ingest.journal_events(spark, journal)).collect()}
+    assert [runs[n].status for n in "1234"] == ["success", "error", "success", "abandoned"]
+    counts = lambda n: [runs[n][c] for c in ingest.COUNTS]
+    assert counts("1") == [2, 1, 0, 0, 1] and counts("3") == [2, 0, 0, 1, 1] and counts("2") == [None] * 5
+    assert "half way" in runs["2"].error and runs["1"].duration_secs > 0 and runs["4"].duration_secs is None
+    assert spark.read.parquet(target).count() == 1 and spark.read.parquet(f"{target}_quarantine").count() == 1
+    assert ingest.journal_events(spark, scratch_path(spark, "none")).count() == 0
+
+
 def test_incremental_reads_past_the_mark_only(spark):
     target, state = scratch_path(spark, "t"), scratch_path(spark, "s")
     make = lambda rows: spark.createDataFrame(rows, "id int, status string, version int")
