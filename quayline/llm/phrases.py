@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from quayline.llm.common import in_batches, mixed, stored, text_buffer, word_hashes
 from quayline.llm.ngram import LOWER, deltas, squeezed, undeltas, unsqueezed
+from quayline.session import scratch_path
+from quayline.sources.tables import drop_folder
 
 #: Words of the longest phrase, the least count of a phrase, and how many of each language are reported.
 DEPTH, LEAST, MOST = 5, 100, 2000
@@ -442,12 +444,21 @@ def with_answers(texts: DataFrame, answers: DataFrame) -> DataFrame:
     return texts.where("bucket = -1").join(own, "shard")
 
 
-def frequent(held: DataFrame, words: DataFrame, depth: int, least: int, buckets: int) -> DataFrame:
+def kept(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """A table as `stored` leaves it, and its folder: what the next length has been written from is removed."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def frequent(held: DataFrame, folder: str, words: DataFrame, depth: int, least: int, buckets: int) -> DataFrame:
     """(gram, f): all phrases of 2 to `depth` words, as ids of words, that are frequent in the corpus."""
     state = with_answers(held.select("shard", "sign", "bucket", "n", "places", "tokens"), words)
     grams = shorter = None
     for k in range(2, depth + 1):
-        step = stored(level(state, k, buckets, k == depth), f"phrases-{k}")
+        step, own = kept(level(state, k, buckets, k == depth), f"phrases-{k}")
+        drop_folder(held.sparkSession, folder)
+        folder = own
         answers = stored(answered(step.where("bucket >= 0").select("bucket", "shard", "sign", "n", "keys", "counts"), buckets, least, k == depth), f"phrase-answers-{k}")
         found = answers.where("shard = -1").select(F.inline(F.arrays_zip("start", "last", "f", "id")))
         if shorter is None:
@@ -458,6 +469,7 @@ def frequent(held: DataFrame, words: DataFrame, depth: int, least: int, buckets:
         shorter = stored(found, f"phrase-counts-{k}")
         grams = shorter.select("gram", "f") if grams is None else grams.unionByName(shorter.select("gram", "f"))
         state = with_answers(step.drop("keys", "counts"), answers)
+    drop_folder(held.sparkSession, folder)
     return grams
 
 
@@ -469,13 +481,13 @@ def mined(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, most: int = M
     """
     docs = docs.select("lang", "text")
     buckets = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes
-    held = stored(shards(docs, buckets, size), "phrase-shards")
+    held, folder = kept(shards(docs, buckets, size), "phrase-shards")
     asks = held.where("bucket >= 0").select("bucket", "shard", "sign", "lang", "n", "keys", "counts")
     words = stored(answered_words(asks, buckets, least), "phrase-words")
     own = words.where("shard = -1")
     totals = own.groupBy("lang").agg(F.sum("total").alias("n"))
     known = own.select("lang", F.inline(F.arrays_zip("word", "f", "id")))
-    grams = frequent(held, words, depth, least, buckets)
+    grams = frequent(held, folder, words, depth, least, buckets)
     everything = grams.unionByName(known.select(F.array("id").alias("gram"), "f"))
     # A phrase whose extension by a word, at either end, is as frequent goes.
     inner = grams.where("size(gram) > 2").select(
