@@ -98,10 +98,12 @@ ISSUE_POLICIES = {
 }
 
 # --- fixed values: service levels --------------------------------------------------------------
-# service code -> (longest expected business days, expedited)
+# service code -> (least and longest expected business days, expedited)
 SERVICE_LEVELS = {
-    "GGRNDP": (7, False), "G3DAYP": (3, True), "G2DAYP": (2, True), "GNXDYP": (1, True),
+    "GGRNDP": (3, 7, False), "G3DAYP": (3, 3, True), "G2DAYP": (2, 2, True), "GNXDYP": (1, 1, True),
 }
+# (service code, country) -> days that differ there
+SERVICE_LEVELS_ABROAD = {("GGRNDP", "CA"): (3, 5)}
 GROUND_DELAY_DAYS = 5
 EXPEDITED_DELAY_DAYS = 3
 OVERDUE_DAYS = 10
@@ -114,6 +116,6 @@ REPLACEMENT_DAYS = 30
 DUPLICATE_DAYS = 7
 # carrier -> (counted from, first day, last day)
 CLAIM_WINDOWS = {
-    "usps": ("ship", 15, 60), "fedex": ("ship", 0, 60), "ups": ("delivery", 0, 60),
-    "purolator-v2": ("ship", 0, 30),
+    "usps": ("ship", 15, 60), "fedex": ("ship", 0, 60), "fedex-freight": ("ship", 0, 21),
+    "ups": ("delivery", 0, 60), "purolator-v2": ("ship", 0, 30),
 }

@@ -28,6 +28,19 @@ def day_text(column: str) -> Column:
     return S.short_date(F.col(column).cast("string"))
 
 
+def normal_transit(service: str = "shipping_method", order: str = "order_number") -> Column:
+    """A sentence on the days that a service takes in the order's country; empty for an unknown service."""
+    told = []
+    places = [(code, country, days) for (code, country), days in config.SERVICE_LEVELS_ABROAD.items()]
+    for code, country, (least, most) in [*places, *((c, None, v[:2]) for c, v in config.SERVICE_LEVELS.items())]:
+        days = f"{least}-{most}" if least < most else str(most)
+        own = F.col(service) == code
+        if country:
+            own &= M.order_country(F.col(order)) == country
+        told.append(F.when(own, f" Normal transit for {code} is {days} days."))
+    return F.coalesce(*told, F.lit(""))
+
+
 def assessment(as_of: date) -> Column:
     """What the order data says about the ticket's issue; expects ticket and order columns."""
     today = S.as_date(as_of)
@@ -40,7 +53,7 @@ def assessment(as_of: date) -> Column:
         F.when(
             (status == "DELIVERED") & (F.col("shipment_count") > 1),
             F.concat(F.lit("Order was split across "), count,
-                     F.lit(" shipments. All shipments show as delivered.")),
+                     F.lit(" shipments. All shipments show as delivered. Seller may need to check all packages.")),
         )
         .when(status == "DELIVERED", F.lit("Order shows as delivered in one shipment."))
         .when(
@@ -69,7 +82,7 @@ def assessment(as_of: date) -> Column:
         .when(
             F.col("first_ship_date").isNotNull() & (status != "CANCELLED"),
             F.concat(F.lit("Order shipped "), ago("first_ship_date"),
-                     F.lit(" days ago, still in transit.")),
+                     F.lit(" days ago, still in transit."), normal_transit()),
         )
         .otherwise(F.concat(F.lit("Order has not shipped. Status: "), status, F.lit(".")))
     )
@@ -122,9 +135,13 @@ def processing_band(days: Column) -> Column:
 
 
 def transit_band(orders: DataFrame, service: str = "shipping_method") -> DataFrame:
-    """Add the expected days of the service, whether twice that has passed, and the delay class."""
-    rows = [(code, days, fast) for code, (days, fast) in config.SERVICE_LEVELS.items()]
+    """Add the expected days of the service in the order's country, whether twice that has passed, and the delay class."""
+    rows = [(code, days, fast) for code, (_, days, fast) in config.SERVICE_LEVELS.items()]
     levels = rule_table(orders, rows, f"{service} string, expected_days int, expedited boolean")
+    abroad = [
+        F.when((F.col(service) == code) & (M.order_country(F.col("order_number")) == country), most)
+        for (code, country), (_, most) in config.SERVICE_LEVELS_ABROAD.items()
+    ]
     days = F.col("transit_days")
     limit = F.when(F.col("expedited"), config.EXPEDITED_DELAY_DAYS).otherwise(
         config.GROUND_DELAY_DAYS
@@ -132,11 +149,13 @@ def transit_band(orders: DataFrame, service: str = "shipping_method") -> DataFra
     band = (
         F.when(days.isNull(), F.lit(None))
         .when(days > config.OVERDUE_DAYS, "overdue")
+        .when(days > 2 * F.col("expected_days"), "warning")
         .when(days > limit, "delayed")
         .otherwise("on_time")
     )
     return (
         orders.join(levels, service, "left")
+        .withColumn("expected_days", F.coalesce(*abroad, "expected_days"))
         .withColumn("over_twice_expected", days > 2 * F.col("expected_days"))
         .withColumn("transit_band", band)
     )
