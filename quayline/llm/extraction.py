@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -35,16 +36,26 @@ DROPPED = RAW | frozenset(
     "head nav footer aside form menu dialog button select option object svg canvas template audio video map search".split()
 )
 #: Words in a class, id or role that tell what an element is for. The first lists are decisive, the
-#: second not if the element also calls itself content. Inside an article, and for elements that hold
-#: text, a word of a longer name tells nothing: `related` does, `related-work` doesn't.
+#: second not if the element also calls itself content. Inside an article a longer name counts only if its
+#: other words tell how the page is built: `related-box` does, `related-work` doesn't.
 CERTAIN = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comentarios kommentare "
     "commentaires consent cookie cookies disqus feedback footer gdpr masthead menu modal nav navbar navigation newsletter "
     "notice pager pagination paywall popup promo promoted promotion recommended related replies reply share sharing shoutbox "
     "sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar contentinfo complementary "
-    "dialog alert search login".split()
+    "dialog alert search login respond adsense adsbygoogle".split()
 )
 DOUBTFUL = frozenset("header foot extra widget meta tags tools side rail topbar bottom form rss links list".split())
+#: Words for how a page is built, which leave the decisive word beside them decisive.
+STRUCTURE = frozenset(
+    "user users reader readers post article entry story page site main blog list lists slot box container wrapper wrap inner outer "
+    "bar block area section content contents text item items panel unit zone region group row col column holder module body thread "
+    "form button buttons icon icons top bottom left right middle center inline title heading count wp div".split()
+)
+#: Decisive words that are topics as well: they don't tell against a paragraph, heading or table.
+TOPICAL = frozenset(
+    "social search promotion feedback menu navigation skip alert dialog consent subscription sponsor login advertising respond".split()
+)
 #: Words of any name that make a menu of what is mostly links.
 MENU = CERTAIN | DOUBTFUL - frozenset("list links tools meta side extra".split())
 CONTENT = frozenset("article body content entry main page post story text hentry column".split())
@@ -54,17 +65,19 @@ PARAGRAPH = frozenset("p pre td blockquote li dd".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold the text of an article.
 HOLDS_TEXT = PARAGRAPH | HEADING | frozenset("ul ol dl dt table thead tbody tfoot tr th caption figure figcaption details summary".split())
+LISTS = frozenset("ul ol dl".split())
 #: The share of link text from which a list or group that has the sign of a menu is left out.
 MOSTLY_LINKS = 0.6
 
 
 class Node:
-    __slots__ = ("tag", "names", "whole", "parent", "children", "never", "dropped", "score", "length", "linked")
+    __slots__ = ("tag", "names", "whole", "built", "parent", "children", "never", "dropped", "score", "length", "linked")
 
     def __init__(
-        self, tag: str, parent: Node | None, names: frozenset = frozenset(), whole: frozenset = frozenset(), hidden: bool = False
+        self, tag: str, parent: Node | None, names: frozenset = frozenset(), whole: frozenset = frozenset(),
+        built: frozenset = frozenset(), hidden: bool = False,
     ):
-        self.tag, self.parent, self.names, self.whole = tag, parent, names, whole
+        self.tag, self.parent, self.names, self.whole, self.built = tag, parent, names, whole, built
         self.children: list[Node | str] = []
         self.never = self.dropped = hidden or tag in DROPPED
         self.score, self.length, self.linked = 0.0, 0, 0
@@ -108,25 +121,48 @@ def parsed(html: str) -> Node:
     return root
 
 
-def described(attributes: str, tag: str) -> tuple[frozenset, frozenset, bool]:
-    """The words in what an element is called, those of its names that are listed whole, and whether it is hidden."""
+def described(attributes: str, tag: str) -> tuple[frozenset, frozenset, frozenset, bool]:
+    """The words in what an element is called, those of names that are listed whole, those of names whose
+    other words tell how the page is built, and whether it is hidden."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return frozenset(), frozenset(), False
-    words, whole, hidden = set(), set(), False
+        return frozenset(), frozenset(), frozenset(), False
+    words, whole, built, hidden = set(), set(), set(), False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id", "role", "itemprop"):
             for called in value.split():
-                own = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", called)}
+                own = words_of(called)
                 words |= own
-                # `cookie-notice` is as decisive as its parts; a heading's id repeats its text.
-                if own and (own <= CERTAIN or own <= DOUBTFUL) and not (name == "id" and tag in HEADING):
+                if name == "id" and tag in HEADING:
+                    continue  # a heading's id repeats its text
+                decisive, doubtful = own & CERTAIN, own <= DOUBTFUL
+                # `cookie-notice` is as decisive as its parts.
+                if own and (doubtful or own <= CERTAIN and not own <= TOPICAL):
                     whole |= own
+                topic = name == "id" and tag == "section" and own <= TOPICAL
+                layout = "sidebar" in own and own & {"content", "main"}
+                if doubtful or decisive and own <= CERTAIN | DOUBTFUL | STRUCTURE and not topic and not layout:
+                    built |= decisive or own
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-    return frozenset(words), frozenset(whole), hidden
+    return frozenset(words), frozenset(whole), frozenset(built), hidden
+
+
+@lru_cache(10_000)
+def words_of(called: str) -> frozenset:
+    """The words of a name: `commentList`, `comment-list` and `commentlist` have the same two."""
+    found: set[str] = set()
+    for word in (w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", called)):
+        known = word in CERTAIN or word in DOUBTFUL or word in CONTENT
+        cuts = () if known else range(2, len(word) - 1)
+        joined = next((
+            (word[:n], word[n:]) for n in cuts
+            if word[:n] in CERTAIN and word[n:] in STRUCTURE or word[:n] in STRUCTURE and word[n:] in CERTAIN
+        ), (word,))
+        found.update(joined)
+    return frozenset(found)
 
 
 def up(at: Node, tags: set[str], stop: frozenset | set[str]) -> Node:
@@ -196,7 +232,10 @@ def marked(order: list[Node]) -> set[Node]:
 
 def unfit(node: Node, within: bool) -> bool:
     """Whether an element's names say that it isn't text of the article; `within` is inside it."""
-    names = node.whole if within or node.tag in HOLDS_TEXT else node.names
+    if node.tag in HOLDS_TEXT - LISTS:
+        names = node.whole
+    else:
+        names = node.built if within or node.tag in LISTS else node.names
     doubtful = names & DOUBTFUL and not node.names & CONTENT and node.tag not in HOLDS_TEXT
     return bool(names & CERTAIN or doubtful and not (within and node.tag == "section"))
 
@@ -361,9 +400,10 @@ def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
 
     The page is parsed into a tree. What is never article goes: scripts, menus, headers, footers,
     sidebars, forms, hidden elements, and what calls itself advert, notice, comment and so on, unless
-    it holds the page's article. Inside the article, and for lists, tables and paragraphs, only whole
-    names count (`share`, `cookie-notice`), no words of longer ones, and a list of links is left out
-    only if it looks like a menu. Each paragraph then earns points by its length and commas, less its
+    it holds the page's article. Inside the article, and for lists, a longer name counts if its other
+    words tell how the page is built (`user-comments`, `ad-slot`), not if they tell a topic
+    (`related-work`); for tables, headings and paragraphs only whole names count (`cookie-notice`), and
+    not topics (`search`). A list of links is left out only if it looks like a menu. Each paragraph then earns points by its length and commas, less its
     share of links, for the elements around it, fewer with distance; the container with the most
     points, less its own share of links, is kept with the siblings that belong to it.
     """

@@ -85,3 +85,41 @@ def test_words_of_names_in_the_article(page):
 @pytest.mark.parametrize("page", CLUTTER)
 def test_clutter(page):
     assert main_text(page) == CLUTTER[page]
+
+
+#: Parts of a page that are clutter by their name alone, and parts that are not.
+GOES = [
+    '<div class="user-comments">', '<section id="user-comments">', '<div class="comment-list">', '<ol class="commentlist">',
+    '<div class="post-comments">', '<div id="respond">', '<div class="ad-slot">', '<div class="ad-container">', '<div class="adbox">',
+    '<div class="sponsored-content">', '<div class="share-bar">', '<div class="subscribe-box">', '<div class="site-notice">',
+    '<div class="article-sidebar">', '<div class="article-footer">', '<div id="commentList2">', '<section class="comments-area">',
+    '<div class="ad ad-top">', '<ul class="comment-items">', '<div class="newsletter-form">', '<div class="cookie-banner">',
+    '<div class="related-posts-box related">', '<p class="advertisement">', '<p class="cookie-notice">', '<div class="post-navigation">',
+    '<div id="ad-slot-3">', '<section class="reader-comments">', '<div class="sidebar-inner">', '<div class="promo-block">', '<table class="ad">',
+]
+STAYS = [
+    '<p class="social">', '<p class="search">', '<p id="promotion">', '<p class="skip-dropcap">', '<section id="related-work">',
+    '<section id="tools">', '<section id="search">', '<div class="side-note">', '<div class="extra-notes">', '<ul class="wp-block-list">',
+    '<div class="has-sidebar">', '<div class="no-comments">', '<p class="navigation">', '<div class="article-text">', '<table class="list meta">',
+    '<div class="entry-content">', '<section id="social-history">', '<div class="address">', '<div class="readable">', '<div class="adaptation">',
+]
+
+
+def fragment(start):
+    tag = start[1:].split()[0]
+    inner = {"ul": "<li>Z, words here.</li>", "ol": "<li>Z, words here.</li>", "table": "<tr><td>Z, words here.</td></tr>", "p": "Z, words here."}
+    return f"{start}{inner.get(tag, '<p>Z, words here.</p>')}</{tag}>"
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<body><div class=wide>{}</div></body>"])
+@pytest.mark.parametrize("start", GOES + STAYS)
+def test_names_of_parts(start, around):
+    page = around.format(f"<h2>T</h2><p>{LONG}</p>{fragment(start)}<p>{LONG}</p>")
+    assert ("Z, words here." in main_text(page)) == (start in STAYS)
+    assert main_text(page).count(LONG) == 2
+
+
+def test_points_choose_the_container():
+    page = (f"<body><div id=a><div><a href=x>{LONG}</a><a href=y>{LONG}</a></div></div><div id=b><div>{'<p>' + LONG + '</p>'}<p>One, two, three.</p></div></div>"
+            f"<div id=c><p>Few words</p></div></body>")
+    assert main_text(page) == f"{LONG}\n\nOne, two, three."
