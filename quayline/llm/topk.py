@@ -13,7 +13,7 @@ SCALE = 256
 #: Candidates and queries of a tile.
 CANDIDATES, QUERIES = 8192, 512
 #: Shares of the lists that have been read after each round.
-DEPTHS = (1 / 16, 1 / 4, 1)
+DEPTHS = (1 / 4, 1 / 2, 3 / 4, 7 / 8, 15 / 16, 1)
 #: Reading stops for a query once at most this many candidates can still qualify; their scores are
 #: then resolved. Lists read to their end leave no more to resolve than the bounds allow.
 RESOLVED = 64
@@ -28,27 +28,30 @@ def searched(
 
     A component x counts as floor(`scale` * x) and a score is the inner product of those integers.
     Queries are the rows whose vec_id is divisible by `every`, candidates all rows of other ids. Rows
-    without a vec_id or vector and those with a null or non-finite component take no part. Of rows that
-    share a vec_id the one with the smallest vector counts. A shorter vector counts as filled up with
-    zeros. Other columns are ignored; an empty table gives an empty one, fewer than `k` candidates all.
-    Scores are exact as long as they fit 63 bits.
-
-    Blocks of queries meet blocks of candidates in tiles of bounded size, each a group of its own;
-    a tile returns `k` rows a query, of which the best remain.
+    without a vec_id or vector and those with a null or non-finite component take no part. Rows that
+    share a vec_id are candidates each; a query of such an id has the best of all its rows, and none of
+    them is its own candidate. A shorter vector counts as filled up with zeros. Other columns are
+    ignored; an empty table gives an empty one, fewer than `k` candidates all. Scores are exact as long
+    as they fit 63 bits.
+
+    Of equal rows at most `k` can be among the best, so no more of them are searched. Blocks of queries
+    meet blocks of candidates in tiles of bounded size, each a group of its own; a tile returns `k` rows
+    a query, of which the best remain.
     """
     whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
     rows = (
         vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull())
         .where(~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-        .groupBy(F.col(vec_id).cast("long").alias("vec_id")).agg(F.min(whole).alias("parts"))
+        .groupBy(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("parts")).agg(F.least(F.count("*"), F.lit(k)).alias("copies"))
+        .select("vec_id", "parts", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     )
     count, asked = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     blocks, groups = -(-count // CANDIDATES) or 1, -(-asked // QUERIES) or 1
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    group = F.pmod(F.xxhash64(F.lit("query"), "vec_id"), F.lit(groups)).cast("int")
-    candidates = rows.select("vec_id", "parts", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    dealt = lambda label, n: F.pmod(F.xxhash64(F.lit(label), "vec_id", "parts", "copy"), F.lit(n)).cast("int")
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    candidates = rows.select("vec_id", "parts", dealt("candidate", blocks).alias("block"), number(groups).alias("group"))
     queries = rows.where(F.col("vec_id") % every == 0).select(
-        "vec_id", "parts", group.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        "vec_id", "parts", dealt("query", groups).alias("group"), number(blocks).alias("block")
     )
 
     def tile(own: pa.Table, asking: pa.Table) -> pa.Table:
@@ -87,10 +90,10 @@ def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
     """Query id, vector id and score of each query's best `k` of one tile; ids ascend.
 
     Each component has a list of the vectors sorted by it. A query reads the lists of its positive
-    components from the top and those of its negative ones from the bottom, all to the same depth. A
-    vector's unread components lie between the last value read and the far end of the list, which
-    bounds its score. The read parts of the lists are the same for all queries, so the bounds of all
-    come from products of matrices.
+    components from the top and those of its negative ones from the bottom, all to the same depth. What
+    has been read of a vector adds up; each of its unread components lies between the last value read and
+    the far end of the list, which bounds its score. Lists are the same for all queries of a tile, so
+    what a round reads is added for all of them by products of matrices.
     """
     n, width = vectors.shape
     out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
@@ -105,15 +108,16 @@ def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
     own = query_ids[:, None] == ids
     live = np.arange(len(queries))
     most = min(k, n)
+    read = np.zeros((len(queries), n), values.dtype)  # the sums of what has been read
+    above = below = np.zeros(values.shape, bool)  # what has been read from the top and from the bottom
     for share in DEPTHS:
         depth = max(int(np.ceil(share * n)), 1)
         top, bottom = lists[n - depth], lists[depth - 1]  # the last values read
-        if depth == n:  # all has been read: the bounds meet
-            low = high = queries[live] @ values.T
-        else:
-            high = up[live] @ np.maximum(values, top).T + down[live] @ np.minimum(values, bottom).T
-            low = up[live] @ np.where(values >= top, values, lists[0]).T
-            low += down[live] @ np.where(values <= bottom, values, lists[-1]).T
+        before, above, below = (above, below), values >= top, values <= bottom
+        read += up[live] @ np.where(above & ~before[0], values, 0).T
+        read += down[live] @ np.where(below & ~before[1], values, 0).T
+        high = read + (up[live] * top) @ ~above.T + (down[live] * bottom) @ ~below.T
+        low = read + (up[live] * lists[0]) @ ~above.T + (down[live] * lists[-1]) @ ~below.T
         outside = own[live]
         sure = np.where(outside, low.min() - 1, low)
         # The k-th best lower bound: what is below it cannot qualify, read or not.
@@ -125,7 +129,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
             score = values[near] @ queries[live[i]]
             order = np.lexsort((near, -score))[:k]
             out.append((np.full(len(order), query_ids[live[i]]), ids[near[order]], score[order].astype(np.int64)))
-        live = live[~settled]
+        live, read = live[~settled], read[~settled]
         if not len(live):
             break
     return tuple(np.concatenate(part) for part in zip(*out))

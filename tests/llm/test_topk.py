@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 from brute import told
 from compare import connect, differences
@@ -44,6 +45,34 @@ def test_edge_rows(spark):
             (2, [inf, 0.0]), (3, []), (4, [1.0]), (5, [-0.001, 0.0]), (200, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"rank": F.lit("x"), "parts": F.lit(1), "block": F.lit(1)})
     got = told(topk.searched(df), "query_id", "rank", "vec_id", "score")
-    assert got == [(0, 1, 4, 65536), (0, 2, 1, 32768), (0, 3, 3, 0), (0, 4, 200, 0), (0, 5, 5, -256),
-                   (200, 1, 0, 0), (200, 2, 1, 0), (200, 3, 3, 0), (200, 4, 4, 0), (200, 5, 5, 0)]
+    assert got == [(0, 1, 4, 65536), (0, 2, 1, 32768), (0, 3, 1, 32768), (0, 4, 3, 0), (0, 5, 200, 0),
+                   (200, 1, 0, 0), (200, 2, 1, 0), (200, 3, 1, 0), (200, 4, 3, 0), (200, 5, 4, 0)]
     assert told(topk.searched(df.limit(0))) == []
+
+
+def test_rows_of_one_id_all_count(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 30)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(8)
+    rows = [(n % 60, [float(x) for x in v]) for n, v in enumerate(rng.normal(size=(150, 5)).tolist())]
+    rows += [(7, [0.5] * 5)] * 40 + [(50, [1.0] * 5)] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({catalog.CHECKS['op10_topk_search']})").fetchall())
+    assert told(topk.searched(df), "query_id", "rank", "vec_id", "score") == want
+
+
+def test_reading_stops_before_the_end(monkeypatch):
+    """Lists with a few high values: bounds settle the queries before all is read."""
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(0, 4, (2000, 8))
+    vectors[::100] += rng.integers(200, 300, (20, 8))
+    queries = vectors[:7]
+    ids = np.arange(2000)
+    true = (queries @ vectors.T).astype(float)
+    true[np.arange(7), np.arange(7)] = -1
+    monkeypatch.setattr(topk, "DEPTHS", (1 / 4,))
+    query_ids, found, _ = topk.best(queries, ids[:7], vectors, ids, 5)
+    assert [found[query_ids == i].tolist() for i in range(7)] == [np.lexsort((ids, -true[i]))[:5].tolist() for i in range(7)]
