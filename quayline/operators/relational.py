@@ -132,6 +132,49 @@ def clustered_for_write(df: DataFrame, *order: Column | str) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+#: Rows that the bounds of a curve's cells are taken from, about, and bits of each key's cell number.
+CURVE_SAMPLE, CURVE_BITS = 20_000, 6
+
+
+def curve_place(df: DataFrame, keys: list[str], bits: int = CURVE_BITS, sample: int = CURVE_SAMPLE) -> Column:
+    """The place of a row on a Z-shaped curve through the cells that all keys span together.
+
+    A key's range is cut into `2 ** bits` cells of about equal numbers of rows; the bits of the keys' cell
+    numbers are interleaved, so rows that are near on the curve are near in each key. Bounds come from a
+    random sample of about `sample` rows, as those of any range partitioning do: they shape the layout
+    and nothing else. Nulls are in the lowest cell.
+    """
+    cells = 1 << bits
+    seen = df.sample(min(1.0, sample / max(df.count(), 1)), seed=1).select(*keys).collect()
+    place = F.lit(0).cast("long")
+    for n, key in enumerate(keys):
+        values = sorted(row[key] for row in seen if row[key] is not None)
+        bounds = sorted({values[len(values) * cell // cells] for cell in range(1, cells)}) if values else []
+        cell = F.lit(0)
+        if bounds:
+            own = F.col(key)
+            reached = F.filter(F.array(*map(F.lit, bounds)), lambda bound: bound <= own)  # noqa: B023
+            cell = F.when(own.isNull(), 0).otherwise(F.size(reached))
+        for bit in range(bits):
+            one = F.shiftright(cell, bit).bitwiseAND(1).cast("long")
+            place = place.bitwiseOR(F.shiftleft(one, bit * len(keys) + n))
+    return place
+
+
+def write_on_curve(df: DataFrame, path: str, keys: list[str], files: int | None = None) -> None:
+    """Parquet files laid out for filters on any one of the keys: each file holds a stretch of the curve.
+
+    A sort by several keys lets readers skip files by the first one only. On the curve every key's
+    smallest and largest value of a file are near, so a filter on each alone skips files. A stretch that
+    many rows share is split at random, so a hot cell is never one task.
+    """
+    place = curve_place(df, keys)
+    order = [F.col("_curve"), F.col("_tie")]
+    rows = df.withColumns({"_curve": place, "_tie": F.rand(1)})
+    dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+    dealt.sortWithinPartitions("_curve", *keys).drop("_curve", "_tie").write.mode("overwrite").parquet(path)
+
+
 def with_place(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """All rows with their place (from 1) in the given order; rows that compare equal follow in any order.
 

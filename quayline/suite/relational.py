@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quayline import config
 from quayline.functions import scalars as S
-from quayline.operators import relational as R
+from quayline.operators import distinct as D, relational as R
 from quayline.operators.triage import mix
 from quayline.plans import lookup as L, pipelines as P, questions as Q
 from quayline.session import scratch_path
@@ -327,6 +327,22 @@ def agg_multi_distinct(t):
     )
 
 
+@case("agg_distinct_levels", """
+    SELECT 'both' AS level, facility, carrier_code, COUNT(DISTINCT item_name) AS items, COUNT(DISTINCT order_number) AS orders
+    FROM delivery_lines GROUP BY facility, carrier_code
+    UNION ALL SELECT 'facility', facility, NULL, COUNT(DISTINCT item_name), COUNT(DISTINCT order_number)
+    FROM delivery_lines GROUP BY facility
+    UNION ALL SELECT 'carrier', NULL, carrier_code, COUNT(DISTINCT item_name), COUNT(DISTINCT order_number)
+    FROM delivery_lines GROUP BY carrier_code
+    UNION ALL SELECT 'all', NULL, NULL, COUNT(DISTINCT item_name), COUNT(DISTINCT order_number) FROM delivery_lines""")
+def agg_distinct_levels(t):
+    """Distinct items and orders at four levels, all from one pass over the lines."""
+    return D.distinct_levels(
+        t.delivery_lines, {"both": ["facility", "carrier_code"], "facility": ["facility"], "carrier": ["carrier_code"], "all": []},
+        {"items": "item_name", "orders": "order_number"},
+    )
+
+
 @case("agg_distinct_list", """
     SELECT order_number, STRING_AGG(DISTINCT facility, ', ' ORDER BY facility) AS facility,
            STRING_AGG(DISTINCT carrier_code, ', ' ORDER BY carrier_code) AS carrier_code
@@ -521,6 +537,29 @@ def cluster_on_write(t):
     return t.spark.read.parquet(path)
 
 
+@case("curve_on_write", """
+    SELECT 'facility' AS wanted, adjustment_id, adjustment_date, facility_id, item_code FROM goods_receipts
+    WHERE facility_id = (SELECT MIN(facility_id) FROM goods_receipts)
+    UNION ALL
+    SELECT 'item', adjustment_id, adjustment_date, facility_id, item_code FROM goods_receipts
+    WHERE item_code = (SELECT MIN(item_code) FROM goods_receipts)
+    UNION ALL
+    SELECT 'date', adjustment_id, adjustment_date, facility_id, item_code FROM goods_receipts
+    WHERE adjustment_date = (SELECT MAX(adjustment_date) FROM goods_receipts)""")
+def curve_on_write(t):
+    """Receipts laid out on a curve through date, facility and item, then read by each of the three alone."""
+    path = scratch_path(t.spark, "curve")
+    rows = t.goods_receipts.select("adjustment_date", "facility_id", "item_code", "adjustment_id")
+    R.write_on_curve(rows, path, ["adjustment_date", "facility_id", "item_code"])
+    laid = t.spark.read.schema(rows.schema).parquet(path)
+    wanted = laid.agg(F.min("facility_id").alias("facility"), F.min("item_code").alias("item"), F.max("adjustment_date").alias("date")).first()
+    parts = [
+        laid.filter(F.col(column) == F.lit(wanted[label])).select(F.lit(label).alias("wanted"), "adjustment_id", *rows.columns[:3])
+        for label, column in (("facility", "facility_id"), ("item", "item_code"), ("date", "adjustment_date"))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- set operations ----------------------------------------------------------------------------
 
 

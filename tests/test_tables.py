@@ -4,10 +4,12 @@ from datetime import date, datetime
 from pathlib import Path
 from types import SimpleNamespace
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quayline import config
+from quayline.operators import distinct as D, relational as R
 from quayline.session import scratch_path
 from quayline.sources import files, ingest, tables
 
@@ -308,3 +310,64 @@ def test_report_catalog(spark):
         assert "facility_summary" in str(error)
     else:
         raise AssertionError
+
+
+def test_curve_lets_every_key_skip_files(spark, tmp_path):
+    rows = spark.range(20_000).select(
+        (F.xxhash64("id") % 300).alias("day"), F.concat(F.lit("F"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(40)).cast("string")).alias("site"),
+        F.pmod(F.xxhash64("id", F.lit(2)), F.lit(500)).alias("item"), "id")
+    rows = rows.unionByName(spark.createDataFrame([(None, None, None, -1), (None, "F1", None, -2)], rows.schema))
+    keys = ["day", "site", "item"]
+    R.write_on_curve(rows, f"{tmp_path}/curve", keys, files=64)
+    rows.repartitionByRange(64, *keys).sortWithinPartitions(*keys).write.parquet(f"{tmp_path}/sorted")
+    assert spark.read.parquet(f"{tmp_path}/curve").exceptAll(rows).isEmpty() and spark.read.parquet(f"{tmp_path}/curve").count() == 20_002
+
+    def share(folder, key, value):
+        """The share of files that a filter on one key has to read."""
+        read = total = 0
+        for file in Path(f"{tmp_path}/{folder}").glob("*.parquet"):
+            meta = pq.ParquetFile(file).metadata
+            place = meta.schema.names.index(key)
+            stats = [meta.row_group(n).column(place).statistics for n in range(meta.num_row_groups)]
+            read += any(s.has_min_max and s.min <= value <= s.max for s in stats)
+            total += 1
+        return read / total
+
+    for key, value in (("day", 7), ("site", "F17"), ("item", 250)):
+        assert share("curve", key, value) <= 0.5, key
+    assert share("sorted", "item", 250) > 0.9
+
+
+def test_curve_edges(spark, tmp_path):
+    schema = "a int, b string"
+    R.write_on_curve(spark.createDataFrame([], schema), f"{tmp_path}/none", ["a", "b"])
+    assert spark.read.schema(schema).parquet(f"{tmp_path}/none").count() == 0
+    hot = spark.createDataFrame([(1, "x")] * 500 + [(None, None)] * 3, schema)
+    R.write_on_curve(hot, f"{tmp_path}/hot", ["a", "b"], files=4)
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in Path(f"{tmp_path}/hot").glob("*.parquet")]
+    assert sum(sizes) == 503 and max(sizes) < 250
+
+
+def test_distinct_levels(spark):
+    rows = [("a", 1, "x", 7), ("a", 1, "x", 8), ("a", 2, "y", 7), ("b", 1, "x", None), ("b", None, None, 9), (None, 1, "z", 9), ("c", 3, None, None)]
+    df = spark.createDataFrame(rows, "f string, c int, u string, v int")
+    levels = {"fc": ["f", "c"], "f": ["f"], "all": []}
+    got = D.distinct_levels(df, levels, {"us": "u", "vs": "v"})
+    want = []
+    for label, own in levels.items():
+        for key in {tuple(r["fc".index(g)] for g in own) for r in rows}:
+            mine = [r for r in rows if tuple(r["fc".index(g)] for g in own) == key]
+            full = dict(zip(own, key))
+            want.append((label, full.get("f"), full.get("c"), len({r[2] for r in mine} - {None}), len({r[3] for r in mine} - {None})))
+    told = sorted(((r.level, r.f, r.c, r.us, r.vs) for r in got.select("level", "f", "c", "us", "vs").collect()), key=str)
+    assert told == sorted(want, key=str)
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    none = D.distinct_levels(df.limit(0), levels, {"us": "u"})
+    assert [(r.level, r.us) for r in none.collect()] == [("all", 0)]
+
+
+def test_distinct_values_over_several_buckets(spark):
+    df = spark.range(70_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 69_000).alias("v"))
+    got = D.distinct_levels(df, {"g": ["g"], "all": []}, {"n": "v"})
+    assert sorted((str(r.g), r.n) for r in got.collect()) == sorted(
+        [(str(r.g), r.n) for r in df.groupBy("g").agg(F.count_distinct("v").alias("n")).collect()] + [("None", 69_000)])
