@@ -14,9 +14,10 @@ from quayline.llm.common import fold, in_batches, slices, text_buffer
 from quayline.llm.substring import SuffixAutomaton
 
 UNKNOWN = "und"
-#: The models are fitted on a sample of labelled rows: at most so many rows of a language, so many
-#: code points of a row, and so many symbols in all languages' models together.
-SAMPLE_ROWS, SAMPLE_CHARS, MODEL_SYMBOLS = 400, 4000, 64_000
+#: A language's model is fitted on a sample of its labelled rows' text: at most so many different passages
+#: from anywhere in them, each of so many code points. More of a language's text adds none, other languages
+#: take none away.
+PASSAGES, PASSAGE_CHARS = 64, 250
 #: Symbols with a column in the table of steps: the commonest letters. Steps by rarer letters, of which
 #: Chinese has thousands, are in a sorted list.
 COLUMNS = 64
@@ -61,25 +62,33 @@ def sequence(symbols: np.ndarray) -> np.ndarray:
     return symbols[letter | np.concatenate([[False], letter])[:-1]]
 
 
-def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """Texts of each language: the rows with the smallest hashes of their ids, at most `rows` of each."""
-    key = F.xxhash64("doc_id")
-    order = Window.partitionBy("lang").orderBy(key, "doc_id")
-    chosen = labelled.select("lang", "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
-    ids = [r.doc_id for r in chosen.select("doc_id").distinct().collect()]
-    if not ids:
-        return {}
-    found = labelled.where(F.col("doc_id").isin(ids)).select("lang", F.substring("text", 1, chars).alias("text"), "doc_id")
+def sample(labelled: DataFrame, most: int = PASSAGES, chars: int = PASSAGE_CHARS) -> dict[str, list[str]]:
+    """Passages of each language: of all that its whole texts are made of, those with the `most` smallest hashes.
+
+    A language's number of passages says below which hash about four times as many lie as are wanted, so
+    few are gathered. Should they be copies for the most part, the bound is raised for that language.
+    """
+    totals = labelled.groupBy("lang").agg(F.sum(F.ceil(F.length("text") / chars)).alias("passages")).collect()
+    shares = {r.lang: min(1.0, 4 * most / r.passages) for r in totals if r.passages}
+    passages = labelled.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))).alias("text"))
+    drawn = passages.withColumn("draw", F.xxhash64("text") / F.lit(2.0**64) + 0.5)
     texts: dict[str, list[str]] = {}
-    for r in sorted(found.collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
-        texts.setdefault(r.lang, []).append(r.text)
+    while shares:
+        limit = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
+        found = drawn.where(F.col("draw") <= limit).distinct().collect()
+        for language, share in list(shares.items()):
+            own = sorted((r.draw, r.text) for r in found if r.lang == language)
+            if len(own) >= most or share >= 1:
+                texts[language] = [text for _, text in own[:most]]
+                del shares[language]
+            else:
+                shares[language] = min(1.0, share * 8)
     return texts
 
 
-def fitted(texts: dict[str, list[str]], most: int = MODEL_SYMBOLS) -> Models:
-    """A suffix automaton for each language, of the same number of symbols at most."""
+def fitted(texts: dict[str, list[str]]) -> Models:
+    """A suffix automaton for each language, of all of its texts."""
     languages = sorted(texts)
-    share = most // max(len(languages), 1)
     counts: dict[str, int] = {}
     for part in texts.values():
         for text in part:
@@ -94,11 +103,8 @@ def fitted(texts: dict[str, list[str]], most: int = MODEL_SYMBOLS) -> Models:
     first, rare = np.zeros((len(languages), total), np.int64), {}
     for place, language in enumerate(languages):
         automaton, size = SuffixAutomaton(), 0
-        # Alternately from all rows: a language's model isn't filled by one long text.
-        rows = [sequence(table[code_points(t)]) for t in texts[language]]
-        each = max(share // max(len(rows), 1), PIECE)
-        for row in rows:
-            row = row[:min(each, share - size)]
+        for text in texts[language]:
+            row = sequence(table[code_points(text)])
             automaton.add(row.tolist(), 0)
             size += len(row)
         # Behind the automaton's states stands one for "between phrases": at the start of a piece, and

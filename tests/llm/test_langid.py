@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 from brute import DOCS, fold, told
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -92,3 +94,28 @@ def test_languages_with_thousands_of_letters():
                     k += 1
                 want, i = want + 1, i + k
             assert phrases == want, language
+
+
+def test_sample_takes_passages_from_anywhere(spark):
+    long = "".join(chr(0x4E00 + n % 5000) for n in range(100_000))
+    rows = [(1, long, "zh")] + [(n, "the same words again and again " * 40, "en") for n in range(2, 900)]
+    rows += [(1000, "other words of this language", "en"), (1001, "", "xx"), (1002, "\n\U0001F600", "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    found = langid.sample(df)
+    assert sorted(found) == ["en", "yy", "zh"] and found["yy"] == ["\n\U0001F600"]
+    places = [long.index(p[:200]) for p in found["zh"]]
+    assert len(found["zh"]) == len(set(found["zh"])) <= langid.PASSAGES and all(p in long for p in found["zh"]) and max(places) > 2500
+    assert "other words of this language" in found["en"] and len(found["en"]) == len(set(found["en"]))
+    assert found == langid.sample(df.repartition(3))
+
+
+def test_each_language_has_its_own_share():
+    """Sixty-four languages: one's model doesn't shrink for the others."""
+    rng = np.random.default_rng(11)
+    words = {f"l{n:02}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(60)] for n in range(64)}
+    texts = {k: [" ".join(rng.choice(w, 40)) for _ in range(8)] for k, w in words.items()}
+    models = langid.fitted(texts)
+    sizes = [sum(len(langid.sequence(models.symbols[langid.code_points(t)])) for t in own) for own in texts.values()]
+    assert np.allclose(models.bits, np.log2(np.array(sizes) + 2))
+    probes = [" ".join(rng.choice(w, 12)) for w in words.values()]
+    assert langid.judged(models, pa.array(probes))[0].tolist() == list(words)
