@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from quayline import config
 from quayline.plans import pipelines as P
 from quayline.session import scratch_path
-from quayline.sources import files, ingest, tables
+from quayline.sources import files, ingest, pages, tables
 from quayline.sources.derived import BASE_TABLES
 from quayline.suite import pipelines as C
 from quayline.suite.registry import AS_OF, case
@@ -56,6 +56,24 @@ def read_result_json(t):
     return files.read_result_json(t.spark, path, schema, by_line=True)
 
 
+PAGE_ROWS = 1000
+
+
+@case("paged_source", """
+    SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_shipdate FROM lineitem""")
+def paged_source(t):
+    """Order lines in pages of a thousand rows with their counts, as a service sends them, read page by page."""
+    path = scratch_path(t.spark, "pages")
+    row = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")
+    place = row.withColumn("page", F.floor(F.monotonically_increasing_id() / PAGE_ROWS))
+    documents = place.groupBy("page").agg(
+        F.collect_list(F.struct(*row.columns)).alias("data"), F.count(F.lit(1)).alias("row_count")
+    )
+    documents.drop("page").write.json(path)
+    t.spark.dataSource.register(pages.ResultPages)
+    return t.spark.read.format("result_pages").schema(row.schema).load(path)
+
+
 @case("export_csv", """
     SELECT p_partkey, ' ' || p_name || ', ' || chr(34) || p_brand || chr(34) || chr(10) || 'x ' AS p_name, p_brand, p_type,
            p_size, p_retailprice FROM part""")
