@@ -97,6 +97,8 @@ ISSUE_POLICIES = {
     "Wrong Items": "manual_review",
 }
 
+RETURN_ISSUES = ["Return Delivered, But No Refund", "Return Not Delivered"]
+
 # --- fixed values: service levels --------------------------------------------------------------
 # service code -> (least and longest expected business days, expedited)
 SERVICE_LEVELS = {

@@ -42,7 +42,7 @@ def normal_transit(service: str = "shipping_method", order: str = "order_number"
 
 
 def assessment(as_of: date) -> Column:
-    """What the order data says about the ticket's issue; expects ticket and order columns."""
+    """What the order data says about the ticket's issue; expects ticket, order and warranty columns."""
     today = S.as_date(as_of)
     issue, status = F.col("issue"), F.col("order_status")
     count = F.col("shipment_count").cast("string")
@@ -105,9 +105,12 @@ def assessment(as_of: date) -> Column:
         )
         .otherwise(F.concat(F.lit("Order has not shipped. Status: "), status, F.lit(".")))
     )
+    warranty = F.concat(F.lit("A warranty shipment left on "), day_text("warranty_ship_date"),
+                        F.lit(". Tracking: "), F.coalesce("warranty_tracking", F.lit("n/a")), F.lit("."))
     not_found = F.lit("Order not found in delivery tracking data.")
     return (
-        F.when(F.col("policy") == "manual_review", manual)
+        F.when(issue.isin(config.RETURN_ISSUES) & F.col("warranty_ship_date").isNotNull(), warranty)
+        .when(F.col("policy") == "manual_review", manual)
         .when(status.isNull(), not_found)
         .when(issue == "Missing Items", missing_items)
         .when(issue == "Late Delivery", late)
@@ -116,13 +119,26 @@ def assessment(as_of: date) -> Column:
     )
 
 
-def triage_assessment(tickets: DataFrame, orders: DataFrame, as_of: date) -> DataFrame:
-    """Tickets with their order's data and the assessment; warranty returns use the base order."""
+def triage_assessment(
+    tickets: DataFrame, orders: DataFrame, as_of: date, warranty: DataFrame | None = None
+) -> DataFrame:
+    """Tickets with their order's data and the assessment; warranty returns use the base order.
+
+    `warranty` holds the warranty shipments by order token (`plans.lookup.warranty_shipments`), which
+    tickets about returns report; without it they go to manual review.
+    """
     keyed = issue_policy(tickets).withColumn("base_order", M.base_order(F.col("order_number")))
     facts = orders.withColumnRenamed("order_number", "base_order").drop(
         *[c for c in tickets.columns if c != "order_number"]
     )
-    return keyed.join(facts, "base_order", "left").withColumn("assessment", assessment(as_of))
+    known = keyed.join(facts, "base_order", "left")
+    if warranty is None:
+        known = known.withColumns({
+            "warranty_ship_date": F.lit(None).cast("date"), "warranty_tracking": F.lit(None).cast("string"),
+        })
+    else:
+        known = known.join(warranty.withColumnRenamed("order_token", "base_order"), "base_order", "left")
+    return known.withColumn("assessment", assessment(as_of))
 
 
 def processing_band(days: Column) -> Column:

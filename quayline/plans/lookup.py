@@ -24,6 +24,15 @@ def shipments_by_token(shipments: DataFrame) -> DataFrame:
     )
 
 
+def warranty_shipments(shipments: DataFrame) -> DataFrame:
+    """The warranty shipments of each order token: when the first left, and their parcels."""
+    kept = shipments.filter(F.contains("order_type", F.lit("WARRANTY")))
+    return shipments_by_token(kept).select(
+        "order_token", F.col("shipment_first_ship_date").alias("warranty_ship_date"),
+        F.col("shipment_tracking").alias("warranty_tracking"),
+    )
+
+
 def order_shipment(orders: DataFrame, shipments: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Delivery orders and shipments side by side; either may be missing.
 

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from quayline.operators import triage as T
 from quayline.plans import lookup as L, pipelines as P
+from quayline.suite import pipelines as C
 from quayline.suite.questions import BEST_SQL, ORDERS_SQL
 from quayline.suite.registry import AS_OF, case
-from quayline.suite.relational import LOOKUP_SQL, curated
+from quayline.suite.relational import LOOKUP_SQL, curated, tokens_sql
 
 
 def orders(t):
@@ -88,7 +89,9 @@ TRANSIT_SQL = """CASE WHEN shipping_method = 'GGRNDP' AND requested LIKE 'CA-%'
                      WHEN shipping_method = 'G2DAYP' THEN ' Normal transit for G2DAYP is 2 days.'
                      WHEN shipping_method = 'GNXDYP' THEN ' Normal transit for GNXDYP is 1 days.' ELSE '' END"""
 ASSESSMENT_SQL = f"""
-    CASE WHEN policy = 'manual_review' THEN 'This issue type (' || issue || ') requires manual review.'
+    CASE WHEN issue LIKE 'Return %' AND warranty_ship_date IS NOT NULL THEN 'A warranty shipment left on '
+              || {day_sql('warranty_ship_date')} || '. Tracking: ' || {text_sql('warranty_tracking')} || '.'
+         WHEN policy = 'manual_review' THEN 'This issue type (' || issue || ') requires manual review.'
          WHEN order_status IS NULL THEN 'Order not found in delivery tracking data.'
          WHEN issue = 'Missing Items' THEN
            CASE WHEN order_status = 'DELIVERED' AND shipment_count > 1 THEN 'Order was split across '
@@ -119,13 +122,25 @@ ASSESSMENT_SQL = f"""
     END"""
 
 
+RETURN_SQL = """CASE WHEN order_type = 'Return' AND issue = 'Damaged Order' THEN 'Return Not Delivered'
+           WHEN order_type = 'Return' AND issue = 'Address Change Request' THEN 'Return Delivered, But No Refund'
+           ELSE issue END"""
+WARRANTY_SQL = f"SELECT * FROM ({C.SHIPMENTS_SQL}) WHERE order_type LIKE '%WARRANTY%'"
+
+
 @case("triage_assessment", f"""{ORDERS_SQL}
     SELECT event_id, requested AS order_number, policy, order_status, {ASSESSMENT_SQL} AS assessment
     FROM (SELECT t.event_id, t.order_number AS requested, t.issue, {POLICY_SQL} AS policy,
-                 o.* EXCLUDE (order_number)
-          FROM tickets t LEFT JOIN o ON o.order_number = REPLACE(t.order_number, '-WR', ''))""")
+                 o.* EXCLUDE (order_number), w.shipment_first_ship_date AS warranty_ship_date,
+                 w.shipment_tracking AS warranty_tracking
+          FROM (SELECT * EXCLUDE (issue), {RETURN_SQL} AS issue FROM tickets) t
+          LEFT JOIN o ON o.order_number = REPLACE(t.order_number, '-WR', '')
+          LEFT JOIN ({tokens_sql(WARRANTY_SQL)}) w ON w.order_token = REPLACE(t.order_number, '-WR', ''))""")
 def triage_assessment(t):
-    assessed = T.triage_assessment(t.tickets, orders(t), AS_OF)
+    """Tickets about returns, also those that their order type alone tells, report warranty shipments."""
+    tickets = t.tickets.withColumn("issue", F.expr(RETURN_SQL))
+    warranty = L.warranty_shipments(P.shipments(t.outbound_lines, AS_OF))
+    assessed = T.triage_assessment(tickets, orders(t), AS_OF, warranty)
     return assessed.select("event_id", "order_number", "policy", "order_status", "assessment")
 
 
