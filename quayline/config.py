@@ -76,6 +76,8 @@ TRANSCRIPT_STOP_MARKERS = ["Showing only recent", "messages_requested"]
 MESSAGE_MAX_AGE = "2 hours"
 CHANNEL_QUOTA = 3
 MENTION_QUOTA = 2
+#: Seconds that a stream works with the channel settings it has read.
+SETTINGS_SECONDS = 300
 CHANNEL_DEFAULTS = {"escalation_cc": False, "disclaimer": False}
 ANSWER_ROW_CAP = 50
 HISTORY_ROWS = 20

@@ -7,8 +7,10 @@ a batch that runs again replaces its own rows.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -16,6 +18,8 @@ from quayline import config
 from quayline.functions import messages as M
 from quayline.operators import relational as R
 from quayline.plans.lookup import lookup_fallback, order_card
+from quayline.session import scratch_path
+from quayline.sources.tables import drop_folder
 from quayline.streaming.state import batch_folder, newest_before
 
 
@@ -281,13 +285,51 @@ def listener_writer(
     return write
 
 
+class Settings:
+    """Channel settings that a stream reads anew once `seconds` have passed; in between, its batches share them.
+
+    What is read is kept as a table in the shared folder, so every batch of the interval sees the same rows
+    whatever happens to their source. A read that fails or gives no rows changes nothing: the settings
+    before stay, and the next batch tries again. Only the first read passes its failure on.
+    """
+
+    def __init__(self, read: Callable[[SparkSession], DataFrame], seconds: float = config.SETTINGS_SECONDS,
+                 clock: Callable[[], float] = time.monotonic):
+        self.read, self.seconds, self.clock = read, seconds, clock
+        self.kept: str | None = None
+        self.schema: StructType | None = None
+        self.since = 0.0
+
+    def current(self, spark: SparkSession) -> DataFrame:
+        if self.kept is None or self.clock() - self.since >= self.seconds:
+            try:
+                self.renew(spark)
+            except PySparkException:
+                if self.kept is None:
+                    raise
+        return spark.read.schema(self.schema).parquet(self.kept)
+
+    def renew(self, spark: SparkSession) -> None:
+        path, now, gone = scratch_path(spark, "settings"), self.clock(), None
+        try:
+            found, gone = self.read(spark), path
+            found.write.parquet(path)
+            if self.kept is None or not spark.read.schema(found.schema).parquet(path).isEmpty():
+                gone, self.kept, self.schema, self.since = self.kept, path, found.schema, now
+        finally:
+            if gone:
+                drop_folder(spark, gone)
+
+
 def config_writer(
-    base: str, overrides: Callable[[SparkSession], DataFrame]
+    base: str, overrides: Callable[[SparkSession], DataFrame], seconds: float = config.SETTINGS_SECONDS,
+    clock: Callable[[], float] = time.monotonic,
 ) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch: join channel settings that are read anew each time."""
+    """Per micro-batch: join channel settings that are read anew once `seconds` have passed."""
+    settings = Settings(overrides, seconds, clock)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        with_channel_config(batch, overrides(batch.sparkSession)).write.mode("overwrite").parquet(
+        with_channel_config(batch, settings.current(batch.sparkSession)).write.mode("overwrite").parquet(
             batch_folder(base, batch_id)
         )
 

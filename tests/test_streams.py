@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -198,3 +199,42 @@ def test_a_mention_is_answered_from_its_thread_when_it_names_nothing(spark):
         3: ("data_question", None, "all_inbound", "mention", None), 4: ("smalltalk", None, None, "mention", None),
         5: ("data_question", None, None, None, None),
     }
+
+
+def test_settings_are_read_anew_after_their_interval(spark):
+    path, told, progress, out = (scratch_path(spark, n) for n in ("in", "settings", "progress", "out"))
+    seconds, reads = [0.0], []
+
+    def settings(session):
+        reads.append(seconds[0])
+        return session.read.schema("channel string, escalation_cc boolean, disclaimer boolean").parquet(told)
+
+    def tell(*rows):
+        spark.createDataFrame(rows, "channel string, escalation_cc boolean, disclaimer boolean").write.mode("overwrite").parquet(told)
+
+    write = B.config_writer(out, settings, clock=lambda: seconds[0])
+    on, off = ("C1", None, True), ("C1", None, False)
+    # The clock, what the settings say from then on, and what the batch sees.
+    steps = [(0, [on], True), (299, [off], True), (300, [off], False), (599, [on], False), (610, [], False), (611, [on], True)]
+    for number, (now, rows, _) in enumerate(steps):
+        tell(*rows)
+        seconds[0] = float(now)
+        post(spark, path, [number])
+        B.run_to_end(stream(spark, path), progress, write)
+    found = spark.read.parquet(out).orderBy("event_time").collect()
+    assert [r.disclaimer for r in found] == [seen for _, _, seen in steps]
+    assert reads == [0.0, 300.0, 610.0, 611.0]
+
+
+def test_settings_that_cannot_be_read_stay_as_they_were(spark):
+    seconds, fails = [0.0], [False]
+
+    def settings(session):
+        return session.table("no_such_settings") if fails[0] else session.range(1).selectExpr("'C1' AS channel", "id")
+
+    kept = B.Settings(settings, 300, lambda: seconds[0])
+    assert kept.current(spark).count() == 1
+    seconds[0], fails[0] = 400.0, True
+    assert kept.current(spark).first().channel == "C1"
+    with pytest.raises(Exception, match="no_such_settings"):
+        B.Settings(settings, 300, lambda: 0.0).current(spark)
