@@ -147,32 +147,32 @@ def identifier_route(identifier: Column) -> Column:
     )
 
 
-TOPIC_WORDS = {
-    "retail_order_lines": ["retail", "customer", "price", "revenue"],
-    "retail_order_exceptions": ["exception"],
-    "item_master": ["list price", "sku setup"],
-    "inventory_aging": ["aging", "excess", "obsolete"],
-    "inventory_eod": ["inventory", "on hand", "stock"],
-    "inbound_discrepancies": ["discrepanc"],
-    "all_inbound": ["inbound", "came in", "receipt", "arrived"],
-    "outbound_lines": ["units shipped", "serial", "warranty"],
-    "products": ["product family", "lifecycle", "active sku"],
-    "delivery_orders": ["order", "deliver", "shipped", "transit", "track", "warehouse"],
-}
-TOPIC_ORDER = [
-    "retail_order_exceptions", "item_master", "retail_order_lines", "inventory_aging",
-    "inbound_discrepancies", "all_inbound", "inventory_eod", "outbound_lines", "products",
-    "delivery_orders",
+# Customers whose name makes a question one about retail orders.
+RETAIL_CUSTOMERS = ["amazon", "walmart", "best buy"]
+# Tables with the words that lead to them; the first that a text holds wins. Orders counted by facility come
+# from the order roll-up, whatever else is named; a customer's prices, orders and shipments from retail lines;
+# prices and setup of a SKU from the item master; shipped volumes of a SKU from the shipment lines.
+TOPIC_RULES = [
+    ("delivery_orders", ["facility shipped", "facilities shipped", "orders per facility", "orders by facility"]),
+    ("retail_order_exceptions", ["exception"]),
+    ("retail_order_lines", RETAIL_CUSTOMERS),
+    ("item_master", ["list price", "sku price", "sku setup"]),
+    ("retail_order_lines", ["retail", "customer", "price", "revenue"]),
+    ("inventory_aging", ["aging", "excess", "obsolete"]),
+    ("inbound_discrepancies", ["discrepanc"]),
+    ("all_inbound", ["inbound", "came in", "receipt", "arrived"]),
+    ("inventory_eod", ["inventory", "on hand", "stock"]),
+    ("outbound_lines", ["units shipped", "shipment volume", "shipped volume", "serial", "warranty"]),
+    ("products", ["product family", "lifecycle", "active sku"]),
+    ("delivery_orders", ["order", "deliver", "shipped", "transit", "track", "warehouse"]),
 ]
 
 
 def topic_route(text: Column) -> Column:
     """The table that answers a question, by its topic words; null when none is named."""
-    named = [
-        F.when(text.rlike(f"(?i){'|'.join(TOPIC_WORDS[table])}"), F.lit(table))
-        for table in TOPIC_ORDER
-    ]
-    return F.coalesce(*named)
+    return F.coalesce(*[
+        F.when(text.rlike(f"(?i){'|'.join(words)}"), F.lit(table)) for table, words in TOPIC_RULES
+    ])
 
 
 def transcript_messages(dump: Column) -> Column:

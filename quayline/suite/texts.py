@@ -154,7 +154,7 @@ def retail_lookup(t):
 def topic_sql(body: str) -> str:
     low = f"LOWER({body})"
     branches = " ".join(
-        f"WHEN {contains_any(low, M.TOPIC_WORDS[table])} THEN '{table}'" for table in M.TOPIC_ORDER
+        f"WHEN {contains_any(low, words)} THEN '{table}'" for table, words in M.TOPIC_RULES
     )
     return f"CASE {branches} END"
 

@@ -124,3 +124,26 @@ def test_ticket_fields(spark):
     row = spark.createDataFrame([(body,)], "t string").select(*M.ticket_fields(F.col("t"))).first()
     assert (row.order_number, row.issue, row.details, row.team) == ("US-1", "Late Delivery", None, "A *B*")
     assert row.sender is None
+
+
+TOPICS = {
+    "Which facility shipped the most units last week?": "delivery_orders",
+    "orders by facility for Walmart": "delivery_orders",
+    "What did Best Buy pay for this item": "retail_order_lines",
+    "amazon shipments and list price": "retail_order_lines",
+    "the SKU price of item 12": "item_master",
+    "price for a customer": "retail_order_lines",
+    "Walmart exceptions this week": "retail_order_exceptions",
+    "shipment volume of a SKU": "outbound_lines",
+    "units shipped of a SKU": "outbound_lines",
+    "which facility has the most inventory": "inventory_eod",
+    "where is my order": "delivery_orders",
+    "good morning": None,
+    "": None,
+}
+
+
+def test_topics_follow_the_routing_rules(spark):
+    rows = spark.createDataFrame([(text,) for text in [*TOPICS, None]], "body string")
+    found = {r.body: r.route for r in rows.select("body", M.topic_route(F.col("body")).alias("route")).collect()}
+    assert found == TOPICS | {None: None}
