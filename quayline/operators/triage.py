@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quayline import config
 from quayline.functions import messages as M, scalars as S
@@ -290,5 +290,5 @@ def duplicate_tickets(tickets: DataFrame) -> DataFrame:
 def mix(df: DataFrame, *keys: str) -> DataFrame:
     """Count and share of all rows for each key; the total adds up the counts, one row a key."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("tickets"))
-    total = F.sum("tickets").over(Window.partitionBy(F.lit(1)))
+    total = counted.agg(F.sum("tickets")).scalar()
     return counted.withColumn("share_pct", S.share_percent(F.col("tickets"), total))

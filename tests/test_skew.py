@@ -88,3 +88,14 @@ def test_mention_forms(feeds):
 def test_alias_table(spark):
     rows = R.alias_table(spark, {"x": ["a", "b"], "y": ["b"]}).collect()
     assert sorted(map(tuple, rows)) == [("x", "a"), ("x", "b"), ("y", "b")]
+
+
+def test_shares_of_many_keys_need_no_single_task(spark):
+    from quayline.operators import triage
+
+    rows = spark.range(4000).selectExpr("if(id % 3 = 0, -1, id) AS key", "if(id = 1, NULL, 'x') AS kind")
+    mix = triage.mix(rows, "key", "kind")
+    assert "Window" not in mix._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r.key, r.kind): (r.tickets, float(r.share_pct)) for r in mix.collect()}
+    assert found[(-1, "x")] == (1334, 33.4) and found[(1, None)][0] == 1 and len(found) == 2667
+    assert triage.mix(rows.limit(0), "key").collect() == []
