@@ -147,26 +147,20 @@ DELIVERY_ATTRIBUTES = [
 
 
 def folded(
-    lines: DataFrame, keys: list[str], sets: dict[str, str], line: dict[str, Column],
-    parcel: dict[str, Column], only: DataFrame | None = None,
+    lines: DataFrame, keys: list[str], sets: dict[str, str], values: dict[str, Column],
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """Fold lines to their keys: sets of values (`sets`), the parcels, and further aggregates.
+    """Fold lines to their keys: sets of values (`sets`), the tracking numbers, and further aggregates.
 
-    All keys take the same two steps, to parcels (one per tracking number) and then to the order,
-    both combined before their shuffle: an order with very many lines spreads over many tasks, and
-    each tracking number is left once. `line` aggregates lines; `parcel` aggregates the results of
-    `line`. `only` holds the keys to keep; lines of others go before anything is grouped.
+    All keys take the same one step, combined before its shuffle: an order leaves each task as one row,
+    so one with very many lines spreads over many tasks, and each value of it leaves a task once.
+    `only` holds the keys to keep; lines of others go before anything is grouped.
     """
     if only is not None:
         lines = lines.join(only, keys[0], "left_semi")
-    parcels = lines.groupBy(*keys, "tracking_number").agg(
-        *[value.alias(name) for name, value in line.items()],
-        *[F.collect_set(source).alias(name) for name, source in sets.items()],
-    )
-    return parcels.groupBy(*keys).agg(
-        *[value.alias(name) for name, value in parcel.items()],
-        *[R.merged_set(name).alias(name) for name in sets],
-        F.collect_list("tracking_number").alias("tracking"),
+    return lines.groupBy(*keys).agg(
+        *[value.alias(name) for name, value in values.items()],
+        *[F.collect_set(source).alias(name) for name, source in (sets | {"tracking": "tracking_number"}).items()],
     )
 
 
@@ -194,17 +188,6 @@ def delivery_orders(lines: DataFrame, only: DataFrame | None = None) -> DataFram
             "all_delivered": F.bool_and(delivered),
             "any_delivered": F.bool_or(delivered),
         },
-        attributes | {
-            "ordered": F.min("ordered"),
-            "sent": F.min("sent"),
-            "first_shipped": F.min("first_shipped"),
-            "last_shipped": F.max("last_shipped"),
-            "first_delivered": F.min("first_delivered"),
-            "last_delivered": F.max("last_delivered"),
-            "total_items": F.sum("total_items"),
-            "all_delivered": F.bool_and("all_delivered"),
-            "any_delivered": F.bool_or("any_delivered"),
-        },
         only,
     )
     status = order_status(
@@ -258,13 +241,6 @@ def shipments(lines: DataFrame, as_of: date, years: int = 2) -> DataFrame:
             "total_packages": F.sum("number_packages"),
             "cost": F.sum("std_cost"),
         },
-        attributes | {
-            "first_ship_date": F.min("first_ship_date"),
-            "last_ship_date": F.max("last_ship_date"),
-            "total_items": F.sum("total_items"),
-            "total_packages": F.sum("total_packages"),
-            "cost": F.sum("cost").cast("decimal(28,2)"),
-        },
     )
     return orders.select(
         "order_token",
