@@ -62,6 +62,27 @@ def with_previous(
     )
 
 
+#: Words of 64 bits that a filter of keys has at most: 4 MB of bits, some 16 MB as a broadcast table.
+FILTER_WORDS = 1 << 19
+
+
+def among(df: DataFrame, column: str, keys: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """The rows whose value is among the keys, for keys that may be too many to broadcast.
+
+    A bitmap of the keys' hashes, of a bounded size, goes to every task and drops most other rows before
+    they are shuffled; the join by the keys themselves then decides. That join is an inner one with each
+    key once: Spark would put a semi join below the bitmap's.
+    """
+    kind = df.schema[column].dataType
+    place = F.pmod(F.xxhash64(F.col(column).cast(kind)), F.lit(64 * words))
+    word, bit = F.shiftright("_place", 6), F.col("_place").bitwiseAND(63).cast("int")
+    own = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = keys.select(place.alias("_place")).groupBy(word.alias("_word")).agg(F.bit_or(own).alias("_bits"))
+    likely = df.withColumn("_place", place).join(F.broadcast(bits), word == F.col("_word"))
+    each = keys.select(F.col(column).cast(kind).alias("_key")).distinct()
+    return likely.filter(F.getbit("_bits", bit) == 1).join(each, F.col(column) == F.col("_key")).select(*df.columns)
+
+
 def optional_equals(df: DataFrame, column: str, value) -> DataFrame:
     """Filter only when a value is given."""
     return df if value is None else df.filter(F.col(column) == F.lit(value))

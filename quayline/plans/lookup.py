@@ -65,6 +65,42 @@ def candidate_numbers(requests: DataFrame, column: str = "order_number") -> Data
     return wanted.select("requested", F.posexplode(tries).alias("preference", "order_number"))
 
 
+def curated_hits(candidates: DataFrame, orders: DataFrame, shipments: DataFrame) -> DataFrame:
+    """The candidates that a curated table holds, with both sides' columns; one partitioning, by order number."""
+    keys = candidates.select("order_number").distinct()
+    tokens = shipments_by_token(
+        shipments.join(keys.withColumnRenamed("order_number", "order_token"), "order_token", "left_semi")
+    )
+    known = orders.join(keys, "order_number", "left_semi").withColumn("_known", F.lit(True))
+    joined = candidates.join(known, "order_number", "left").join(
+        tokens, F.col("order_number") == F.col("order_token"), "left"
+    )
+    side = F.when(F.col("order_token").isNull(), "delivery").when(F.col("_known").isNull(), "shipment").otherwise("both")
+    return (
+        joined.filter(F.col("_known").isNotNull() | F.col("order_token").isNotNull())
+        .withColumns({"found_in": side, "source": F.lit("curated")})
+        .drop("order_token", "_known")
+    )
+
+
+def curated_candidates(candidates: DataFrame, orders: DataFrame, shipments: DataFrame) -> DataFrame:
+    """The candidates that a curated table holds; the tables' keys alone tell."""
+    keys = candidates.select("order_number").distinct()
+    numbers = orders.select("order_number").join(keys, "order_number", "left_semi").unionByName(
+        shipments.select(F.col("order_token").alias("order_number")).join(keys, "order_number", "left_semi")
+    )
+    return candidates.join(numbers, "order_number", "left_semi")
+
+
+def recovered(candidates: DataFrame, known: DataFrame, lines: DataFrame) -> DataFrame:
+    """Source lines, rolled up whole, of the requests that are not in `known`."""
+    wanted = candidates.join(known.select("requested"), "requested", "left_anti")
+    return (
+        wanted.join(delivery_orders(lines, only=wanted), "order_number")
+        .withColumns({"found_in": F.lit("delivery"), "source": F.lit("lines")})
+    )
+
+
 def lookup_fallback(
     requests: DataFrame, orders: DataFrame, shipments: DataFrame, lines: DataFrame
 ) -> DataFrame:
@@ -74,30 +110,26 @@ def lookup_fallback(
     are known takes the keys of the curated tables alone.
     """
     candidates = candidate_numbers(requests)
-    hits = (
-        candidates.join(order_shipment(orders, shipments, candidates), "order_number")
-        .withColumn("source", F.lit("curated"))
-    )
-    keys = candidates.select("order_number").distinct()
-    known_numbers = orders.select("order_number").join(keys, "order_number", "left_semi").unionByName(
-        shipments.select(F.col("order_token").alias("order_number")).join(keys, "order_number", "left_semi")
-    )
-    known = candidates.join(known_numbers, "order_number", "left_semi").select("requested")
-    open_candidates = candidates.join(known, "requested", "left_anti")
-    recovered = (
-        open_candidates.join(delivery_orders(lines, only=open_candidates), "order_number")
-        .withColumn("found_in", F.lit("delivery"))
-        .withColumn("source", F.lit("lines"))
-    )
-    return hits.unionByName(recovered, allowMissingColumns=True)
+    known = curated_candidates(candidates, orders, shipments)
+    hits = curated_hits(candidates, orders, shipments)
+    return hits.unionByName(recovered(candidates, known, lines), allowMissingColumns=True)
 
 
 def order_lookup(
     requests: DataFrame, orders: DataFrame, shipments: DataFrame, lines: DataFrame
 ) -> DataFrame:
-    """The best hit of every requested order that is known anywhere."""
-    hits = lookup_fallback(requests, orders, shipments, lines)
-    return R.newest_per_key(hits, ["requested"], [F.asc("preference")]).drop("preference")
+    """The best hit of every requested order that is known anywhere.
+
+    Which candidate of a request is the best one shows from keys alone, before rows are joined to it.
+    """
+    candidates = candidate_numbers(requests)
+    known = curated_candidates(candidates, orders, shipments)
+    best = [F.asc("preference")]
+    hits = curated_hits(R.newest_per_key(known, ["requested"], best), orders, shipments)
+    # One row of a number that a table holds twice; the rows are dealt by order number already.
+    hits = R.newest_per_key(hits, ["order_number", "requested"], best)
+    rest = R.newest_per_key(recovered(candidates, known, lines), ["requested"], best)
+    return hits.unionByName(rest, allowMissingColumns=True).drop("preference")
 
 
 def collapse_lines(lines: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def folded(
     `only` holds the keys to keep; lines of others go before anything is grouped.
     """
     if only is not None:
-        lines = lines.join(only, keys[0], "left_semi")
+        lines = R.among(lines, keys[0], only)
     return lines.groupBy(*keys).agg(
         *[value.alias(name) for name, value in values.items()],
         *[F.collect_set(source).alias(name) for name, source in (sets | {"tracking": "tracking_number"}).items()],
