@@ -32,6 +32,8 @@ ERROR = "page_error"
 TASK_BYTES = 64 << 20
 #: Bytes that one document of a page may have; a larger one makes the page a torn one.
 DOCUMENT_BYTES = 256 << 20
+#: Bytes of a page that are parsed at once, more only where a document has more.
+BLOCK_BYTES = 1 << 20
 
 
 class TornPage(ValueError):
@@ -110,18 +112,27 @@ def page_rows(system: pafs.FileSystem, name: str, size: int, schema: pa.Schema)
     document = pa.schema([("data", pa.list_(row)), ("row_count", pa.int64()), ("error", pa.string())])
     if not size:
         raise TornPage(f"{name}: empty file")
-    try:
-        with system.open_input_stream(name) as stream:
-            documents = pj.open_json(
-                stream,
-                read_options=pj.ReadOptions(use_threads=False, block_size=min(size + 1, DOCUMENT_BYTES)),
-                parse_options=pj.ParseOptions(
-                    explicit_schema=document, newlines_in_values=True, unexpected_field_behavior="ignore"),
-            )
-            for found in documents:
-                yield from document_rows(found, name, schema)
-    except pa.ArrowInvalid as fault:
-        raise TornPage(f"{name}: {fault}") from fault
+    most, block, given = min(size + 1, DOCUMENT_BYTES), min(size + 1, BLOCK_BYTES), 0
+    while True:
+        try:
+            with system.open_input_stream(name) as stream:
+                passed = 0
+                for found in pj.open_json(
+                    stream,
+                    read_options=pj.ReadOptions(use_threads=False, block_size=block),
+                    parse_options=pj.ParseOptions(
+                        explicit_schema=document, newlines_in_values=True, unexpected_field_behavior="ignore"),
+                ):
+                    again = min(max(given - passed, 0), found.num_rows)
+                    passed += found.num_rows
+                    if again < found.num_rows:
+                        yield from document_rows(found.slice(again), name, schema)
+                        given = passed
+            return
+        except pa.ArrowInvalid as fault:
+            if block == most:
+                raise TornPage(f"{name}: {fault}") from fault
+            block = min(block * 8, most)  # a document may be longer than the block; those given are passed over
 
 
 def zoned(kind: pa.DataType) -> bool:

@@ -2,7 +2,10 @@
 
 import json
 from datetime import datetime
+from unittest.mock import patch
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 import pytest
 
 from quayline.sources import pages
@@ -87,3 +90,26 @@ def test_a_torn_page_fails_by_name_or_is_kept_as_a_row(spark, folder, fault):
 def test_keep_needs_the_column(spark, folder):
     with pytest.raises(Exception, match="page_error"):
         load(spark, folder, torn="keep").collect()
+
+
+def test_a_page_is_parsed_in_blocks_and_a_long_document_in_a_longer_one(tmp_path):
+    held = [3] * 20 + [400] + [0] + [3] * 20
+    numbers = iter(range(1000))
+    documents = [{"data": [{"id": next(numbers), "name": "a\nb"} for _ in range(n)], "row_count": n} for n in held]
+    page = tmp_path / "page.json"
+    page.write_text("\n".join(json.dumps(d) for d in documents) + "\n")
+    size, schema = page.stat().st_size, pa.schema([("id", pa.int64()), ("name", pa.string())])
+    found = {}
+    for block in (300, 2000, size + 1):
+        with patch.object(pages, "BLOCK_BYTES", block):
+            batches = list(pages.page_rows(pafs.LocalFileSystem(), str(page), size, schema))
+        found[block] = [row["id"] for batch in batches for row in batch.to_pylist()]
+        assert block > size or len(batches) > 2
+    assert set(map(tuple, found.values())) == {tuple(range(sum(held)))}
+
+
+def test_a_torn_document_after_whole_ones_names_its_page(tmp_path):
+    page = tmp_path / "page.json"
+    page.write_text('{"data": [{"id": 1}]}\n' * 100 + '{"data": [{"id": 2}')
+    with patch.object(pages, "BLOCK_BYTES", 200), pytest.raises(pages.TornPage, match="page.json"):
+        list(pages.page_rows(pafs.LocalFileSystem(), str(page), page.stat().st_size, pa.schema([("id", pa.int64())])))
