@@ -79,7 +79,8 @@ def read_receipts_csv(spark: SparkSession, path: str, line_breaks: bool = False)
         F.min_by(F.transform("_cells", lambda c: F.replace(c, F.lit("\ufeff"), F.lit(""))), "sequence").alias("_header"),
         F.min("sequence").alias("_top"),
     )
-    named = rows.join(first, "_file").filter(F.col("sequence") > F.col("_top"))
+    # One row a file goes to every task; the rows of the files stay where they are read.
+    named = rows.join(F.broadcast(first), "_file").filter(F.col("sequence") > F.col("_top"))
     columns = []
     for name in config.RECEIPT_COLUMNS:
         places = [
