@@ -295,20 +295,23 @@ def upsert(
     """Insert or overwrite rows of a parquet table partitioned by `partition`, a key column.
 
     Only the touched partitions are read and rewritten; a very large one is split over several
-    tasks and files. The merged rows go to the shared folder first, so a lost executor or a failed
-    merge leaves the table as it was.
+    tasks and files. Rows that are merged with a table's go to the shared folder first, so a lost
+    executor or a failed merge leaves the table as it was.
     """
     existing = read_if_exists(spark, target)
     fresh = batch.drop(sequence).limit(0)
     base = fresh if existing is None else existing.select(*fresh.columns)
-    touched = batch.select(partition).distinct()
+    # The touched partitions go to every task; the table's rows stay where they are read.
+    touched = F.broadcast(batch.select(partition).distinct())
     merged = merged_rows(base.join(touched, partition, "left_semi"), batch, keys, sequence)
     staging = scratch_path(spark, "upsert")
     changes = ("inserted", "updated", "unchanged")
     counted = Observation()
     counts = [F.count_if(F.col("_change") == change).alias(change) for change in changes]
-    merged.observe(counted, *counts).write.mode("overwrite").parquet(staging)
-    staged = spark.read.schema(merged.schema).parquet(staging)
+    staged = merged.observe(counted, *counts)
+    if existing is not None:
+        staged.write.parquet(staging)
+        staged = spark.read.schema(merged.schema).parquet(staging)
     (
         staged.drop("_change")
         .hint("rebalance", partition)
