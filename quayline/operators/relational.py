@@ -62,25 +62,38 @@ def with_previous(
     )
 
 
-#: Words of 64 bits that a filter of keys has at most: 4 MB of bits, some 16 MB as a broadcast table.
-FILTER_WORDS = 1 << 19
+#: Words of 64 bits that a filter of keys has at most, 4 MB of bits, and words in each of its chunks.
+FILTER_WORDS, FILTER_CHUNK = 1 << 19, 1 << 9
 
 
 def among(df: DataFrame, column: str, keys: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     """The rows whose value is among the keys, for keys that may be too many to broadcast.
 
-    A bitmap of the keys' hashes, of a bounded size, goes to every task and drops most other rows before
-    they are shuffled; the join by the keys themselves then decides. That join is an inner one with each
-    key once: Spark would put a semi join below the bitmap's.
+    A bitmap of the keys' hashes, of a bounded size, goes to every task and drops most other rows; the join
+    by the keys themselves then decides. The bitmap is a scalar subquery, so that its filter moves to where
+    the column is read, below the joins that `df` is made of: other rows are not shuffled for those either.
+    Chunks without a key are null. The join is an inner one with each key once: Spark would put a semi join
+    below the others too.
     """
     kind = df.schema[column].dataType
     place = F.pmod(F.xxhash64(F.col(column).cast(kind)), F.lit(64 * words))
-    word, bit = F.shiftright("_place", 6), F.col("_place").bitwiseAND(63).cast("int")
-    own = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    word = F.shiftright("_place", 6).cast("int")
+    own = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_place").bitwiseAND(63).cast("int"))
     bits = keys.select(place.alias("_place")).groupBy(word.alias("_word")).agg(F.bit_or(own).alias("_bits"))
-    likely = df.withColumn("_place", place).join(F.broadcast(bits), word == F.col("_word"))
+    chunk = lambda word: F.floor(word / F.lit(FILTER_CHUNK)).cast("int")
+    inside = lambda word: F.pmod(word, F.lit(FILTER_CHUNK))
+    known = F.map_from_entries(F.collect_list(F.struct(inside(F.col("_word")), F.col("_bits"))))
+    filled = F.transform(
+        F.sequence(F.lit(0), F.lit(FILTER_CHUNK - 1)), lambda n: F.coalesce(F.element_at("_known", n), F.lit(0).cast("long"))
+    )
+    chunks = bits.groupBy(chunk(F.col("_word")).alias("_chunk")).agg(known.alias("_known")).select("_chunk", filled.alias("_words"))
+    every = df.sparkSession.range(-(-words // FILTER_CHUNK)).join(F.broadcast(chunks), F.col("id") == F.col("_chunk"), "left")
+    bitmap = every.agg(F.array_sort(F.collect_list(F.struct("id", "_words"))).getField("_words").alias("_bitmap")).scalar()
+    mine = F.shiftright(place, 6).cast("int")
+    found = F.get(F.get(bitmap, chunk(mine)), inside(mine))
+    likely = df.filter(F.getbit(found, place.bitwiseAND(63).cast("int")) == 1)
     each = keys.select(F.col(column).cast(kind).alias("_key")).distinct()
-    return likely.filter(F.getbit("_bits", bit) == 1).join(each, F.col(column) == F.col("_key")).select(*df.columns)
+    return likely.join(each, F.col(column) == F.col("_key")).select(*df.columns)
 
 
 def optional_equals(df: DataFrame, column: str, value) -> DataFrame:
