@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Unicode's white space: no word of either tokenizer's text pattern goes on beyond it, but for a
 #: single blank before a word of the byte tokenizer.
@@ -23,6 +24,8 @@ LATIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?*
 #: Any word as letters and marks: tokens never reach from the one part into the other.
 PARTS = re.compile(r"(\n?)( ?[^\W\d_]+)([.,;:!?*%#$&|()\"/<>=+\-]*)")
 LONG, JOINED = 64, 400
+#: Words whose ids are dealt out at a time.
+DEALT = 1 << 18
 #: Words of one of the memo's generations: about 200 bytes each, in every Python worker.
 MEMO = 150_000
 
@@ -52,18 +55,75 @@ class Encoder:
 
     def many(self, raws: Iterable[bytes]) -> list[bytes]:
         """The ids of each text's UTF-8 bytes."""
-        cut = [self.cut(raw) for raw in raws]
+        raws = list(raws)
+        if not self.blanks:
+            return self.listed([self.cut(raw) for raw in raws])
+        # Texts whose words stand between single blanks take one pass over all their words.
+        plain = [at for at, raw in enumerate(raws) if raw and not uneven(raw)]
+        out = [b""] * len(raws)
+        for at, ids in zip(plain, self.between_blanks([raws[at] for at in plain])):
+            out[at] = ids
+        rest = [at for at, raw in enumerate(raws) if raw and not out[at]]
+        for at, ids in zip(rest, self.listed([self.cut(raws[at]) for at in rest])):
+            out[at] = ids
+        return out
+
+    def listed(self, cut: list[list[bytes]]) -> list[bytes]:
+        """The ids of texts that are lists of words."""
+        keys = list(set().union(*cut))
+        found = dict(zip(keys, self.known(keys)))
+        return [b"".join(map(found.__getitem__, words)) for words in cut]
+
+    def between_blanks(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of texts in which single blanks and line ends alone part words.
+
+        Arrow numbers the distinct words, so that each is looked up once, and their ids are dealt out by number.
+        """
+        if not raws:
+            return []
+        # A word stands for itself with a blank before it, unless a line or the text starts with it.
+        marked = [b"\r" + raw.replace(b"\n", b" \n") + b" " for raw in raws]
+        text = b"".join(marked)
+        ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1
+        edges = np.concatenate([[0], ends]).astype("<i8")
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(ends), [None, pa.py_buffer(edges), pa.py_buffer(text)]
+        ).dictionary_encode()
+        distinct = words.dictionary
+        raw, at = distinct.buffers()[2].to_pybytes(), np.frombuffer(distinct.buffers()[1], "<i8")[:len(distinct) + 1].tolist()
+        found = pa.array(self.known([raw[a:b - 1] for a, b in zip(at, at[1:])]), pa.large_binary())
+        ids = np.frombuffer(found.buffers()[2] or b"", "<u4")
+        size = np.diff(np.frombuffer(found.buffers()[1], "<i8")[:len(found) + 1]) // 4
+        first, number = np.cumsum(size) - size, words.indices.to_numpy()
+        parts = []
+        for at in range(0, len(number), DEALT):
+            some = number[at:at + DEALT]
+            n = size[some]
+            upto = np.cumsum(n)
+            parts.append(ids[np.repeat(first[some] - upto + n, n) + np.arange(upto[-1])].tobytes())
+        whole = b"".join(parts)
+        # A text ends with the word whose blank is its last byte.
+        last = np.searchsorted(ends, np.cumsum([len(raw) for raw in marked]))
+        upto = (4 * np.cumsum(size[number]))[last].tolist()
+        return [whole[a:b] for a, b in zip([0, *upto], upto)]
+
+    def known(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, which are added to the memo."""
         if len(self.words) > self.memo:
             self.words, self.earlier = {}, self.words
-        fresh = set().union(*cut).difference(self.words)
-        if fresh:
-            again = {key: self.earlier[key] for key in fresh if key in self.earlier}
-            self.words.update(again)
-            self.resolve(fresh.difference(again) if again else fresh)
-        get = self.words.__getitem__
-        out = [b"".join(map(get, keys)) for keys in cut]
-        for key in [key for key in fresh if len(key) > LONG]:
-            del self.words[key]
+        words, earlier = self.words, self.earlier
+        out = list(map(words.get, keys))
+        fresh = [at for at, ids in enumerate(out) if ids is None]
+        wanted = [keys[at] for at in fresh]
+        if earlier:
+            words.update((key, earlier[key]) for key in wanted if key in earlier)
+            wanted = [key for key in wanted if key not in earlier]
+        self.resolve(wanted)
+        for at in fresh:
+            key = keys[at]
+            out[at] = words[key]
+            if len(key) > LONG:  # very long words don't stay
+                del words[key]
         return out
 
     def cut(self, raw: bytes) -> list[bytes]:
@@ -83,26 +143,35 @@ class Encoder:
             return key.decode()
         return key[1:].decode() if key[:1] == b"\r" else " " + key.decode()
 
-    def resolve(self, keys: set[bytes]) -> None:
+    def resolve(self, keys: list[bytes]) -> None:
         """Add the ids of words that are not in the memo."""
         if len(self.parts) > self.memo:
             self.parts = {}
-        known, latin = self.parts, LATIN.fullmatch
+        words, known, latin = self.words, self.parts, LATIN.fullmatch
         # Most words are Latin letters, perhaps with marks.
-        cut = {key: (key, b"") if key.isalpha() else match.groups() for key in keys if key.isalpha() or (match := latin(key))}
-        fresh = {word for word, _ in cut.values()}.difference(known)
-        self.joined([word.decode() for word in fresh], known, " " if self.blanks else "")
-        marks = {mark: known.get(b" " + mark) or self.alone(mark.decode()) for mark in {mark for _, mark in cut.values()} if mark}
+        bare = [key for key in keys if key.isalpha()]
+        cut, others = [], []
+        for key in keys:
+            if not key.isalpha():
+                if match := latin(key):
+                    cut.append((key, *match.groups()))
+                else:
+                    others.append(key)
+        fresh = {word for _, word, _ in cut}.union(bare).difference(known)
+        self.joined(list(fresh), known, " " if self.blanks else "")
+        marks = {mark: known.get(b" " + mark) or self.alone(mark.decode()) for mark in {mark for _, _, mark in cut} if mark}
         known.update((b" " + mark, ids) for mark, ids in marks.items())
         marks[b""] = b""
-        self.words.update({key: known[word] + marks[mark] for key, (word, mark) in cut.items()})
-        others = {key: self.split(self.text(key)) for key in keys if key not in cut}
-        wanted = {part for parts in others.values() for part in parts}
+        words.update(zip(bare, map(known.__getitem__, bare)))
+        for key, word, mark in cut:
+            words[key] = known[word] + marks[mark]
+        split = {key: self.split(self.text(key)) for key in others}
+        wanted = {part for parts in split.values() for part in parts}
         found: dict[bytes, bytes] = {}
-        starts = [part for part in wanted if part.isalpha() and latin(part.encode())]
+        starts = [raw for part in wanted if part.isalpha() and latin(raw := part.encode())]
         self.joined(starts, found, "")
         ids = {part: found.get(part.encode()) or self.alone(part) for part in wanted}
-        self.words.update({key: b"".join([ids[part] for part in parts]) for key, parts in others.items()})
+        words.update((key, b"".join([ids[part] for part in parts])) for key, parts in split.items())
 
     def split(self, word: str) -> list[str]:
         match = PARTS.fullmatch(word)
@@ -111,31 +180,35 @@ class Encoder:
     def alone(self, part: str) -> bytes:
         return np.array(self.ids(part), "<u4").tobytes()
 
-    def joined(self, words: list[str], found: dict[bytes, bytes], lead: str) -> None:
+    def joined(self, words: list[bytes], found: dict[bytes, bytes], lead: str) -> None:
         """Add the ids of words of Latin letters to `found`, each as if `lead` stood before it."""
         for at in range(0, len(words), JOINED):
             some = words[at:at + JOINED]
-            self.told_apart(some, lead, found)
-            for word in some:
-                if word.encode() not in found:
-                    found[word.encode()] = self.alone(lead + word)
+            if not self.told_apart(some, lead, found):
+                for word in some:
+                    found[word] = self.alone(lead + word.decode())
 
-    def told_apart(self, some: list[str], lead: str, found: dict[bytes, bytes]) -> None:
-        """Encode words together: between them stands a token of their own, or a mark on their first or last."""
+    def told_apart(self, some: list[bytes], lead: str, found: dict[bytes, bytes]) -> bool:
+        """Encode words together: between them stands a token of their own, or a mark on their first or last.
+
+        False, and nothing added, if the tokens don't tell all words apart.
+        """
         between = lead or ("\n" if self.blanks else " ")
-        ids = np.array(self.ids(lead + between.join(some)), "<u4")
+        ids = np.array(self.ids(lead + between.encode().join(some).decode()), "<u4")
         if between == "\n":
             edges = np.flatnonzero(ids == self.line[0])
-            starts, ends = [0, *(edges + 1).tolist()], [*edges.tolist(), len(ids)]
+            starts, ends = np.append(0, edges + 1), np.append(edges, len(ids))
         elif lead:
-            starts = np.flatnonzero(self.edge[ids]).tolist()
-            ends = [*starts[1:], len(ids)]
+            starts = np.flatnonzero(self.edge[ids])
+            ends = np.append(starts[1:], len(ids))
         else:
-            ends = (np.flatnonzero(self.edge[ids]) + 1).tolist()
-            starts = [0, *ends[:-1]]
-        if len(starts) == len(some):  # else each is encoded alone
-            raw = ids.tobytes()
-            found.update({word.encode(): raw[4 * a:4 * b] for word, a, b in zip(some, starts, ends)})
+            ends = np.flatnonzero(self.edge[ids]) + 1
+            starts = np.append(0, ends[:-1])
+        if len(starts) != len(some):
+            return False
+        raw = ids.tobytes()
+        found.update(zip(some, [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]))
+        return True
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids

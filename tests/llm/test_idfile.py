@@ -58,3 +58,23 @@ def test_empty(spark):
     path = scratch_path(spark, "ids")
     idfile.write_ids(spark.createDataFrame([], DOCS), path, tokens.vocabulary("byte_bpe_50k.json"))
     assert told(idfile.read_ids(spark, path)) == []
+
+
+def test_a_word_is_looked_up_once_in_a_batch():
+    class Memo(dict):
+        reads = 0
+
+        def __getitem__(self, key):
+            self.reads += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            self.reads += 1
+            return super().get(key, default)
+
+    encoder = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"), True)
+    encoder.words = Memo()
+    texts = ["one two\nthree " * 2000, "two one, " * 2000 + "é", "", "one"]
+    want = [np.array(encoder.ids(t), "<u4").tobytes() for t in texts]
+    assert encoder.many(t.encode() for t in texts) == want
+    assert encoder.words.reads < 50
