@@ -153,6 +153,47 @@ def clustered_for_write(df: DataFrame, *order: Column | str) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+#: One of how many rows gives its keys for the bounds of a layout, and how many such keys a file stands for.
+LAYOUT_SHARE, LAYOUT_KEYS = 2000, 100
+
+
+def with_range(df: DataFrame, key: Column, bounds: Column, ranges: int) -> DataFrame:
+    """Add `_range`, how many of the sorted bounds a row's key reaches, below `ranges`; found by halving."""
+    out = df.withColumns({"_bounds": bounds, "_range": F.lit(0)})
+    # A column for each step: as one expression it would double with every step.
+    for step in (1 << n for n in reversed(range((ranges - 1).bit_length()))):
+        reached = F.get("_bounds", F.col("_range") + (step - 1)) <= key  # null past the last bound
+        out = out.withColumn("_range", F.col("_range") + F.coalesce(reached.cast("int"), F.lit(0)) * step)
+    return out.drop("_bounds")
+
+
+def laid_out(df: DataFrame, keys: list[str], sample: str) -> DataFrame:
+    """The layout of `clustered_for_write` for rows that are costly to make: they are made once.
+
+    Spark's range partitioning makes every row with all its columns once before, to sample the keys. Here the
+    bounds come from a sample of the key columns by themselves, so Spark leaves out what only the other
+    columns need. The sample shapes the layout and nothing else. It is written to the folder `sample`, which
+    has to stay until the rows are written.
+    """
+    key = F.struct(*[F.col(name).alias(f"_{n}") for n, name in enumerate(keys)])
+    df.select(key.alias("_key")).sample(1 / LAYOUT_SHARE, seed=1).write.parquet(sample)
+    spark = df.sparkSession
+    sampled = spark.read.schema(df.select(key.alias("_key")).schema).parquet(sample)
+    found = sampled.count()
+    # Files of about the same number of rows; a small table has at least a file for each core, if not too small.
+    ranges = 1 + max(found // LAYOUT_KEYS, min(found // 10, spark.sparkContext.defaultParallelism))
+    if ranges == 1:
+        return df.repartition(1).sortWithinPartitions(*keys)
+    place = F.floor(F.col("_n") * F.lit(found) / F.lit(ranges)).cast("int")
+    bounds = (
+        sampled.agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
+        .select("_keys", F.explode(F.sequence(F.lit(1), F.lit(ranges - 1))).alias("_n"))
+        .agg(F.sort_array(F.collect_list(F.get("_keys", place))))
+    )
+    dealt = with_range(df, key, bounds.scalar(), ranges).repartitionById(ranges, "_range")
+    return dealt.drop("_range").sortWithinPartitions(*keys)
+
+
 #: Rows that the bounds of a curve's cells are taken from, about, and bits of each key's cell number.
 CURVE_SAMPLE, CURVE_BITS = 20_000, 6
 

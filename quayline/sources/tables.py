@@ -134,16 +134,20 @@ def full_refresh(
     """
     spark = df.sparkSession
     stamped = df.withColumn("synced_at", F.current_timestamp())
-    if order:
-        stamped = R.clustered_for_write(stamped, *order)
-    if versions is not None:
-        return refresh_table(stamped, target, versions)
-    staged = f"{target}__new_{uuid.uuid4().hex}"
+    staged, sample = f"{target}__new_{uuid.uuid4().hex}", scratch_path(spark, "keys")
     try:
+        if order and all(isinstance(key, str) for key in order):
+            stamped = R.laid_out(stamped, order, sample)
+        elif order:
+            stamped = R.clustered_for_write(stamped, *order)
+        if versions is not None:
+            return refresh_table(stamped, target, versions)
         stamped.write.parquet(staged)
         swap_folder(spark, staged, target)
     finally:
-        drop_folder(spark, staged)
+        drop_folder(spark, sample)
+        if versions is None:
+            drop_folder(spark, staged)
     return spark.read.parquet(target).count()
 
 

@@ -103,3 +103,38 @@ def test_an_upsert_moves_no_rows_to_find_the_touched_partitions(spark, tmp_path,
     assert (first.inserted, again.inserted, again.updated) == (3, 1, 1)
     assert sorted(r.v for r in spark.read.parquet(target).collect()) == ["A", "b", "c", "d"]
     assert "broadcast" in plans[-1]
+
+
+def test_a_layout_makes_its_rows_once(spark, tmp_path):
+    """Only the key columns are read a second time, for the bounds; Spark's range partitioning makes all rows twice."""
+    made = spark.sparkContext.accumulator(0)
+
+    def costly(n):
+        made.add(1)
+        return n
+
+    rows = spark.range(60_000).selectExpr("CASE WHEN id % 9 > 0 THEN concat('k', pmod(xxhash64(id), 7000)) END AS k", "id % 5 AS n", "id")
+    whole = rows.withColumn("text", F.udf(costly, "long")("id"))
+    target = str(tmp_path / "t")
+    assert tables.full_refresh(whole, target, ["k", "n"]) == 60_000
+    assert made.value == 60_000
+    back = spark.read.parquet(target).drop("synced_at")
+    assert back.schema.names == whole.schema.names and back.select(*rows.columns).exceptAll(rows).isEmpty()
+    # The files hold ranges of the keys that don't overlap, each sorted inside.
+    key = F.struct("k", "n")
+    files_of = back.groupBy(F.input_file_name().alias("file")).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    ends = spark.createDataFrame(files_of.collect(), files_of.schema).orderBy("low")
+    assert ends.count() > 2
+    place = [(r.low, r.high) for r in ends.collect()]
+    null_first = lambda r: (r.k is not None, r.k or "", r.n)
+    assert all(null_first(a[1]) < null_first(b[0]) for a, b in zip(place, place[1:]))
+    for part in (tmp_path / "t").glob("part-*.parquet"):
+        found = spark.read.parquet(str(part)).select("k", "n").collect()
+        assert [null_first(r) for r in found] == sorted(map(null_first, found))
+
+
+def test_layouts_of_few_rows(spark, tmp_path):
+    for n in (0, 1, 7):
+        rows = spark.range(n).selectExpr("nullif(id, 3) AS a", "id AS b")
+        assert tables.full_refresh(rows, str(tmp_path / f"t{n}"), ["a", "b"]) == n
+        assert spark.read.parquet(str(tmp_path / f"t{n}")).count() == n
