@@ -134,7 +134,8 @@ def full_refresh(
     """
     spark = df.sparkSession
     stamped = df.withColumn("synced_at", F.current_timestamp())
-    staged, sample = f"{target}__new_{uuid.uuid4().hex}", scratch_path(spark, "keys")
+    staged = f"{target}__new_{uuid.uuid4().hex}"
+    sample = f"{(versions or target).rstrip('/')}__keys_{uuid.uuid4().hex}"
     try:
         if order and all(isinstance(key, str) for key in order):
             stamped = R.laid_out(stamped, order, sample)
