@@ -34,6 +34,9 @@ LAYOUTS = {
     "shipments": ["order_token"],
 }
 
+#: Tables whose rows are shuffled to be made; a refresh writes them once before it lays them out.
+MADE_FIRST = {"delivery_orders", "shipments"}
+
 
 def refresh_jobs(folder: str, sources: dict[str, Callable[[], tuple]]) -> list[Job]:
     """A job for each curated table below `folder`, after the jobs it needs; `sources` gives each one's arguments."""
@@ -44,7 +47,9 @@ def refresh_jobs(folder: str, sources: dict[str, Callable[[], tuple]]) -> list[J
             build, needs = PIPELINES[name]
             for need in needs:
                 add(need)
-            done[name] = Job(name, lambda: build(*sources[name]()), f"{folder}/{name}", LAYOUTS[name], needs)
+            done[name] = Job(
+                name, lambda: build(*sources[name]()), f"{folder}/{name}", LAYOUTS[name], needs, name in MADE_FIRST
+            )
 
     for name in PIPELINES:
         add(name)

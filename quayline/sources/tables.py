@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, fu
 
 from quayline import config
 from quayline.operators import relational as R
-from quayline.session import scratch_path
+from quayline.session import scratch_path, shuffles_dropped
 
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
@@ -124,43 +124,57 @@ def drop_old_versions(spark: SparkSession, table: str, folder: str, keep: int =
 
 
 def full_refresh(
-    df: DataFrame, target: str, order: list[Column | str] | None = None, versions: str | None = None
+    df: DataFrame, target: str, order: list[Column | str] | None = None, versions: str | None = None,
+    made_first: bool = False,
 ) -> int:
     """Replace a table by the DataFrame plus a sync stamp; the row count is read back from it.
 
     The target is a folder, or, with the folder of its `versions`, a catalog table. The rows are written
     beside the target first, and take its place only when they are complete: a refresh that fails leaves
     the table as it was.
+
+    Each step's shuffle files go when it ends. With `made_first`, for rows that are shuffled to be made, they
+    are written as they come before they are laid out: the shuffles of the two steps are then never on disk
+    together, and the layout's sample reads their keys from files.
     """
     spark = df.sparkSession
-    stamped = df.withColumn("synced_at", F.current_timestamp())
     staged = f"{target}__new_{uuid.uuid4().hex}"
-    sample = f"{(versions or target).rstrip('/')}__keys_{uuid.uuid4().hex}"
+    sample, made = (f"{(versions or target).rstrip('/')}__{part}_{uuid.uuid4().hex}" for part in ("keys", "rows"))
     try:
-        if order and all(isinstance(key, str) for key in order):
-            stamped = R.laid_out(stamped, order, sample)
-        elif order:
-            stamped = R.clustered_for_write(stamped, *order)
-        if versions is not None:
-            return refresh_table(stamped, target, versions)
-        stamped.write.parquet(staged)
-        swap_folder(spark, staged, target)
+        with shuffles_dropped(spark):
+            if order and made_first:
+                df.write.parquet(made)
+                df = spark.read.schema(df.schema).parquet(made)
+            stamped = df.withColumn("synced_at", F.current_timestamp())
+            if order and all(isinstance(key, str) for key in order):
+                stamped = R.laid_out(stamped, order, sample)
+            elif order:
+                stamped = R.clustered_for_write(stamped, *order)
+            if versions is not None:
+                return refresh_table(stamped, target, versions)
+            stamped.write.parquet(staged)
+            swap_folder(spark, staged, target)
+            return spark.read.parquet(target).count()
     finally:
         drop_folder(spark, sample)
+        drop_folder(spark, made)
         if versions is None:
             drop_folder(spark, staged)
-    return spark.read.parquet(target).count()
 
 
 @dataclass
 class Job:
-    """A refresh job: `build` gives its DataFrame, `needs` are the jobs it reads the results of."""
+    """A refresh job: `build` gives its DataFrame, `needs` are the jobs it reads the results of.
+
+    `order` and `made_first` are those of `full_refresh`.
+    """
 
     name: str
     build: Callable[[], DataFrame]
     target: str
     order: list | None = None
     needs: list[str] = field(default_factory=list)
+    made_first: bool = False
 
 
 SUMMARY_SCHEMA = "name string, status string, rows bigint, duration double, error string"
@@ -181,7 +195,8 @@ def run_jobs(spark: SparkSession, jobs: list[Job], targets: list[str] | None = N
             status, count, error = "skipped", 0, "a job it needs did not succeed"
         else:
             try:
-                status, count, error = "success", full_refresh(job.build(), job.target, job.order), None
+                count = full_refresh(job.build(), job.target, job.order, made_first=job.made_first)
+                status, error = "success", None
             except Exception as failure:
                 status, count, error = "error", 0, str(failure).splitlines()[0]
         outcome[name] = status

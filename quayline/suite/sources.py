@@ -97,7 +97,7 @@ def warehouse_source(t):
 @case("full_refresh", C.DELIVERY_SQL)
 def full_refresh(t):
     path = scratch_path(t.spark, "delivery-orders")
-    tables.full_refresh(P.delivery_orders(t.delivery_lines), path, ["order_number"])
+    tables.full_refresh(P.delivery_orders(t.delivery_lines), path, ["order_number"], made_first=True)
     return t.spark.read.parquet(path).drop("synced_at")
 
 

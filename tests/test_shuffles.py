@@ -1,11 +1,13 @@
 """How often rows are shuffled, and that the rows stay the same."""
 
+import time
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from quayline.operators import relational as R
 from quayline.plans import lookup as L, pipelines as P
+from quayline.session import SHUFFLE_CLEANUP, shuffles_dropped
 from quayline.sources import files, tables
 
 LINES = [
@@ -138,3 +140,64 @@ def test_layouts_of_few_rows(spark, tmp_path):
         rows = spark.range(n).selectExpr("nullif(id, 3) AS a", "id AS b")
         assert tables.full_refresh(rows, str(tmp_path / f"t{n}"), ["a", "b"]) == n
         assert spark.read.parquet(str(tmp_path / f"t{n}")).count() == n
+
+
+def shuffle_files(spark) -> set[str]:
+    jvm = spark._jvm
+    found = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(found) if f.getName().startswith("shuffle_")}
+
+
+def gone(spark, before: set[str]) -> bool:
+    """No shuffle files but those of before; Spark removes them in the background."""
+    for _ in range(100):
+        if not shuffle_files(spark) - before:
+            return True
+        time.sleep(0.1)
+    return False
+
+
+def test_a_refresh_leaves_no_shuffle_files(spark, feeds, tmp_path):
+    orders = P.delivery_orders(feeds.delivery_lines)
+    count = orders.count()
+    before = shuffle_files(spark)
+    for made_first in (False, True):
+        assert tables.full_refresh(orders, str(tmp_path / f"orders-{made_first}"), ["order_number"], made_first=made_first) == count
+    assert gone(spark, before)
+    assert spark.conf.get(SHUFFLE_CLEANUP, "false") == "false"
+    for made_first in (False, True):
+        back = spark.read.parquet(str(tmp_path / f"orders-{made_first}")).drop("synced_at")
+        assert back.columns == orders.columns and back.exceptAll(orders).isEmpty() and orders.exceptAll(back).isEmpty()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["orders-False", "orders-True"]
+
+
+def test_the_folds_are_off_the_disk_when_their_rows_are_laid_out(spark, feeds, tmp_path, monkeypatch):
+    seen, laid_out = {}, R.laid_out
+    before = shuffle_files(spark)
+
+    def noted(df, keys, sample):
+        seen[keys[0]] = shuffles(df), gone(spark, before)
+        return laid_out(df, keys, sample)
+
+    monkeypatch.setattr(R, "laid_out", noted)
+    sources = {"delivery_orders": lambda: (feeds.delivery_lines,), "shipments": lambda: (feeds.outbound_lines, date(2000, 6, 30))}
+    jobs = [job for job in P.refresh_jobs(str(tmp_path), sources) if job.name in sources]
+    done = {r.name: (r.status, r.rows) for r in tables.run_jobs(spark, jobs).collect()}
+    assert seen == {"order_number": (0, True), "order_token": (0, True)}
+    assert done == {name: ("success", P.PIPELINES[name][0](*args()).count()) for name, args in sources.items()}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["delivery_orders", "shipments"]
+
+
+def test_a_refresh_gives_the_session_its_own_setting_back(spark, tmp_path):
+    for own in ("false", "true"):
+        spark.conf.set(SHUFFLE_CLEANUP, own)
+        try:
+            with shuffles_dropped(spark):
+                assert spark.conf.get(SHUFFLE_CLEANUP) == "true"
+            assert spark.conf.get(SHUFFLE_CLEANUP) == own
+        finally:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).alias("k"))
+    outcome = tables.run_jobs(spark, [tables.Job("broken", lambda: broken, str(tmp_path / "t"), ["k"], made_first=True)]).first()
+    assert (outcome.status, outcome.rows) == ("error", 0) and not list(tmp_path.iterdir())
+    assert spark.conf.get(SHUFFLE_CLEANUP, "false") == "false"
