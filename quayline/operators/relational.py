@@ -204,7 +204,8 @@ def curve_place(df: DataFrame, keys: list[str], bits: int = CURVE_BITS, sample:
     A key's range is cut into `2 ** bits` cells of about equal numbers of rows; the bits of the keys' cell
     numbers are interleaved, so rows that are near on the curve are near in each key. Bounds come from a
     random sample of about `sample` rows, as those of any range partitioning do: they shape the layout
-    and nothing else. Nulls are in the lowest cell.
+    and nothing else. Nulls are in the lowest cell. The cells of a key with few values are spread over the
+    whole range of numbers, so that its upper bits halve its rows as those of other keys do.
     """
     cells = 1 << bits
     seen = df.sample(min(1.0, sample / max(df.count(), 1)), seed=1).select(*keys).collect()
@@ -216,13 +217,27 @@ def curve_place(df: DataFrame, keys: list[str], bits: int = CURVE_BITS, sample:
         if bounds:
             own = F.col(key)
             reached = F.filter(F.array(*map(F.lit, bounds)), lambda bound: bound <= own)  # noqa: B023
-            cell = F.when(own.isNull(), 0).otherwise(F.size(reached))
+            spread = F.floor(F.size(reached) * F.lit(cells) / F.lit(len(bounds) + 1)).cast("int")
+            cell = F.when(own.isNull(), 0).otherwise(spread)
         for bit in range(bits):
             one = F.shiftright(cell, bit).bitwiseAND(1).cast("long")
             place = place.bitwiseOR(F.shiftleft(one, bit * len(keys) + n))
     return place
 
 
+def curve_starts(rows: DataFrame, files: int) -> list[int]:
+    """Where the files after the first start on the curve: within a quarter of a file of equal shares of rows, at
+    the roundest number, since the rounder it is, the more keys have a cell that begins there."""
+    shares = [(4 * n + side) / (4 * files) for n in range(1, files) for side in (-1, 1)]
+    found = rows.agg(F.percentile_approx("_curve", shares, CURVE_SAMPLE)).first()[0] if shares else None
+    starts = []
+    for low, high in zip(found[::2], found[1::2]) if found else ():
+        while high & (high - 1) > low:
+            high &= high - 1
+        starts.append(high)
+    return starts
+
+
 def write_on_curve(df: DataFrame, path: str, keys: list[str], files: int | None = None) -> None:
     """Parquet files laid out for filters on any one of the keys: each file holds a stretch of the curve.
 
@@ -230,10 +245,17 @@ def write_on_curve(df: DataFrame, path: str, keys: list[str], files: int | None
     smallest and largest value of a file are near, so a filter on each alone skips files. A stretch that
     many rows share is split at random, so a hot cell is never one task.
     """
-    place = curve_place(df, keys)
-    order = [F.col("_curve"), F.col("_tie")]
-    rows = df.withColumns({"_curve": place, "_tie": F.rand(1)})
-    dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+    rows = df.withColumns({"_curve": curve_place(df, keys), "_tie": F.rand(1)})
+    if files:
+        starts = F.array(*map(F.lit, curve_starts(rows, files))).cast("array<bigint>")
+        before = with_range(rows, F.col("_curve") - 1, starts, files).withColumnRenamed("_range", "_before")
+        reached = with_range(before, F.col("_curve"), starts, files)
+        # A place where several files start is dealt among them.
+        same = F.greatest(F.col("_range") - F.col("_before"), F.lit(1))
+        file = (F.col("_range") - F.floor(F.col("_tie") * same)).cast("int")
+        dealt = reached.withColumn("_range", file).repartitionById(files, "_range").drop("_range", "_before")
+    else:
+        dealt = rows.repartitionByRange("_curve", "_tie")
     dealt.sortWithinPartitions("_curve", *keys).drop("_curve", "_tie").write.mode("overwrite").parquet(path)
 
 

@@ -348,6 +348,20 @@ def test_curve_edges(spark, tmp_path):
     assert sum(sizes) == 503 and max(sizes) < 250
 
 
+def test_curve_files_start_at_round_places(spark):
+    places = spark.range(4096).filter("id % 37 <> 5").toDF("_curve")
+    assert R.curve_starts(places, 16) == list(range(256, 4096, 256)) and R.curve_starts(places, 1) == []
+    assert R.curve_starts(spark.range(9).selectExpr("7L AS _curve"), 4) == [7, 7, 7]
+    assert R.curve_starts(places.limit(0), 4) == []
+
+
+def test_curve_in_one_file(spark, tmp_path):
+    rows = spark.createDataFrame([(3, "x"), (None, "y"), (1, None)], "a int, b string")
+    R.write_on_curve(rows, f"{tmp_path}/one", ["a", "b"], files=1)
+    assert sorted(map(str, map(tuple, spark.read.parquet(f"{tmp_path}/one").collect()))) == ["(1, None)", "(3, 'x')", "(None, 'y')"]
+    assert len(list(Path(f"{tmp_path}/one").glob("*.parquet"))) == 1
+
+
 def test_distinct_levels(spark):
     rows = [("a", 1, "x", 7), ("a", 1, "x", 8), ("a", 2, "y", 7), ("b", 1, "x", None), ("b", None, None, 9), (None, 1, "z", 9), ("c", 3, None, None)]
     df = spark.createDataFrame(rows, "f string, c int, u string, v int")
